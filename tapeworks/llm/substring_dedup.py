@@ -7,8 +7,8 @@ there the windows of all strings are sorted and equal neighbours counted.
 
 Steps, each a Spark job over all rows:
 
-1. count the minimisers (long integers only) and keep those found twice or more: a
-   window that repeats has such a minimiser, so nothing is lost;
+1. count the places of minimisers (long integers only) and keep those found at two or
+   more: a window that repeats has such a minimiser, so nothing is lost;
 2. find the places of these minimisers, gathered by document, and cut the packed strings
    from the texts.  Minimisers met more often than ``hot`` times send single windows
    keyed by their own hash instead: no bucket holds a frequent passage's whole
@@ -70,12 +70,15 @@ def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def super_kmers(texts: list[bytes], k: int, m: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows that share a minimiser: (minimiser, text, first word, windows)."""
+    """Runs of windows that share a minimiser: (minimiser, text, first word, windows).
+
+    Last comes the hash of every ``m``-word sequence of ``texts``.
+    """
     words, text = _word_hashes(texts)
     n = len(words) - k + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none, none
+        return none, none, none, none, none.view(np.uint64)
     grams = np.zeros(len(words) - m + 1, np.uint64)
     for j in range(m):
         grams = grams * np.uint64(0x100000001B3) + words[j : j + len(grams)]
@@ -89,7 +92,7 @@ def super_kmers(texts: list[bytes], k: int, m: int) -> tuple[np.ndarray, ...]:
         width += step
     at = np.flatnonzero(text[:n] == text[k - 1 :])
     if not len(at):
-        return none, none, none, none
+        return none, none, none, none, grams
     value, owner = least[at], text[at]
     new = np.ones(len(at), bool)
     new[1:] = (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1)
@@ -97,7 +100,7 @@ def super_kmers(texts: list[bytes], k: int, m: int) -> tuple[np.ndarray, ...]:
     place = np.arange(len(at)) - np.repeat(heads, np.diff(np.append(heads, len(at))))
     heads = np.flatnonzero(place % LONGEST_RUN == 0)
     first_word = np.searchsorted(text, owner[heads], side="left")
-    return value[heads].view(np.int64), owner[heads], at[heads] - first_word, np.diff(np.append(heads, len(at)))
+    return value[heads].view(np.int64), owner[heads], at[heads] - first_word, np.diff(np.append(heads, len(at))), grams
 
 
 def repeated_ranges(strings: list[bytes], counts: list[int], k: int) -> list[list[int]]:
@@ -140,7 +143,10 @@ def _minimiser_counts(k: int, m: int):
         for batch in batches:
             texts = utf8(batch.column("text"))
             for a, b in slices(texts):
-                yield batch_of(_COUNT, *np.unique(super_kmers(texts[a:b], k, m)[0], return_counts=True))
+                mini, _, _, _, grams = super_kmers(texts[a:b], k, m)
+                mini, grams = np.unique(mini.view(np.uint64)), np.sort(grams)
+                n = np.searchsorted(grams, mini, side="right") - np.searchsorted(grams, mini, side="left")
+                yield batch_of(_COUNT, mini.view(np.int64), n)
 
     return run
 
@@ -150,7 +156,7 @@ def _minimiser_places(k: int, m: int):
         for batch in batches:
             texts = utf8(batch.column("text"))
             for a, b in slices(texts):
-                mini, owner, at, n = super_kmers(texts[a:b], k, m)
+                mini, owner, at, n, _ = super_kmers(texts[a:b], k, m)
                 ids, keys = (batch.column(c).slice(a, b - a).take(pa.array(owner, pa.int64())) for c in ("doc_id", "h"))
                 yield pa.RecordBatch.from_arrays([pa.array(mini, pa.int64()), ids, keys, pa.array(at, pa.int32()), pa.array(n, pa.int32())], schema=_PLACE)
 

@@ -10,10 +10,10 @@ Steps, each a Spark job over all rows:
 1. count the places of minimisers (long integers only) and keep those found at two or
    more: a window that repeats has such a minimiser, so nothing is lost;
 2. find the places of these minimisers, gathered by document, and cut the packed strings
-   from the texts.  Minimisers met more often than ``hot`` times send single windows
-   keyed by their own hash instead: no bucket holds a frequent passage's whole
-   surroundings;
-3. add up equal strings before they move to a bucket, sort each bucket and count;
+   from the texts;
+3. sort each bucket and count.  Minimisers met more often than ``hot`` times have no
+   bucket: their windows are strings of their own, and equal ones are added up before
+   and after they move, so a frequent passage never meets in one task;
 4. bring the verdicts back by string, then by document.
 
 Hashes only route.  Windows are compared by their words.
@@ -130,9 +130,6 @@ _STRING = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("at", pa.int32(
 _FOUND = pa.schema([("bucket", pa.int64()), ("string", pa.binary()), ("offsets", pa.list_(pa.int32()))])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
-_PACKED = "bucket long, string binary, n long"
-
-
 def _ddl(schema: pa.Schema) -> str:
     names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string", pa.list_(pa.int32()): "array<int>"}
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
@@ -201,14 +198,17 @@ def _sorted_buckets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, strings, counts, ready, held = None, [], [], [], 0
         for batch in batches:
-            for key, string, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "string", "n")), strict=True):
+            for key, string in zip(*(batch.column(c).to_pylist() for c in ("bucket", "string")), strict=True):
                 if key != bucket:
                     if strings:
                         ready += flush(bucket, strings, counts)
                     bucket, strings, counts = key, [], []
-                strings.append(string)
-                counts.append(n)
                 held += 1
+                if strings and strings[-1] == string:
+                    counts[-1] += 1
+                    continue
+                strings.append(string)
+                counts.append(1)
                 if held >= 5000 and ready:
                     yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
                     ready, held = [], 0
@@ -256,16 +256,21 @@ def remove_repeated_windows(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("h"), F.col("text").cast("string").alias("text"))
     counts = docs.select("text").mapInArrow(_minimiser_counts(k, m), _ddl(_COUNT)).groupBy("mini").agg(F.sum("n").alias("n")).where("n > 1")
     places = docs.mapInArrow(_minimiser_places(k, m), _ddl(_PLACE)).join(counts, "mini")
-    by_doc = places.groupBy("doc_id", "h").agg(F.collect_list(F.struct("at", "n_win", F.when(F.col("n") <= hot, F.col("mini")).alias("bucket"))).alias("places"))
+
+    def by_doc(places: DataFrame) -> DataFrame:
+        return places.groupBy("doc_id", "h").agg(F.collect_list(F.struct("at", "n_win", F.when(F.col("n") <= hot, F.col("mini")).alias("bucket"))).alias("places"))
 
     def with_docs(other: DataFrame, how: str) -> DataFrame:
         other = other.withColumnRenamed("doc_id", "other_id").withColumnRenamed("h", "other_h")
         return docs.join(other, docs.doc_id.eqNullSafe(other.other_id) & (docs.h == other.other_h), how).drop("other_id", "other_h")
 
-    strings = with_docs(by_doc, "inner").mapInArrow(_packed_strings(k), _ddl(_STRING))
-    packed = strings.groupBy("bucket", "string").agg(F.count(F.lit(1)).alias("n"))
-    found = packed.repartition("bucket").sortWithinPartitions("bucket", "string").mapInArrow(_sorted_buckets(k), _ddl(_FOUND))
-    found = found.select("bucket", F.xxhash64("string").alias("sid"), "offsets")
-    parts = strings.select("doc_id", "h", "at", "bucket", F.xxhash64("string").alias("sid")).join(found, ["bucket", "sid"])
+    def strings(places: DataFrame) -> DataFrame:
+        return with_docs(by_doc(places), "inner").mapInArrow(_packed_strings(k), _ddl(_STRING)).withColumn("sid", F.xxhash64("string"))
+
+    cold = strings(places.where(F.col("n") <= hot)).select("bucket", "string").repartition("bucket").sortWithinPartitions("bucket", "string")
+    cold = cold.mapInArrow(_sorted_buckets(k), _ddl(_FOUND)).select("bucket", F.xxhash64("string").alias("sid"), "offsets")
+    single = strings(places.where(F.col("n") > hot)).groupBy("bucket", "string").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    single = single.select("bucket", F.xxhash64("string").alias("sid"), F.array(F.lit(0)).alias("offsets"))
+    parts = strings(places).select("doc_id", "h", "at", "bucket", "sid").join(cold.union(single), ["bucket", "sid"])
     parts = parts.groupBy("doc_id", "h").agg(F.collect_list(F.struct("at", "offsets")).alias("parts"))
     return with_docs(parts, "left").mapInArrow(_without_windows(k, digest), _ddl(_DIGEST if digest else _KEPT))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RATIO, LEAST_PAGES = 0.02, 5
+#: Parts that each site's pages are dealt to when they meet its boilerplate lines.
+SALT = 16
 
 
 def _keys(text: Column) -> Column:
@@ -38,7 +40,9 @@ def remove_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RAT
     Columns of ``docs`` named like the new ones are replaced.
     """
     bad = boilerplate(docs, host, ratio, least_pages).withColumnRenamed("site", "__site")
-    rows = docs.join(bad, docs[host].eqNullSafe(F.col("__site")), "left")
+    bad = bad.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    part = F.pmod(F.xxhash64("text"), F.lit(SALT))
+    rows = docs.join(bad, docs[host].eqNullSafe(F.col("__site")) & (part == F.col("__part")), "left")
     lines = F.split(F.col("text"), "\n")
 
     def is_bad(line: Column) -> Column:
@@ -53,4 +57,4 @@ def remove_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RAT
             "n_removed": F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0)).cast("long"),
         }
     )
-    return out.drop("bad", "__site", "__kept")
+    return out.drop("bad", "__site", "__part", "__kept")

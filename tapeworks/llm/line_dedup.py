@@ -16,7 +16,7 @@ SALT = 16
 
 def _keys(text: Column) -> Column:
     """A 128-bit key for each line of ``text`` that is not blank."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("p"), F.xxhash64(F.lit(1), x).alias("q")))
 
 

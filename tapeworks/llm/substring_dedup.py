@@ -160,7 +160,7 @@ def _minimiser_places(k: int, m: int):
     return run
 
 
-def _packed_strings(k: int):
+def _packed_strings(k: int, cold: bool, hot: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text in enumerate(utf8(batch.column("text"))):
@@ -168,10 +168,10 @@ def _packed_strings(k: int):
                 words, rows = text.split(), ([], [], [])
                 for place in batch.column("places")[i].as_py():
                     at, n, mini = place["at"], place["n_win"], place["bucket"]
-                    if mini is not None:
+                    if mini is not None and cold:
                         for column, x in zip(rows, (at, mini, b" ".join(words[at : at + n + k - 1])), strict=True):
                             column.append(x)
-                    else:
+                    elif mini is None and hot:
                         for j in range(at, at + n):
                             window = b" ".join(words[j : j + k])
                             for column, x in zip(rows, (j, xxhash.xxh64_intdigest(window, 1) - 2**63, window), strict=True):
@@ -257,20 +257,20 @@ def remove_repeated_windows(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER
     counts = docs.select("text").mapInArrow(_minimiser_counts(k, m), _ddl(_COUNT)).groupBy("mini").agg(F.sum("n").alias("n")).where("n > 1")
     places = docs.mapInArrow(_minimiser_places(k, m), _ddl(_PLACE)).join(counts, "mini")
 
-    def by_doc(places: DataFrame) -> DataFrame:
-        return places.groupBy("doc_id", "h").agg(F.collect_list(F.struct("at", "n_win", F.when(F.col("n") <= hot, F.col("mini")).alias("bucket"))).alias("places"))
+    bucket = F.when(F.col("n") <= hot, F.col("mini")).alias("bucket")
+    by_doc = places.groupBy("doc_id", "h").agg(F.collect_list(F.struct("at", "n_win", bucket)).alias("places"))
 
     def with_docs(other: DataFrame, how: str) -> DataFrame:
         other = other.withColumnRenamed("doc_id", "other_id").withColumnRenamed("h", "other_h")
         return docs.join(other, docs.doc_id.eqNullSafe(other.other_id) & (docs.h == other.other_h), how).drop("other_id", "other_h")
 
-    def strings(places: DataFrame) -> DataFrame:
-        return with_docs(by_doc(places), "inner").mapInArrow(_packed_strings(k), _ddl(_STRING)).withColumn("sid", F.xxhash64("string"))
+    def strings(cold: bool, hot: bool) -> DataFrame:
+        return with_docs(by_doc, "inner").mapInArrow(_packed_strings(k, cold, hot), _ddl(_STRING)).withColumn("sid", F.xxhash64("string"))
 
-    cold = strings(places.where(F.col("n") <= hot)).select("bucket", "string").repartition("bucket").sortWithinPartitions("bucket", "string")
+    cold = strings(True, False).select("bucket", "string").repartition("bucket").sortWithinPartitions("bucket", "string")
     cold = cold.mapInArrow(_sorted_buckets(k), _ddl(_FOUND)).select("bucket", F.xxhash64("string").alias("sid"), "offsets")
-    single = strings(places.where(F.col("n") > hot)).groupBy("bucket", "string").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    single = strings(False, True).groupBy("bucket", "string").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     single = single.select("bucket", F.xxhash64("string").alias("sid"), F.array(F.lit(0)).alias("offsets"))
-    parts = strings(places).select("doc_id", "h", "at", "bucket", "sid").join(cold.union(single), ["bucket", "sid"])
+    parts = strings(True, True).select("doc_id", "h", "at", "bucket", "sid").join(cold.union(single), ["bucket", "sid"])
     parts = parts.groupBy("doc_id", "h").agg(F.collect_list(F.struct("at", "offsets")).alias("parts"))
     return with_docs(parts, "left").mapInArrow(_without_windows(k, digest), _ddl(_DIGEST if digest else _KEPT))

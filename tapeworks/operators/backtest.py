@@ -58,14 +58,14 @@ def risk_metrics(curve: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     out = df.groupBy(*keys).agg(
         F.min_by("equity", TIME).alias("e0"), F.max_by("equity", TIME).alias("final_value"), F.min_by("price", TIME).alias("p0"), F.max_by("price", TIME).alias("p1"),
         F.count("r").alias("n"), F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"), F.stddev_pop(F.when(F.col("r") < 0, F.col("r"))).alias("down"),
-        F.min("dd").alias("dd"), F.corr("r", "m").alias("corr"), F.avg((F.col("prediction") == F.col("target")).cast("double")).alias("accuracy"), F.count_if("changed").alias("trades"),
+        F.min("dd").alias("dd"), F.covar_pop("r", "m").alias("cov"), F.var_pop("r").alias("vr"), F.var_pop("m").alias("vm"), F.avg((F.col("prediction") == F.col("target")).cast("double")).alias("accuracy"), F.count_if("changed").alias("trades"),
     )
     root = F.lit(float(YEAR) ** 0.5)
     zero = lambda e: F.when(F.col("n") <= 1, 0.0).otherwise(F.coalesce(e, F.lit(0.0)))
     out = out.withColumns({"total_return": (F.col("final_value") / F.col("e0") - 1) * 100, "buy_hold": (F.col("p1") / F.col("p0") - 1) * 100, "max_drawdown": zero(F.col("dd") * 100)})
     return out.select(
         *keys, "total_return", "buy_hold", zero(F.try_divide(root * F.col("mean"), F.col("sd"))).alias("sharpe"), zero(F.try_divide(root * F.col("mean"), F.col("down"))).alias("sortino"),
-        "max_drawdown", zero(F.try_divide(F.col("total_return"), F.abs("max_drawdown"))).alias("calmar"), zero(F.col("corr") * F.col("corr")).alias("r_squared"), "accuracy", "trades", "final_value",
+        "max_drawdown", zero(F.try_divide(F.col("total_return"), F.abs("max_drawdown"))).alias("calmar"), zero(F.try_divide(F.col("cov") * F.col("cov"), F.col("vr") * F.col("vm"))).alias("r_squared"), "accuracy", "trades", "final_value",
     )
 
 

@@ -217,22 +217,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = RADIUS) ->
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-LANES, TABLES, KEY_BITS, SIMILARITY = 4, 60, 18, 0.8
+LANES, TABLES, KEY_BITS, SIMILARITY = 4, 128, 18, 0.8
+#: Bits above the expected distance at which a pair is still a candidate (two deviations).
+SLACK = 14
+#: Links of one text that one task looks up at most.
+LINKS_A_TASK = 1000
 
 
-def wide_fingerprint(text: bytes, n: int) -> bytes:
-    """SimHash of ``LANES * 64`` bits of the ``n``-word shingles of ``text``."""
+def shingle_set(text: bytes, n: int) -> np.ndarray:
+    """Sorted hashes of the distinct ``n``-word shingles of ``text``; fewer words are one shingle."""
     words = text.lower().split()
     n = max(1, min(n, len(words)))
     shingles = [b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] or [b""]
-    hashes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles], np.uint64)
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles], np.uint64))
+
+
+def wide_node(hashes: np.ndarray) -> bytes:
+    """SimHash of ``LANES * 64`` bits of a shingle set, then 8 bytes that tell sets apart."""
     lanes = []
     for i in range(LANES):
         mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * i * 0x632BE5A6)
         mixed ^= mixed >> np.uint64(32)
         bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         lanes.append(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little"))
-    return np.concatenate(lanes).tobytes()
+    return np.concatenate(lanes).tobytes() + xxhash.xxh64_digest(hashes.tobytes(), SEED)
 
 
 def _wide_prints(n: int):
@@ -240,7 +248,36 @@ def _wide_prints(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch_of(schema, batch.column("doc_id"), [wide_fingerprint(t, n) for t in utf8(batch.column("text"))])
+            yield batch_of(schema, batch.column("doc_id"), [wide_node(shingle_set(t, n)) for t in utf8(batch.column("text"))])
+
+    return run
+
+
+def _wide_sets(n: int):
+    schema = pa.schema([("node", pa.binary()), ("shingles", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in utf8(batch.column("text")):
+                hashes = shingle_set(text, n)
+                yield batch_of(schema, [wide_node(hashes)], [np.unique(hashes.astype(np.uint32)).tobytes()])
+
+    return run
+
+
+def _similar(similarity: float):
+    """Of rows (a, b, of_a, of_b), the pairs a, b whose sets have the Jaccard similarity."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("of_a"), batch.column("of_b"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            kept = pa.array(keep, pa.bool_())
+            yield batch_of(schema, batch.column("a").filter(kept), batch.column("b").filter(kept))
 
     return run
 
@@ -264,7 +301,7 @@ def _wide_edges(limit: int):
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def of(prints: list[bytes]) -> list[tuple[bytes, bytes]]:
-        table = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
+        table = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)[:, :LANES]
         edges, left = [], np.arange(len(prints))
         while len(left):
             stack, left = [left[0]], left[1:]
@@ -294,28 +331,61 @@ def _wide_edges(limit: int):
     return run
 
 
+def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) whose shingle sets reach ``similarity``.
+
+    A text with many links is looked up in parts of ``LINKS_A_TASK`` links, each with its
+    own copy of the set, so no task holds all links of one text.
+    """
+    parts = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LINKS_A_TASK).cast("int").alias("parts"))
+    copies = sets.join(parts, sets.node == parts.a).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("of_a"))
+    keyed = edges.join(parts, "a").select("a", "b", F.pmod(F.hash("b"), F.col("parts")).alias("part"))
+    pairs = keyed.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b").join(copies, ["a", "part"])
+    return cut_lineage(pairs.select("a", "b", "of_a", "of_b").mapInArrow(_similar(similarity), "a binary, b binary"))
+
+
+def _rooted(edges: DataFrame, roots: DataFrame, side: str) -> DataFrame:
+    named = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    return edges.join(named, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, component_id: groups of texts whose shingle sets have about ``similarity``.
+    """doc_id, component_id: groups of texts linked by a Jaccard similarity of ``similarity``.
 
     Texts with a Jaccard similarity of 0.8 differ in 15 % of their SimHash bits, so 64 bits
-    within 4 miss most of them.  Here fingerprints have 256 bits and are linked where they
-    differ in the share that the similarity implies (and 6 bits for chance).  They meet in
-    tables keyed by fixed bits: of pairs at 0.8, 96 in 100 meet, of those at 0.9 all but one
-    in 10,000.  Pivot distances discard nothing at such a radius and are left out.
+    within 4 miss most of them.  Here fingerprints have 256 bits, and pairs are candidates
+    where they differ in the share that the similarity implies, ``SLACK`` bits more at most.
+    They meet in tables keyed by fixed bits: a pair that differs in 15 % of its bits meets
+    in all but 1 of 1,000 cases, one that differs in 20 % in 9 of 10.  Pivot distances discard nothing at such a radius and are
+    left out.  Candidates are then verified on the shingle sets themselves (as 32-bit
+    hashes): first one link of each text, then all between groups that are still apart.
+    Texts with equal sets are one node, so copies are never compared with each other.
     Null and empty texts are one group; component_id is the smallest doc_id of a group
     (null if none has one); repeated rows are members each.
     """
     spark = docs.sparkSession
     small_batches(spark)
     cosine = 2 * similarity / (1 + similarity)
-    limit = int(LANES * 64 * np.arccos(cosine) / np.pi) + 6
+    limit = int(LANES * 64 * np.arccos(cosine) / np.pi) + SLACK
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = cut_lineage(docs.mapInArrow(_wide_prints(shingle), "doc_id long, fp binary"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     dealt = nodes.select("fp").mapInArrow(_wide_deal, "bucket long, fp binary")
     buckets = dealt.repartition("bucket").sortWithinPartitions("bucket", "fp")
-    roots = components(buckets.mapInArrow(_wide_edges(limit), "a binary, b binary").distinct())
+    edges = buckets.mapInArrow(_wide_edges(limit), "a binary, b binary").distinct()
+    edges = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    small_batches(spark, 100)
+    ends = edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "end")
+    named = nodes.join(ends, nodes.fp == ends.end, "left_semi").select(F.col("first").alias("of_id")).distinct()
+    texts = docs.join(named, docs.doc_id.eqNullSafe(named.of_id), "left_semi")
+    sets = cut_lineage(texts.mapInArrow(_wide_sets(shingle), "node binary, shingles binary").dropDuplicates(["node"]))
+    found = _verified(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, similarity)
+    apart = _rooted(_rooted(edges, roots := components(found), "a"), roots, "b").where("root_a <> root_b").select("a", "b")
+    found = found.union(_verified(cut_lineage(apart.join(found, ["a", "b"], "left_anti")), sets, similarity))
+
+    roots = components(found)
     nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = nodes.join(least, "root").select(F.col("fp").alias("group_fp"), "component_id")

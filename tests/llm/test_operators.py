@@ -261,6 +261,44 @@ def test_keep_one(make_docs):
     assert simhash.keep_one(make_docs([])).collect() == []
 
 
+def test_similar_groups(make_docs, odd_docs):
+    """Groups equal those of all pairs at 0.8, and pairs a little below stay apart."""
+    rng = random.Random(11)
+    rows = list(odd_docs)
+    for base in range(12):
+        w = [f"b{base}n{i}" for i in range(400)]
+        for k in range(8):  # k changed words: similarity (396 - 5k) / (396 + 5k)
+            changed = list(w)
+            for at in range(k):
+                changed[7 + at * 31] = f"x{base}k{k}n{at}"
+            rows.append((100 + 10 * base + k, " ".join(changed), "en", "s"))
+        for k in (13, 14, 15):
+            other = [f"y{base}k{k}n{at // 31}" if at % 31 == 7 else x for at, x in enumerate(w)]
+            other[200 : 200 + k] = [f"z{base}k{k}n{i}" for i in range(k)]
+            rows.append((400 + 10 * base + k, " ".join(other), "en", "s"))
+    rng.shuffle(rows)
+    sets = [set(simhash.shingle_set((t or "").encode(), 5).tolist()) for _, t, *_ in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                group = [group[j] if g == group[i] else g for g in group]
+    first = {g: min((d for (d, *_), x in zip(rows, group, strict=True) if x == g and d is not None), default=None) for g in group}
+    got = simhash.similar_groups(make_docs(rows)).collect()
+    assert Counter(map(tuple, got)) == Counter((d, first[g]) for (d, *_), g in zip(rows, group, strict=True))
+    assert len(set(first.values())) > 40
+
+
+def test_hot_text_is_looked_up_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LINKS_A_TASK", 3)
+    sets = {bytes([i]): np.arange(i, i + 20, dtype=np.uint32).tobytes() for i in range(12)}
+    edges = spark.createDataFrame([(bytearray([0]), bytearray([i])) for i in range(1, 12)], "a binary, b binary")
+    table = spark.createDataFrame([(bytearray(k), bytearray(v)) for k, v in sets.items()], "node binary, shingles binary")
+    got = simhash._verified(edges, table, 0.8).collect()
+    assert sorted(r["b"][0] for r in got) == [1, 2]  # 19 of 21 and 18 of 22 are shared
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (205, 200), (200, 210)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -301,7 +301,7 @@ def _wide_edges(limit: int):
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def of(prints: list[bytes]) -> list[tuple[bytes, bytes]]:
-        table = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)[:, :LANES]
+        table = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
         edges, left = [], np.arange(len(prints))
         while len(left):
             stack, left = [left[0]], left[1:]
@@ -371,10 +371,16 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
     prints = cut_lineage(docs.mapInArrow(_wide_prints(shingle), "doc_id long, fp binary"))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    dealt = nodes.select("fp").mapInArrow(_wide_deal, "bucket long, fp binary")
+    prints256 = nodes.groupBy(F.substring("fp", 1, LANES * 8).alias("fp256")).agg(F.min("fp").alias("rep"))
+    dealt = prints256.select(F.col("fp256").alias("fp")).mapInArrow(_wide_deal, "bucket long, fp binary")
     buckets = dealt.repartition("bucket").sortWithinPartitions("bucket", "fp")
-    edges = buckets.mapInArrow(_wide_edges(limit), "a binary, b binary").distinct()
-    edges = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = buckets.mapInArrow(_wide_edges(limit), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for side in ("a", "b"):  # one node of each fingerprint stands for it ...
+        edges = edges.join(prints256.select(F.col("fp256").alias(side), F.col("rep").alias(f"rep_{side}")), side)
+    equal = nodes.join(prints256, F.substring(nodes.fp, 1, LANES * 8) == prints256.fp256).where("fp <> rep")
+    # ... and is a candidate with the other sets that have the same fingerprint
+    edges = edges.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+    edges = cut_lineage(edges.union(equal.select("rep", "fp")))
 
     small_batches(spark, 100)
     ends = edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "end")

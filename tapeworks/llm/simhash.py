@@ -222,6 +222,8 @@ LANES, TABLES, KEY_BITS, SIMILARITY = 4, 128, 18, 0.8
 SLACK = 14
 #: Links of one text that one task looks up at most.
 LINKS_A_TASK = 1000
+#: Times that each group tries one link to another before all links left are tried.
+ROUNDS = 1
 
 
 def shingle_set(text: bytes, n: int) -> np.ndarray:
@@ -298,17 +300,18 @@ def _wide_deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _wide_edges(limit: int):
     """Spanning edges within each bucket; rows come sorted by bucket."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("bits", pa.int32())])
 
-    def of(prints: list[bytes]) -> list[tuple[bytes, bytes]]:
+    def of(prints: list[bytes]) -> list[tuple[bytes, bytes, int]]:
         table = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
         edges, left = [], np.arange(len(prints))
         while len(left):
             stack, left = [left[0]], left[1:]
             while stack and len(left):
                 i = stack.pop()
-                near = np.bitwise_count(table[left] ^ table[i]).sum(axis=1, dtype=np.int64) <= limit
-                edges += [(prints[i], prints[j]) for j in left[near].tolist()]
+                bits = np.bitwise_count(table[left] ^ table[i]).sum(axis=1, dtype=np.int64)
+                near = bits <= limit
+                edges += [(prints[i], prints[j], d) for j, d in zip(left[near].tolist(), bits[near].tolist(), strict=True)]
                 stack += left[near].tolist()
                 left = left[~near]
         return edges
@@ -349,6 +352,19 @@ def _rooted(edges: DataFrame, roots: DataFrame, side: str) -> DataFrame:
     return edges.join(named, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
 
 
+def _apart(edges: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
+    """The edges not in ``tried`` whose ends are in different groups of ``found``, with both groups."""
+    roots = components(found)
+    rooted = _rooted(_rooted(edges.join(tried, ["a", "b"], "left_anti"), roots, "a"), roots, "b")
+    return rooted.where("root_a <> root_b")
+
+
+def _link_of_each_group(apart: DataFrame) -> DataFrame:
+    """The edge (a, b) of fewest differing bits of each group that has edges in ``apart``."""
+    ends = apart.select(F.explode(F.array("root_a", "root_b")).alias("root"), F.struct("bits", "a", "b").alias("link"))
+    return ends.groupBy("root").agg(F.min("link").alias("link")).select("link.a", "link.b").distinct()
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id: groups of texts linked by a Jaccard similarity of ``similarity``.
 
@@ -358,7 +374,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
     They meet in tables keyed by fixed bits: a pair that differs in 15 % of its bits meets
     in all but 1 of 1,000 cases, one that differs in 20 % in 9 of 10.  Pivot distances discard nothing at such a radius and are
     left out.  Candidates are then verified on the shingle sets themselves (as 32-bit
-    hashes): first one link of each text, then all between groups that are still apart.
+    hashes): first the closest link of each text, then (``ROUNDS`` times) the closest of each group that
+    still has candidates in others, then all between groups that are still apart.
     Texts with equal sets are one node, so copies are never compared with each other.
     Null and empty texts are one group; component_id is the smallest doc_id of a group
     (null if none has one); repeated rows are members each.
@@ -374,22 +391,25 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
     prints256 = nodes.groupBy(F.substring("fp", 1, LANES * 8).alias("fp256")).agg(F.min("fp").alias("rep"))
     dealt = prints256.select(F.col("fp256").alias("fp")).mapInArrow(_wide_deal, "bucket long, fp binary")
     buckets = dealt.repartition("bucket").sortWithinPartitions("bucket", "fp")
-    edges = buckets.mapInArrow(_wide_edges(limit), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = buckets.mapInArrow(_wide_edges(limit), "a binary, b binary, bits int").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits").distinct()
     for side in ("a", "b"):  # one node of each fingerprint stands for it ...
         edges = edges.join(prints256.select(F.col("fp256").alias(side), F.col("rep").alias(f"rep_{side}")), side)
     equal = nodes.join(prints256, F.substring(nodes.fp, 1, LANES * 8) == prints256.fp256).where("fp <> rep")
     # ... and is a candidate with the other sets that have the same fingerprint
-    edges = edges.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
-    edges = cut_lineage(edges.union(equal.select("rep", "fp")))
+    edges = edges.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), "bits")
+    edges = cut_lineage(edges.union(equal.select("rep", "fp", F.lit(0))))
 
     small_batches(spark, 100)
     ends = edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "end")
     named = nodes.join(ends, nodes.fp == ends.end, "left_semi").select(F.col("first").alias("of_id")).distinct()
     texts = docs.join(named, docs.doc_id.eqNullSafe(named.of_id), "left_semi")
     sets = cut_lineage(texts.mapInArrow(_wide_sets(shingle), "node binary, shingles binary").dropDuplicates(["node"]))
-    found = _verified(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, similarity)
-    apart = _rooted(_rooted(edges, roots := components(found), "a"), roots, "b").where("root_a <> root_b").select("a", "b")
-    found = found.union(_verified(cut_lineage(apart.join(found, ["a", "b"], "left_anti")), sets, similarity))
+    tried = cut_lineage(edges.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("link")).select("link.a", "b"))
+    found = _verified(tried, sets, similarity)
+    for _ in range(ROUNDS):
+        picked = cut_lineage(_link_of_each_group(_apart(edges, found, tried)))
+        tried, found = tried.union(picked), found.union(_verified(picked, sets, similarity))
+    found = found.union(_verified(cut_lineage(_apart(edges, found, tried).select("a", "b")), sets, similarity))
 
     roots = components(found)
     nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

@@ -222,8 +222,12 @@ LANES, TABLES, KEY_BITS, SIMILARITY = 4, 128, 18, 0.8
 SLACK = 14
 #: Links of one text that one task looks up at most.
 LINKS_A_TASK = 1000
-#: Times that each group tries one link to another before all links left are tried.
+#: Times that each group tries one link to another before what is left is compared in full.
 ROUNDS = 1
+#: Members of a family that meet in one block at least and at most, and the blocks it has before they grow.
+BLOCK, LARGEST_BLOCK, BLOCKS = 256, 2048, 32
+#: Shingles that one step of a comparison of two blocks counts.
+COLUMNS = 4096
 
 
 def shingle_set(text: bytes, n: int) -> np.ndarray:
@@ -365,6 +369,71 @@ def _link_of_each_group(apart: DataFrame) -> DataFrame:
     return ends.groupBy("root").agg(F.min("link").alias("link")).select("link.a", "link.b").distinct()
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of ``left`` shares with each of ``right``."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    flat = []
+    for sets in (left, right):
+        row, value = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(shared, value), max(len(shared) - 1, 0))
+        known = shared[at] == value if len(shared) else np.zeros(len(value), bool)
+        order = np.argsort(at[known], kind="stable")
+        flat.append((row[known][order], at[known][order]))
+    for first in range(0, len(shared), COLUMNS):
+        width, tables = min(COLUMNS, len(shared) - first), []
+        for (row, at), sets in zip(flat, (left, right), strict=True):
+            a, b = np.searchsorted(at, (first, first + width))
+            table = np.zeros((len(sets), width), np.float32)
+            table[row[a:b], at[a:b] - first] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def _joined(similarity: float):
+    """Links (a, b) that connect the groups of two blocks of a family; every pair is compared."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        _, p, q = (x.as_py() for x in key)
+        nodes, block = table.column("node").to_pylist(), np.asarray(table.column("block"))
+        sets = [np.frombuffer(x, np.uint32) for x in table.column("shingles").to_pylist()]
+        _, group = np.unique(np.array([x.hex() for x in table.column("group").to_pylist()], str), return_inverse=True)
+        x, y = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        a, b = [], []
+        if len(x) and len(y):
+            size = np.array([len(s) for s in sets], np.float64)
+            common = _overlaps([sets[i] for i in x], [sets[i] for i in y])
+            like = common >= similarity * (size[x][:, None] + size[y][None, :] - common) - 1e-9
+            i, j = np.nonzero(like & (group[x][:, None] != group[y][None, :]))
+            # one link of two groups is enough
+            _, at = np.unique(np.stack([np.minimum(group[x[i]], group[y[j]]), np.maximum(group[x[i]], group[y[j]])]), axis=1, return_index=True)
+            a, b = [nodes[k] for k in x[i[at]]], [nodes[k] for k in y[j[at]]]
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return run
+
+
+def _linked_in_families(edges: DataFrame, found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between the groups of ``found`` within each family, a component of candidates.
+
+    A bucket's spanning edges connect a family, but where one of them is no link, two members that are one
+    may never have been a candidate.  So families that ``found`` leaves in several groups are
+    compared in full: members are dealt to blocks, and each two blocks meet in a task.
+    """
+    families = components(edges.select("a", "b")).select(F.col("node").alias("of"), F.col("root").alias("family"))
+    families = families.union(families.select("family", "family").distinct())
+    groups = components(found).select("node", F.col("root").alias("group"))
+    members = cut_lineage(families.join(groups, families.of == groups.node, "left").select("family", F.col("of").alias("node"), F.coalesce("group", "of").alias("group")))
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
+    size = F.greatest(F.lit(BLOCK), F.least(F.lit(LARGEST_BLOCK), F.ceil(F.col("n") / BLOCKS)))
+    rest = members.join(sizes.select("family", F.ceil(F.col("n") / size).cast("int").alias("blocks")), "family")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node")
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = rest.select("family", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "group", "shingles")
+    return cut_lineage(pairs.groupBy("family", "p", "q").applyInArrow(_joined(similarity), "a binary, b binary"))
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id: groups of texts linked by a Jaccard similarity of ``similarity``.
 
@@ -375,7 +444,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
     in all but 1 of 1,000 cases, one that differs in 20 % in 9 of 10.  Pivot distances discard nothing at such a radius and are
     left out.  Candidates are then verified on the shingle sets themselves (as 32-bit
     hashes): first the closest link of each text, then (``ROUNDS`` times) the closest of each group that
-    still has candidates in others, then all between groups that are still apart.
+    still has candidates in others.  Texts that candidates connect but links do not are then compared in full.
     Texts with equal sets are one node, so copies are never compared with each other.
     Null and empty texts are one group; component_id is the smallest doc_id of a group
     (null if none has one); repeated rows are members each.
@@ -409,7 +478,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
     for _ in range(ROUNDS):
         picked = cut_lineage(_link_of_each_group(_apart(edges, found, tried)))
         tried, found = tried.union(picked), found.union(_verified(picked, sets, similarity))
-    found = found.union(_verified(cut_lineage(_apart(edges, found, tried).select("a", "b")), sets, similarity))
+    found = found.union(_linked_in_families(edges, found, sets, similarity))
 
     roots = components(found)
     nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

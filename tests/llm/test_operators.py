@@ -290,6 +290,28 @@ def test_similar_groups(make_docs, odd_docs):
     assert len(set(first.values())) > 40
 
 
+def test_near_copies_among_siblings(make_docs):
+    """2,000 texts about 0.72 like each other, and 150 pairs of them with a copy of 0.82 to 0.9."""
+    rng = random.Random(31)
+    base = [f"b{i}" for i in range(404)]
+
+    def changed(text, n, mark):
+        out = list(text)
+        for k, place in enumerate(sorted(rng.sample(range(40), n))):
+            out[4 + place * 10 + rng.randrange(6)] = f"{mark}x{k}"
+        return out
+
+    siblings = [changed(base, 7, f"s{i}") for i in range(2000)]
+    copies = [changed(siblings[i * 13], 4 + i % 5, f"c{i}") for i in range(150)]
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    like = [len(a & b) / len(a | b) for a, b in ((sets(siblings[i * 13]), sets(c)) for i, c in enumerate(copies))]
+    rows = [(i, " ".join(w), "en", "a") for i, w in enumerate(siblings + copies)]
+    group = dict(simhash.similar_groups(make_docs(rows, clash=False)).collect())
+    lost = [i for i, s in enumerate(like) if s >= 0.8 and group[i * 13] != group[2000 + i]]
+    assert sum(s >= 0.8 for s in like) > 140 and not lost
+    assert len(set(group.values())) > 1900  # the family itself stays apart
+
+
 def test_hot_text_is_looked_up_in_parts(spark, monkeypatch):
     monkeypatch.setattr(simhash, "LINKS_A_TASK", 3)
     sets = {bytes([i]): np.arange(i, i + 20, dtype=np.uint32).tobytes() for i in range(12)}

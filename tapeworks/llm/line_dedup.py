@@ -20,26 +20,33 @@ def _keys(text: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("p"), F.xxhash64(F.lit(1), x).alias("q")))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """site and bad, the keys of its boilerplate lines (under lines a page / ratio of them)."""
-    pages = docs.select(F.col(host).alias("site"), F.col("text").alias("page"))
+def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies: bool = True) -> DataFrame:
+    """site and bad, the keys of its boilerplate lines (under lines a page / ratio of them).
+
+    Without ``copies``, rows of one text on one site are one page.
+    """
+    whole = F.struct(F.xxhash64("text").alias("p"), F.xxhash64(F.lit(1), "text").alias("q"))
+    pages = docs.select(F.col(host).alias("site"), F.col("text").alias("page"), whole.alias("whole"))
+    lines = pages.select("site", "whole", F.explode(F.array_distinct(_keys(F.col("page")))).alias("key"))
+    if not copies:
+        pages, lines = pages.select("site", "whole").distinct(), lines.distinct()
     totals = pages.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
-    lines = pages.select("site", F.explode(F.array_distinct(_keys(F.col("page")))).alias("key"))
     counts = lines.groupBy("site", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
     counts = counts.join(totals.withColumnRenamed("site", "t_site"), F.col("site").eqNullSafe(F.col("t_site")))
     counts = counts.where(F.col("n") > F.col("pages") * F.lit(ratio))
     return counts.groupBy("site").agg(F.collect_list("key").alias("bad"))
 
 
-def remove_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies: bool = True) -> DataFrame:
     """``docs`` with kept_text, n_lines and n_removed; other columns stay.
 
     Lines are split at \\n and compared without outer spaces; blank lines are never
     removed and count in n_lines.  A null text stays null with no lines, an empty one is one
-    blank line; the null host is one site; repeated rows count as pages each.
+    blank line; the null host is one site; repeated rows count as pages each, or without
+    ``copies`` as one page where their texts are equal.
     Columns of ``docs`` named like the new ones are replaced.
     """
-    bad = boilerplate(docs, host, ratio, least_pages).withColumnRenamed("site", "__site")
+    bad = boilerplate(docs, host, ratio, least_pages, copies).withColumnRenamed("site", "__site")
     bad = bad.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     part = F.pmod(F.xxhash64("text"), F.lit(SALT))
     rows = docs.join(bad, docs[host].eqNullSafe(F.col("__site")) & (part == F.col("__part")), "left")

@@ -15,6 +15,14 @@ def test_stages_and_run(spark, make_docs, odd_docs, tmp_path):
     assert {r["doc_id"] for r in got} >= {40 + i for i in (2, 3)} or len(ids) > 10
 
 
+def test_copies_are_one_page_of_their_source(spark, make_docs):
+    """A tenth of the source is copies of one article, which stays whole but for the site's own line."""
+    article = "\n".join(f"line {i} of the article" for i in range(12))
+    rows = [(i, f"site line\nown words {i}", "en", "a") for i in range(90)] + [(100 + i, f"site line\n{article}", "en", "a") for i in range(10)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.boilerplate_lines(spark, make_docs(rows, clash=False), "").collect()}
+    assert got == {i: f"own words {i}" for i in range(90)} | {100 + i: article for i in range(10)}
+
+
 def test_empty(spark, make_docs, tmp_path):
     make_docs([], clash=False).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

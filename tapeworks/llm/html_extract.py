@@ -4,9 +4,9 @@ Pages are range-sorted by host and URL path, so a page's nearest neighbours by p
 next to it.  The text lines of neighbours are aligned by their longest common subsequence;
 a shared line is the site's template, not the page's own, and is deleted.
 
-Two kinds of lines need more than that, and are told by the markup around them: pages with
-copies of one article share its lines too, so lines inside an article element are never
-taken for template; and template texts that differ from page to page (advertisements,
+Two kinds of lines need more than that.  Pages with copies of one article share its lines
+too, so a neighbour that has most of the lines inside the article element is a copy and
+tells nothing about them; and template texts that differ from page to page (advertisements,
 footers, menus) are left out by element name and class.  Hosts with one page have no
 neighbour; for them the markup alone decides.
 """
@@ -29,6 +29,8 @@ SKIPPED = frozenset("nav footer aside form noscript template iframe button selec
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul title".split()
 )
+#: Share of the article lines, or of all lines of a page without one, above which a neighbour is a copy.
+COPY, WHOLE_COPY = 0.5, 0.8
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id or role that mark what is not main text (fixed values).
 HINTS = frozenset(
@@ -127,16 +129,25 @@ def common_lines(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
 
 
 def main_text(own: list[tuple[str, bool, bool]], shared: list[set[int]]) -> str:
-    """The page's text: its blocks without those that neighbours share or markup leaves out."""
-    has_article = any(inside and not out for _, inside, out in own)
-    if has_article:
-        return "\n".join(text for text, inside, out in own if inside and not out)
+    """The page's text: its blocks without those that neighbours share; then markup has its say.
+
+    ``shared`` has a set of places for each neighbour.  A neighbour with over ``COPY`` of the
+    article lines is a copy, whose article lines say nothing; a page without an article
+    element is compared as a whole.  Blocks outside the article stay only if a neighbour
+    might have shown them to be template.
+    """
     free = [i for i, (_, _, out) in enumerate(own) if not out]
-    size = sum(len(own[i][0]) for i in free)
+    article = [i for i in free if own[i][1]]
+    limit, judged = (COPY, article) if article else (WHOLE_COPY, free)
+    size = sum(len(own[i][0]) for i in judged)
     template: set[int] = set()
     for places in shared:
-        if sum(len(own[i][0]) for i in free if i in places) <= 0.8 * size:  # else a copy of the page
+        if sum(len(own[i][0]) for i in judged if i in places) <= limit * size:
             template |= places
+        elif article:
+            template |= places.difference(article)
+    if article and not shared:
+        free = article
     return "\n".join(own[i][0] for i in free if i not in template)
 
 

@@ -394,6 +394,17 @@ def test_html(spark):
     assert html_extract.extract(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def test_html_shared_lines_decide(spark):
+    """A notice inside the article goes, a lead outside stays, copies keep their article."""
+    own = ["<p>First words of one", "<p>Quite other words of two", "<p>Third text, as long as the others"]
+    rows = [(i, f"http://h/a/{i}", f"<p>Slogan<p>Lead {i}<article><p>Read our notice{text}</article>") for i, text in enumerate(own)]
+    rows += [(i, f"http://k/{i}", "<p>Slogan<article><p>A copy of<p>one text</article>") for i in (10, 11)]
+    rows += [(20, "http://l/", "<p>Slogan<article><p>Alone</article>")]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    want = {i: f"Lead {i}\n{text[3:]}" for i, text in enumerate(own)} | {10: "A copy of\none text", 11: "A copy of\none text", 20: "Alone"}
+    assert got == want
+
+
 def test_common_lines():
     rng = random.Random(4)
     for _ in range(100):

@@ -70,6 +70,17 @@ def equal_to_first(df: DataFrame, group: str, id: str, words: str) -> DataFrame:
     return sets.join(firsts, [group, "w"]).where(F.col(id) > F.col("a")).select("a", F.col(id).alias("b"))
 
 
+def title_classes(df: DataFrame, group: str, id: str, words: str, threshold: float = 0.8) -> DataFrame:
+    """id, group, class_id, links for each row: the first row of its equal sets, and with how
+    many other classes :func:`similar_pairs` pairs that.  An empty set is a class of its own.
+    """
+    pairs = similar_pairs(df, group, id, words, threshold)
+    degrees = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+    members = equal_to_first(df, group, id, words).select(F.col("b").alias(id), F.col("a").alias("class_id"))
+    out = df.select(id, group).join(members, id, "left").withColumn("class_id", F.coalesce("class_id", id)).join(degrees, "class_id", "left")
+    return out.select(id, group, "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 def greedy_drops(edges: DataFrame) -> DataFrame:
     """id of what goes, from edges (a earlier than b): a column ``b`` of distinct ids."""
     edges = cut_lineage(edges.select("a", "b").distinct())

@@ -198,6 +198,12 @@ SOURCES = {
     ),
     "duplicate_report": (lambda v: dedup.duplicate_report(v.articles, ["symbol", "url"], "symbol"), f"{A} select symbol, count(*) as total, count(distinct url) as new, count(*) - count(distinct url) as duplicates from articles group by 1"),
     "near_duplicates": (lambda v: dedup.similar_pairs(v.articles.withColumn("w", dedup.title_words(text.title_of(F.col("text")))), "symbol", "article_id", "w"), f"{_PAIRS} select symbol, a, b, {r('similarity')} from q"),
+    "near_duplicate_classes": (
+        lambda v: dedup.title_classes(v.articles.withColumn("w", dedup.title_words(text.title_of(F.col("text")))), "symbol", "article_id", "w"),
+        f"""{_PAIRS}, e as (select w.article_id, w.symbol, coalesce(f.first, w.article_id) as class_id from w left join f on w.symbol = f.symbol and w.w = f.w),
+        d as (select id, count(*) as links from (select a as id from q union all select b as id from q) group by 1)
+        select article_id, symbol, class_id, coalesce(links, 0)::bigint as links from e left join d on id = class_id""",
+    ),
     "near_duplicates_kept": (lambda v: dedup.dedupe_similar_titles(v.articles, "symbol", "article_id", text.title_of(F.col("text"))).select("article_id"), None),
     "dedupe_url_or_title": (lambda v: dedup.dedupe_url_or_title(v.articles, "symbol", "article_id", "url", text.title_of(F.col("text"))).select("article_id"), None),
     "score_distinct": (

@@ -185,6 +185,13 @@ def test_greedy_titles(spark):
     assert sorted(r["id"] for r in kept.collect()) == [1, 2, 3, 5, 7]
 
 
+def test_title_classes(spark):
+    rows = [(1, "a b c d e f g h i j"), (2, "j i h g f e d c b a"), (3, "a b c d e f g h i j k"), (4, "x y"), (5, "y x"), (6, ""), (7, "")]
+    df = spark.createDataFrame([(i, "S", t) for i, t in rows], "id long, symbol string, t string")
+    got = dedup.title_classes(df.withColumn("w", dedup.title_words(F.col("t"))), "symbol", "id", "w").collect()
+    assert sorted(map(tuple, got)) == [(1, "S", 1, 1), (2, "S", 1, 1), (3, "S", 3, 1), (4, "S", 4, 0), (5, "S", 4, 0), (6, "S", 6, 0), (7, "S", 7, 0)]
+
+
 def test_greedy_matches_a_loop(spark):
     rng = random.Random(7)
     edges = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)})

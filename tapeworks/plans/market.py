@@ -122,7 +122,7 @@ def _predict(v: Views, kind: str, **how) -> DataFrame:
 
 def _importance(v: Views) -> DataFrame:
     train, _, names = _model_parts(v)
-    return model.feature_importance(v.spark, model.train_model(train, names, rounds=20, depth=5), names)
+    return model.feature_importance(v.spark, model.train_model(train, names), names)
 
 
 def _stream_bars(v: Views) -> DataFrame:
@@ -327,8 +327,8 @@ SOURCES = {
         None,
     ),
     "prediction_documents": (lambda v: backtest.prediction_document(signals(v).groupBy("symbol").agg(F.max_by("prediction", T).alias("prediction"), F.lit(1.0).alias("confidence")), backtest.risk_metrics(backtest.equity_curve(signals(v)))), None),
-    "train_forest": (lambda v: _predict(v, "random_forest", rounds=20, depth=5), None),
-    "train_boosted": (lambda v: _predict(v, "boosted", rounds=3, depth=3), None),
+    "train_forest": (lambda v: _predict(v, "random_forest"), None),
+    "train_boosted": (lambda v: _predict(v, "boosted"), None),
     "feature_importance": (_importance, None),
     "stream_bars": (
         _stream_bars,

@@ -2,6 +2,7 @@
 
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -257,6 +258,18 @@ def test_models(walk, spark, tmp_path):
     assert model.feature_importance(spark, fitted, names, 3).count() == 3
 
 
+def test_registered_models_are_whole(monkeypatch):
+    from tapeworks.plans import market
+
+    how = []
+    monkeypatch.setattr(market, "_model_parts", lambda v: (None, None, ["x"]))
+    monkeypatch.setattr(model, "train_model", lambda train, names, kind="random_forest", rounds=100, depth=None: how.append((kind, rounds, depth)) or 1 / 0)
+    for name in ("train_forest", "train_boosted", "feature_importance"):
+        with pytest.raises(ZeroDivisionError):
+            market.SOURCES[name][0](SimpleNamespace(spark=None))
+    assert how == [("random_forest", 100, None), ("boosted", 100, None), ("random_forest", 100, None)]
+
+
 def test_plans(walk):
     _, df = walk
     plan = indicators.bollinger(indicators.averages(df))._jdf.queryExecution().executedPlan().toString()

@@ -125,8 +125,8 @@ def _importance(v: Views) -> DataFrame:
     return model.feature_importance(v.spark, model.train_model(train, names), names)
 
 
-def _stream_bars(v: Views) -> DataFrame:
-    """Bars by a stream over the events, run to its end, and the open hours from the batch."""
+def _streamed(v: Views) -> DataFrame:
+    """Bars by a stream over the events, run to its end: the hours that its watermark has closed."""
     import uuid
 
     root = f"{v.spark.conf.get('spark.checkpoint.dir', None) or v.spark.sparkContext.getCheckpointDir() or _temporary(v)}/stream-{uuid.uuid4().hex}"
@@ -134,7 +134,20 @@ def _stream_bars(v: Views) -> DataFrame:
     source = v.spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{v.sf_dir}/events*")
     ticks = source.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") + 100).alias("price"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("size"))
     streams.drain(streams.stream_bars(ticks), f"{root}/out", f"{root}/check")
-    return v.spark.read.parquet(f"{root}/out").where(F.col(T) < F.lit("2024-01-30").cast("timestamp"))
+    return v.spark.read.parquet(f"{root}/out")
+
+
+def _stream_bars(v: Views) -> DataFrame:
+    """Streamed bars of the days before the last."""
+    return _streamed(v).where(F.col(T) < F.lit("2024-01-30").cast("timestamp"))
+
+
+def _stream_bars_all(v: Views) -> DataFrame:
+    """Streamed bars, and the hours still open at the watermark from the batch."""
+    closed = _streamed(v)
+    last = closed.agg(F.max(T).alias("last"))
+    still_open = v.bars_hour.crossJoin(F.broadcast(last)).where(F.col("last").isNull() | (F.col(T) > F.col("last")))
+    return closed.unionByName(still_open.select(*closed.columns))
 
 
 def _temporary(v: Views) -> str:
@@ -334,6 +347,7 @@ SOURCES = {
         _stream_bars,
         f"{B} select symbol, {TS}, {r('open')}, {r('high')}, {r('low')}, {r('close')}, volume, trade_count from bars_hour where price_timestamp < timestamp '2024-01-30'",
     ),
+    "stream_bars_all": (_stream_bars_all, f"{B} select symbol, {TS}, {r('open')}, {r('high')}, {r('low')}, {r('close')}, volume, trade_count from bars_hour"),
 }
 
 

@@ -92,6 +92,12 @@ def _enriched(v: Views) -> DataFrame:
 _ENRICHED = f"{A}, e as (select article_id, symbol, source, substring(text, 1, 120) as text, case when article_id % 3 = 0 then substring(text, 1, 300) end as extracted from articles), x as (select *, coalesce(length(text), 0) as la, coalesce(length(extracted), 0) as lb from e)"
 
 
+def _enriched_whole(v: Views) -> DataFrame:
+    """Whole articles with the text extracted from the page of their number, null where there is none."""
+    found = _pages_text(v).select(F.col("page_id").alias("article_id"), F.col("text").alias("extracted"))
+    return text.enrich(v.articles.join(found, "article_id", "left"))
+
+
 def _pages_text(v: Views) -> DataFrame:
     """page_id and the text that extraction finds."""
     return v.table("pages").repartition(8).select("page_id", "url", chunks.extract_article(F.col("html")).alias("text"))
@@ -165,6 +171,8 @@ SOURCES = {
         lambda v: _enriched(v).select("article_id", F.length("full_text").cast("long").alias("n"), "extraction_successful", "enhancement_ratio"),
         f"{_ENRICHED} select article_id, cast(case when lb > la then la + 1 + lb else la end as bigint) as n, lb > 100 as extraction_successful, round(100.0::double * lb / greatest(1, la), 1) as enhancement_ratio from x",
     ),
+    "enrich_articles_whole": (lambda v: _enriched_whole(v).select("article_id", F.length("full_text").cast("long").alias("n"), "extraction_successful", "enhancement_ratio"), None),
+    "enhancement_stats_whole": (lambda v: articles.enhancement_stats(_enriched_whole(v)), None),
     "title_score": (
         lambda v: v.articles.select("article_id", sentiment.title_score(text.title_of(F.col("text"))).alias("score")),
         f"{A}, t as (select article_id, lower({_TITLE}) as t from articles) select article_id, {r(f'case when abs({_TITLE_SCORE}) >= 0.1 then {_TITLE_SCORE} else {_TITLE_WEAK} end', 'score')} from t",

@@ -258,6 +258,25 @@ def test_models(walk, spark, tmp_path):
     assert model.feature_importance(spark, fitted, names, 3).count() == 3
 
 
+def test_whole_articles_are_enriched(spark, tmp_path):
+    from tapeworks import plans
+
+    long = "word " * 200
+    spark.createDataFrame([(1, long, "s", 1000), (2, long, "s", 1000)], "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "http://h/1", f"<article><p>{'page ' * 300}</p></article>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["article_id"]: (r["n"], r["extraction_successful"]) for r in plans.queries()["enrich_articles_whole"](spark, str(tmp_path)).collect()}
+    assert got[1][0] > 2000 and got[1][1] and got[2] == (len(long), False)
+
+
+def test_stream_bars_have_every_hour(spark, tmp_path):
+    from tapeworks import plans
+
+    rows = [(i, "a", datetime(2024, 1, 29, 20) + timedelta(hours=i), float(i), '{"k": 3}') for i in range(40)]
+    df = spark.createDataFrame(rows, "event_id long, event_type string, ts timestamp, value double, props string")
+    df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    assert plans.queries()["stream_bars_all"](spark, str(tmp_path)).count() == 40
+
+
 def test_registered_models_are_whole(monkeypatch):
     from tapeworks.plans import market
 

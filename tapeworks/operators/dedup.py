@@ -112,14 +112,20 @@ def dedupe_similar_titles(df: DataFrame, group: str, id: str, title: Column, thr
 def dedupe_url_or_title(df: DataFrame, group: str, id: str, url: str, title: Column) -> DataFrame:
     """Rows whose URL and title (if not empty) equal no earlier row's of the group that stays."""
     rows = df.select(group, id, F.explode(F.array(F.struct(F.lit("u").alias("k"), F.col(url).alias("v")), F.struct(F.lit("t").alias("k"), F.lower(title).alias("v")))).alias("x"))
-    rows = rows.select(group, id, "x.k", "x.v").where(F.coalesce(F.col("v"), F.lit("")) != "")
-    # within one equal value the rows follow each other: of each, the value's next row is an edge
-    later = F.lead(id).over(Window.partitionBy(group, "k", "v").orderBy(id))
-    chain = rows.withColumn("b", later).where("b is not null").select(F.col(id).alias("a"), "b")
-    first = rows.groupBy(group, "k", "v").agg(F.min(id).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    star = rows.join(first, [group, "k", "v"]).where(F.col(id) > F.col("a")).select("a", F.col(id).alias("b"))
-    gone = greedy_drops(star.union(chain).distinct())
-    return df.join(gone.select(F.col("b").alias(id)), id, "left_anti")
+    rows = rows.select(id, F.struct(group, "x.k", "x.v").alias("value")).where(F.coalesce(F.col("value.v"), F.lit("")) != "").distinct()
+    many = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value")
+    left, drops = cut_lineage(rows.join(many, "value", "left_semi")), []
+    while not left.isEmpty():
+        # what is first of all its values stays, and then takes these values from all others
+        firsts = left.groupBy("value").agg(F.min(id).alias("first"))
+        stays = left.join(firsts, "value").groupBy(id).agg(F.max(F.col(id) > F.col("first")).alias("later")).where("not later").select(id)
+        stays = cut_lineage(stays)
+        taken = left.join(stays, id, "left_semi").select("value").distinct()
+        drops.append(cut_lineage(left.join(taken, "value", "left_semi").select(id).distinct().join(stays, id, "left_anti")))
+        left = cut_lineage(left.join(stays, id, "left_anti").join(drops[-1], id, "left_anti"))
+    for gone in drops:
+        df = df.join(gone, id, "left_anti")
+    return df
 
 
 def score_distinct(df: DataFrame, text: str, score) -> DataFrame:

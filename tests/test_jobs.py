@@ -186,6 +186,21 @@ def test_greedy_titles(spark):
     assert sorted(r["id"] for r in kept.collect()) == [1, 2, 3, 5, 7]
 
 
+def test_url_or_title_matches_a_loop(spark):
+    rng = random.Random(5)
+    rows = [(0, "S", "u0", "z"), (1, "S", "u0", "t"), (2, "S", "u2", "t"), (3, "S", "u3", "t"), (4, "S", "u4", "t")]
+    rows += [(i, rng.choice(["A", "B", None]), rng.choice(["", None, *(f"u{k}" for k in range(20))]), rng.choice(["", *(f"T{k}" for k in range(20))])) for i in range(10, 200)]
+    taken, kept = set(), []
+    for i, group, url, title in rows:
+        values = {(group, k, v) for k, v in (("u", url), ("t", title.lower())) if v}
+        if not values & taken:
+            kept.append(i)
+            taken |= values
+    df = spark.createDataFrame(rows, "id long, symbol string, url string, title string")
+    got = dedup.dedupe_url_or_title(df, "symbol", "id", "url", F.col("title")).collect()
+    assert sorted(r["id"] for r in got) == kept and 4 not in kept
+
+
 def test_title_classes(spark):
     rows = [(1, "a b c d e f g h i j"), (2, "j i h g f e d c b a"), (3, "a b c d e f g h i j k"), (4, "x y"), (5, "y x"), (6, ""), (7, "")]
     df = spark.createDataFrame([(i, "S", t) for i, t in rows], "id long, symbol string, t string")

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, small_batches, utf8
+from .common import batch_of, bounded_batches, utf8
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Words whose ids a worker remembers at most.
@@ -121,7 +121,7 @@ _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha
 
 
 def _input(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession, 200)
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step looks at; bounds a worker's memory.
 SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch, and rows of short keys that may be broadcast.
+BATCH_BYTES, BROADCAST_ROWS = 4 << 20, 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,9 +39,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Limit Arrow batches: texts are long, and a batch must fit a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches by bytes: texts are long, and a batch must fit a worker.
+
+    Every operator sets the same value, so queries that wait to be run see no change.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def size_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (short keys, written already) to be broadcast if it has ``rows`` rows at most; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, small_batches
+from .common import batch_of, bounded_batches
 
 #: Elements whose text is never main text, and those that end a block (fixed values).
 SKIPPED = frozenset("nav footer aside form noscript template iframe button select option textarea label svg menu dialog head title object canvas video audio figure-ad".split())
@@ -193,7 +193,7 @@ def extract(pages: DataFrame) -> DataFrame:
     cuts hosts into ranges of paths, so a host of any size is dealt to many tasks; at a
     range's end a page is compared with one neighbour.
     """
-    small_batches(pages.sparkSession, 200)
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)

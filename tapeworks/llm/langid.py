@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, slices, small_batches, utf8
+from .common import batch_of, slices, bounded_batches, utf8
 
 #: Bound of the sample that trains: about so many labelled rows a language.
 TRAIN_ROWS = 2000
@@ -103,7 +103,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, classes: int = CLASSES) -> Mo
     there are fewer.  What reaches the driver is the counts of this sample.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     docs = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     totals = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
@@ -167,7 +167,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     no model; repeated rows get equal answers; a null doc_id stays null, not held out.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     held = spark.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 

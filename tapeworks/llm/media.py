@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, small_batches, utf8
+from .common import batch_of, bounded_batches, utf8
 
 RATE, FRAME, HOP, REACH = 8000, 256, 128, 3
 #: Bins 1..128 of the spectrum in bands (fixed values).
@@ -82,7 +82,7 @@ def _features(media: bytes) -> tuple:
 
 def write_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media, the WAV file of each row's text in UTF-8 (null: empty)."""
-    small_batches(docs.sparkSession, 200)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,8 +9,9 @@ over ``r`` is discarded, and survivors are verified bit by bit.
 Distances to random pivots lie close together, so they discard pairs but do not find
 them.  Pairs are therefore met by sections: the 64 bits are cut into six, and of two
 fingerprints within 4 bits two sections at least are equal (4 differences spoil 4 sections
-at most), so each fingerprint is dealt under the 15 pairs of its sections.  Inside such a
-bucket only the edges of a spanning forest are given out, never all pairs.
+at most), so each fingerprint is dealt under the 15 pairs of its sections.  More rows take
+more and finer sections (seven by threes, eight by fours), so buckets stay small.  Inside
+a bucket only the edges of a spanning forest are given out, never all pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, batch_of, small_batches, utf8
+from .common import batch_of, bounded_batches, cut_lineage, size_checked, utf8
 
 SEED, RADIUS, PIVOTS = 42, 4, 16
 _REFERENCES = np.random.default_rng(2024).integers(0, 2**63, PIVOTS, dtype=np.uint64) * np.uint64(2) + np.random.default_rng(2025).integers(0, 2, PIVOTS, dtype=np.uint64)
@@ -62,30 +63,39 @@ def _fingerprints(n: int):
 
 def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) for each row; no words: 0."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
-def _sections(radius: int) -> list[np.ndarray]:
-    """Masks of the 64 bits cut into ``radius + 2`` sections."""
-    cuts = np.linspace(0, 64, radius + 3).round().astype(int)
-    return [np.uint64((1 << int(b)) - (1 << int(a))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+def _sections(radius: int, equal: int) -> list[np.uint64]:
+    """Masks of each ``equal`` of the 64 bits' ``radius + equal`` sections."""
+    cuts = np.linspace(0, 64, radius + equal + 1).round().astype(int)
+    masks = [np.uint64((1 << int(b)) - (1 << int(a))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [np.bitwise_or.reduce(x) for x in combinations(masks, equal)]
+
+
+def equal_sections(rows: int, radius: int) -> int:
+    """How many sections make a key that tells ``rows`` fingerprints apart."""
+    equal = 2
+    while equal < 5 and 64 * equal // (radius + equal) < np.log2(max(rows, 2)) - 4:
+        equal += 1
+    return equal
 
 
 def _pivot_table(prints: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints[:, None] ^ _REFERENCES[None, :]).astype(np.uint8)
 
 
-def _deal(radius: int):
-    masks = _sections(radius)
+def _deal(radius: int, equal: int):
+    masks = _sections(radius, equal)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.asarray(batch.column("fp")).view(np.uint64)
             table = pa.array([row.tobytes() for row in _pivot_table(prints)], pa.binary())
-            for i, (p, q) in enumerate(combinations(range(len(masks)), 2)):
-                key = (prints & (masks[p] | masks[q])) * np.uint64(0x9E3779B97F4A7C15)
+            for i, mask in enumerate(masks):
+                key = (prints & mask) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(32)
                 key = key * np.uint64(2 * i + 1) + np.uint64(i)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("fp"), table], schema=_DEALT)
@@ -159,9 +169,8 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     ``prints``: one column fp of distinct fingerprints.
     """
-    spark = prints.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    dealt = prints.select("fp").mapInArrow(_deal(radius), "bucket long, fp long, pivots binary")
+    equal = equal_sections(prints.count(), radius)
+    dealt = prints.select("fp").mapInArrow(_deal(radius, equal), "bucket long, fp long, pivots binary")
     buckets = dealt.repartition("bucket").sortWithinPartitions("bucket", "fp")
     return buckets.mapInArrow(_bucket_edges(radius), "a long, b long").distinct()
 
@@ -208,7 +217,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = RADIUS) ->
     if not 0 <= radius <= 8:
         raise ValueError("radius must be from 0 to 8")
     prints = cut_lineage(fingerprints(docs, shingle))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(nodes, radius))
     nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -217,156 +226,152 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = RADIUS) ->
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-LANES, TABLES, KEY_BITS, SIMILARITY = 4, 128, 18, 0.8
-#: Bits above the expected distance at which a pair is still a candidate (two deviations).
-SLACK = 14
+LANES, SIMILARITY = 4, 0.8
+#: Texts meet under ``BANDS`` keys of ``ROWS`` least shingle hashes each.
+BANDS, ROWS = 28, 5
+#: Standard deviations above the expected number of differing bits at which a pair is still looked at.
+DEVIATIONS = 4.5
+#: Sets of fewer shingles are compared whatever their bits, which say little about them.
+SMALL_SET = 32
 #: Links of one text that one task looks up at most.
 LINKS_A_TASK = 1000
-#: Times that each group tries one link to another before what is left is compared in full.
-ROUNDS = 1
 #: Members of a family that meet in one block at least and at most, and the blocks it has before they grow.
 BLOCK, LARGEST_BLOCK, BLOCKS = 256, 2048, 32
 #: Shingles that one step of a comparison of two blocks counts.
 COLUMNS = 4096
+_WIDE_REFERENCES = np.random.default_rng(2026).integers(0, 2**63, (PIVOTS, LANES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(7).integers(0, 2**31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Bytes of a packed text before its shingles: fingerprint and pivot distances.
+_HEAD = LANES * 8 + PIVOTS * 2
 
 
 def shingle_set(text: bytes, n: int) -> np.ndarray:
     """Sorted hashes of the distinct ``n``-word shingles of ``text``; fewer words are one shingle."""
     words = text.lower().split()
     n = max(1, min(n, len(words)))
-    shingles = [b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] or [b""]
-    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles], np.uint64))
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words] or [1]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(starts) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)], np.uint64))
+
 
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys, each made of the least of the set's hashes under ``ROWS`` orders.
 
-def wide_node(hashes: np.ndarray) -> bytes:
-    """SimHash of ``LANES * 64`` bits of a shingle set, then 8 bytes that tell sets apart."""
+    Two sets of Jaccard similarity s share a key with probability s ** ROWS; of pairs at
+    0.8 all but 1 in 60,000 share one of 28.
+    """
+    low, small = np.full(BANDS * ROWS, 2**32 - 1, np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
+    for first in range(0, len(small), 4096):
+        low = np.minimum(low, (small[None, first : first + 4096] * _FACTORS).min(axis=1))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in low.reshape(BANDS, ROWS).T.astype(np.uint64):
+        keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+def wide_print(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of ``LANES * 64`` bits of a shingle set."""
     lanes = []
     for i in range(LANES):
         mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * i * 0x632BE5A6)
         mixed ^= mixed >> np.uint64(32)
         bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         lanes.append(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little"))
-    return np.concatenate(lanes).tobytes() + xxhash.xxh64_digest(hashes.tobytes(), SEED)
+    return np.concatenate(lanes).view(np.uint64)
 
 
-def _wide_prints(n: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary())])
+def packed(hashes: np.ndarray) -> bytes:
+    """Fingerprint, its distances to the reference fingerprints, and the shingle set."""
+    fp = wide_print(hashes)
+    pivots = np.bitwise_count(_WIDE_REFERENCES ^ fp).sum(axis=1, dtype=np.int16)
+    return fp.tobytes() + pivots.tobytes() + hashes.tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch_of(schema, batch.column("doc_id"), [wide_node(shingle_set(t, n)) for t in utf8(batch.column("text"))])
 
-    return run
+def _unpacked(rows: list) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Fingerprints, pivot distances and shingle sets of packed texts."""
+    heads = np.frombuffer(b"".join(bytes(x[:_HEAD]) for x in rows), np.uint8).reshape(len(rows), _HEAD)
+    return np.ascontiguousarray(heads[:, : LANES * 8]).view(np.uint64), np.ascontiguousarray(heads[:, LANES * 8 :]).view(np.int16), [np.frombuffer(x, np.uint64, offset=_HEAD) for x in rows]
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits of two texts of that Jaccard similarity, ``DEVIATIONS`` above the mean."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(LANES * 64 * share + DEVIATIONS * np.sqrt(LANES * 64 * share * (1 - share)))
+
+
+def _within(x: tuple, y: tuple, limit: int) -> np.ndarray:
+    """Which pairs the fingerprints leave: by the largest difference of pivot distances, then by bits."""
+    left = np.abs(x[1] - y[1]).max(axis=-1) <= limit
+    at = np.nonzero(left)
+    prints = [np.broadcast_to(z[0], left.shape + (LANES,)) for z in (x, y)]
+    left[at] = np.bitwise_count(prints[0][at] ^ prints[1][at]).sum(axis=-1, dtype=np.int64) <= limit
+    return left
+
 
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
-def _wide_sets(n: int):
-    schema = pa.schema([("node", pa.binary()), ("shingles", pa.binary())])
 
+def _signatures(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in utf8(batch.column("text")):
-                hashes = shingle_set(text, n)
-                yield batch_of(schema, [wide_node(hashes)], [np.unique(hashes.astype(np.uint32)).tobytes()])
+            sets = [shingle_set(t, n) for t in utf8(batch.column("text"))]
+            keys = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, np.concatenate([band_keys(x) for x in sets] or [np.zeros(0, np.int64)]))
+            yield batch_of(_SIGNED, batch.column("doc_id"), [xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in sets], keys)
 
     return run
 
 
-def _similar(similarity: float):
-    """Of rows (a, b, of_a, of_b), the pairs a, b whose sets have the Jaccard similarity."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+def _packed_texts(n: int):
+    schema = pa.schema([("digest", pa.binary()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("of_a"), batch.column("of_b"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
-                keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
-            kept = pa.array(keep, pa.bool_())
-            yield batch_of(schema, batch.column("a").filter(kept), batch.column("b").filter(kept))
+            sets = [shingle_set(t, n) for t in utf8(batch.column("text"))]
+            yield batch_of(schema, [xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in sets], [packed(x) for x in sets])
 
     return run
 
 
-def _wide_deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint under the keys of all tables; a key is ``KEY_BITS`` fixed bits."""
-    schema = pa.schema([("bucket", pa.int64()), ("fp", pa.binary())])
-    picks = np.stack([np.random.default_rng(i).permutation(LANES * 64)[:KEY_BITS] for i in range(TABLES)])
-    for batch in batches:
-        column = batch.column("fp")
-        for a in range(0, len(column), 1000):
-            part = column.slice(a, 1000)
-            bits = np.unpackbits(np.frombuffer(b"".join(part.to_pylist()), np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
-            for i, pick in enumerate(picks):
-                key = bits[:, pick].astype(np.int64) @ (1 << np.arange(KEY_BITS))
-                yield batch_of(schema, key * TABLES + i, part)
-
-
-def _wide_edges(limit: int):
-    """Spanning edges within each bucket; rows come sorted by bucket."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("bits", pa.int32())])
-
-    def of(prints: list[bytes]) -> list[tuple[bytes, bytes, int]]:
-        table = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
-        edges, left = [], np.arange(len(prints))
-        while len(left):
-            stack, left = [left[0]], left[1:]
-            while stack and len(left):
-                i = stack.pop()
-                bits = np.bitwise_count(table[left] ^ table[i]).sum(axis=1, dtype=np.int64)
-                near = bits <= limit
-                edges += [(prints[i], prints[j], d) for j, d in zip(left[near].tolist(), bits[near].tolist(), strict=True)]
-                stack += left[near].tolist()
-                left = left[~near]
-        return edges
+def _compared(similarity: float):
+    """Of rows (a, b, of_a, of_b) those that may be of one family, and whether they are linked.
+
+    A pair is discarded by pivot distances, then by bits, at the least similarity of two
+    texts that are both like a third one; what is left is compared by its sets.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
+    limit = most_bits(max(2 * similarity - 1, 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, prints, edges = None, [], []
         for batch in batches:
-            for key, fp in zip(batch.column("bucket").to_pylist(), batch.column("fp").to_pylist(), strict=True):
-                if key != bucket:
-                    if len(prints) > 1:
-                        edges += of(prints)
-                    bucket, prints = key, []
-                prints.append(fp)
-            if edges:
-                yield batch_of(schema, *zip(*edges, strict=True))
-                edges = []
-        if len(prints) > 1 and (edges := of(prints)):
-            yield batch_of(schema, *zip(*edges, strict=True))
+            if not batch.num_rows:
+                continue
+            x, y = (_unpacked([v.as_buffer() for v in batch.column(c)]) for c in ("of_a", "of_b"))
+            small = np.array([min(len(s), len(t)) < SMALL_SET for s, t in zip(x[2], y[2], strict=True)])
+            near = np.flatnonzero(small | _within(x, y, limit))
+            linked = []
+            for i in near.tolist():
+                s, t = x[2][i], y[2][i]
+                common = len(np.intersect1d(s, t, assume_unique=True)) if min(len(s), len(t)) >= similarity * max(len(s), len(t)) - 1e-9 else 0
+                linked.append(common > 0 and common >= similarity * (len(s) + len(t) - common) - 1e-9)
+            yield batch_of(schema, batch.column("a").take(pa.array(near)), batch.column("b").take(pa.array(near)), linked)
 
     return run
 
 
-def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The edges (a, b) whose shingle sets reach ``similarity``.
+def _looked_up(edges: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """a, b, linked of the edges (a, b) that may be of one family; ``texts`` has node, packed.
 
     A text with many links is looked up in parts of ``LINKS_A_TASK`` links, each with its
-    own copy of the set, so no task holds all links of one text.
+    own copy of the text, so no task holds all links of one text.
     """
     parts = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LINKS_A_TASK).cast("int").alias("parts"))
-    copies = sets.join(parts, sets.node == parts.a).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("of_a"))
+    copies = texts.join(parts, texts.node == parts.a).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("packed").alias("of_a"))
     keyed = edges.join(parts, "a").select("a", "b", F.pmod(F.hash("b"), F.col("parts")).alias("part"))
-    pairs = keyed.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b").join(copies, ["a", "part"])
-    return cut_lineage(pairs.select("a", "b", "of_a", "of_b").mapInArrow(_similar(similarity), "a binary, b binary"))
-
-
-def _rooted(edges: DataFrame, roots: DataFrame, side: str) -> DataFrame:
-    named = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-    return edges.join(named, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-
-
-def _apart(edges: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
-    """The edges not in ``tried`` whose ends are in different groups of ``found``, with both groups."""
-    roots = components(found)
-    rooted = _rooted(_rooted(edges.join(tried, ["a", "b"], "left_anti"), roots, "a"), roots, "b")
-    return rooted.where("root_a <> root_b")
-
-
-def _link_of_each_group(apart: DataFrame) -> DataFrame:
-    """The edge (a, b) of fewest differing bits of each group that has edges in ``apart``."""
-    ends = apart.select(F.explode(F.array("root_a", "root_b")).alias("root"), F.struct("bits", "a", "b").alias("link"))
-    return ends.groupBy("root").agg(F.min("link").alias("link")).select("link.a", "link.b").distinct()
+    pairs = keyed.join(texts.select(F.col("node").alias("b"), F.col("packed").alias("of_b")), "b").join(copies, ["a", "part"])
+    return cut_lineage(pairs.select("a", "b", "of_a", "of_b").mapInArrow(_compared(similarity), "a long, b long, linked boolean"))
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -392,99 +397,100 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _joined(similarity: float):
-    """Links (a, b) that connect the groups of two blocks of a family; every pair is compared."""
+    """Links (a, b) between the groups of two blocks of a family.
+
+    Pivot distances and bits discard pairs; the sets of the rest are counted together.
+    """
+    limit = most_bits(similarity)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         _, p, q = (x.as_py() for x in key)
-        nodes, block = table.column("node").to_pylist(), np.asarray(table.column("block"))
-        sets = [np.frombuffer(x, np.uint32) for x in table.column("shingles").to_pylist()]
-        _, group = np.unique(np.array([x.hex() for x in table.column("group").to_pylist()], str), return_inverse=True)
+        node, group, block = (np.asarray(table.column(c)) for c in ("node", "group", "block"))
+        prints, pivots, sets = _unpacked(table.column("packed").to_pylist())
+        size = np.array([len(s) for s in sets], np.float64)
         x, y = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        a, b = [], []
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(x) and len(y):
-            size = np.array([len(s) for s in sets], np.float64)
-            common = _overlaps([sets[i] for i in x], [sets[i] for i in y])
-            like = common >= similarity * (size[x][:, None] + size[y][None, :] - common) - 1e-9
-            i, j = np.nonzero(like & (group[x][:, None] != group[y][None, :]))
-            # one link of two groups is enough
-            _, at = np.unique(np.stack([np.minimum(group[x[i]], group[y[j]]), np.maximum(group[x[i]], group[y[j]])]), axis=1, return_index=True)
-            a, b = [nodes[k] for k in x[i[at]]], [nodes[k] for k in y[j[at]]]
-        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            apart = group[x][:, None] != group[y][None, :]
+            near = np.zeros(apart.shape, bool)
+            for i, k in enumerate(x.tolist()):
+                near[i] = (np.minimum(size[k], size[y]) < SMALL_SET) | _within((prints[k][None, :], pivots[k][None, :]), (prints[y], pivots[y]), limit)
+            near &= apart
+            rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+            if len(rows):
+                x, y, near = x[rows], y[columns], near[np.ix_(rows, columns)]
+                common = _overlaps([sets[i] for i in x], [sets[i] for i in y])
+                like = near & (common > 0) & (common >= similarity * (size[x][:, None] + size[y][None, :] - common) - 1e-9)
+                i, j = np.nonzero(like)
+                # one link of two groups is enough
+                _, at = np.unique(np.stack([np.minimum(group[x[i]], group[y[j]]), np.maximum(group[x[i]], group[y[j]])]), axis=1, return_index=True)
+                a, b = node[x[i[at]]], node[y[j[at]]]
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _linked_in_families(edges: DataFrame, found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links between the groups of ``found`` within each family, a component of candidates.
+def _linked_in_families(seen: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links between the groups within each family, a component of the pairs looked at.
 
-    A bucket's spanning edges connect a family, but where one of them is no link, two members that are one
-    may never have been a candidate.  So families that ``found`` leaves in several groups are
-    compared in full: members are dealt to blocks, and each two blocks meet in a task.
+    A bucket's texts are looked at against one of them only.  Where not all of a
+    family are linked that way, its largest group is the core and the others
+    are outsiders: they are dealt to blocks, and each block of outsiders meets each block of
+    the family in a task.  Pairs inside the core are never looked at.
     """
-    families = components(edges.select("a", "b")).select(F.col("node").alias("of"), F.col("root").alias("family"))
+    families = components(seen.select("a", "b")).select(F.col("node").alias("of"), F.col("root").alias("family"))
     families = families.union(families.select("family", "family").distinct())
-    groups = components(found).select("node", F.col("root").alias("group"))
-    members = cut_lineage(families.join(groups, families.of == groups.node, "left").select("family", F.col("of").alias("node"), F.coalesce("group", "of").alias("group")))
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
-    size = F.greatest(F.lit(BLOCK), F.least(F.lit(LARGEST_BLOCK), F.ceil(F.col("n") / BLOCKS)))
-    rest = members.join(sizes.select("family", F.ceil(F.col("n") / size).cast("int").alias("blocks")), "family")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node")
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = rest.select("family", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "group", "shingles")
-    return cut_lineage(pairs.groupBy("family", "p", "q").applyInArrow(_joined(similarity), "a binary, b binary"))
+    groups = components(seen.where("linked").select("a", "b")).select(F.col("node").alias("in_group"), F.col("root").alias("group"))
+    members = cut_lineage(families.join(groups, families.of == groups.in_group, "left").select("family", F.col("of").alias("node"), F.coalesce("group", "of").alias("group")))
+    counts = members.groupBy("family", "group").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("family").agg(F.sum("n").alias("n"), F.max(F.struct("n", "group")).alias("core"))
+    sizes = sizes.where("n > 2 and n > core.n").select("family", F.col("core.group").alias("core"), F.col("core.n").alias("n_core"), "n")
+    block = F.greatest(F.lit(BLOCK), F.least(F.lit(LARGEST_BLOCK), F.ceil(F.col("n") / BLOCKS)))
+    sizes = sizes.select("family", "core", F.ceil((F.col("n") - F.col("n_core")) / block).cast("int").alias("outer"), F.ceil(F.col("n_core") / block).cast("int").alias("inner"))
+    rest = members.join(sizes, "family").withColumn("is_core", F.col("group") == F.col("core")).withColumn("turn", F.xxhash64("node"))
+    rest = rest.withColumn("block", F.when(F.col("is_core"), F.col("outer") + F.pmod("turn", "inner")).otherwise(F.pmod("turn", "outer")).cast("int"))
+    rest = rest.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outer") - 1 + F.when(F.col("is_core"), 0).otherwise(F.col("inner")))))
+    pairs = rest.select("family", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "group", "packed")
+    return cut_lineage(pairs.groupBy("family", "p", "q").applyInArrow(_joined(similarity), "a long, b long"))
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id: groups of texts linked by a Jaccard similarity of ``similarity``.
 
     Texts with a Jaccard similarity of 0.8 differ in 15 % of their SimHash bits, so 64 bits
-    within 4 miss most of them.  Here fingerprints have 256 bits, and pairs are candidates
-    where they differ in the share that the similarity implies, ``SLACK`` bits more at most.
-    They meet in tables keyed by fixed bits: a pair that differs in 15 % of its bits meets
-    in all but 1 of 1,000 cases, one that differs in 20 % in 9 of 10.  Pivot distances discard nothing at such a radius and are
-    left out.  Candidates are then verified on the shingle sets themselves (as 32-bit
-    hashes): first the closest link of each text, then (``ROUNDS`` times) the closest of each group that
-    still has candidates in others.  Texts that candidates connect but links do not are then compared in full.
-    Texts with equal sets are one node, so copies are never compared with each other.
+    within 4 miss most of them, and sections of the bits that such pairs share are too
+    short to tell texts apart.  Here pairs meet by least shingle hashes (:func:`band_keys`); each text
+    is looked at against one text of each bucket, and families that this leaves in several
+    groups are compared block by block.  A pair is discarded by the largest difference of its
+    fingerprints' distances to the reference fingerprints, then by the bits of the 256-bit fingerprints
+    themselves, and verified on the shingle sets.  Texts with equal sets are
+    one node, so copies are never compared with each other.
     Null and empty texts are one group; component_id is the smallest doc_id of a group
     (null if none has one); repeated rows are members each.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    cosine = 2 * similarity / (1 + similarity)
-    limit = int(LANES * 64 * np.arccos(cosine) / np.pi) + SLACK
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = cut_lineage(docs.mapInArrow(_wide_prints(shingle), "doc_id long, fp binary"))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    prints256 = nodes.groupBy(F.substring("fp", 1, LANES * 8).alias("fp256")).agg(F.min("fp").alias("rep"))
-    dealt = prints256.select(F.col("fp256").alias("fp")).mapInArrow(_wide_deal, "bucket long, fp binary")
-    buckets = dealt.repartition("bucket").sortWithinPartitions("bucket", "fp")
-    edges = buckets.mapInArrow(_wide_edges(limit), "a binary, b binary, bits int").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits").distinct()
-    for side in ("a", "b"):  # one node of each fingerprint stands for it ...
-        edges = edges.join(prints256.select(F.col("fp256").alias(side), F.col("rep").alias(f"rep_{side}")), side)
-    equal = nodes.join(prints256, F.substring(nodes.fp, 1, LANES * 8) == prints256.fp256).where("fp <> rep")
-    # ... and is a candidate with the other sets that have the same fingerprint
-    edges = edges.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), "bits")
-    edges = cut_lineage(edges.union(equal.select("rep", "fp", F.lit(0))))
-
-    small_batches(spark, 100)
-    ends = edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "end")
-    named = nodes.join(ends, nodes.fp == ends.end, "left_semi").select(F.col("first").alias("of_id")).distinct()
-    texts = docs.join(named, docs.doc_id.eqNullSafe(named.of_id), "left_semi")
-    sets = cut_lineage(texts.mapInArrow(_wide_sets(shingle), "node binary, shingles binary").dropDuplicates(["node"]))
-    tried = cut_lineage(edges.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("link")).select("link.a", "b"))
-    found = _verified(tried, sets, similarity)
-    for _ in range(ROUNDS):
-        picked = cut_lineage(_link_of_each_group(_apart(edges, found, tried)))
-        tried, found = tried.union(picked), found.union(_verified(picked, sets, similarity))
-    found = found.union(_linked_in_families(edges, found, sets, similarity))
-
-    roots = components(found)
-    nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    prints = cut_lineage(docs.mapInArrow(_signatures(shingle), "doc_id long, digest binary, keys array<long>"))
+    nodes = prints.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"))
+    nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()))
+    dealt = nodes.select(F.explode("keys").alias("key"), "node")
+    shared = dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
+    edges = dealt.join(shared, "key").where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    edges = cut_lineage(edges.distinct())
+
+    ends = edges.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+    named = cut_lineage(nodes.join(ends, nodes.node == ends.end, "left_semi").select("node", "first", F.col("digest").alias("of_digest")))
+    of_ids = size_checked(cut_lineage(named.select(F.col("first").alias("of_id")).distinct()))
+    texts = docs.join(of_ids, docs.doc_id.eqNullSafe(of_ids.of_id), "left_semi").mapInArrow(_packed_texts(shingle), "digest binary, packed binary")
+    texts = cut_lineage(texts.join(named, texts.digest == named.of_digest).select("node", "packed").dropDuplicates(["node"]))
+    seen = _looked_up(edges, texts, similarity)
+    found = seen.where("linked").select("a", "b").union(_linked_in_families(seen, texts, similarity))
+
+    roots = components(found).withColumnRenamed("node", "in_root")
+    nodes = nodes.join(roots, nodes.node == roots.in_root, "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
     least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = nodes.join(least, "root").select(F.col("fp").alias("group_fp"), "component_id")
-    return prints.join(groups, prints.fp == groups.group_fp).select("doc_id", "component_id")
+    groups = nodes.join(least, "root").select(F.col("digest").alias("group_digest"), "component_id")
+    return prints.join(groups, prints.digest == groups.group_digest).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -493,5 +499,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY)
     Rows with a null doc_id are kept only where no member of their group has one.
     """
     groups = similar_groups(docs, shingle, similarity)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(first, docs.doc_id.eqNullSafe(first.first_id), "left_semi")
+    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = groups.groupBy(F.col("doc_id").alias("gone_id")).agg(stays.alias("stays")).where("not stays").select("gone_id")
+    gone = size_checked(cut_lineage(gone))
+    return docs.join(gone, docs.doc_id.eqNullSafe(gone.gone_id), "left_anti")

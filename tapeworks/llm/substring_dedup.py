@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, row_key, slices, small_batches, utf8
+from .common import batch_of, row_key, slices, bounded_batches, utf8
 
 WINDOW, MINIMISER, HOT, LONGEST_RUN = 35, 8, 1000, 256
 
@@ -252,7 +252,7 @@ def remove_repeated_windows(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER
     ``k`` words loses none; an empty table gives an empty one; repeated rows are copies of
     each other and lose their windows; a null doc_id stays null.
     """
-    small_batches(docs.sparkSession, 200)
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("h"), F.col("text").cast("string").alias("text"))
     counts = docs.select("text").mapInArrow(_minimiser_counts(k, m), _ddl(_COUNT)).groupBy("mini").agg(F.sum("n").alias("n")).where("n > 1")
     places = docs.mapInArrow(_minimiser_places(k, m), _ddl(_PLACE)).join(counts, "mini")

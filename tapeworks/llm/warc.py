@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, cut_lineage, shared_dir, small_batches
+from .common import batch_of, cut_lineage, shared_dir, bounded_batches
 
 CHUNK = 256 * 1024
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -79,7 +79,7 @@ def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
 
     A file for each partition that has rows.
     """
-    small_batches(chunks.sparkSession, 100)
+    bounded_batches(chunks.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, own, count, zipped = None, "", "", 0, None

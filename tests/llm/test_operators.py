@@ -314,11 +314,13 @@ def test_near_copies_among_siblings(make_docs):
 
 def test_hot_text_is_looked_up_in_parts(spark, monkeypatch):
     monkeypatch.setattr(simhash, "LINKS_A_TASK", 3)
-    sets = {bytes([i]): np.arange(i, i + 20, dtype=np.uint32).tobytes() for i in range(12)}
-    edges = spark.createDataFrame([(bytearray([0]), bytearray([i])) for i in range(1, 12)], "a binary, b binary")
-    table = spark.createDataFrame([(bytearray(k), bytearray(v)) for k, v in sets.items()], "node binary, shingles binary")
-    got = simhash._verified(edges, table, 0.8).collect()
-    assert sorted(r["b"][0] for r in got) == [1, 2]  # 19 of 21 and 18 of 22 are shared
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    sets = {i: np.sort(hashes[i : i + 20]) for i in range(12)}
+    edges = spark.createDataFrame([(0, i) for i in range(1, 12)], "a long, b long")
+    table = spark.createDataFrame([(k, bytearray(simhash.packed(v))) for k, v in sets.items()], "node long, packed binary")
+    got = simhash._looked_up(edges, table, 0.8).where("linked").collect()
+    assert sorted(r["b"] for r in got) == [1, 2]  # 19 of 21 and 18 of 22 are shared
 
 
 def test_components(spark):

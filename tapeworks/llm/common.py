@@ -79,5 +79,3 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def row_key(text: str = "text") -> Column:
-    return F.xxhash64(F.col(text))

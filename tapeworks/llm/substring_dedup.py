@@ -9,20 +9,22 @@ Steps, each a Spark job over all rows:
 
 1. count the places of minimisers (long integers only) and keep those found at two or
    more: a window that repeats has such a minimiser, so nothing is lost;
-2. find the places of these minimisers, gathered by document, and cut the packed strings
-   from the texts;
-3. sort each bucket and count.  Minimisers met more often than ``hot`` times have no
-   bucket: their windows are strings of their own, and equal ones are added up before
-   and after they move, so a frequent passage never meets in one task;
-4. bring the verdicts back by string, then by document.
-
-Hashes only route.  Windows are compared by their words.
+2. find the places of these minimisers, gathered by text, and cut the packed strings
+   from the texts; of equal texts one speaks for all;
+3. sort each bucket and count; the verdicts go back to the texts as ranges of windows.
+   Minimisers met more often than ``hot`` times have no bucket: their windows are strings
+   of their own, and equal ones are added up before and after they move, so a frequent
+   passage never meets in one task.
+
+Windows are compared by their words.  Texts, and windows without a bucket on their way
+back, are named by 128-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, row_key, slices, bounded_batches, utf8
+from .common import SLICE_BYTES, batch_of, bounded_batches, slices, utf8
 
 WINDOW, MINIMISER, HOT, LONGEST_RUN = 35, 8, 1000, 256
 
@@ -125,13 +127,17 @@ def repeated_ranges(strings: list[bytes], counts: list[int], k: int) -> list[lis
 
 
 _COUNT = pa.schema([("mini", pa.int64()), ("n", pa.int64())])
-_PLACE = pa.schema([("mini", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("at", pa.int32()), ("n_win", pa.int32())])
-_STRING = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("at", pa.int32()), ("bucket", pa.int64()), ("string", pa.binary())])
-_FOUND = pa.schema([("bucket", pa.int64()), ("string", pa.binary()), ("offsets", pa.list_(pa.int32()))])
+_PLACE = pa.schema([("mini", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("at", pa.int32()), ("n_win", pa.int32())])
+_STRING = pa.schema([("bucket", pa.int64()), ("string", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64()), ("at", pa.int32()), ("copies", pa.int32())])
+_WINDOW = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("string", pa.binary()), ("copies", pa.int32())])
+_STARTS = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int32())])
+_FOUND = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int32()), ("last", pa.int32())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
+
+
 def _ddl(schema: pa.Schema) -> str:
-    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string", pa.list_(pa.int32()): "array<int>"}
+    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string"}
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
@@ -154,68 +160,104 @@ def _minimiser_places(k: int, m: int):
             texts = utf8(batch.column("text"))
             for a, b in slices(texts):
                 mini, owner, at, n, _ = super_kmers(texts[a:b], k, m)
-                ids, keys = (batch.column(c).slice(a, b - a).take(pa.array(owner, pa.int64())) for c in ("doc_id", "h"))
-                yield pa.RecordBatch.from_arrays([pa.array(mini, pa.int64()), ids, keys, pa.array(at, pa.int32()), pa.array(n, pa.int32())], schema=_PLACE)
+                keys = (batch.column(c).slice(a, b - a).take(pa.array(owner, pa.int64())) for c in ("h1", "h2"))
+                yield batch_of(_PLACE, mini, *keys, at, n)
+
+    return run
+
+
+def _spoken(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Joined words, where they start, the text's keys and copies, and its places, row by row."""
+    keys = [batch.column(c).to_pylist() for c in ("h1", "h2", "copies")]
+    lists = batch.column("places")
+    flat, cuts = lists.flatten(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+    at, n_win = (np.asarray(flat.field(c)) for c in ("at", "n_win"))
+    bucket, cold = np.asarray(flat.field("bucket").fill_null(0)), np.asarray(flat.field("bucket").is_valid())
+    for i, text in enumerate(utf8(batch.column("text"))):
+        words = text.split()
+        starts = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words]))).tolist()
+        own = slice(cuts[i], cuts[i + 1])
+        yield b" ".join(words), starts, [c[i] for c in keys], (at[own], n_win[own], bucket[own], cold[own])
+
+
+def _packed_strings(k: int):
+    """Rows of the runs that have a bucket, each a string of all words that its windows cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [[] for _ in _STRING], 0
+            for joined, starts, (h1, h2, copies), (at, n_win, bucket, cold) in _spoken(batch):
+                for a, n, key in zip(at[cold].tolist(), n_win[cold].tolist(), bucket[cold].tolist(), strict=True):
+                    string = joined[starts[a] : starts[a + n + k - 1] - 1]
+                    held += len(string)
+                    for column, x in zip(rows, (key, string, h1, h2, a, copies), strict=True):
+                        column.append(x)
+                if held > SLICE_BYTES:
+                    yield batch_of(_STRING, *rows)
+                    rows, held = [[] for _ in _STRING], 0
+            yield batch_of(_STRING, *rows)
 
     return run
 
 
-def _packed_strings(k: int, cold: bool, hot: bool):
+def _single_windows(k: int, schema: pa.Schema):
+    """Rows of the windows without a bucket: with their words to be counted, or with their text's keys to be told."""
+    count = schema is _WINDOW
+    digest = xxhash.xxh64_intdigest
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in enumerate(utf8(batch.column("text"))):
-                doc, h = batch.column("doc_id")[i].as_py(), batch.column("h")[i].as_py()
-                words, rows = text.split(), ([], [], [])
-                for place in batch.column("places")[i].as_py():
-                    at, n, mini = place["at"], place["n_win"], place["bucket"]
-                    if mini is not None and cold:
-                        for column, x in zip(rows, (at, mini, b" ".join(words[at : at + n + k - 1])), strict=True):
-                            column.append(x)
-                    elif mini is None and hot:
-                        for j in range(at, at + n):
-                            window = b" ".join(words[j : j + k])
-                            for column, x in zip(rows, (j, xxhash.xxh64_intdigest(window, 1) - 2**63, window), strict=True):
-                                column.append(x)
-                for a in range(0, len(rows[0]), 5000):
-                    size = len(rows[0][a : a + 5000])
-                    yield batch_of(_STRING, [doc] * size, [h] * size, *(c[a : a + 5000] for c in rows))
+            rows = [[] for _ in schema]
+            for joined, starts, (h1, h2, copies), (at, n_win, _, cold) in _spoken(batch):
+                for a, n in zip(at[~cold].tolist(), n_win[~cold].tolist(), strict=True):
+                    windows = [joined[starts[j] : starts[j + k] - 1] for j in range(a, a + n)]
+                    rows[0] += [digest(w, 1) - 2**63 for w in windows]
+                    rows[1] += [digest(w, 2) - 2**63 for w in windows]
+                    for column, x in zip(rows[2:], (windows, [copies] * n) if count else ([h1] * n, [h2] * n, range(a, a + n)), strict=True):
+                        column += x
+                    if len(rows[0]) > 5000:
+                        yield batch_of(schema, *rows)
+                        rows = [[] for _ in schema]
+            yield batch_of(schema, *rows)
 
     return run
 
 
+def _ranges(offsets: list[int]) -> list[tuple[int, int]]:
+    """Numbers as ranges (first, last)."""
+    at = np.sort(offsets)
+    heads = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))
+    return list(zip(at[heads].tolist(), at[np.append(heads[1:], len(at)) - 1].tolist(), strict=True))
+
+
 def _sorted_buckets(k: int):
-    """Counts the windows of each bucket; the rows come sorted by bucket."""
+    """Counts the windows of each bucket; the rows come sorted by bucket and string.
+
+    A bucket has no more strings than its minimiser has places, so it is bounded.
+    """
 
-    def flush(bucket: int, strings: list[bytes], counts: list[int]) -> Iterator[pa.RecordBatch]:
-        if len(strings) == 1 and counts[0] > 1:
-            found = [list(range(strings[0].count(b" ") + 2 - k))]
-        else:
-            found = repeated_ranges(strings, counts, k)
-        hits = [i for i, x in enumerate(found) if x]
-        if hits:
-            yield batch_of(_FOUND, [bucket] * len(hits), [strings[i] for i in hits], [found[i] for i in hits])
+    def flush(strings: dict[bytes, list], rows: list[list]) -> None:
+        counts = [sum(owners.values()) for owners in strings.values()]
+        for owners, offsets in zip(strings.values(), repeated_ranges(list(strings), counts, k), strict=True):
+            for first, last in _ranges(offsets) if offsets else ():
+                for h1, h2, at in owners:
+                    for column, x in zip(rows, (h1, h2, at + first, at + last), strict=True):
+                        column.append(x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, strings, counts, ready, held = None, [], [], [], 0
+        bucket, strings, rows = None, {}, [[] for _ in _FOUND]
         for batch in batches:
-            for key, string in zip(*(batch.column(c).to_pylist() for c in ("bucket", "string")), strict=True):
+            for key, string, h1, h2, at, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != bucket:
-                    if strings:
-                        ready += flush(bucket, strings, counts)
-                    bucket, strings, counts = key, [], []
-                held += 1
-                if strings and strings[-1] == string:
-                    counts[-1] += 1
-                    continue
-                strings.append(string)
-                counts.append(1)
-                if held >= 5000 and ready:
-                    yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
-                    ready, held = [], 0
-        if strings:
-            ready += flush(bucket, strings, counts)
-        if ready:
-            yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+                    flush(strings, rows)
+                    bucket, strings = key, {}
+                owners = strings.setdefault(string, {})
+                owners[h1, h2, at] = owners.get((h1, h2, at), 0) + copies
+            if len(rows[0]) > 5000:
+                yield batch_of(_FOUND, *rows)
+                rows = [[] for _ in _FOUND]
+        flush(strings, rows)
+        yield batch_of(_FOUND, *rows)
 
     return run
 
@@ -226,17 +268,21 @@ def _without_windows(k: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in schema]
-            for i, text in enumerate(utf8(batch.column("text"))):
-                words = text.split()
-                drop = np.zeros(len(words) + 1, np.int64)
-                for part in batch.column("parts")[i].as_py() or ():
-                    starts = np.asarray(part["offsets"]) + part["at"]
-                    np.add.at(drop, starts, 1)
-                    np.add.at(drop, starts + k, -1)
-                keep = np.cumsum(drop)[:-1] == 0
-                kept = b" ".join(words) if keep.all() else b" ".join(w for w, x in zip(words, keep, strict=True) if x)
-                row = (batch.column("doc_id")[i].as_py(), len(words), int((~keep).sum()), hashlib.sha256(kept).hexdigest() if digest else kept.decode())
-                for column, x in zip(out, row, strict=True):
+            lists = batch.column("ranges")
+            cuts, flat = np.asarray(lists.offsets) - lists.offsets[0].as_py(), lists.flatten()
+            start, last = (np.asarray(flat.field(c)) for c in ("start", "last"))
+            for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True)):
+                words, own, removed = text.split(), slice(cuts[i], cuts[i + 1]), 0
+                if cuts[i + 1] > cuts[i]:
+                    drop = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(drop, start[own], 1)
+                    np.add.at(drop, last[own] + k, -1)
+                    keep = np.cumsum(drop)[:-1] == 0
+                    removed = int((~keep).sum())
+                    kept = b" ".join(compress(words, keep.tolist()))
+                else:
+                    kept = b" ".join(words)
+                for column, x in zip(out, (doc, len(words), removed, hashlib.sha256(kept).hexdigest() if digest else kept.decode()), strict=True):
                     column.append(x)
             yield batch_of(schema, *out)
 
@@ -253,24 +299,25 @@ def remove_repeated_windows(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER
     each other and lose their windows; a null doc_id stays null.
     """
     bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("h"), F.col("text").cast("string").alias("text"))
+    keys = ["h1", "h2"]
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text"))
     counts = docs.select("text").mapInArrow(_minimiser_counts(k, m), _ddl(_COUNT)).groupBy("mini").agg(F.sum("n").alias("n")).where("n > 1")
-    places = docs.mapInArrow(_minimiser_places(k, m), _ddl(_PLACE)).join(counts, "mini")
+    places = docs.select("h1", "h2", "text").mapInArrow(_minimiser_places(k, m), _ddl(_PLACE)).join(counts, "mini")
 
+    # of equal texts one speaks for all
+    speakers = docs.groupBy(*keys).agg(F.min("doc_id").alias("speaker"), F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("copies"))
     bucket = F.when(F.col("n") <= hot, F.col("mini")).alias("bucket")
-    by_doc = places.groupBy("doc_id", "h").agg(F.collect_list(F.struct("at", "n_win", bucket)).alias("places"))
-
-    def with_docs(other: DataFrame, how: str) -> DataFrame:
-        other = other.withColumnRenamed("doc_id", "other_id").withColumnRenamed("h", "other_h")
-        return docs.join(other, docs.doc_id.eqNullSafe(other.other_id) & (docs.h == other.other_h), how).drop("other_id", "other_h")
-
-    def strings(cold: bool, hot: bool) -> DataFrame:
-        return with_docs(by_doc, "inner").mapInArrow(_packed_strings(k, cold, hot), _ddl(_STRING)).withColumn("sid", F.xxhash64("string"))
-
-    cold = strings(True, False).select("bucket", "string").repartition("bucket").sortWithinPartitions("bucket", "string")
-    cold = cold.mapInArrow(_sorted_buckets(k), _ddl(_FOUND)).select("bucket", F.xxhash64("string").alias("sid"), "offsets")
-    single = strings(False, True).groupBy("bucket", "string").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    single = single.select("bucket", F.xxhash64("string").alias("sid"), F.array(F.lit(0)).alias("offsets"))
-    parts = strings(True, True).select("doc_id", "h", "at", "bucket", "sid").join(cold.union(single), ["bucket", "sid"])
-    parts = parts.groupBy("doc_id", "h").agg(F.collect_list(F.struct("at", "offsets")).alias("parts"))
-    return with_docs(parts, "left").mapInArrow(_without_windows(k, digest), _ddl(_DIGEST if digest else _KEPT))
+    by_text = places.groupBy(*keys).agg(F.collect_set(F.struct("at", "n_win", bucket)).alias("places")).join(speakers, keys)
+    spoken = docs.join(by_text, keys).where(F.col("doc_id").eqNullSafe(F.col("speaker"))).select("text", "h1", "h2", "copies", "places")
+    cold = spoken.where(F.exists("places", lambda p: p.bucket.isNotNull()))
+    single = spoken.where(F.exists("places", lambda p: p.bucket.isNull()))
+
+    strings = cold.mapInArrow(_packed_strings(k), _ddl(_STRING)).repartition("bucket").sortWithinPartitions("bucket", "string")
+    found = strings.mapInArrow(_sorted_buckets(k), _ddl(_FOUND))
+    windows = single.mapInArrow(_single_windows(k, _WINDOW), _ddl(_WINDOW)).groupBy("p", "q", "string").agg(F.sum("copies").alias("n")).where("n > 1")
+    starts = single.mapInArrow(_single_windows(k, _STARTS), _ddl(_STARTS)).join(windows.select("p", "q").distinct(), ["p", "q"])
+    found = found.union(starts.select("h1", "h2", "start", F.col("start").alias("last")))
+    ranges = found.groupBy(*keys).agg(F.collect_set(F.struct("start", "last")).alias("ranges"))
+    rows = docs.join(ranges, keys, "left").select("doc_id", "text", F.coalesce("ranges", F.array().cast("array<struct<start:int,last:int>>")).alias("ranges"))
+    return rows.mapInArrow(_without_windows(k, digest), _ddl(_DIGEST if digest else _KEPT))

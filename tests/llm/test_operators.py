@@ -66,6 +66,15 @@ def test_substring_dedup_odd(make_docs, odd_docs):
     assert substring_dedup.remove_repeated_windows(make_docs([])).collect() == []
 
 
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_substring_dedup_of_one_text_many_times(make_docs, hot):
+    """Work grows with the rows, not with their pairs: one id and text 10,000 times, beside other texts that share a passage."""
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, text, "en", "s")] * 10_000 + [(2, "own start " + " ".join(f"w{i}" for i in range(100, 140)) + " own end", "en", "s"), (3, " ".join(f"v{i}" for i in range(100)), "en", "s")]
+    got = Counter(map(tuple, substring_dedup.remove_repeated_windows(make_docs(rows, clash=False), hot=hot).collect()))
+    assert got == Counter({(1, 400, 400, ""): 10_000, (2, 44, 40, "own start own end"): 1, (3, 100, 0, rows[-1][1]): 1})
+
+
 def test_media(make_docs, odd_docs):
     df = make_docs(odd_docs)
     table = media.write_media(df)

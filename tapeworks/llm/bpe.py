@@ -26,7 +26,7 @@ from .common import batch_of, bounded_batches, utf8
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Words whose ids a worker remembers at most.
-REMEMBER = 400_000
+REMEMBER = 100_000
 
 
 def byte_letters() -> list[str]:

@@ -4,9 +4,9 @@ Each language has a byte context tree of orders 0 to 3.  The probability of a by
 from the longest context that was seen with it; each shorter step costs the escape
 probability of the longer context, q / (n + q) for n bytes of q kinds (method C, with
 exclusion).  Statistics are frozen after training, so a byte's exact code length depends
-on itself and the three bytes before it only: the trees are unrolled into one table of code
-lengths and a text is scored by looking up each of its bytes.  The language with the
-shortest code wins.
+on itself and the three bytes before it only.  The trees of all languages share one set of
+hash tables of the byte sequences seen: a sequence has its code length in each language, and
+a context the cost of escaping from it.  The language with the shortest code wins.
 """
 
 from __future__ import annotations
@@ -15,16 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, slices, bounded_batches, utf8
 
-#: Bound of the sample that trains: about so many labelled rows a language.
+#: Bound of the sample that trains: about so many different labelled texts a language.
 TRAIN_ROWS = 2000
-#: Bounds of the table: languages, and byte classes (the most frequent; the rest share one).
-MOST_LANGS, CLASSES, ORDER = 32, 48, 3
+ORDER = 3
+#: Code lengths that one vectorised step holds.
+STEP = 1 << 20
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -67,75 +69,122 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch_of(schema, [lang] * len(gram), gram, n)
 
 
+def _hashed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """An open hash table of distinct 32-bit keys: keys and their places by slot, and the shift."""
+    shift = 31 - int(len(keys)).bit_length()
+    slot = (keys.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(shift)
+    order = np.argsort(slot, kind="stable")
+    at = np.arange(len(keys)) + np.maximum.accumulate(slot[order].astype(np.int64) - np.arange(len(keys)))
+    held, place = np.zeros(max(1 << (32 - shift), int(at[-1]) + 1 if len(at) else 0) + 1, np.uint32), None
+    place = np.full(len(held), -1, np.int32)
+    held[at], place[at] = keys[order], order
+    return held, place, shift
+
+
+def _find(table: tuple[np.ndarray, np.ndarray, int], keys: np.ndarray) -> np.ndarray:
+    """The place of each key, -1 where there is none."""
+    held, place, shift = table
+    slot = ((keys * np.uint32(0x9E3779B1)) >> np.uint32(shift)).astype(np.int64)
+    out = place[slot]
+    left = np.flatnonzero((held[slot] != keys) & (out >= 0))
+    while len(left):
+        slot[left] += 1
+        out[left] = place[slot[left]]
+        left = left[(held[slot[left]] != keys[left]) & (out[left] >= 0)]
+    return out
+
+
 class Model:
-    """Frozen counts of the context trees; the table is built where it is used."""
-
-    def __init__(self, langs: list[str], classes: np.ndarray, grams: np.ndarray, counts: np.ndarray, owners: np.ndarray):
-        self.langs, self.classes, self.grams, self.counts, self.owners = langs, classes, grams, counts, owners
-        self.size = int(classes.max()) + 1
-
-    def _code_lengths(self, lang: int) -> np.ndarray:
-        a = self.size
-        mine = self.owners == lang
-        joint = np.bincount(self.grams[mine], weights=self.counts[mine], minlength=a**4).astype(np.float32).reshape(a, a, a, a)
-        below = np.full(a, 1 / a, np.float32)
-        for order in range(ORDER + 1):
-            n = joint.sum(axis=tuple(range(ORDER - order))) if order < ORDER else joint
-            seen = n > 0
-            total, kinds = n.sum(-1, keepdims=True), seen.sum(-1, keepdims=True).astype(np.float32)
-            lower = np.broadcast_to(below, n.shape)
-            left = 1 - (lower * seen).sum(-1, keepdims=True, dtype=np.float32)
-            escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1) / np.maximum(left, 1e-6)
-            below = np.where(seen, n / np.maximum(total + kinds, 1), lower * escape).astype(np.float32)
-        return -np.log2(np.clip(below, 1e-9, 1)).reshape(-1)
-
-    def table(self) -> np.ndarray:
-        out = np.empty((self.size**4, len(self.langs)), np.float32)
-        for i in range(len(self.langs)):
-            out[:, i] = self._code_lengths(i)
-        return out
+    """Frozen context trees of several languages.
 
+    Level k has the sequences of k + 1 bytes seen in any language: ``bits`` is a
+    sequence's code length of its last byte after the others, ``back`` the cost of escaping from
+    it as a context.  A sequence that no language has seen costs the escape of its
+    context (nothing where the context itself is new) and the code of its last k bytes.
+    """
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS, classes: int = CLASSES) -> Model | None:
-    """Context-tree counts from labelled rows that are not held out; None without such rows.
+    def __init__(self, langs: list[str], grams: np.ndarray, counts: np.ndarray, owners: np.ndarray):
+        self.langs = langs
+        keys = [np.unique(grams)]
+        for k in range(ORDER, 0, -1):
+            keys.insert(0, np.unique(np.concatenate([keys[0] & ((1 << 8 * k) - 1), keys[0] >> 8])))
+        suffix = [np.searchsorted(keys[k - 1], keys[k] & ((1 << 8 * k) - 1)) for k in range(1, ORDER + 1)]
+        context = [np.searchsorted(keys[k - 1], keys[k] >> 8) for k in range(1, ORDER + 1)]
+        self.bits = [np.empty((len(x), len(langs)), np.float32) for x in keys]
+        self.back = [np.zeros((len(x), len(langs)), np.float32) for x in keys[:-1]]
+        self.new_byte = np.empty(len(langs), np.float32)
+        for lang in range(len(langs)):
+            mine = owners == lang
+            seen = [np.bincount(np.searchsorted(keys[-1], grams[mine]), weights=counts[mine], minlength=len(keys[-1]))]
+            for k in range(ORDER, 0, -1):
+                seen.insert(0, np.bincount(suffix[k - 1], weights=seen[0], minlength=len(keys[k - 1])))
+            for k, n in enumerate(seen):
+                of = context[k - 1] if k else np.zeros(len(n), np.int64)
+                size = len(keys[k - 1]) if k else 1
+                lower = self.bits[k - 1][suffix[k - 1], lang].astype(np.float64) if k else np.full(len(n), 8.0)
+                total, kinds, taken = (np.bincount(of, weights=w, minlength=size) for w in (n, n > 0, (n > 0) * np.exp2(-lower)))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    escape = np.where(total > 0, -np.log2(kinds / (total + kinds) / np.maximum(1 - taken, 1e-6)), 0)
+                    own = np.where(n > 0, -np.log2(n / (total + kinds)[of]), escape[of] + lower)
+                self.bits[k][:, lang] = own
+                if k:
+                    self.back[k - 1][:, lang] = escape
+                else:
+                    self.new_byte[lang] = escape[0] + 8
+        self.tables = [_hashed(x) for x in keys]
+
+    def code(self, keys: np.ndarray, level: int = ORDER) -> np.ndarray:
+        """Code length of the last byte of each sequence of ``level`` + 1 bytes, in each language."""
+        at = _find(self.tables[level], keys)
+        out = self.bits[level][at]
+        new = np.flatnonzero(at < 0)
+        if len(new) and level:
+            context = _find(self.tables[level - 1], keys[new] >> np.uint32(8))
+            escape = self.back[level - 1][context]
+            escape[context < 0] = 0
+            out[new] = escape + self.code(keys[new] & np.uint32((1 << 8 * level) - 1), level - 1)
+        elif len(new):
+            out[new] = self.new_byte
+        return out
 
-    About ``rows`` documents of each language are taken by the hash of their doc_id, all if
-    there are fewer.  What reaches the driver is the counts of this sample.
+    def totals(self, texts: list[bytes]) -> np.ndarray:
+        """Code length of each text in each language."""
+        data, starts = _grams(texts)
+        ends = starts + np.array([len(t) for t in texts])
+        d = data.astype(np.uint32)
+        sums = np.zeros((len(texts), len(self.langs)))
+        step = max(4096, STEP // len(self.langs))
+        for first in range(3, len(d), step):
+            last = min(first + step, len(d))
+            key = d[first - 3 : last - 3] << 24 | d[first - 2 : last - 2] << 16 | d[first - 1 : last - 1] << 8 | d[first:last]
+            upto = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.code(key), axis=0, dtype=np.float64)])
+            a, b = np.searchsorted(ends, first, side="right"), np.searchsorted(starts, last, side="left")
+            sums[a:b] += upto[np.clip(ends[a:b] - first, 0, last - first)] - upto[np.clip(starts[a:b] - first, 0, last - first)]
+        return sums
+
+
+def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
+    """Context trees from labelled rows that are not held out; None without such rows.
+
+    About ``rows`` different texts of each language are taken by their hash, all if there
+    are fewer; equal texts of a language count once.  What reaches the driver is one row a
+    language, and the counts of this sample.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    docs = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    totals = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    docs = docs.select(held_out().alias("held"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    docs = docs.where(~F.col("held") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
+    totals = docs.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")).collect()
     if not totals:
         return None
-    rate = F.create_map(*(x for r in totals for x in (F.lit(r["lang"]), F.lit(min(1.0, rows / r["count"])))))
-    docs = docs.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000)) < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0)) * 1_000_000)
+    rates = spark.createDataFrame([(r["lang"], min(1.0, rows / r["texts"])) for r in totals], "lang string, rate double")
+    docs = docs.join(F.broadcast(rates), "lang").where(F.pmod("h", F.lit(1_000_000)) < F.col("rate") * 1_000_000)
+    docs = docs.groupBy("lang", "h", F.xxhash64(F.lit(1), "text").alias("h2")).agg(F.first("text").alias("text"))
     counts = docs.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = counts.toArrow()
+    found = counts.toArrow().combine_chunks()
     langs = sorted(r["lang"] for r in totals)
-    owner = np.array([langs.index(x) for x in found.column("lang").to_pylist()], np.int64)
-    gram, n = (found.column(c).to_numpy() for c in ("gram", "n"))
-    per_byte = np.bincount(gram & 255, weights=n, minlength=256)
-    order = np.argsort(-per_byte, kind="stable")[: classes - 1]
-    order = order[per_byte[order] > 0]
-    to_class = np.full(256, len(order), np.int64)
-    to_class[order] = np.arange(len(order))
-    size = len(order) + 1
-    small = ((to_class[gram >> 24 & 255] * size + to_class[gram >> 16 & 255]) * size + to_class[gram >> 8 & 255]) * size + to_class[gram & 255]
-    key, inverse = np.unique(small * len(langs) + owner, return_inverse=True)
-    counted = np.bincount(inverse, weights=n)
-    return Model(langs, to_class, key // len(langs), counted, key % len(langs))
-
-
-_built: dict = {}
-
-
-def _table(model: Model) -> np.ndarray:
-    """The model's table, built once for a worker."""
-    if _built.get("of") is not model:
-        _built["of"], _built["table"] = model, model.table()
-    return _built["table"]
+    owner = np.asarray(pc.index_in(found.column("lang"), pa.array(langs)), np.int64)
+    return Model(langs, np.asarray(found.column("gram")), np.asarray(found.column("n"), np.float64), owner)
 
 
 def score_texts(model: Model | None, texts: list[bytes]) -> tuple[list[str], list[float]]:
@@ -143,14 +192,8 @@ def score_texts(model: Model | None, texts: list[bytes]) -> tuple[list[str], lis
     langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     if model is None:
         return langs, scores
-    table, size = _table(model), model.size
     for a, b in slices(texts):
-        data, starts = _grams(texts[a:b])
-        sym = model.classes[data].astype(np.int32)
-        at = ((sym[:-3] * size + sym[1:-2]) * size + sym[2:-1]) * size + sym[3:]
-        bits = np.vstack([table[at], np.zeros((4, len(model.langs)), np.float32)])  # row i: byte i + 3
-        ends = starts - 3 + np.array([len(t) for t in texts[a:b]])
-        sums = np.add.reduceat(bits, np.stack([starts - 3, ends], 1).ravel(), axis=0, dtype=np.float64)[0::2]
+        sums = model.totals(texts[a:b])
         best = sums.argmin(axis=1)
         share = 1 / np.exp2(-np.minimum(sums - sums.min(axis=1, keepdims=True), 1000)).sum(axis=1)
         for i in range(a, b):

@@ -149,17 +149,61 @@ def test_language_id(make_docs, odd_docs):
     assert kept.count() == 300 and kept.columns == make_docs(rows).columns
 
 
-def test_code_lengths_are_a_distribution():
-    d = langid._grams([b"abracadabra abra"])[0].astype(np.int64)
+def counted(texts):
+    d = langid._grams(texts)[0].astype(np.int64)
     gram, n = np.unique(d[:-3] << 24 | d[1:-2] << 16 | d[2:-1] << 8 | d[3:], return_counts=True)
-    seen = sorted(set(d.tolist()))
-    classes = np.full(256, len(seen))
-    classes[seen] = range(len(seen))
-    size = len(seen) + 1
-    small = ((classes[gram >> 24] * size + classes[gram >> 16 & 255]) * size + classes[gram >> 8 & 255]) * size + classes[gram & 255]
-    model = langid.Model(["x"], classes, small, n.astype(float), np.zeros(len(n), int))
-    total = (2.0 ** -model.table()[:, 0]).reshape(-1, size).sum(axis=1)
-    assert np.allclose(total, 1, atol=1e-3)
+    return gram, n.astype(float)
+
+
+def brute_probability(data, context, symbol):
+    """PPM by method C with exclusion, counted afresh from the folded bytes ``data`` (three spaces first)."""
+    if context is None:
+        return 1 / 256
+    k = len(context)
+    n = Counter(data[i] for i in range(3, len(data)) if data[i - k : i] == context)
+    lower = lambda s: brute_probability(data, context[1:] if k else None, s)
+    total, kinds = sum(n.values()), len(n)
+    if not total:
+        return lower(symbol)
+    if symbol in n:
+        return n[symbol] / (total + kinds)
+    return kinds / (total + kinds) * lower(symbol) / (1 - sum(map(lower, n)))
+
+
+def test_code_lengths_equal_brute_force():
+    train = ["Abracadabra, abra!".encode(), "Ελλάς 你好 abba".encode()]
+    gram, n = counted(train)
+    model = langid.Model(["x"], gram, n, np.zeros(len(n), int))
+    data = bytes(langid._grams(train)[0])
+    for text in (train[0], train[1], b"cad abra zebra", "λάθος 你们".encode(), b""):
+        folded = b"   " + bytes(langid._grams([text])[0][3:])
+        want = sum(-np.log2(brute_probability(data, folded[i - 3 : i], folded[i])) for i in range(3, len(folded)))
+        assert np.isclose(model.totals([text])[0, 0], want, atol=1e-3)
+    contexts = [data[i : i + 3] for i in range(0, 20)] + [b"zzz", b"xab"]
+    keys = np.array([[int.from_bytes(c + bytes([s]), "big") for s in range(256)] for c in contexts], np.uint32)
+    assert np.allclose(np.exp2(-model.code(keys.ravel())[:, 0].reshape(keys.shape)).sum(axis=1), 1, atol=1e-4)
+
+
+def test_blocks_do_not_change_code_lengths(monkeypatch):
+    texts = [t.encode() for t in invented(40, 3)] + [b"", b"x" * 20_000]
+    gram, n = counted(texts[:20])
+    model = langid.Model(["x", "y"], np.concatenate([gram, gram[::2]]), np.concatenate([n, n[::2]]), np.repeat([0, 1], [len(n), len(n[::2])]))
+    whole = model.totals(texts)
+    monkeypatch.setattr(langid, "STEP", 1)
+    assert np.allclose(model.totals(texts), whole) and np.allclose(np.vstack([model.totals([t]) for t in texts]), whole)
+
+
+def test_many_languages_and_scripts(make_docs):
+    """Forty labelled languages of several scripts are all learned; a language of one text copied many times too."""
+    rng = random.Random(8)
+    alphabets = [[chr(base + rng.randrange(24)) for _ in range(9)] for base in (0x61, 0x3B1, 0x430, 0x5D0, 0x627, 0x905, 0xE01, 0x10D0) for _ in range(5)]
+    text = lambda a: " ".join("".join(rng.choice(a) for _ in range(rng.randrange(2, 7))) for _ in range(60))
+    rows = [(i, text(alphabets[i % 40]), f"l{i % 40:02}", "s") for i in range(1200)] + [(i, "zq qz " * 40, "copied", "s") for i in range(2000, 5000)]
+    df = make_docs(rows, clash=False)
+    model = langid.train(df, rows=20)
+    assert len(model.langs) == 41
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df, model).where("held_out").collect()}
+    assert np.mean([got[d] == lang for d, _, lang, _ in rows if d in got]) > 0.97 and "copied" in got.values()
 
 
 PAGES = "page_id long, url string, html string"

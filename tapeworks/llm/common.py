@@ -79,3 +79,9 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def private(df: DataFrame, name: str) -> str:
+    """A column name that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken or f"{name}_of".lower() in taken:
+        name = f"_{name}"
+    return name

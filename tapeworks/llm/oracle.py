@@ -36,8 +36,12 @@ o as (select *, cap / weight as fill from w),
 v as (select *, (budget - coalesce(sum(cap) over (order by fill, source nulls last rows between unbounded preceding and 1 preceding), 0))
              / sum(weight) over (order by fill, source nulls last rows between current row and unbounded following) as level from o),
 x as (select *, coalesce(min_by(level, fill) filter (level <= fill) over (), 0) as found from v),
-g as (select source, source_size, least(cap, found * weight) as target from x),
-q as (select s.doc_id, s.size, g.source_size, g.target, floor(g.target)::bigint as goal,
+h as (select source, source_size, least(cap, found * weight) as target from x),
+i as (select *, floor(target)::bigint as base, floor(round(sum(target) over (), 3))::bigint - sum(floor(target)::bigint) over () as lacking,
+             case when floor(target) < 2 * source_size then (floor(target) + 1) / target end as next from h),
+g as (select source, source_size, target,
+             base + case when next is not null and row_number() over (order by next nulls last, source nulls last) <= lacking then 1 else 0 end as goal from i),
+q as (select s.doc_id, s.size, g.source_size, g.target, g.goal,
              sum(s.size) over (partition by s.source order by s.turn, s.size rows between unbounded preceding and current row)::bigint as ends
       from s join g on s.source is not distinct from g.source)
 select doc_id, size, source_size, target,

@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_ROWS, cut_lineage, private
+
 RATIO, LEAST_PAGES = 0.02, 5
-#: Parts that each site's pages are dealt to when they meet its boilerplate lines.
-SALT = 16
+#: Pages of a site that meet its boilerplate lines in one part, where these are not broadcast.
+PART_PAGES = 100_000
 
 
 def _keys(text: Column) -> Column:
@@ -21,7 +23,7 @@ def _keys(text: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies: bool = True) -> DataFrame:
-    """site and bad, the keys of its boilerplate lines (under lines a page / ratio of them).
+    """site and key of each boilerplate line (a site has under lines a page / ratio of them).
 
     Without ``copies``, rows of one text on one site are one page.
     """
@@ -33,8 +35,7 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, lea
     totals = pages.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
     counts = lines.groupBy("site", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
     counts = counts.join(totals.withColumnRenamed("site", "t_site"), F.col("site").eqNullSafe(F.col("t_site")))
-    counts = counts.where(F.col("n") > F.col("pages") * F.lit(ratio))
-    return counts.groupBy("site").agg(F.collect_list("key").alias("bad"))
+    return counts.where(F.col("n") > F.col("pages") * F.lit(ratio)).select("site", "key")
 
 
 def remove_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies: bool = True) -> DataFrame:
@@ -45,23 +46,36 @@ def remove_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RAT
     blank line; the null host is one site; repeated rows count as pages each, or without
     ``copies`` as one page where their texts are equal.
     Columns of ``docs`` named like the new ones are replaced.
+
+    A site has no more boilerplate lines than a page has on average, divided by the ratio.  Where all
+    sites have ``BROADCAST_ROWS`` of them at most, they are broadcast and no page moves;
+    else pages meet them by site, a large site's in parts of ``PART_PAGES``.
     """
-    bad = boilerplate(docs, host, ratio, least_pages, copies).withColumnRenamed("site", "__site")
-    bad = bad.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    part = F.pmod(F.xxhash64("text"), F.lit(SALT))
-    rows = docs.join(bad, docs[host].eqNullSafe(F.col("__site")) & (part == F.col("__part")), "left")
+    found = cut_lineage(boilerplate(docs, host, ratio, least_pages, copies))
+    site, large_site, part, bad, kept = (private(docs, c) for c in ("site", "large_site", "part", "bad", "kept"))
+    by_site = found.groupBy(F.col("site").alias(site)).agg(F.collect_list("key").alias(bad))
+    if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        rows = docs.join(F.broadcast(by_site), docs[host].eqNullSafe(by_site[site]), "left")
+    else:
+        parts = docs.groupBy(F.col(host).alias(large_site)).agg(F.ceil(F.count(F.lit(1)) / PART_PAGES).cast("int").alias(part)).where(F.col(part) > 1)
+        large = F.broadcast(cut_lineage(parts))  # one row for PART_PAGES pages at most
+        by_site = by_site.join(large, by_site[site].eqNullSafe(large[large_site]), "left").drop(large_site)
+        by_site = by_site.withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(part, F.lit(1)) - 1)))
+        dealt = docs.join(large, docs[host].eqNullSafe(large[large_site]), "left").drop(large_site)
+        dealt = dealt.withColumn(part, F.pmod(F.xxhash64("text"), F.coalesce(part, F.lit(1))).cast("int"))
+        rows = dealt.join(by_site, dealt[host].eqNullSafe(by_site[site]) & (dealt[part] == by_site[part]), "left").drop(by_site[part])
     lines = F.split(F.col("text"), "\n")
 
     def is_bad(line: Column) -> Column:
         key = F.struct(F.xxhash64(F.trim(line)).alias("p"), F.xxhash64(F.lit(1), F.trim(line)).alias("q"))
-        return F.coalesce((F.trim(line) != "") & F.array_contains(F.col("bad"), key), F.lit(False))
+        return F.coalesce((F.trim(line) != "") & F.array_contains(F.col(bad), key), F.lit(False))
 
-    rows = rows.withColumn("__kept", F.filter(lines, lambda x: ~is_bad(x)))
+    rows = rows.withColumn(kept, F.when(F.col(bad).isNull(), lines).otherwise(F.filter(lines, lambda x: ~is_bad(x))))
     out = rows.withColumns(
         {
-            "kept_text": F.array_join("__kept", "\n"),
+            "kept_text": F.array_join(kept, "\n"),
             "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
-            "n_removed": F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0)).cast("long"),
+            "n_removed": F.coalesce(F.size(lines) - F.size(kept), F.lit(0)).cast("long"),
         }
     )
-    return out.drop("bad", "__site", "__part", "__kept")
+    return out.drop(bad, site, part, kept)

@@ -128,6 +128,21 @@ def test_mixing(make_docs, odd_docs, corpus):
     assert mixing.mixed_documents(make_docs(odd_docs)).columns == make_docs(odd_docs).columns
 
 
+def test_mixed_documents_ship_the_words_taken(make_docs, odd_docs):
+    """Each copy has the words that the mix takes of it, also of repeated ids, and columns that clash stay."""
+    rows = odd_docs + [(50, f" lead {i} " + "some words\n here  " * (5 + i), "en", ("a", "b", "d")[i % 3]) for i in range(12)]
+    df = clashing(make_docs(rows))
+    out = mixing.mixed_documents(df)
+    got, want = Counter(), Counter()
+    for r in out.collect():
+        assert r["n_chars"] == len(r["text"]) and r["times"] == "own times" and r["row"] == "own row"
+        got[r["doc_id"], len(words(r["text"]))] += 1
+        assert any(t is not None and t.startswith(r["text"]) for d, t, *_ in rows if d == r["doc_id"])
+    for r in mixing.mix(df).collect():
+        want[r["doc_id"], r["taken"]] += 1
+    assert out.columns == df.columns and got == want
+
+
 def test_language_id(make_docs, odd_docs):
     rng = random.Random(3)
     parts = {"en": "the and ing th er on at", "de": "der ung ich sch ein äu ß", "fr": "les eau oui é è que"}
@@ -395,9 +410,24 @@ def brute_lines(rows, ratio, least):
     return out
 
 
-def test_line_dedup(make_docs, odd_docs):
+def clashing(df):
+    """``df`` with columns named like those that operators make up."""
+    from pyspark.sql import functions as F
+
+    for name in ("bad", "part", "site", "large_site", "kept", "kept_of", "_kept", "times", "mix_id", "row", "copy", "ends", "copies", "__part", "__site", "gone_id", "first_id"):
+        df = df.withColumn(name, F.lit(f"own {name}"))
+    return df
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_line_dedup(make_docs, odd_docs, monkeypatch, shuffled):
+    if shuffled:
+        monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(line_dedup, "PART_PAGES", 3)
     rows = [(i, f"head line\nown {i}\n{'often' if i % 3 else ' rare %d' % i}\nfoot ", "en", ("a", None)[i % 2]) for i in range(40)] + odd_docs
-    got = line_dedup.remove_boilerplate(make_docs(rows), ratio=0.3, least_pages=4)
+    df = clashing(make_docs(rows))
+    got = line_dedup.remove_boilerplate(df, ratio=0.3, least_pages=4)
+    assert set(got.columns) == {*df.columns, "kept_text", "n_lines", "n_removed"} and got.select("bad", "part", "site", "large_site").distinct().count() == 1
     assert by_id(tuple(r) for r in got.select("doc_id", "kept_text", "n_lines", "n_removed").collect()) == by_id(brute_lines(rows, 0.3, 4))
     assert line_dedup.remove_boilerplate(make_docs([])).collect() == []
 

@@ -2,8 +2,9 @@
 
 A payload is stored as the 8-bit mono samples of a WAV file and read back with the wave
 module.  A short-time Fourier transform of the samples gives a spectrum for each time
-step; the strongest bin of each of a few bands is a peak, and each peak is paired with
-peaks of the next steps.  A pair and its time make one number of an array.
+step.  The strongest bin of each of a few bands is a peak if it stands out: above the
+band's mean and above its neighbours in time, so silence and even noise floors have few.  Each peak
+is paired with the next peaks, and a pair and its time make one number of an array.
 """
 
 from __future__ import annotations
@@ -21,10 +22,14 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, bounded_batches, utf8
 
-RATE, FRAME, HOP, REACH = 8000, 256, 128, 3
+RATE, FRAME, HOP = 8000, 256, 128
+#: Steps ahead, and peaks there, that a peak is paired with at most.
+REACH, FAN = 12, 3
+#: A peak has at least this many times the mean magnitude of its band.
+STANDS_OUT = 1.5
 #: Bins 1..128 of the spectrum in bands (fixed values).
 BANDS = (1, 9, 17, 33, 65, 129)
-_HANN = np.hanning(FRAME).astype(np.float32)
+_HANN = np.hanning(FRAME)
 
 
 def padded(payload: bytes) -> bytes:
@@ -47,27 +52,48 @@ def from_wav(media: bytes) -> bytes:
         return file.readframes(file.getnframes())
 
 
-def peak_pairs(samples: bytes, block: int = 2048) -> np.ndarray:
-    """Time-coded peak pairs: time step << 20 | first bin << 12 | second bin << 4 | steps apart.
+def peaks(samples: bytes, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """Time step and bin of each spectral peak, by time.
 
-    Spectra are taken ``block`` steps at a time, so memory does not grow with the length.
+    Frames of ``FRAME`` samples start every ``HOP``; silence fills up the last one, so
+    every sample is in a frame.  Spectra are taken ``block`` steps at a time, so memory for them does
+    not grow with the length.
     """
-    x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
-    peaks = np.empty((len(frames), len(BANDS) - 1), np.int64)
-    for a in range(0, len(frames), block):
-        power = np.abs(np.fft.rfft(frames[a : a + block] * _HANN, axis=1))
-        power = np.round(power, 3)  # ties go to the lower bin
+    x = np.frombuffer(samples, np.uint8)
+    n = max(1, -(-max(len(x) - FRAME, 0) // HOP) + 1)
+    best, strength, floor = (np.empty((n, len(BANDS) - 1), t) for t in (np.int64, np.float64, np.float64))
+    for a in range(0, n, block):
+        part = x[a * HOP : (a + block - 1) * HOP + FRAME].astype(np.float64) - 128
+        size = min(block, n - a)
+        part = np.pad(part, (0, (size - 1) * HOP + FRAME - len(part)))
+        frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
+        power = np.round(np.abs(np.fft.rfft(frames * _HANN, axis=1)), 3)  # ties go to the lower bin
         for j, (low, high) in enumerate(zip(BANDS[:-1], BANDS[1:], strict=True)):
-            peaks[a : a + block, j] = power[:, low:high].argmax(axis=1) + low
+            band = power[:, low:high]
+            best[a : a + size, j], strength[a : a + size, j], floor[a : a + size, j] = band.argmax(axis=1) + low, band.max(axis=1), band.mean(axis=1)
+    around = np.pad(strength, ((1, 1), (0, 0)), constant_values=-1)
+    stands = (strength > STANDS_OUT * floor) & (strength >= around[:-2]) & (strength > around[2:])
+    time, band = np.nonzero(stands)
+    return time, best[time, band]
+
+
+def peak_pairs(samples: bytes) -> np.ndarray:
+    """Time-coded peak pairs: time step << 20 | first bin << 12 | second bin << 4 | steps apart.
+
+    A peak is paired with the next ``FAN`` later peaks that are up to ``REACH`` steps away.
+    Where no peak has a partner, each stands alone (second bin and steps 0).
+    """
+    time, bins = peaks(samples)
+    first = np.searchsorted(time, time, side="right")  # the first later peak
     codes = []
-    for apart in range(1, min(REACH, len(peaks) - 1) + 1):
-        first, second = peaks[:-apart], peaks[apart:]
-        time = np.arange(len(first))[:, None] << 20
-        codes.append((time | first << 12 | np.roll(second, -1, axis=1) << 4 | apart).ravel())
-    return np.sort(np.concatenate(codes)) if codes else np.sort(peaks[0] << 12)
+    for k in range(FAN):
+        at = first + k
+        near = np.flatnonzero(at < len(time))
+        near = near[time[at[near]] - time[near] <= REACH]
+        second = at[near]
+        codes.append(time[near] << 20 | bins[near] << 12 | bins[second] << 4 | (time[second] - time[near]))
+    found = np.concatenate(codes)
+    return np.sort(found if len(found) else time << 20 | bins << 12).astype(np.int64)
 
 
 _MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])

@@ -20,12 +20,14 @@ BATCH_BYTES, BROADCAST_ROWS = 4 << 20, 500_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) a temporary one is set.
+    Only on one machine (master local, as in tests) a temporary one is set where none is named.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         named = context.getCheckpointDir()
+    if named is None and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if named is None:
         named = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     if context.getCheckpointDir() is None:

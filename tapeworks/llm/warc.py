@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, cut_lineage, shared_dir, bounded_batches
+from .common import SLICE_BYTES, batch_of, bounded_batches, cut_lineage, shared_dir, size_checked
 
 CHUNK = 256 * 1024
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -46,21 +46,40 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     page_id, url, sha1, n_bytes, refers_to, chunk_no, n_chunks, chunk.  Payloads are the html
     in UTF-8 (null: empty).  Of equal payloads of ``least_bytes`` at least, the smallest
     page_id is the response; refers_to names it in the others, whose chunk is empty.
-    A record's chunk rows follow each other in order.
+    A record's chunk rows follow each other in order.  What says which rows are revisits
+    is broadcast if it is small, so payloads move only where it is not.
     """
+    bounded_batches(pages.sparkSession)
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"))
     rows = rows.select("page_id", "url", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("n_bytes"), "payload")
     keys = rows.where(F.col("n_bytes") >= least_bytes).select("page_id", "sha1", "n_bytes")
     firsts = keys.groupBy("sha1", "n_bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").drop("n")
     later = keys.join(firsts, ["sha1", "n_bytes"]).where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
-    later = later.select(F.col("page_id").alias("r_id"), F.col("sha1").alias("r_sha1"), F.col("first").alias("refers_to"))
+    later = size_checked(cut_lineage(later.select(F.col("page_id").alias("r_id"), F.col("sha1").alias("r_sha1"), F.col("first").alias("refers_to"))))
     rows = rows.join(later, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("sha1") == F.col("r_sha1")), "left")
     stored = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b""))
-    rows = rows.withColumn("stored", stored).withColumn("n_chunks", F.greatest(F.lit(1), F.ceil(F.octet_length("stored") / CHUNK)).cast("int"))
-    rows = rows.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-    chunk = F.substring("stored", F.col("chunk_no") * CHUNK + 1, F.lit(CHUNK))
-    return rows.select("page_id", "url", "sha1", "n_bytes", "refers_to", "chunk_no", "n_chunks", chunk.alias("chunk"))
+    rows = rows.select("page_id", "url", "sha1", "n_bytes", "refers_to", stored.alias("stored"))
+    return rows.mapInArrow(_cut_payloads, "page_id long, url string, sha1 string, n_bytes long, refers_to long, chunk_no int, n_chunks int, chunk binary")
+
+
+def _cut_payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunk rows of each payload, no more than a few chunks at a time."""
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("sha1", pa.string()), ("n_bytes", pa.int64()), ("refers_to", pa.int64()), ("chunk_no", pa.int32()), ("n_chunks", pa.int32()), ("chunk", pa.binary())])
+    for batch in batches:
+        rows, held = [[] for _ in schema], 0
+        for *fields, stored in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "sha1", "n_bytes", "refers_to")), (x.as_buffer() for x in batch.column("stored")), strict=True):
+            view = memoryview(stored)
+            last = max(1, -(-len(view) // CHUNK))
+            for number in range(last):
+                chunk = bytes(view[number * CHUNK : (number + 1) * CHUNK])
+                for column, x in zip(rows, (*fields, number, last, chunk), strict=True):
+                    column.append(x)
+                held += len(chunk)
+                if held >= SLICE_BYTES:
+                    yield batch_of(schema, *rows)
+                    rows, held = [[] for _ in schema], 0
+        yield batch_of(schema, *rows)
 
 
 def _header(page_id, url, digest: str, n_bytes: int, refers_to) -> bytes:
@@ -161,6 +180,8 @@ def read_archives(manifest: DataFrame, with_data: bool = True) -> DataFrame:
     digest_so_far (SHA-1 in base32 of the payload up to this chunk) and chunk.
 
     A record without payload has one empty chunk.  Without ``with_data`` chunk is null.
+    payload_bytes are the bytes read so far of a response, the length that the header gives of
+    a revisit.  Raises ValueError where length or digest of a response are not what its header says.
     """
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -170,24 +191,30 @@ def read_archives(manifest: DataFrame, with_data: bool = True) -> DataFrame:
             rows: list[list] = [[] for _ in _CHUNKS]
             held = 0
 
-            def add(fields, number, last, digest, chunk, rows=rows):
+            def add(fields, number, last, digest, size, chunk, rows=rows, path=path):
                 page, ref = fields.get("X-Page-Id"), fields.get("X-Refers-To-Page-Id")
-                row = (page and int(page), fields.get("WARC-Target-URI"), fields["WARC-Record-ID"], fields["WARC-Type"], ref and int(ref), fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"]), number, last, base64.b32encode(digest.digest()).decode(), chunk if with_data else None)
+                header, length, so_far = fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"]), base64.b32encode(digest.digest()).decode()
+                if fields["WARC-Type"] == "revisit":
+                    size = length
+                elif last and (size, so_far) != (length, header):
+                    raise ValueError(f"{fields['WARC-Record-ID']} in {path}: {size} bytes of digest {so_far} were read, the header says {length} of {header}")
+                row = (page and int(page), fields.get("WARC-Target-URI"), fields["WARC-Record-ID"], fields["WARC-Type"], ref and int(ref), header, size, number, last, so_far, chunk if with_data else None)
                 for column, value in zip(rows, row, strict=True):
                     column.append(value)
 
             with fs.open_input_stream(place, compression=None) as file:
                 for member in _members(file, CHUNK):
                     fields, blocks = _record(member)
-                    digest, number, before = hashlib.sha1(), 0, b""
+                    digest, number, size, before = hashlib.sha1(), 0, 0, b""
                     for block in blocks:
                         if number or before:
-                            add(fields, number, False, digest, before)
+                            add(fields, number, False, digest, size, before)
                             held += len(before)
                             number += 1
                         digest.update(block)
+                        size += len(block)
                         before = block
-                    add(fields, number, True, digest, before)
+                    add(fields, number, True, digest, size, before)
                     held += len(before)
                     if held > 1 << 22 or len(rows[0]) >= 2000:
                         yield batch_of(_CHUNKS, *rows)

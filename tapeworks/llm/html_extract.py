@@ -1,8 +1,9 @@
 """Main text of web pages by differencing with the nearest pages of the same host.
 
 Pages are range-sorted by host and URL path, so a page's nearest neighbours by path stand
-next to it.  The text lines of neighbours are aligned by their longest common subsequence;
-a shared line is the site's template, not the page's own, and is deleted.
+next to it; the pages at the ends of each range are also sent to the ranges beside it, so the number
+of ranges changes no result.  The text lines of neighbours are aligned by their longest common
+subsequence; a shared line is the site's template, not the page's own, and is deleted.
 
 Two kinds of lines need more than that.  Pages with copies of one article share its lines
 too, so a neighbour that has most of the lines inside the article element is a copy and
@@ -15,14 +16,17 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, bounded_batches
+from .common import batch_of, bounded_batches, cut_lineage
+
+#: Bits of memory that an alignment of two pages keeps.
+LCS_BITS = 1 << 28
 
 #: Elements whose text is never main text, and those that end a block (fixed values).
 SKIPPED = frozenset("nav footer aside form noscript template iframe button select option textarea label svg menu dialog head title object canvas video audio figure-ad".split())
@@ -36,6 +40,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HINTS = frozenset(
     "ad ads advert advertisement adverts adbox banner sponsor sponsored promo promoted cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar side rail nav navbar navigation menu breadcrumb breadcrumbs footer masthead header topbar toolbar share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond widget pagination pager search login form".split()
 )
+#: Words that make of a class name a state of the page, not a kind of content (fixed values).
+STATES = frozenset("has is no not with without open closed enabled disabled on off active inactive".split())
+#: Kinds of article elements that are no article when they are the whole class name (fixed values).
+NO_ARTICLE = frozenset("ad advert advertisement sponsored promo related comment comments reply".split())
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -45,19 +53,36 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*.?true|displ
 _WORDS = re.compile(r"[a-z]+")
 
 
-def _marked(attributes: str) -> bool:
+def _marked(name: str, attributes: str, inside: bool) -> bool:
+    """Whether class, id or role tell that an element is not main text."""
     if not attributes.strip():
         return False
     if _HIDDEN.search(attributes):
         return True
-    return any(w in HINTS for m in _MARK.finditer(attributes) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
+    for mark in _MARK.finditer(attributes):
+        for kind in (mark[1] or mark[2] or mark[3] or "").lower().split():
+            if name in ("article", "main"):
+                if kind in NO_ARTICLE:
+                    return True
+                continue
+            found = set(_WORDS.findall(kind))
+            if not found & STATES and found & HINTS and not (inside and found & HINTS == {"header"}):
+                return True
+    return False
 
 
 def blocks(page: str) -> list[tuple[str, bool, bool]]:
-    """Text blocks in page order: text, whether inside an article, whether left out by markup."""
+    """Text blocks in page order: text, whether inside an article, whether left out by markup.
+
+    The first article (or main) element is one even inside an element whose class says
+    otherwise.
+    """
     out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool]] = []  # element, whether its text is left out
+    stack: list[tuple[str, int]] = []  # element, how many elements left out were around it
+    opened: dict[str, int] = {}
     inside = skipped = 0
+    by_name = 0  # elements left out by name, not by class
+    met = False
     held: list[str] = []
 
     def end() -> None:
@@ -68,10 +93,11 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
                 out.append((text, inside > 0, skipped > 0))
 
     def pop() -> None:
-        nonlocal inside, skipped
-        name, left_out = stack.pop()
+        nonlocal inside, skipped, by_name
+        name, skipped = stack.pop()
+        opened[name] -= 1
         inside -= name in ("article", "main")
-        skipped -= left_out
+        by_name -= name in SKIPPED
 
     at = 0
     for tag in _TAG.finditer(page):
@@ -86,46 +112,80 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
         if name in BLOCKS:
             end()
         if tag[2]:
-            if any(x == name for x, _ in stack):
+            if opened.get(name):
                 while stack[-1][0] != name:
                     pop()
                 pop()
         elif name not in VOID and not tag[4].endswith("/"):
-            if name in BLOCKS and stack and any(x == "p" for x, _ in stack[-4:]):
+            if name in BLOCKS:
                 while any(x == "p" for x, _ in stack[-4:]):
                     pop()
-            left_out = name in SKIPPED or (name == "header" and not inside) or (name not in ("html", "body") and _marked(tag[4]))
-            stack.append((name, left_out))
+            left_out = name in SKIPPED or (name == "header" and not inside) or (name not in ("html", "body") and _marked(name, tag[4], inside > 0))
+            stack.append((name, skipped))
+            opened[name] = opened.get(name, 0) + 1
+            by_name += name in SKIPPED
+            if left_out:
+                skipped += 1
+            elif name in ("article", "main"):
+                if not met and not by_name:
+                    skipped = 0
+                met = met or not skipped
             inside += name in ("article", "main")
-            skipped += left_out
     if at < len(page):
         held.append(html.unescape(page[at:]))
     end()
     return out
 
 
+def _rows(a: list[int], b: list[int], keep: bool) -> list[int]:
+    """Bit-parallel longest common subsequence: after each of ``a`` (the last one only, unless ``keep``),
+    bit j is 0 where b[: j + 1] has a longer one than b[:j]."""
+    where: dict[int, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row, rows = full, []
+    for x in a:
+        both = row & where.get(x, 0)
+        row = ((row + both) | (row - both)) & full
+        if keep:
+            rows.append(row)
+    return rows if keep else [row]
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of ``a`` and each beginning of ``b``."""
+    (row,) = _rows(a, b, False)
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def _subsequence(a: list[int], b: list[int], i: int = 0, j: int = 0) -> list[tuple[int, int]]:
+    """Places (shifted by ``i`` and ``j``) of a longest common subsequence; memory of ``LCS_BITS`` at most."""
+    if not a or not b:
+        return []
+    if len(a) * len(b) > LCS_BITS and len(a) > 1:
+        half = len(a) // 2
+        cut = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+        return _subsequence(a[:half], b[:cut], i, j) + _subsequence(a[half:], b[cut:], i + half, j + cut)
+    rows, found, x, y = _rows(a, b, True), [], len(a), len(b)
+    while x and y:
+        if a[x - 1] == b[y - 1]:
+            x, y = x - 1, y - 1
+            found.append((i + x, j + y))
+        elif rows[x - 1] >> (y - 1) & 1:
+            y -= 1
+        else:
+            x -= 1
+    return found[::-1]
+
+
 def common_lines(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
     """Places in ``a`` and ``b`` of a longest common subsequence of lines."""
-    where: dict[str, list[int]] = {}
-    for j, line in enumerate(b):
-        where.setdefault(line, []).append(j)
-    tails: list[int] = []
-    nodes: list[tuple] = []
-    for i, line in enumerate(a):
-        for j in reversed(where.get(line, ())):
-            k = bisect_left(tails, j)
-            node = (i, j, nodes[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                nodes.append(node)
-            else:
-                tails[k], nodes[k] = j, node
-    left, right, node = set(), set(), nodes[-1] if nodes else None
-    while node:
-        left.add(node[0])
-        right.add(node[1])
-        node = node[2]
-    return left, right
+    number = {line: i for i, line in enumerate(set(a) & set(b))}
+    left, right = ([i for i, line in enumerate(x) if line in number] for x in (a, b))
+    found = _subsequence([number[a[i]] for i in left], [number[b[j]] for j in right])
+    return {left[i] for i, _ in found}, {right[j] for _, j in found}
 
 
 def main_text(own: list[tuple[str, bool, bool]], shared: list[set[int]]) -> str:
@@ -155,48 +215,65 @@ _TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.st
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages come sorted by host and path; each is held until the next has come."""
-    held = None  # page_id, url, host, blocks, places shared with the page before
+    """Pages come sorted by key; each is held until the next has come.  Guests give out nothing."""
+    held = None  # page_id, url, host, guest, blocks, places shared with the page before
     rows: list[list] = [[] for _ in _TEXT]
 
     def done(page, more: list[set[int]]) -> None:
-        text = main_text(page[3], page[4] + more)
-        for column, value in zip(rows, (page[0], page[1], text, len(text)), strict=True):
-            column.append(value)
+        if page is not None and not page[3]:
+            text = main_text(page[4], page[5] + more)
+            for column, value in zip(rows, (page[0], page[1], text, len(text)), strict=True):
+                column.append(value)
 
     for batch in batches:
-        for page_id, url, host, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "html")), strict=True):
-            own = blocks(page or "")
-            shared: list[set[int]] = []
-            if held is not None:
-                if host and host == held[2]:
-                    before, mine = common_lines([x[0] for x in held[3]], [x[0] for x in own])
-                    done(held, [before])
-                    shared = [mine]
-                else:
-                    done(held, [])
-            held = (page_id, url, host, own, shared)
+        for page_id, url, host, guest, part, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "guest", "part", "html")), strict=True):
+            own, shared, after = blocks(page or ""), [], []
+            if held is not None and host and (part, host) == held[2] and not (guest and held[3]):
+                before, mine = common_lines([x[0] for x in held[4]], [x[0] for x in own])
+                shared, after = [mine], [before]
+            done(held, after)
+            held = (page_id, url, (part, host), guest, own, shared)
         yield batch_of(_TEXT, *rows)
         for column in rows:
             column.clear()
-    if held is not None:
-        done(held, [])
+    done(held, [])
     yield batch_of(_TEXT, *rows)
 
 
+def _ends(keys: DataFrame) -> list[str]:
+    """The last key of each of as many ranges as there are shuffle partitions."""
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = keys.repartitionByRange(n, "key").groupBy(F.spark_partition_id()).agg(F.max("key").alias("key"))
+    return sorted(r["key"] for r in ranges.collect())[:-1]
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of ``pages`` (page_id, url, html).
 
     Null and empty html give an empty text; a null or odd url has no host, hence no
     neighbours; repeated rows are copies, which never count as template; character
-    references are decoded and white space inside a block is one space.  The one shuffle
-    cuts hosts into ranges of paths, so a host of any size is dealt to many tasks; at a
-    range's end a page is compared with one neighbour.
+    references are decoded and white space inside a block is one space.  Hosts are cut
+    into ranges of paths, so a host of any size is dealt to many tasks.  What reaches the driver is one
+    key a range; two pages of each range are copied to the ranges beside it.
     """
     bounded_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-    path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    rows = rows.withColumn("host", host).withColumn("path", path)
-    rows = rows.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return rows.mapInArrow(_difference, "page_id long, url string, text string, n_chars long")
+    url = F.coalesce("url", F.lit(""))
+    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
+    path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    number = F.lpad(F.hex(F.col("page_id").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    rows = rows.withColumn("host", host).withColumn("key", F.concat("host", F.lit("\0"), path, F.lit("\0"), F.coalesce(number, F.lit("")), F.lit("\0"), F.hex(F.xxhash64("html"))))
+    ends = _ends(rows.select("key"))
+    if ends:
+        rows = rows.withColumn("part", F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col("key"))))
+        edges = rows.groupBy("part").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+        order = Window.orderBy("part")  # one row a range
+        edges = edges.select("part", "first", "last", F.lag("part").over(order).alias("before"), F.lead("part").over(order).alias("after"))
+        guests = edges.select(F.col("first").alias("of"), F.col("before").alias("to")).union(edges.select("last", "after")).where("to is not null").distinct()
+        guests = F.broadcast(cut_lineage(guests))  # two rows a range
+        guests = rows.join(guests, rows.key == guests["of"]).dropDuplicates(["key", "to"])
+        rows = rows.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("part", F.col("to")).withColumn("guest", F.lit(True)).drop("of", "to"))
+    else:
+        rows = rows.withColumns({"part": F.lit(0), "guest": F.lit(False)})
+    rows = rows.repartitionByRange(len(ends) + 1, "part").sortWithinPartitions("part", "key", "guest")
+    return rows.select("page_id", "url", "host", "guest", "part", "html").mapInArrow(_difference, "page_id long, url string, text string, n_chars long")

@@ -2,6 +2,7 @@
 
 import base64
 import cmath
+import gzip
 import hashlib
 import math
 import random
@@ -292,6 +293,10 @@ def test_warc(spark, tmp_path):
     assert len(chunks) > 2 and b"".join(bytes(r["chunk"]) for r in chunks) == big.encode()
     assert chunks[0]["digest_so_far"] == base64.b32encode(hashlib.sha1(bytes(chunks[0]["chunk"])).digest()).decode()
     assert warc.digests(warc.archive(spark.createDataFrame([], PAGES), f"file://{tmp_path}/e")).collect() == []
+    for path in (tmp_path / "w").glob("*.warc.gz"):  # a changed byte is found out
+        path.write_bytes(gzip.compress(gzip.decompress(path.read_bytes()).replace(b"x" * 10, b"x" * 9 + b"y")))
+    with pytest.raises(Exception, match="the header says"):
+        warc.digests(manifest).collect()
 
 
 def brute_quality(text):
@@ -538,7 +543,40 @@ def test_html_shared_lines_decide(spark):
     assert got == want
 
 
-def test_common_lines():
+def test_html_is_the_same_at_any_number_of_ranges(spark):
+    """Every page meets both neighbours, wherever ranges are cut; without them the notices would stay."""
+    rows = [(i, f"http://h{i // 40}/{i:03}", f"<p>Slogan<article><p>Notice {i // 2 % 7}<p>" + f"own words of page {i} " * 9 + "</article>") for i in range(120)] + [(500, None, "<p>x")] * 5
+    pages = spark.createDataFrame(rows, PAGES)
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 2, 97):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(Counter((r["page_id"], r["text"]) for r in html_extract.extract(pages).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2] and sum(found[0].values()) == len(rows)
+    assert not any("Slogan" in t or "Notice" in t for _, t in found[0])
+
+
+def test_html_class_names(spark):
+    """States of a page in class names leave the text, kinds of content go."""
+    rows = [
+        (1, "http://a/", "<article class='post comments-open'><p>main one</article>"),
+        (2, "http://b/", "<div class='content has-sidebar'><p>main two</div><div class='sidebar-left'>no</div>"),
+        (3, "http://c/", "<div class='banner'><article><h1>main</h1><div class='entry-header'>three</div><div class='ad-slot'>no</div></article></div><article class='comment'>no</article>"),
+        (4, "http://d/", "<main><p>main four</main><div id=comments><article><p>no</article></div>"),
+        (5, "http://e/", "<div>" * 30_000 + "deep" + "</b>" * 30_000),
+    ]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {1: "main one", 2: "main two", 3: "main\nthree", 4: "main four", 5: "deep"}
+
+
+def test_lines_repeated_in_both_pages_are_aligned_fast():
+    left, right = html_extract.common_lines(["x"] * 20_000 + ["y"], ["x"] * 20_000)
+    assert len(left) == len(right) == 20_000
+
+
+def test_common_lines(monkeypatch):
     rng = random.Random(4)
     for _ in range(100):
         a, b = ([rng.choice("abcd") for _ in range(rng.randrange(9))] for _ in range(2))
@@ -546,6 +584,7 @@ def test_common_lines():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        monkeypatch.setattr(html_extract, "LCS_BITS", rng.choice([1, 9, 1 << 28]))
         left, right = html_extract.common_lines(a, b)
         assert len(left) == len(right) == table[-1][-1]
         assert [a[i] for i in sorted(left)] == [b[j] for j in sorted(right)]

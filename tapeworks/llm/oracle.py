@@ -4,7 +4,7 @@ The white space of words is written as the class ``[\\x20\\x09-\\x0D]``.
 """
 
 from .line_dedup import LEAST_PAGES, RATIO
-from .quality import STOP_WORDS, THRESHOLDS
+from .quality import THRESHOLDS, stop_forms
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -58,7 +58,7 @@ def _sql_rule(count: str, whole: str | None, low: int | None, high: int | None)
     return " and ".join(parts)
 
 
-_STOPS = ", ".join(f"'{w}', '{w.capitalize()}'" for w in dict.fromkeys(STOP_WORDS))
+_STOPS = ", ".join(f"'{w}'" for w in stop_forms())
 _QUALITY = rf"""
 with d as (select doc_id, coalesce(text, '') as text, row_number() over () as rid from documents),
 w as (select *, regexp_extract_all(text, '{_WORD}') as words,
@@ -73,7 +73,7 @@ m as (select doc_id, len(words)::bigint as n_words,
              len(lines)::bigint as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
              coalesce(c.n, 0)::bigint as n_repeat_words,
              (length(text) - length(replace(text, '!', '')))::bigint as n_exclaims,
-             len(list_distinct(list_intersect(words, [{_STOPS}])))::bigint as n_stop_kinds
+             len(list_filter(words, lambda w: w in ({_STOPS})))::bigint as n_stop_words
       from w left join c using (rid)),
 f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
 select *, not base_failed and {" and ".join(_sql_rule(*rule[1:]) for rule in THRESHOLDS)} as kept from f

@@ -26,17 +26,55 @@ THRESHOLDS = (
     ("word_length", "word_chars", "n_words", 200, 1500),
     ("symbols", "n_symbols", "n_words", None, 10),
     ("exclamations", "n_exclaims", "n_words", None, 25),
-    ("stop_words", "n_stop_kinds", None, 2, None),
+    ("stop_words", "n_stop_words", "n_words", 5, None),
     ("repeated_lines", "n_dup_lines", "n_lines", None, 30),
     ("repeated_words", "n_repeat_words", "n_words", None, 50),
 )
 
 
+def stop_forms() -> list[str]:
+    """Stop words as they are written: lower case, capitalised, upper case."""
+    return list(dict.fromkeys(form for w in STOP_WORDS for form in (w, w.capitalize(), w.upper())))
+
+
 def _lacking(text: str, chars: str) -> Column:
     """How many characters of ``text`` are in ``chars``."""
     return (F.length(text) - F.length(F.translate(F.col(text), chars, ""))).cast("long")
 
 
+#: Low bits of a packed window that hold its place; longer texts take the plain way.
+PLACE_BITS = 20
+_PLACE = (1 << PLACE_BITS) - 1
+
+
+def _met_again(rows: Column, key) -> Column:
+    """The elements of sorted ``rows`` whose key a neighbour has too."""
+    same = lambda x, y: F.coalesce(key(x) == key(y), F.lit(False))
+    return F.filter(rows, lambda x, i: same(x, F.get(rows, i - 1)) | same(x, F.get(rows, i + 1)))
+
+
+def _plain_places(hashes: Column) -> Column:
+    """Places of the windows whose hash is met again, by sorting hashes with places."""
+    rows = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return let(rows, lambda r: F.array_sort(_met_again(r, lambda x: x["h"])["i"]))
+
+
+def _packed_places(hashes: Column) -> Column:
+    """The same by sorting single numbers: the hash's high bits and the place.
+
+    Where two different hashes agree in the high bits, null.
+    """
+    high = lambda x: F.shiftright(x, PLACE_BITS)
+    place = lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int")
+    packed = F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long"))))
+
+    def checked(met: Column) -> Column:
+        wrong = lambda x, i: (high(x) == high(F.get(met, i + 1))) & (F.get(hashes, place(x)) != F.get(hashes, place(F.get(met, i + 1))))
+        return F.when(F.size(F.filter(met, lambda x, i: F.coalesce(wrong(x, i), F.lit(False)))) == 0, F.sort_array(F.transform(met, place)))
+
+    return let(let(packed, lambda p: _met_again(p, high)), checked)
+
+
 def repeated_words(words: Column) -> Column:
     """Words inside three-word windows that occur twice or more among ``words``.
 
@@ -47,18 +85,15 @@ def repeated_words(words: Column) -> Column:
     size = F.size(words)
     three = F.transform(
         F.when(size >= 3, F.sequence(F.lit(0), size - 3)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")),
+        lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)),
     )
 
-    def places(rows: Column) -> Column:
-        same = lambda x, i: (F.get(rows, i - 1)["h"] == x["h"]) | (F.get(rows, i + 1)["h"] == x["h"])
-        return F.array_sort(F.filter(rows, lambda x, i: F.coalesce(same(x, i), F.get(rows, i + 1)["h"] == x["h"], F.get(rows, i - 1)["h"] == x["h"], F.lit(False)))["i"])
-
     def covered(at: Column) -> Column:
         reach = F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - p, F.lit(3))))
         return F.aggregate(reach, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    return let(let(F.array_sort(three), places), covered)
+    places = let(three, lambda h: F.coalesce(F.when(F.size(h) <= _PLACE, _packed_places(h)), _plain_places(h)))
+    return let(places, covered)
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -76,7 +111,7 @@ def measures(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
         _lacking("text", "!").alias("n_exclaims"),
-        F.size(F.array_intersect("words", F.array(*(F.lit(w) for s in STOP_WORDS for w in (s, s.capitalize()))))).cast("long").alias("n_stop_kinds"),
+        F.size(F.filter("words", lambda w: w.isin(*stop_forms()))).cast("long").alias("n_stop_words"),
     )
 
 

@@ -308,7 +308,11 @@ def brute_quality(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit)
 
 
-def test_quality(make_docs, odd_docs, corpus):
+@pytest.mark.parametrize("bits", [20, 3])
+def test_quality(make_docs, odd_docs, corpus, monkeypatch, bits):
+    """Also with so few bits that most texts take the plain way."""
+    monkeypatch.setattr(quality, "PLACE_BITS", bits)
+    monkeypatch.setattr(quality, "_PLACE", (1 << bits) - 1)
     for rows in (corpus[0], odd_docs):
         df = make_docs(rows)
         got = quality.judge(df).collect()
@@ -320,6 +324,23 @@ def test_quality(make_docs, odd_docs, corpus):
     assert quality.judge(make_docs([])).collect() == []
 
 
+def test_hashes_that_agree_in_high_bits(spark):
+    """Such hashes are told apart, also where they alternate with real repeats."""
+    top = 5 << 40
+    hashes = [top + 1, top + 2, top + 1, top + 3, 7, top + 4, 9, 7]
+    from pyspark.sql import functions as F
+
+    row = spark.createDataFrame([(hashes, [(x % 1000) << 30 for x in hashes])], "a array<long>, b array<long>")
+    got = row.select(quality._packed_places(F.col("a")).alias("x"), quality._plain_places(F.col("a")).alias("y"), quality._packed_places(F.col("b")).alias("z")).first()
+    assert got["x"] is None and got["y"] == [0, 2, 4, 7] and got["z"] == [0, 2, 4, 7]
+
+
+def test_stop_words_count_by_their_share(make_docs):
+    few, many = "the of " + " ".join(f"word{i}" for i in range(80)), " ".join(f"the word{i}" for i in range(40))
+    got = {r["doc_id"]: (r["n_stop_words"], r["kept"]) for r in quality.judge(make_docs([(1, few, "en", "s"), (2, many, "en", "s")])).collect()}
+    assert got == {1: (2, False), 2: (40, True)}
+
+
 def brute_components(prints, radius):
     ids = [i for i, _ in prints]
     root = {k: k for k in range(len(ids))}

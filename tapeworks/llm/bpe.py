@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import batch_of, bounded_batches, utf8
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-#: Words whose ids a worker remembers at most.
-REMEMBER = 100_000
+#: Words whose ids a worker remembers: as many lately met ones, and as many before them.
+REMEMBER = 150_000
 
 
 def byte_letters() -> list[str]:
@@ -79,18 +79,21 @@ class Tokenizer:
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")")
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def word(self, word: str) -> bytes:
-        data = word.encode()
-        ids = _merged([*(self.inner[b] for b in data[:-1]), self.last[data[-1]]], self.ranks)
-        if len(self.known) >= REMEMBER:
-            self.known.clear()
-        self.known[word] = out = np.array(ids, "<u4").tobytes()
+        if (out := self.older.get(word)) is None:
+            data = word.encode()
+            ids = _merged([*(self.inner[b] for b in data[:-1]), self.last[data[-1]]], self.ranks)
+            out = np.array(ids, "<u4").tobytes()
+        self.known[word] = out
         return out
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         parts: list[bytes] = []
+        if len(self.known) >= REMEMBER:
+            self.known, self.older = {}, self.known
         for piece in self.cut.split(text):
             if piece in self.special:
                 parts.append(self.special[piece].to_bytes(4, "little"))

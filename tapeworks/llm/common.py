@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,6 +42,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables of one job in a folder of its own within the shared one, dropped when the job is done.
+
+    Each is written at once, as Parquet; the shuffle files that made it are given up then, so a job of many
+    steps does not pile them up.  A lost executor costs no recomputation beyond the table at hand.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.count = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path, name = f"{self.folder}/{self.count}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        self.count += 1
+        before = self.spark.conf.get(name, None)
+        self.spark.conf.set(name, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(name) if before is None else self.spark.conf.set(name, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Limit Arrow batches by bytes: texts are long, and a batch must fit a worker.
 

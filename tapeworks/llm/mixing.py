@@ -126,17 +126,16 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """
     same = ["doc_id", "source", "size"]
     own = {c: private(docs, c) for c in (*same, "row", "copy")}
-    plan = schedule(docs, **how)
-    plan = plan.select(*(F.col(c).alias(own[c]) for c in same), "ends", F.col("copies").alias(own["copy"]))
-    plan = plan.withColumn(own["row"], F.row_number().over(Window.partitionBy(*(own[c] for c in same)).orderBy("ends"))).drop("ends")
-    values = {own["doc_id"]: F.col("doc_id").cast("long"), own["source"]: F.col("source").cast("string"), own["size"]: n_words()}
-    rows = docs.withColumns(values)
-    rows = rows.withColumn(own["row"], F.row_number().over(Window.partitionBy(*(own[c] for c in same)).orderBy(F.xxhash64("text"))))
-    met = F.lit(True)
-    renamed = plan.select(*(F.col(c).alias(f"{c}_of") for c in plan.columns))
-    for c in (*same, "row"):
-        met = met & rows[own[c]].eqNullSafe(renamed[f"{own[c]}_of"])
-    rows = rows.join(renamed, met).withColumn(own["copy"], F.explode(f"{own['copy']}_of"))
+    # keys without nulls, so that numbering rows and joining deal texts the same way, once
+    values = {own["doc_id"]: F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), own["source"]: F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))}
+    alike = Window.partitionBy(*(own[c] for c in same))
+    plan = schedule(docs, **how).withColumns({**values, own["size"]: F.col("size")})
+    plan = plan.withColumn(own["row"], F.row_number().over(alike.orderBy("ends")))
+    plan = plan.select(*(F.col(own[c]).alias(f"{own[c]}_of") for c in (*same, "row")), F.col("copies").alias(f"{own['copy']}_of"))
+    rows = docs.withColumns({**values, own["size"]: n_words()})
+    rows = rows.withColumn(own["row"], F.row_number().over(alike.orderBy(F.xxhash64("text"))))
+    met = [rows[own[c]] == plan[f"{own[c]}_of"] for c in (*same, "row")]
+    rows = rows.join(plan, met).withColumn(own["copy"], F.explode(f"{own['copy']}_of"))
     taken, text = F.col(own["copy"])["taken"], F.col("text").cast("string")
     cut = F.when(taken < F.col(own["size"]), first_words(text, taken)).otherwise(text)
     changed = {"text": cut, "n_chars": F.when(taken < F.col(own["size"]), F.length(cut)).otherwise(F.col("n_chars")).cast("long") if "n_chars" in docs.columns else None}

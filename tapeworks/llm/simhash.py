@@ -16,7 +16,7 @@ a bucket only the edges of a spanning forest are given out, never all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, bounded_batches, cut_lineage, size_checked, utf8
+from .common import Scratch, batch_of, bounded_batches, cut_lineage, size_checked, utf8
 
 SEED, RADIUS, PIVOTS = 42, 4, 16
 _REFERENCES = np.random.default_rng(2024).integers(0, 2**63, PIVOTS, dtype=np.uint64) * np.uint64(2) + np.random.default_rng(2025).integers(0, 2, PIVOTS, dtype=np.uint64)
@@ -175,11 +175,11 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return buckets.mapInArrow(_bucket_edges(radius), "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """node, root: the smallest node that each node of ``edges`` (a, b) is connected with.
 
     Large-star and small-star steps take turns until nothing changes; each turn is written
-    to the shared folder.  A node's neighbours are never gathered: minima are aggregated
+    to the shared folder by ``keep``.  A node's neighbours are never gathered: minima are aggregated
     and joined back.
     """
 
@@ -195,10 +195,10 @@ def components(edges: DataFrame) -> DataFrame:
     def sign(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    edges = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = sign(edges)
     while before[0]:
-        edges = cut_lineage(star(star(edges, True), False))
+        edges = keep(star(star(edges, True), False))
         after = sign(edges)
         if after == before:
             break
@@ -361,7 +361,7 @@ def _compared(similarity: float):
     return run
 
 
-def _looked_up(edges: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _looked_up(edges: DataFrame, texts: DataFrame, similarity: float, keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """a, b, linked of the edges (a, b) that may be of one family; ``texts`` has node, packed.
 
     A text with many links is looked up in parts of ``LINKS_A_TASK`` links, each with its
@@ -371,7 +371,7 @@ def _looked_up(edges: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     copies = texts.join(parts, texts.node == parts.a).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("packed").alias("of_a"))
     keyed = edges.join(parts, "a").select("a", "b", F.pmod(F.hash("b"), F.col("parts")).alias("part"))
     pairs = keyed.join(texts.select(F.col("node").alias("b"), F.col("packed").alias("of_b")), "b").join(copies, ["a", "part"])
-    return cut_lineage(pairs.select("a", "b", "of_a", "of_b").mapInArrow(_compared(similarity), "a long, b long, linked boolean"))
+    return keep(pairs.select("a", "b", "of_a", "of_b").mapInArrow(_compared(similarity), "a long, b long, linked boolean"))
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -430,7 +430,7 @@ def _joined(similarity: float):
     return run
 
 
-def _linked_in_families(seen: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _linked_in_families(seen: DataFrame, texts: DataFrame, similarity: float, keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """Links between the groups within each family, a component of the pairs looked at.
 
     A bucket's texts are looked at against one of them only.  Where not all of a
@@ -438,10 +438,10 @@ def _linked_in_families(seen: DataFrame, texts: DataFrame, similarity: float) ->
     are outsiders: they are dealt to blocks, and each block of outsiders meets each block of
     the family in a task.  Pairs inside the core are never looked at.
     """
-    families = components(seen.select("a", "b")).select(F.col("node").alias("of"), F.col("root").alias("family"))
+    families = components(seen.select("a", "b"), keep).select(F.col("node").alias("of"), F.col("root").alias("family"))
     families = families.union(families.select("family", "family").distinct())
-    groups = components(seen.where("linked").select("a", "b")).select(F.col("node").alias("in_group"), F.col("root").alias("group"))
-    members = cut_lineage(families.join(groups, families.of == groups.in_group, "left").select("family", F.col("of").alias("node"), F.coalesce("group", "of").alias("group")))
+    groups = components(seen.where("linked").select("a", "b"), keep).select(F.col("node").alias("in_group"), F.col("root").alias("group"))
+    members = keep(families.join(groups, families.of == groups.in_group, "left").select("family", F.col("of").alias("node"), F.coalesce("group", "of").alias("group")))
     counts = members.groupBy("family", "group").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy("family").agg(F.sum("n").alias("n"), F.max(F.struct("n", "group")).alias("core"))
     sizes = sizes.where("n > 2 and n > core.n").select("family", F.col("core.group").alias("core"), F.col("core.n").alias("n_core"), "n")
@@ -451,10 +451,10 @@ def _linked_in_families(seen: DataFrame, texts: DataFrame, similarity: float) ->
     rest = rest.withColumn("block", F.when(F.col("is_core"), F.col("outer") + F.pmod("turn", "inner")).otherwise(F.pmod("turn", "outer")).cast("int"))
     rest = rest.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outer") - 1 + F.when(F.col("is_core"), 0).otherwise(F.col("inner")))))
     pairs = rest.select("family", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "group", "packed")
-    return cut_lineage(pairs.groupBy("family", "p", "q").applyInArrow(_joined(similarity), "a long, b long"))
+    return keep(pairs.groupBy("family", "p", "q").applyInArrow(_joined(similarity), "a long, b long"))
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """doc_id, component_id: groups of texts linked by a Jaccard similarity of ``similarity``.
 
     Texts with a Jaccard similarity of 0.8 differ in 15 % of their SimHash bits, so 64 bits
@@ -466,27 +466,27 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
     themselves, and verified on the shingle sets.  Texts with equal sets are
     one node, so copies are never compared with each other.
     Null and empty texts are one group; component_id is the smallest doc_id of a group
-    (null if none has one); repeated rows are members each.
+    (null if none has one); repeated rows are members each.  ``keep`` writes what later steps build on.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = cut_lineage(docs.mapInArrow(_signatures(shingle), "doc_id long, digest binary, keys array<long>"))
+    prints = keep(docs.mapInArrow(_signatures(shingle), "doc_id long, digest binary, keys array<long>"))
     nodes = prints.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"))
-    nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()))
+    nodes = keep(nodes.withColumn("node", F.monotonically_increasing_id()))
     dealt = nodes.select(F.explode("keys").alias("key"), "node")
     shared = dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
     edges = dealt.join(shared, "key").where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    edges = cut_lineage(edges.distinct())
+    edges = keep(edges.distinct())
 
     ends = edges.select(F.explode(F.array("a", "b")).alias("end")).distinct()
-    named = cut_lineage(nodes.join(ends, nodes.node == ends.end, "left_semi").select("node", "first", F.col("digest").alias("of_digest")))
-    of_ids = size_checked(cut_lineage(named.select(F.col("first").alias("of_id")).distinct()))
+    named = keep(nodes.join(ends, nodes.node == ends.end, "left_semi").select("node", "first", F.col("digest").alias("of_digest")))
+    of_ids = size_checked(keep(named.select(F.col("first").alias("of_id")).distinct()))
     texts = docs.join(of_ids, docs.doc_id.eqNullSafe(of_ids.of_id), "left_semi").mapInArrow(_packed_texts(shingle), "digest binary, packed binary")
-    texts = cut_lineage(texts.join(named, texts.digest == named.of_digest).select("node", "packed").dropDuplicates(["node"]))
-    seen = _looked_up(edges, texts, similarity)
-    found = seen.where("linked").select("a", "b").union(_linked_in_families(seen, texts, similarity))
+    texts = keep(texts.join(named, texts.digest == named.of_digest).select("node", "packed").dropDuplicates(["node"]))
+    seen = _looked_up(edges, texts, similarity, keep)
+    found = seen.where("linked").select("a", "b").union(_linked_in_families(seen, texts, similarity, keep))
 
-    roots = components(found).withColumnRenamed("node", "in_root")
+    roots = components(found, keep).withColumnRenamed("node", "in_root")
     nodes = nodes.join(roots, nodes.node == roots.in_root, "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
     least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = nodes.join(least, "root").select(F.col("digest").alias("group_digest"), "component_id")
@@ -498,8 +498,11 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY)
 
     Rows with a null doc_id are kept only where no member of their group has one.
     """
-    groups = similar_groups(docs, shingle, similarity)
+    scratch = Scratch(docs.sparkSession)
+    groups = similar_groups(docs, shingle, similarity, scratch.keep)
     stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
     gone = groups.groupBy(F.col("doc_id").alias("gone_id")).agg(stays.alias("stays")).where("not stays").select("gone_id")
-    gone = size_checked(cut_lineage(gone))
+    gone = cut_lineage(gone)
+    scratch.drop()
+    gone = size_checked(gone)
     return docs.join(gone, docs.doc_id.eqNullSafe(gone.gone_id), "left_anti")

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sentiment import clamp, model_boost
+from .text import PASSAGE
+
 
 def chunks(text: str | None, most: int) -> list[str]:
     """Sentences joined by ``. `` up to ``most`` characters; longer ones are cut at words."""
@@ -55,89 +58,158 @@ def score_with(df: DataFrame, load: Callable[[], Callable[[list[str]], list[tupl
     return df.withColumn("__m", run(F.col(text))).select("*", "__m.label", "__m.score").drop("__m")
 
 
-def score_long(df: DataFrame, id: str, text: str, score: Callable[[Column], Column], most: int = 400) -> DataFrame:
-    """id and the mean score over the chunks of each text (without chunks: null)."""
-    parts = df.select(id, F.explode_outer(chunk_text(F.col(text), most)).alias("chunk"))
-    return parts.groupBy(id).agg(F.avg(score(F.col("chunk"))).alias("score"), F.count("chunk").alias("n_chunks"))
+def score_long(df: DataFrame, id: str, text: str, score: Callable[[Column], Column], most: int = 1000) -> DataFrame:
+    """id, the mean score over the chunks of each text (without chunks: null), and polarity and
+    compound: the mean with 0.3 and 0.2 of the finance boost of the whole text, from -1 to 1."""
+    parts = df.select(id, model_boost(F.col(text)).alias("boost"), F.explode_outer(chunk_text(F.col(text), most)).alias("chunk"))
+    out = parts.groupBy(id).agg(F.avg(F.when(F.col("chunk").isNotNull(), score(F.col("chunk")))).alias("score"), F.count("chunk").alias("n_chunks"), F.first("boost").alias("boost"))
+    both = {name: F.when(F.col("n_chunks") == 0, 0.0).otherwise(clamp(F.col("score") + share * F.col("boost"), 1.0)) for name, share in (("polarity", 0.3), ("compound", 0.2))}
+    return out.withColumns(both).drop("boost")
+
+
+class _Part:
+    """A container of a page: which paragraphs stand in it, and what else is counted there."""
+
+    def __init__(self, tag: str, marks: str, start: int, counts: list[int], bad: bool):
+        self.tag, self.marks, self.start, self.end, self.before, self.bad = tag, marks, start, start, counts, bad
+        self.elements = self.links = self.images = self.linked = 0
 
 
 class _Reader(HTMLParser):
-    """Gathers paragraphs with the container they stand in, and JSON-LD bodies."""
+    """Gathers paragraphs, the containers that they stand in, and JSON-LD texts."""
 
     LEFT_OUT = frozenset("script style nav header footer aside form noscript iframe svg button".split())
     HOLDERS = frozenset("article main section div body".split())
+    BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote".split())
+    VOID = frozenset("br img meta link input hr".split())
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.path: list[str] = []
-        self.holders: list[int] = [0]
-        self.paragraphs: list[tuple[int, str]] = []
-        self.bonus: dict[int, float] = {0: 0.0}
-        self.links: dict[int, int] = {}
+        self.open: list[_Part] = []
+        self.parts: list[_Part] = []
+        self.paragraphs: list[str] = []
+        self.side: list[bool] = []  # of each paragraph: stands in a container named as no content
+        self.counts = [0, 0, 0, 0]  # elements, links, images, linked characters so far
         self.text: list[str] = []
         self.json: list[str] = []
         self.in_json = False
 
     def handle_starttag(self, tag, attrs):
+        found = dict(attrs)
         if tag == "script":
-            self.in_json = dict(attrs).get("type") == "application/ld+json"
+            self.in_json = found.get("type") == "application/ld+json"
+            self.json += [""] * self.in_json
+        self.counts[0] += 1
+        self.counts[1] += tag == "a"
+        self.counts[2] += tag == "img"
         if tag in self.HOLDERS:
             self.flush()
-            name = len(self.bonus)
-            marks = f"{dict(attrs).get('class') or ''} {dict(attrs).get('id') or ''}".lower()
-            good = sum(w in marks for w in ("article", "content", "story", "body", "post"))
-            bad = sum(w in marks for w in ("comment", "sidebar", "related", "promo", "share", "ad"))
-            self.bonus[name] = 50.0 * (tag == "article") + 30.0 * (tag == "main") + 25.0 * good - 40.0 * bad
-            self.holders.append(name)
-        elif tag in ("p", "h1", "h2", "h3", "li", "blockquote"):
+            marks = f"{found.get('class') or ''} {found.get('id') or ''}{' role-main' * (found.get('role') == 'main')}".lower()
+            bad = bool(self.open and self.open[-1].bad) or any(w in BAD for w in re.findall("[a-z]+", marks))
+            self.open.append(_Part(tag, marks, len(self.paragraphs), self.counts.copy(), bad))
+            self.parts.append(self.open[-1])
+        elif tag in self.BLOCKS:
             self.flush()
-        if tag not in ("br", "img", "meta", "link", "input", "hr"):
+        if tag not in self.VOID:
             self.path.append(tag)
 
     def handle_endtag(self, tag):
-        if tag in ("p", "h1", "h2", "h3", "li", "blockquote") or tag in self.HOLDERS:
+        if tag in self.BLOCKS or tag in self.HOLDERS:
             self.flush()
-        if tag in self.HOLDERS and len(self.holders) > 1:
-            self.holders.pop()
+        if tag in self.HOLDERS and self.open:
+            self.shut()
         if tag in self.path:
             while self.path.pop() != tag:
                 pass
 
     def handle_data(self, data):
         if self.in_json and self.path and self.path[-1] == "script":
-            self.json.append(data)
+            self.json[-1] += data
         elif not self.LEFT_OUT.intersection(self.path):
             self.text.append(data)
-            if "a" in self.path:
-                self.links[self.holders[-1]] = self.links.get(self.holders[-1], 0) + len(data)
+            self.counts[3] += len(data) * ("a" in self.path)
+
+    def shut(self):
+        part = self.open.pop()
+        part.end = len(self.paragraphs)
+        part.elements, part.links, part.images, part.linked = (now - then for now, then in zip(self.counts, part.before, strict=True))
 
     def flush(self):
         text = " ".join("".join(self.text).split())
         self.text.clear()
         if text and "head" not in self.path:
-            self.paragraphs.append((self.holders[-1], text))
+            self.paragraphs.append(text)
+            self.side.append(bool(self.open and self.open[-1].bad))
+
+    def finish(self) -> None:
+        self.close()
+        self.flush()
+        while self.open:
+            self.shut()
+
+    def of(self, part: _Part) -> list[str]:
+        """Paragraphs of a container without those of containers inside it that are named as no content."""
+        return [p for p, side in zip(self.paragraphs[part.start : part.end], self.side[part.start : part.end], strict=True) if not side]
+
+
+# What in class names and ids speaks for and against a container, and their weights.
+GOOD, BAD = ("article", "content", "post", "story", "entry", "main", "body"), ("comment", "sidebar", "nav", "menu", "ad", "footer", "header", "social")
+BASIC_BAD = ("cookie", "privacy", "subscribe", "newsletter")
+
+
+def _container_score(part: _Part, paragraphs: list[str]) -> float:
+    """Length, paragraphs, kind, names and links of a container as one number."""
+    size = sum(map(len, paragraphs))
+    score = min(size // 10, 100) + 10 * len(paragraphs) + 15 * sum(50 < len(p) < 800 for p in paragraphs)
+    score += {"article": 50, "main": 30}.get(part.tag, 0) - 30 * (size > 500 and len(paragraphs) < 3) - 40 * (part.linked > 0.3 * size)
+    return score + 25 * sum(w in part.marks for w in GOOD) - 30 * sum(w in part.marks for w in BAD)
+
+
+def _density(part: _Part, paragraphs: list[str]) -> float:
+    """Characters for each element, more for paragraphs of good length, less for many links and images."""
+    size = sum(map(len, paragraphs))
+    if size < 200 or not part.elements:
+        return 0.0
+    good = 1.5 if 50 < size / len(paragraphs) < 500 else 1.0
+    return size / part.elements * good * (0.7 if part.links + part.images > 0.3 * part.elements else 1.0)
+
+
+def _from_json(texts: list[str]) -> str:
+    """Body (over 200 characters) or description (over 100) of the first article in JSON-LD."""
+    for text in texts:
+        try:
+            found = json.loads(text)
+        except ValueError:
+            continue
+        found = found[0] if isinstance(found, list) and found else found
+        if isinstance(found, dict) and found.get("@type") in ("Article", "NewsArticle", "BlogPosting"):
+            for name, least in (("articleBody", 200), ("description", 100)):
+                if isinstance(found.get(name), str) and len(found[name]) > least:
+                    return found[name]
+    return ""
 
 
 def article_text(page: str | None) -> str:
-    """Text of the container that scores best by length, paragraphs, name hints and links;
-    else a JSON-LD article body; else all paragraphs."""
+    """Text of the container that scores best, if it has 100 characters; else a JSON-LD article; else the
+    longest semantic element; else the densest container; else good paragraphs, three at least; else all."""
     reader = _Reader()
     reader.feed(page or "")
-    reader.close()
-    reader.flush()
-    by: dict[int, list[str]] = {}
-    for holder, text in reader.paragraphs:
-        by.setdefault(holder, []).append(text)
-    score = {h: min(sum(map(len, t)), 5000) / 50 + 5 * len(t) + reader.bonus[h] - 100 * reader.links.get(h, 0) / max(1, sum(map(len, t))) for h, t in by.items()}
-    best = max(score, key=lambda h: (score[h], -h), default=None)
-    if best is not None and sum(map(len, by[best])) >= 100:
-        return " ".join(by[best])
-    try:
-        found = json.loads("".join(reader.json) or "{}")
-        body = next((x["articleBody"] for x in (found if isinstance(found, list) else [found]) if isinstance(x, dict) and x.get("articleBody")), "")
-    except ValueError:
-        body = ""
-    return body or " ".join(t for _, t in reader.paragraphs)
+    reader.finish()
+    found = [(p, texts) for p in reader.parts if (texts := reader.of(p))]
+    part, texts = max(found, key=lambda x: _container_score(*x), default=(None, []))  # the outer of equals, for it comes first
+    if part is not None and _container_score(part, texts) > 0 and sum(map(len, texts)) >= 100:
+        return " ".join(texts)
+    if body := _from_json(reader.json):
+        return body
+    semantic = [texts for p, texts in found if p.tag in ("article", "main") or "role-main" in p.marks]
+    if semantic:
+        return " ".join(max(semantic, key=lambda texts: sum(map(len, texts))))
+    part, texts = max(found, key=lambda x: _density(*x), default=(None, []))
+    if part is not None and _density(part, texts) > 5:
+        return " ".join(texts)
+    good = [p for p in reader.paragraphs if len(p) > 40 and not any(w in p.lower() for w in BASIC_BAD)]
+    return " ".join(good if len(good) >= 3 else reader.paragraphs)
 
 
 def extract_article(html: Column) -> Column:
@@ -148,7 +220,7 @@ def extract_article(html: Column) -> Column:
     return run(html)
 
 
-def find_passages(df: DataFrame, companies: DataFrame, id: str, html: str, keywords: tuple[str, ...]) -> DataFrame:
+def find_passages(df: DataFrame, companies: DataFrame, id: str, html: str, keywords: tuple[str, ...] = PASSAGE) -> DataFrame:
     """Passages over 30 characters that name a company (symbol or first word of its name, in
     this case) and hold a finance keyword: id, symbol, title, passage."""
 
@@ -157,9 +229,8 @@ def find_passages(df: DataFrame, companies: DataFrame, id: str, html: str, keywo
         def of(page):
             reader = _Reader()
             reader.feed(page or "")
-            reader.close()
-            reader.flush()
-            return [t for _, t in reader.paragraphs if len(t) > 30]
+            reader.finish()
+            return [t for t in reader.paragraphs if len(t) > 30]
 
         return pages.map(of)
 
@@ -169,5 +240,4 @@ def find_passages(df: DataFrame, companies: DataFrame, id: str, html: str, keywo
         hit = hit | F.contains(F.lower("passage"), F.lit(k))
     rows = rows.where(hit).withColumn("word", F.explode(F.array_distinct(F.split("passage", r"[^\p{L}\p{N}]+"))))
     names = companies.select("symbol", F.explode(F.array_distinct(F.array("symbol", F.element_at(F.split("common_name", " "), 1)))).alias("word")).where("word <> ''")
-    title = F.when(F.length("passage") > 100, F.concat(F.substring("passage", 1, 100), F.lit("..."))).otherwise(F.col("passage"))
-    return rows.join(names, "word").select(id, "at", "symbol", title.alias("title"), "passage").distinct()
+    return rows.join(names, "word").select(id, "at", "symbol", F.substring("passage", 1, 100).alias("title"), "passage").distinct()

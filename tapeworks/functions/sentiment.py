@@ -61,7 +61,7 @@ def any_of(text: Column, phrases: tuple[str, ...]) -> Column:
     return found
 
 
-def _clamp(value: Column, most: float) -> Column:
+def clamp(value: Column, most: float) -> Column:
     return F.greatest(F.lit(-most), F.least(F.lit(most), value))
 
 
@@ -105,7 +105,7 @@ def boost_score(text: Column) -> Column:
 
 def combine_lexicon(base: Column, subjectivity: Column, adjustment: Column) -> tuple[Column, Column]:
     """Polarity and compound from a base polarity and the finance adjustment."""
-    polarity = _clamp(F.when((F.abs(base) < 0.1) & (F.abs(adjustment) > 0.1), adjustment * 1.5).otherwise(base + adjustment), 1.0)
+    polarity = clamp(F.when((F.abs(base) < 0.1) & (F.abs(adjustment) > 0.1), adjustment * 1.5).otherwise(base + adjustment), 1.0)
     return polarity, polarity * subjectivity
 
 
@@ -122,7 +122,7 @@ def calibrate(label: Column, score: Column, text: Column) -> tuple[Column, Colum
     override = F.contains(F.lower(label), F.lit("neutral")) & (F.abs(boost) > 0.2)
     polarity = F.when(override, boost).otherwise(sign * score * 0.8 + boost * 0.5)
     compound = F.when(override, boost).otherwise(sign * score + boost * 0.3)
-    return _clamp(polarity, 1.0), _clamp(compound, 1.0)
+    return clamp(polarity, 1.0), clamp(compound, 1.0)
 
 
 def sentiment_label(compound: Column) -> Column:

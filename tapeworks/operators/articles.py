@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sentiment import overall_label
+from ..functions.sentiment import CONSENT, any_of, overall_label, title_score
+from ..functions.text import clean_for_analysis
 from .lookup import last_n
 
 
@@ -90,11 +93,12 @@ def match_symbols(df: DataFrame, companies: DataFrame, id: str = "article_id", t
     Names of one word are met by an equi-join on the text's distinct words; longer names are
     met by their first word and then looked for as a phrase.
     """
-    words = df.select(id, F.lower(text).alias("low")).withColumn("word", F.explode(F.array_distinct(F.split("low", r"[^\p{L}\p{N}]+"))))
+    words = df.select(id, F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))).alias("word"))
     names = companies.select("symbol", F.explode(F.array_distinct(F.array(F.lower("symbol"), F.lower("common_name")))).alias("name"))
     names = names.where("name <> ''").withColumn("word", F.element_at(F.split("name", r"[^\p{L}\p{N}]+"), 1))
-    hits = words.join(names, "word").where(F.contains("low", "name"))
-    return hits.select(id, "symbol").distinct()
+    hits = words.join(names, "word").select(id, "symbol", F.when(F.col("name") != F.col("word"), F.col("name")).alias("phrase")).distinct()
+    phrases = hits.where("phrase is not null").join(df.select(id, F.lower(text).alias("low")), id).where(F.contains("low", "phrase"))
+    return hits.where("phrase is null").select(id, "symbol").union(phrases.select(id, "symbol")).distinct()
 
 
 def symbol_report(sentiment: DataFrame, industry: DataFrame, market: DataFrame, technical: DataFrame, companies: DataFrame) -> DataFrame:
@@ -111,6 +115,25 @@ def symbol_report(sentiment: DataFrame, industry: DataFrame, market: DataFrame,
     return out.withColumn("n_parts", sum(parts[1:], parts[0]))
 
 
+def sources(df: DataFrame) -> DataFrame:
+    """The distinct sources of articles, sorted."""
+    return df.select("source").where("source is not null").distinct().orderBy("source")
+
+
+def score_articles(df: DataFrame, score: Callable[[Column], Column], text: str = "text") -> DataFrame:
+    """``df`` with ``compound`` and ``scored_by``, ``title`` or ``main``.
+
+    Texts that are short when cleaned (under 300 characters), and those with consent phrases, are scored as titles:
+    by what comes before the first full stop, with consent phrases by the first 100 characters.
+    A title score of 0.1 or less says nothing; then, and for all other texts, ``score`` of the cleaned text counts.
+    """
+    clean = clean_for_analysis(F.col(text))
+    consent = any_of(F.lower(clean), CONSENT)
+    title = title_score(F.when(consent, F.substring(clean, 1, 100)).when(F.contains(clean, F.lit(".")), F.substring_index(clean, ".", 1)).otherwise(clean))
+    short = ((F.length(clean) < 300) | consent) & (F.abs(title) > 0.1)
+    return df.withColumns({"compound": F.when(short, title).otherwise(score(clean)), "scored_by": F.when(short, "title").otherwise("main")})
+
+
 def throughput_report(runs: DataFrame) -> DataFrame:
     """Articles a second, seconds an article and class of each run (articles, seconds)."""
     rate = F.try_divide(F.col("articles").cast("double"), F.col("seconds"))

@@ -19,11 +19,11 @@ def series(keys: list[str] = KEYS) -> Window:
     return Window.partitionBy(*keys).orderBy(TIME)
 
 
-def build_bars(ticks: DataFrame, freq: str = "hour") -> DataFrame:
-    """Bars of ``freq`` from ticks (symbol, ts, price, size)."""
-    size = F.sum("size")
+def build_bars(ticks: DataFrame, freq: str = "hour", tie: tuple[str, ...] = ()) -> DataFrame:
+    """Bars of ``freq`` from ticks (symbol, ts, price, size); ``tie`` orders ticks of one time."""
+    size, order = F.sum("size"), F.struct("ts", *tie)
     return ticks.groupBy("symbol", F.date_trunc(freq, "ts").alias(TIME)).agg(
-        F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"),
+        F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"),
         size.cast("long").alias("volume"), F.count(F.lit(1)).alias("trade_count"),
         F.round(F.sum(F.col("price") * F.col("size")) / F.nullif(size, F.lit(0)), 6).alias("vwap"), F.lit(True).alias("original"),
     )
@@ -84,6 +84,19 @@ def prefer_original(bars: DataFrame, min_rows: int = 100, keys: list[str] = KEYS
     return bars.withColumn("__n", n).where(F.col("original") | (F.col("__n") <= min_rows)).drop("__n")
 
 
+def load_bars(bars: DataFrame, symbols: list[str] | DataFrame | None = None, timeframe: str | None = None, n: int | None = None, keys: list[str] = KEYS) -> DataFrame:
+    """Bars of ``symbols`` (a list, or a table with a column symbol; None: all) and ``timeframe``,
+    observed ones where a series has enough of them, the last ``n`` of each series if given; by time."""
+    if timeframe is not None:
+        bars = bars.where(F.col("timeframe") == timeframe)
+    if isinstance(symbols, DataFrame):
+        bars = bars.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
+    elif symbols is not None:
+        bars = bars.where(F.col("symbol").isin(*symbols))
+    bars = prefer_original(bars, keys=keys)
+    return (bars if n is None else last_n(bars, n, keys, [TIME])).orderBy(*keys, TIME)
+
+
 def latest_bars(bars: DataFrame, n: int, keys: list[str] = KEYS) -> DataFrame:
     return last_n(bars, n, keys, [TIME])
 
@@ -141,6 +154,7 @@ def market_snapshot(bars: DataFrame, n: int = 24, keys: list[str] = KEYS) -> Dat
 
 
 def partition_balance(df: DataFrame, n: int = 16, column: str = "symbol") -> DataFrame:
-    """Rows in each of ``n`` hash partitions of ``column``, and their share of all."""
-    out = df.groupBy(F.pmod(F.hash(column), F.lit(n)).alias("part")).agg(F.count(F.lit(1)).alias("n_rows"))
+    """Rows in each of ``n`` partitions by the md5 of ``column``, and their share of all."""
+    key = F.conv(F.substring(F.md5(F.col(column).cast("string")), 1, 8), 16, 10).cast("long")
+    out = df.groupBy(F.pmod(key, F.lit(n)).alias("part")).agg(F.count(F.lit(1)).alias("n_rows"))
     return out.withColumn("share", F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy(F.lit(1))))

@@ -39,6 +39,11 @@ def companies_in_industry(df: DataFrame, pattern: str) -> DataFrame:
     return df.where(F.col("industry").ilike(f"%{pattern}%"))
 
 
+def display_names(df: DataFrame) -> DataFrame:
+    """symbol and ``name (symbol)``, by name."""
+    return df.select("symbol", F.format_string("%s (%s)", F.coalesce("company_name", "symbol"), "symbol").alias("label")).orderBy("label", "symbol")
+
+
 def industry_overview(df: DataFrame) -> DataFrame:
     """The latest analysis of each industry, by industry."""
     return latest_per_key(df, ["industry"], ["created_at", "id"]).orderBy("industry")
@@ -47,9 +52,13 @@ def industry_overview(df: DataFrame) -> DataFrame:
 def industry_dashboard(df: DataFrame, top: int = 3) -> DataFrame:
     """Industries, how many are positive, negative or neutral, and the best ``top`` names."""
     latest = latest_per_key(df, ["industry"], ["created_at", "id"])
-    s = F.col("overall_sentiment")
-    best = F.slice(F.reverse(F.sort_array(F.collect_list(F.struct("overall_sentiment", "industry")))), 1, top)
-    return latest.agg(F.count(F.lit(1)).alias("industries"), F.count_if(s > 0.05).alias("positive"), F.count_if(s < -0.05).alias("negative"), F.count_if((s <= 0.05) & (s >= -0.05)).alias("neutral"), F.array_join(best["industry"], ",").alias("best"))
+    s, none = F.col("overall_sentiment"), F.lit(None)
+    rows = latest.select(F.lit(1).alias("one"), s.alias("s"), none.cast("struct<overall_sentiment:double,industry:string>").alias("best"))
+    first = latest.orderBy(F.desc("overall_sentiment"), F.desc("industry")).limit(top)
+    rows = rows.unionByName(first.select(none.cast("int").alias("one"), none.cast("double").alias("s"), F.struct(s.cast("double").alias("overall_sentiment"), "industry").alias("best")))
+    best = F.reverse(F.sort_array(F.collect_list("best")))  # ``top`` of them
+    s = F.col("s")
+    return rows.agg(F.count("one").alias("industries"), F.count_if(s > 0.05).alias("positive"), F.count_if(s < -0.05).alias("negative"), F.count_if((s <= 0.05) & (s >= -0.05)).alias("neutral"), F.array_join(best["industry"], ",").alias("best"))
 
 
 def analysis_history(df: DataFrame, key: str, n: int, now: Column) -> DataFrame:

@@ -9,15 +9,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import HashingTF, MinHashLSH
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` in the folder that spark.checkpoint.dir names; a temporary one where it is unset."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one where it is unset on one machine (master local)."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    named = named or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
+        context.setCheckpointDir(named)
+    return named
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder of :func:`shared_dir`."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -63,6 +74,25 @@ def similar_pairs(df: DataFrame, group: str, id: str, words: str, threshold: flo
     return both.select(group, "a", "b", "similarity")
 
 
+def similar_pairs_lsh(df: DataFrame, group: str, id: str, words: str, threshold: float = 0.8, tables: int = 24, slack: float = 0.05, features: int = 1 << 20, seed: int = 42) -> DataFrame:
+    """:func:`similar_pairs` with candidates by min-hash tables of Spark ML, for very many titles.
+
+    Words are hashed together with their group.  Pairs are verified exactly; a pair may be missed
+    with probability (1 - similarity) ** tables at most.  Equal sets are one candidate.
+    """
+    sets = df.select(group, id, F.array_sort(words).alias("w")).where(F.size("w") > 0)
+    firsts = sets.groupBy(group, "w").agg(F.min(id).alias("first"))
+    named = firsts.withColumn("terms", F.transform("w", lambda x: F.concat_ws("\0", F.col(group).cast("string"), x)))
+    vectors = cut_lineage(HashingTF(inputCol="terms", outputCol="bits", numFeatures=features, binary=True).transform(named).select(group, "first", "w", "bits"))
+    model = MinHashLSH(inputCol="bits", outputCol="hashes", numHashTables=tables, seed=seed).fit(vectors)
+    near = model.approxSimilarityJoin(vectors, vectors, 1 - threshold + slack, "distance")
+    a, b = F.col("datasetA"), F.col("datasetB")
+    near = near.where((a["first"] < b["first"]) & a[group].eqNullSafe(b[group]))
+    shared = F.size(F.array_intersect(a["w"], b["w"]))
+    near = near.select(a[group].alias(group), a["first"].alias("a"), b["first"].alias("b"), (shared / (F.size(a["w"]) + F.size(b["w"]) - shared)).alias("similarity"))
+    return near.where(F.col("similarity") > threshold).distinct()
+
+
 def equal_to_first(df: DataFrame, group: str, id: str, words: str) -> DataFrame:
     """a, b: the first of each set of equal words, and each later one."""
     sets = df.select(group, id, F.array_sort(words).alias("w")).where(F.size("w") > 0)

@@ -92,3 +92,24 @@ def prediction_features(df: DataFrame, names: list[str], keys: list[str] = KEYS,
     df = df.select(*keys, TIME, *(e.alias(c) for c, e in filled.items())).dropna("any", subset=have)
     df = latest_per_key(df, keys, [TIME])
     return df.select(*keys, TIME, *(F.col(c) if c in have else F.lit(0.0).alias(c) for c in names))
+
+
+def pipeline_report(bars: DataFrame, names: list[str], periods: int = 5, threshold: float = 1.0, share: float = 0.8, keys: list[str] = KEYS) -> DataFrame:
+    """For each series: rows loaded, labelled and complete (no null among ``names``), the label counts,
+    and size and first and last time of the training and the validation part.
+
+    ``bars`` has the features.  All counts come from one pass over labelled rows.
+    """
+    good = F.lit(True)
+    for c in names:
+        good = good & F.col(c).isNotNull()
+    loaded = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("loaded"), F.min(TIME).alias("first_ts"), F.max(TIME).alias("last_ts"))
+    rows = add_labels(bars, periods, threshold, keys).withColumn("__good", good)
+    labelled = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("labelled"), *(F.count_if(F.col("target") == t).alias(n) for t, n in ((-1, "sell"), (0, "hold"), (1, "buy"))))
+    parts = temporal_split(rows.where("__good"), share, keys)
+    sizes = parts.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("complete"),
+        *(x for p in ("train", "validation") for x in (F.count_if(F.col("part") == p).alias(p), F.min(F.when(F.col("part") == p, F.col(TIME))).alias(f"{p}_start"), F.max(F.when(F.col("part") == p, F.col(TIME))).alias(f"{p}_end"))),
+    )
+    out = loaded.join(labelled, keys, "left").join(sizes, keys, "left")
+    return out.fillna(0, ["labelled", "sell", "hold", "buy", "complete", "train", "validation"])

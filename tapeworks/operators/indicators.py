@@ -99,7 +99,7 @@ FIRST_PASS = [
 def recursive_indicators(bars: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """ema_10/20/50, MACD, rsi, atr, ADX: two streamed passes over the same partitioning.
 
-    The second pass smooths what the first has made (signal line, ADX).
+    The second pass smooths what the first has made (signal line, ADX), row by row as dealt.
     """
     df = ewm(changes(bars, keys), FIRST_PASS, keys, TIME)
     plus, minus = (F.try_divide(100 * F.col(c), F.col("atr")) for c in ("__pdm", "__mdm"))
@@ -111,7 +111,7 @@ def recursive_indicators(bars: DataFrame, keys: list[str] = KEYS) -> DataFrame:
             "__dx": F.try_divide(100 * F.abs(plus - minus), plus + minus),
         }
     )
-    df = ewm(df, [Mean("MACDs_12_26_9", "MACD_12_26_9", 9), Mean("ADX_14", "__dx", 14, True)], keys, TIME)
+    df = ewm(df, [Mean("MACDs_12_26_9", "MACD_12_26_9", 9), Mean("ADX_14", "__dx", 14, True)], keys, TIME, dealt=True)
     df = df.withColumns({"MACDh_12_26_9": F.col("MACD_12_26_9") - F.col("MACDs_12_26_9"), "ADXR_14_2": (F.col("ADX_14") + F.lag("ADX_14", 2).over(series(keys))) / 2})
     return df.drop(*(c for c in df.columns if c.startswith("__")), "gain", "loss", "true_range", "plus_dm", "minus_dm")
 

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .backtest import equity_curve, risk_metrics
 from .bars import KEYS, TIME
-from .features import with_class_weights
+from .features import temporal_split, with_class_weights
 from .lookup import last_n
 
 #: Label of each class index.
@@ -110,6 +112,26 @@ def sized(df: DataFrame, sizes: tuple[int | None, ...] = (1000, 5000, 10_000, No
     return out
 
 
+def compare_sizes(bars: DataFrame, prepare: Callable[[DataFrame], tuple[DataFrame, list[str]]], sizes: tuple[int | None, ...] = (1000, 5000, 10_000, None), kind: str = "boosted", keys: list[str] = KEYS, **how) -> DataFrame:
+    """For each size (null: all rows): a model trained on the last rows of each series, and what its
+    signals would have earned; ``best`` marks the size with the highest return.
+
+    ``prepare`` gives labelled rows with features (and close), and the features' names.  One job for each size.
+    """
+    out = None
+    for n in sizes:
+        rows, names = prepare(bars if n is None else last_n(bars, n, keys, [TIME]))
+        rows = temporal_split(rows, keys=keys)
+        fitted = train_model(rows.where("part = 'train'"), names, kind, **how)
+        pred = predict_batch(fitted, rows.where("part = 'validation'"))
+        metrics = risk_metrics(equity_curve(pred.select(*keys, TIME, F.col("close").alias("price"), F.col("predicted").alias("prediction"), "target"), keys), keys)
+        row = metrics.agg(F.avg("total_return").alias("strategy_return"), F.avg("buy_hold").alias("buy_hold"), F.avg("accuracy").alias("accuracy"), F.avg("sharpe").alias("sharpe"), F.min("max_drawdown").alias("max_drawdown"))
+        row = row.select(F.lit(n).cast("int").alias("size"), "*")
+        out = row if out is None else out.union(row)
+    place = Window.partitionBy(F.lit(1)).orderBy(F.desc("strategy_return"), F.asc_nulls_last("size"))  # one row a size
+    return out.withColumn("best", F.row_number().over(place) == 1)
+
+
 def compare_symbols(metrics: DataFrame) -> DataFrame:
     """Means over symbols, and how many beat buying and holding."""
     return metrics.agg(F.avg("total_return").alias("avg_return"), F.avg("buy_hold").alias("avg_buy_hold"), F.avg("accuracy").alias("avg_accuracy"), F.count_if(F.col("total_return") > F.col("buy_hold")).alias("outperform"), F.count(F.lit(1)).alias("symbols"))

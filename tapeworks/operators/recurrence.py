@@ -7,9 +7,12 @@ only the running values, so a series of any length takes constant memory.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -29,26 +32,36 @@ class Mean:
         return 1 / self.n if self.wilder else 2 / (self.n + 1)
 
 
+def _means(values: np.ndarray, n: int, alpha: float, state: tuple[int, float]) -> tuple[np.ndarray, tuple[int, float]]:
+    """Means (NaN before the seed) of ``values`` (NaN: null) from ``state``, and the state after them."""
+    valid = ~np.isnan(values)
+    x, (seen, y) = values[valid], state
+    out = np.full(len(x) + 1, np.nan)  # out[0]: what a null before the first value repeats
+    if seen >= n:
+        out[0] = y
+    ahead = min(max(n - seen, 0), len(x))
+    if ahead:
+        y = float(np.add.accumulate(np.concatenate(([y], x[:ahead])))[-1])
+        if seen + ahead == n:
+            y = out[ahead] = y / n
+    if len(x) > ahead:
+        carried = pd.Series(np.concatenate(([y], x[ahead:])))
+        out[ahead + 1 :] = carried.ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
+        y = float(out[-1])
+    return out[np.cumsum(valid)], (seen + len(x), y)
+
+
 def run_mean(values: list, n: int, alpha: float, state: tuple[int, float]) -> tuple[list, tuple[int, float]]:
     """Means of ``values`` from ``state`` (values seen, sum before the seed or mean after)."""
-    out = []
-    seen, y = state
-    for x in values:
-        if x is None:
-            out.append(y if seen >= n else None)
-            continue
-        seen += 1
-        if seen < n:
-            y += x
-            out.append(None)
-            continue
-        y = (y + x) / n if seen == n else (1 - alpha) * y + alpha * x
-        out.append(y)
-    return out, (seen, y)
-
-
-def ewm(df: DataFrame, means: list[Mean], keys: list[str], order: str) -> DataFrame:
-    """``df`` with a double column for each of ``means``; a null input repeats the last mean."""
+    out, state = _means(np.array(values, np.float64), n, alpha, state)
+    return [None if math.isnan(y) else y for y in out.tolist()], state
+
+
+def ewm(df: DataFrame, means: list[Mean], keys: list[str], order: str, dealt: bool = False) -> DataFrame:
+    """``df`` with a double column for each of ``means``; a null input repeats the last mean.
+
+    ``dealt``: the rows are still as an earlier call has dealt and sorted them (only narrow steps followed).
+    """
     schema = T.StructType(df.schema.fields + [T.StructField(m.out, T.DoubleType()) for m in means])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,16 +69,20 @@ def ewm(df: DataFrame, means: list[Mean], keys: list[str], order: str) -> DataFr
         for batch in batches:
             if not batch.num_rows:
                 continue
-            owners = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
-            cuts = [0, *(i for i in range(1, len(owners)) if owners[i] != owners[i - 1]), len(owners)]
-            new: list[list] = [[] for _ in means]
-            inputs = {m.source: batch.column(m.source).to_pylist() for m in means}
+            new = np.zeros(batch.num_rows - 1, bool)
+            for k in keys:
+                codes = np.asarray(batch.column(k).dictionary_encode(null_encoding="encode").indices)
+                new |= codes[1:] != codes[:-1]
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+            inputs = {m.source: batch.column(m.source).cast(pa.float64()).to_numpy(zero_copy_only=False) for m in means}
+            columns = [np.empty(batch.num_rows) for _ in means]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if owners[a] != key:
-                    key, states = owners[a], {}
-                for column, m in zip(new, means, strict=True):
-                    part, states[m.out] = run_mean(inputs[m.source][a:b], m.n, m.alpha, states.get(m.out, (0, 0.0)))
-                    column.extend(part)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.float64()) for c in new)], names=[*batch.schema.names, *(m.out for m in means)])
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+                owner = tuple(batch.column(k)[a].as_py() for k in keys)
+                if owner != key:
+                    key, states = owner, {}
+                for column, m in zip(columns, means, strict=True):
+                    column[a:b], states[m.out] = _means(inputs[m.source][a:b], m.n, m.alpha, states.get(m.out, (0, 0.0)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, from_pandas=True) for c in columns)], names=[*batch.schema.names, *(m.out for m in means)])
+
+    rows = df if dealt else df.repartition(*keys).sortWithinPartitions(*keys, order)
+    return rows.mapInArrow(run, schema)

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import backtest, bars, features, indicators, lookup, model
-from ..sources import ingest
+from ..sources import files, ingest
 from ..streaming import streams
-from .views import Views, plain, prefix
+from . import streamed
+from .views import SQL, Views, plain, prefix
 
 T = bars.TIME
 TODAY, NOW = "2024-01-31", "2024-01-31 00:00:00"
@@ -83,6 +84,14 @@ e2 as (select *, case when changed and was = 1 then price / frm * (1 - 0.001) wh
 eq as (select *, 10000 * exp(sum(ln(f)) over ({W} rows between unbounded preceding and current row)) * case when position = 1 then price / entry when position = -1 then entry / price else 1 end as equity from e2)"""
 
 
+RISK = f"""{EQUITY}, a as (select *, equity / lag(equity) over ({W}) - 1 as rt, price / lag(price) over ({W}) - 1 as m from eq),
+b as (select *, case when rt is not null then equity / max(case when rt is not null then equity end) over ({W} rows unbounded preceding) - 1 end as dd from a),
+g as (select symbol, (max_by(equity, price_timestamp) / min_by(equity, price_timestamp) - 1) * 100 as total_return, (max_by(price, price_timestamp) / min_by(price, price_timestamp) - 1) * 100 as buy_hold, avg(rt) as mu, stddev_pop(rt) as sd, stddev_pop(case when rt < 0 then rt end) as dn,
+      min(dd) * 100 as mdd, corr(rt, m) as co, avg(case when prediction = target then 1.0 else 0.0 end) as accuracy, count_if(changed) as trades, max_by(equity, price_timestamp) as final_value from b group by 1),
+rm as (select symbol, total_return, buy_hold, coalesce(sqrt(252) * mu / nullif(sd, 0), 0) as sharpe, coalesce(sqrt(252) * mu / nullif(dn, 0), 0) as sortino, coalesce(mdd, 0) as max_drawdown, coalesce(total_return / nullif(abs(mdd), 0), 0) as calmar, coalesce(co * co, 0) as r_squared, accuracy, trades, final_value from g)"""
+RISK_ROUNDED = ", ".join("trades" if c == "trades" else r(f"rm.{c}", c) for c in ("total_return", "buy_hold", "sharpe", "sortino", "max_drawdown", "calmar", "r_squared", "accuracy", "trades", "final_value"))
+
+
 def signals(v: Views) -> DataFrame:
     df = features.add_labels(indicators.averages(v.bars_hour, (20,))).where("sma_20 is not null")
     return df.select("symbol", T, F.col("close").alias("price"), "target", F.signum(F.col("close") - F.col("sma_20")).cast("int").alias("prediction"))
@@ -99,8 +108,8 @@ FRAMES = """ f0 as (select cast(license_id as varchar) as symbol, endpoint as ti
 preds as (select symbol, timeframe, case when a > b + 5 then 'Buy' when a < b - 5 then 'Sell' else 'Hold' end as prediction, (floor(b) % 100) / 100 as confidence from f0 where timeframe <> 'error')"""
 
 
-def _all_frames(v: Views) -> DataFrame:
-    return v.bars_hour.withColumn("timeframe", F.lit("hour"))
+def _all_frames(v: Views, df: DataFrame | None = None) -> DataFrame:
+    return (v.bars_hour if df is None else df).withColumn("timeframe", F.lit("hour"))
 
 
 def _indicator_frame(v: Views) -> DataFrame:
@@ -125,40 +134,72 @@ def _importance(v: Views) -> DataFrame:
     return model.feature_importance(v.spark, model.train_model(train, names), names)
 
 
-def _streamed(v: Views) -> DataFrame:
-    """Bars by a stream over the events, run to its end: the hours that its watermark has closed."""
-    import uuid
-
-    root = f"{v.spark.conf.get('spark.checkpoint.dir', None) or v.spark.sparkContext.getCheckpointDir() or _temporary(v)}/stream-{uuid.uuid4().hex}"
-    events = v.table("events")
-    source = v.spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{v.sf_dir}/events*")
-    ticks = source.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") + 100).alias("price"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("size"))
-    streams.drain(streams.stream_bars(ticks), f"{root}/out", f"{root}/check")
-    return v.spark.read.parquet(f"{root}/out")
-
-
 def _stream_bars(v: Views) -> DataFrame:
-    """Streamed bars of the days before the last."""
-    return _streamed(v).where(F.col(T) < F.lit("2024-01-30").cast("timestamp"))
-
-
-def _stream_bars_all(v: Views) -> DataFrame:
     """Streamed bars, and the hours still open at the watermark from the batch."""
-    closed = _streamed(v)
+    closed = streamed.bars(v)
     last = closed.agg(F.max(T).alias("last"))
     still_open = v.bars_hour.crossJoin(F.broadcast(last)).where(F.col("last").isNull() | (F.col(T) > F.col("last")))
     return closed.unionByName(still_open.select(*closed.columns))
 
 
-def _temporary(v: Views) -> str:
-    from ..operators.dedup import cut_lineage
+def _bars_by_csv(v: Views) -> DataFrame:
+    """Hourly bars written as CSV files and read again."""
+    path = streamed.root(v, "csv")
+    v.bars_hour.withColumnRenamed(T, "timestamp").select(*files.BAR_COLUMNS).write.csv(path, header=True)
+    return files.read_bars_csv(v.spark, path, "hour").select(*BAR_COLS)
+
+
+def _bars_by_json(v: Views) -> DataFrame:
+    """Hourly bars as a JSON array for each day, and read from it."""
+    days = v.bars_hour.groupBy("symbol", F.to_date(T).alias("day")).agg(F.to_json(F.collect_list(F.struct(*BAR_COLS))).alias("doc"))
+    return files.bars_from_json(days, "doc").select(*BAR_COLS)
+
+
+def _price_table(v: Views) -> DataFrame:
+    """Prices as text with thousands commas, every fifth hour with a date that is none."""
+    date = F.when(F.hour(T) % 5 == 0, "none").otherwise(F.date_format(T, "yyyy-MM-dd"))
+    rows = v.bars_hour.select("symbol", F.hour(T).alias("hour"), date.alias("date"), F.format_number(F.col("close") * 1000, 3).alias("close"))
+    return ingest.clean_price_table(rows, ["close"]).withColumn("date", F.col("date").cast("string"))
+
+
+def _named_files(v: Views) -> DataFrame:
+    name = F.concat(F.lit("data/sentiment_analysis_"), F.col("symbol"), F.date_format(T, "'_'yyyyMMdd'_'HHmmss"), F.lit(".json"))
+    return files.file_name_meta(v.bars_hour.withColumn("name", name), "name").select("symbol", T, "file_symbol", "file_time")
 
-    cut_lineage(v.spark.range(0).toDF("x"))
-    return v.spark.sparkContext.getCheckpointDir()
+
+def _documents(v: Views) -> DataFrame:
+    """What the JSON documents of the latest signals hold."""
+    latest = signals(v).groupBy("symbol").agg(F.max_by("prediction", T).alias("prediction"), F.lit(1.0).alias("confidence"))
+    metrics = backtest.risk_metrics(backtest.equity_curve(signals(v)))
+    docs = backtest.prediction_document(latest, metrics)
+    get = lambda path: F.get_json_object("document", f"$.{path}")
+    risks = {c: get(f"risk_metrics.{c}").cast("long" if c == "trades" else "double") for c in metrics.columns if c != "symbol"}
+    return docs.select("symbol", get("prediction.prediction").cast("int").alias("prediction"), get("prediction.confidence").cast("double").alias("confidence"), *(e.alias(c) for c, e in risks.items()))
+
+
+def _sized(v: Views) -> DataFrame:
+    def prepare(bars_of):
+        rows, names = features.feature_matrix(features.encode_symbol(features.add_labels(indicators.add_indicators(bars_of))))
+        return rows, [n for n in names if n != "close"] + ["close"]
+
+    return model.compare_sizes(v.bars_hour, prepare, kind="random_forest")
 
 
 SOURCES = {
-    "bars_from_ticks": (lambda v: v.bars_hour.select(*BAR_COLS), f"{B} select {BAR} from bars_hour"),
+    "bars_from_ticks": (
+        lambda v: bars.build_bars(v.ticks, tie=("event_id",)).select(*BAR_COLS),
+        prefix("ticks") + """, o as (select *, date_trunc('hour', ts) as h, row_number() over (partition by symbol, date_trunc('hour', ts) order by ts, event_id) as i, count(*) over (partition by symbol, date_trunc('hour', ts)) as n from ticks)
+        select symbol, cast(epoch(h) as bigint) as price_timestamp, round(max(case when i = 1 then price end), 6) as open, round(max(price), 6) as high, round(min(price), 6) as low, round(max(case when i = n then price end), 6) as close,
+        cast(sum(size) as bigint) as volume, count(*) as trade_count, round(sum(price * size) / nullif(sum(size), 0), 6) as vwap from o group by symbol, h""",
+    ),
+    "bars_by_csv": (_bars_by_csv, f"{B} select {BAR} from bars_hour"),
+    "bars_by_json": (_bars_by_json, f"{B} select {BAR} from bars_hour"),
+    "load_bars": (
+        lambda v: bars.load_bars(_all_frames(v, bars.forward_fill(v.bars_hour)), v.bars_hour.where("symbol >= 'p'"), "hour", 200).select("symbol", T, "close", "original"),
+        f"{FILLED} select symbol, {TS}, {r('close')}, original from (select *, sum(case when original then 1 else 0 end) over (partition by symbol) as n from filled where symbol >= 'p') where original or n <= 100 qualify row_number() over (partition by symbol order by price_timestamp desc) <= 200",
+    ),
+    "clean_price_table": (_price_table, f"{B} select symbol, hour(price_timestamp) as hour, strftime(price_timestamp, '%Y-%m-%d') as date, {r('round(close * 1000, 3)', 'close')} from bars_hour where hour(price_timestamp) % 5 <> 0"),
+    "file_name_meta": (_named_files, f"{B} select symbol, {TS}, symbol as file_symbol, cast(epoch(price_timestamp) as bigint) as file_time from bars_hour"),
     "bars_rollup_day": (
         lambda v: bars.rollup_bars(v.bars_hour),
         f"""{B} select symbol, cast(epoch(date_trunc('day', price_timestamp)) as bigint) as price_timestamp, {r("min_by(open, price_timestamp)", "open")}, {r("max(high)", "high")}, {r("min(low)", "low")}, {r("max_by(close, price_timestamp)", "close")},
@@ -193,7 +234,10 @@ SOURCES = {
         lambda v: bars.prefer_original(bars.forward_fill(v.bars_hour)).select("symbol", T, "close", "original"),
         f"{FILLED} select symbol, {TS}, {r('close')}, original from (select *, sum(case when original then 1 else 0 end) over (partition by symbol) as n from filled) where original or n <= 100",
     ),
-    "partition_balance": (lambda v: bars.partition_balance(v.usage_logs, 16, "license_id"), None),
+    "partition_balance": (
+        lambda v: bars.partition_balance(v.usage_logs, 16, "license_id"),
+        prefix("usage_logs") + f" select cast(concat('0x', substring(md5(cast(license_id as varchar)), 1, 8)) as bigint) % 16 as part, count(*) as n_rows, {r('count(*) / sum(count(*)) over ()', 'share')} from usage_logs group by 1",
+    ),
     "gaps": (lambda v: bars.find_gaps(v.bars_hour), f"{GAPS} select symbol, cast(epoch(gap_start) as bigint) as gap_start, cast(epoch(gap_end) as bigint) as gap_end, {r('open')}, {r('high')}, {r('low')}, {r('close')}, volume, trade_count, vwap from gaps"),
     "gap_report": (lambda v: bars.gap_report(v.bars_hour), f"{GAPS} select symbol, count(*) as gaps, cast(sum({POINTS}) as bigint) as points from gaps group by 1"),
     "forward_fill": (lambda v: bars.forward_fill(v.bars_hour), f"{FILLED} select {BAR}, original from filled"),
@@ -211,6 +255,10 @@ SOURCES = {
         lambda v: ingest.with_reasons(v.bars_hour.withColumn("volume", F.col("volume") - 60), ingest.bar_rules()).select("symbol", T, F.array_join("reasons", ";").alias("reasons")),
         f"{B} select symbol, {TS}, case when volume - 60 < 0 then 'volume >= 0' else '' end as reasons from bars_hour",
     ),
+    "quarantine_analyses": (
+        lambda v: ingest.with_reasons(v.industry_analyses.withColumns({"overall_sentiment": F.col("overall_sentiment") * 1.5, "confidence_score": F.when(F.col("id") % 7 > 0, F.col("confidence_score") * 2)}), ingest.analysis_rules()).select("id", F.array_join("reasons", ";").alias("reasons")),
+        prefix("industry_analyses") + """ select id, concat_ws(';', case when abs(overall_sentiment * 1.5) > 1 then '-1 <= overall_sentiment <= 1' end, case when id % 7 > 0 and confidence_score * 2 > 1 then '0 <= confidence_score <= 1' end) as reasons from industry_analyses""",
+    ),
     "missing_symbols": (
         lambda v: ingest.missing_symbols(v.companies, v.companies.where("days_old <= 30"), v.companies.where("days_old > 45")),
         prefix("companies") + " select symbol from companies where days_old > 30 and days_old <= 45",
@@ -247,6 +295,10 @@ SOURCES = {
         lambda v: indicators.price_features(v.bars_hour).select("symbol", T, "price_change", "high_low_pct", "close_open_pct"),
         f"{B} select symbol, {TS}, {r(f'close / lag(close) over ({W}) - 1', 'price_change')}, {r('(high - low) / close', 'high_low_pct')}, {r('(close - open) / open', 'close_open_pct')} from bars_hour",
     ),
+    "close_ratios": (
+        lambda v: indicators.close_ratios(indicators.averages(v.bars_hour)).select("symbol", T, "close_sma20_ratio", "close_sma50_ratio"),
+        f"{B}, m as (select *, {_mean(20)} as a, {_mean(50)} as b from bars_hour) select symbol, {TS}, {r('close / a', 'close_sma20_ratio')}, {r('close / b', 'close_sma50_ratio')} from m",
+    ),
     "volume_features": (
         lambda v: indicators.volume_features(v.bars_hour).select("symbol", T, "volume_sma", "volume_ratio"),
         f"{B}, m as (select *, {_mean(20, 'volume')} as s from bars_hour) select symbol, {TS}, {r('s', 'volume_sma')}, {r('volume / nullif(s, 0)', 'volume_ratio')} from m",
@@ -290,6 +342,15 @@ SOURCES = {
         lambda v: features.kept_report(indicators.averages(v.bars_hour), ["sma_50", "vwap"]),
         f"{B}, m as (select *, {_mean(50)} as sma_50 from bars_hour) select symbol, count_if(sma_50 is not null and vwap is not null) as kept, count_if(sma_50 is null or vwap is null) as dropped from m group by 1",
     ),
+    "pipeline_report": (
+        lambda v: features.pipeline_report(indicators.averages(v.bars_hour), ["sma_50", "vwap"]),
+        f"""{LABELS}, m as (select *, {_mean(50)} as sma_50 from bars_hour), a as (select symbol, count(*) as loaded, min(price_timestamp) as t0, max(price_timestamp) as t1 from bars_hour group by 1),
+        b as (select symbol, count(*) as labelled, count_if(target = -1) as sell, count_if(target = 0) as hold, count_if(target = 1) as buy from lab group by 1),
+        c as (select lab.symbol, lab.price_timestamp as t, row_number() over (partition by lab.symbol order by lab.price_timestamp) <= floor(count(*) over (partition by lab.symbol) * 0.8::double) as is_train from lab join m using (symbol, price_timestamp) where sma_50 is not null and m.vwap is not null),
+        d as (select symbol, count(*) as complete, count_if(is_train) as train, min(case when is_train then t end) as a0, max(case when is_train then t end) as a1, count_if(not is_train) as validation, min(case when not is_train then t end) as v0, max(case when not is_train then t end) as v1 from c group by 1)
+        select symbol, loaded, cast(epoch(t0) as bigint) as first_ts, cast(epoch(t1) as bigint) as last_ts, coalesce(labelled, 0) as labelled, coalesce(sell, 0) as sell, coalesce(hold, 0) as hold, coalesce(buy, 0) as buy, coalesce(complete, 0) as complete, coalesce(train, 0) as train,
+        cast(epoch(a0) as bigint) as train_start, cast(epoch(a1) as bigint) as train_end, coalesce(validation, 0) as validation, cast(epoch(v0) as bigint) as validation_start, cast(epoch(v1) as bigint) as validation_end from a left join b using (symbol) left join d using (symbol)""",
+    ),
     "require_rows": (lambda v: features.require_rows(v.ticks, 1990).select("symbol", "event_id"), prefix("ticks") + " select symbol, event_id from ticks where symbol in (select symbol from ticks group by 1 having count(*) >= 1990)"),
     "temporal_split": (
         lambda v: features.temporal_split(v.bars_hour).select("symbol", T, "part"),
@@ -318,11 +379,15 @@ SOURCES = {
     "equity_curve": (lambda v: backtest.equity_curve(signals(v)).select("symbol", T, "equity"), f"{EQUITY} select symbol, {TS}, {r('equity')} from eq"),
     "risk_metrics": (
         lambda v: backtest.risk_metrics(backtest.equity_curve(signals(v))),
-        f"""{EQUITY}, a as (select *, equity / lag(equity) over ({W}) - 1 as rt, price / lag(price) over ({W}) - 1 as m from eq),
-        b as (select *, case when rt is not null then equity / max(case when rt is not null then equity end) over ({W} rows unbounded preceding) - 1 end as dd from a),
-        g as (select symbol, (max_by(equity, price_timestamp) / min_by(equity, price_timestamp) - 1) * 100 as total_return, (max_by(price, price_timestamp) / min_by(price, price_timestamp) - 1) * 100 as buy_hold, avg(rt) as mu, stddev_pop(rt) as sd, stddev_pop(case when rt < 0 then rt end) as dn,
-              min(dd) * 100 as mdd, corr(rt, m) as co, avg(case when prediction = target then 1.0 else 0.0 end) as accuracy, count_if(changed) as trades, max_by(equity, price_timestamp) as final_value from b group by 1)
-        select symbol, {r("total_return")}, {r("buy_hold")}, {r("coalesce(sqrt(252) * mu / nullif(sd, 0), 0)", "sharpe")}, {r("coalesce(sqrt(252) * mu / nullif(dn, 0), 0)", "sortino")}, {r("coalesce(mdd, 0)", "max_drawdown")}, {r("coalesce(total_return / nullif(abs(mdd), 0), 0)", "calmar")}, {r("coalesce(co * co, 0)", "r_squared")}, {r("accuracy")}, trades, {r("final_value")} from g""",
+        f"{RISK} select symbol, {RISK_ROUNDED} from rm",
+    ),
+    "compare_symbols": (
+        lambda v: model.compare_symbols(backtest.risk_metrics(backtest.equity_curve(signals(v)))),
+        f"{RISK} select {r('avg(total_return)', 'avg_return')}, {r('avg(buy_hold)', 'avg_buy_hold')}, {r('avg(accuracy)', 'avg_accuracy')}, count_if(total_return > buy_hold) as outperform, count(*) as symbols from rm",
+    ),
+    "signal_accuracy": (
+        lambda v: model.accuracy(signals(v).withColumnRenamed("prediction", "predicted"), ["symbol"]),
+        f"{SIGNALS} select symbol, {r('avg(case when prediction = target then 1.0 else 0.0 end)', 'accuracy')}, count(*) as n from sig group by 1",
     ),
     "prediction_distribution": (
         lambda v: features.label_distribution(signals(v), None, "prediction"),
@@ -337,17 +402,24 @@ SOURCES = {
     ),
     "batch_summary": (
         lambda v: backtest.batch_summary(_timeframes(v), backtest.risk_metrics(backtest.equity_curve(signals(v)))),
-        None,
+        f"""{RISK}, usage_logs as ({SQL["usage_logs"]}),{FRAMES}, x as (select count(*) as total, count_if(prediction is null) as failed, count_if(prediction = 'Buy') as buy, count_if(prediction = 'Hold') as hold, count_if(prediction = 'Sell') as sell, {r("avg(confidence)", "avg_confidence")}, count_if(confidence > 0.7) as confident from preds),
+        y as (select {r("avg(sharpe)", "avg_sharpe")}, {r("avg(abs(max_drawdown))", "avg_drawdown")}, {r("avg(total_return)", "avg_return")} from rm) select * from x, y""",
+    ),
+    "prediction_documents": (
+        _documents,
+        f"{RISK}, z as (select symbol, max_by(prediction, price_timestamp) as prediction, 1.0::double as confidence from sig group by 1) select z.symbol, z.prediction, z.confidence, {RISK_ROUNDED} from z join rm on rm.symbol = z.symbol",
     ),
-    "prediction_documents": (lambda v: backtest.prediction_document(signals(v).groupBy("symbol").agg(F.max_by("prediction", T).alias("prediction"), F.lit(1.0).alias("confidence")), backtest.risk_metrics(backtest.equity_curve(signals(v)))), None),
     "train_forest": (lambda v: _predict(v, "random_forest"), None),
     "train_boosted": (lambda v: _predict(v, "boosted"), None),
     "feature_importance": (_importance, None),
-    "stream_bars": (
-        _stream_bars,
-        f"{B} select symbol, {TS}, {r('open')}, {r('high')}, {r('low')}, {r('close')}, volume, trade_count from bars_hour where price_timestamp < timestamp '2024-01-30'",
-    ),
-    "stream_bars_all": (_stream_bars_all, f"{B} select symbol, {TS}, {r('open')}, {r('high')}, {r('low')}, {r('close')}, volume, trade_count from bars_hour"),
+    "compare_sizes": (_sized, None),
+    "stream_unique_bars": (lambda v: streamed.unique_bars(v), prefix("ticks") + " select symbol, cast(floor(epoch(ts)) as bigint) as price_timestamp from (select distinct symbol, ts from ticks)"),
+    "stream_latest_quotes": (
+        lambda v: streamed.latest_quotes(v),
+        prefix("ticks") + f" select symbol, cast(floor(epoch(ts)) as bigint) as ts, {r('price')}, event_id as priority from ticks qualify row_number() over (partition by symbol order by ts desc, event_id) = 1",
+    ),
+    "stream_bars": (_stream_bars, f"{B} select symbol, {TS}, {r('open')}, {r('high')}, {r('low')}, {r('close')}, volume, trade_count from bars_hour"),
+    "stream_bars_all": (_stream_bars, f"{B} select symbol, {TS}, {r('open')}, {r('high')}, {r('low')}, {r('close')}, volume, trade_count from bars_hour"),
 }
 
 

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import chunks, sentiment, text
 from ..operators import articles, companies, dedup, lookup, usage
-from ..sources import files
+from ..sources import files, ingest
+from . import streamed
 from .views import Views, prefix
 
 A = prefix("articles")
 NOW = "2024-01-31 00:00:00"
-#: A lexicon of frequent syllables: the test articles are invented words.
-SYLLABLES = {"on": 0.5, "er": -0.4, "th": 0.1, "de": 0.3, "qu": -0.6}
+#: The lexicon, and frequent syllables, for the test articles are invented words.
+WORDS = sentiment.LEXICON | {"on": 0.5, "er": -0.4, "th": 0.1, "de": 0.3, "qu": -0.6}
 
 
 def _now():
@@ -44,7 +45,8 @@ _TITLE = "case when contains(text, '.') then split_part(text, '.', 1) else subst
 
 
 def _lexicon_sql() -> str:
-    return " + ".join(f"case when contains(low, '{p}') then {w * 0.8!r}::double else 0.0 end" for p, w in SYLLABLES.items())
+    quoted = ((p.replace("'", "''"), w) for p, w in WORDS.items())
+    return " + ".join(f"case when contains(low, '{p}') then {w * 0.8!r}::double else 0.0::double end" for p, w in quoted)
 
 
 def _weighted_sql(groups) -> str:
@@ -80,16 +82,17 @@ def _calibrated(v: Views) -> DataFrame:
 
 
 def _combined(v: Views) -> DataFrame:
-    p, c = sentiment.combine_lexicon(F.lit(0.05), F.lit(0.5), sentiment.lexicon_score(F.col("text"), SYLLABLES) + sentiment.boost_score(F.col("text")))
+    p, c = sentiment.combine_lexicon(F.lit(0.05), F.lit(0.5), sentiment.lexicon_score(F.col("text"), WORDS) + sentiment.boost_score(F.col("text")))
     return v.articles.select("article_id", p.alias("polarity"), c.alias("compound"))
 
 
 def _enriched(v: Views) -> DataFrame:
-    rows = v.articles.withColumn("extracted", F.when(F.col("article_id") % 3 == 0, F.substring("text", 1, 300)))
-    return text.enrich(rows.withColumn("text", F.substring("text", 1, 120)))
+    """Whole articles with the whole text of the next one as what was extracted."""
+    following = v.articles.select((F.col("article_id") - 1).alias("article_id"), F.col("text").alias("extracted"))
+    return text.enrich(v.articles.join(following, "article_id", "left"))
 
 
-_ENRICHED = f"{A}, e as (select article_id, symbol, source, substring(text, 1, 120) as text, case when article_id % 3 = 0 then substring(text, 1, 300) end as extracted from articles), x as (select *, coalesce(length(text), 0) as la, coalesce(length(extracted), 0) as lb from e)"
+_ENRICHED = f"{A}, e as (select a.article_id, a.symbol, a.source, a.text, b.text as extracted from articles a left join articles b on b.article_id = a.article_id + 1), x as (select *, coalesce(length(text), 0) as la, coalesce(length(extracted), 0) as lb from e)"
 
 
 def _enriched_whole(v: Views) -> DataFrame:
@@ -100,15 +103,64 @@ def _enriched_whole(v: Views) -> DataFrame:
 
 def _pages_text(v: Views) -> DataFrame:
     """page_id and the text that extraction finds."""
-    return v.table("pages").repartition(8).select("page_id", "url", chunks.extract_article(F.col("html")).alias("text"))
+    return v.table("pages").select("page_id", "url", chunks.extract_article(F.col("html")).alias("text"))
 
 
 def _redirects(v: Views) -> DataFrame:
     link = F.concat(F.lit("https://www.reuters.com/markets/companies/"), F.col("symbol"))
     code = F.translate(F.regexp_replace(F.base64(link.cast("binary")), "=", ""), "+/", "-_")
+    code = F.when(F.col("days_old") % 2 == 0, F.concat(F.lit("CBM"), code)).otherwise(code)
     return v.companies.select("symbol", text.decode_redirect_url(F.concat(F.lit("https://news.google.com/rss/articles/"), code, F.lit("?oc=5"))).alias("decoded"))
 
 
+def _listing(v: Views) -> DataFrame:
+    """Articles as a listing has them: relative, absolute and other URLs."""
+    path = F.concat(F.lit("news/"), F.col("article_id").cast("string"))
+    kind = F.pmod(F.col("article_id"), F.lit(3))
+    url = F.when(kind == 0, F.concat(F.lit("/"), path)).when(kind == 1, F.concat(F.lit("https://h.example/"), path)).otherwise(F.concat(F.lit("ftp:"), path))
+    rows = v.articles.select("article_id", url.alias("url"), text.title_of(F.col("text")).alias("title"), F.col("text").alias("summary"))
+    return text.normalize_listing(rows, "https://base.example").select("article_id", "url", F.sha2("title", 256).alias("title"), "summary")
+
+
+def _published(v: Views) -> DataFrame:
+    """Times of requests written in six formats, and read."""
+    t = F.col("request_timestamp")
+    zone = {0: "yyyy-MM-dd'T'HH:mm:ss'Z'", 1: "yyyy-MM-dd'T'HH:mm:ss", 2: "yyyy-MM-dd HH:mm:ss", 3: "yyyyMMdd'T'HHmmss", 4: "EEE, d MMM yyyy HH:mm:ss 'GMT'", 5: "yyyy-MM-dd"}
+    said = F.when(F.col("log_id") % 7 == 6, "not a time")
+    for i, form in zone.items():
+        said = said.when(F.col("log_id") % 7 == i, F.date_format(t, form))
+    return v.usage_logs.select("log_id", text.parse_published(said).alias("published"))
+
+
+def _routed(v: Views) -> DataFrame:
+    """Articles, some with a consent phrase before their text, some of the title only."""
+    kind = F.pmod(F.col("article_id"), F.lit(4))
+    said = F.when(kind == 0, F.concat(F.lit("Stock quote soars. "), F.col("text"))).when(kind == 1, F.concat(F.lit("Maker falls short. "), text.title_of(F.col("text")))).otherwise(F.col("text"))
+    rows = articles.score_articles(v.articles.withColumn("text", said), lambda c: sentiment.lexicon_score(c, WORDS))
+    return rows.select("article_id", "compound", "scored_by")
+
+
+_ROUTED = rf"""{A}, s as (select article_id, case article_id % 4 when 0 then 'Stock quote soars. ' || text when 1 then 'Maker falls short. ' || {_TITLE} else text end as said from articles),
+c as (select article_id, trim(substring(regexp_replace(regexp_replace(said, 'https?://[^ 	
+]+', '', 'g'), '[ 	
+]+', ' ', 'g'), 1, 512)) as clean from s),
+d as (select *, lower(clean) as low, {_contains("lower(clean)", sentiment.CONSENT)} as consent from c),
+e as (select *, lower(case when consent then substring(clean, 1, 100) when contains(clean, '.') then split_part(clean, '.', 1) else clean end) as t from d),
+f as (select *, case when abs({_TITLE_SCORE}) >= 0.1 then {_TITLE_SCORE} else {_TITLE_WEAK} end as ts, {_lexicon_sql()} as main from e),
+g as (select *, (length(clean) < 300 or consent) and abs(ts) > 0.1 as by_title from f)
+select article_id, {r("case when by_title then ts else main end", "compound")}, case when by_title then 'title' else 'main' end as scored_by from g"""
+
+
+def _symbol_tables(v: Views) -> dict[str, DataFrame]:
+    return {s: v.articles.where(F.col("symbol") == s).select("url", "article_id") for s in ("S0", "S1", "S2")}
+
+
+def _bad_articles(v: Views) -> DataFrame:
+    """Articles with scores half as large again, and what is wrong with them."""
+    rows = scored(v).withColumns({"compound": F.col("compound") * 1.5, "title": F.when(F.col("article_id") % 5 > 0, text.title_of(F.col("text"))), "url_hash": F.when(F.col("article_id") % 11 > 0, text.url_hash(F.col("url")))})
+    return ingest.with_reasons(rows, ingest.article_rules()).select("article_id", F.array_join("reasons", ";").alias("reasons"))
+
+
 def _analyses(v: Views) -> DataFrame:
     return v.articles.select("symbol", F.col("article_id").alias("id"), (_now() - F.make_dt_interval(hours=F.pmod(F.col("article_id"), F.lit(97)).cast("int"))).alias("created_at"))
 
@@ -130,11 +182,26 @@ _JACCARD_WORDS = r"list_distinct(list_filter(string_split(lower(trim(regexp_repl
 _SETS = f"{A}, t as (select article_id, symbol, {_TITLE} as title from articles), w as (select article_id, symbol, list_sort({_JACCARD_WORDS}) as w from t), f as (select symbol, w, min(article_id) as first from w where len(w) > 0 group by 1, 2)"
 _PAIRS = f"{_SETS}, p as (select x.symbol, x.first as a, y.first as b, len(list_intersect(x.w, y.w)) as i, len(x.w) as nx, len(y.w) as ny from f x join f y on x.symbol = y.symbol and x.first < y.first), q as (select symbol, a, b, i / (nx + ny - i) as similarity from p where i / (nx + ny - i) > 0.8)"
 
+def _kept_sql(threshold: float) -> str:
+    """Titles kept one by one: each is compared with all that stay before it."""
+    both = "len(list_intersect(e, v.w))"
+    return f"""{_SETS}, v as (select *, row_number() over (partition by symbol order by article_id) as rn from w),
+    k as (select symbol, rn, article_id, [w] as stay, true as kept from v where rn = 1
+     union all select symbol, rn, article_id, case when near then stay else list_append(stay, w) end, not near
+     from (select v.symbol, v.rn, v.article_id, v.w, k.stay, len(list_filter(k.stay, lambda e: len(e) > 0 and len(v.w) > 0 and {both} / (len(e) + len(v.w) - {both}) > {threshold})) > 0 as near from k join v on v.symbol = k.symbol and v.rn = k.rn + 1))
+    select article_id from k where kept"""
+
+
+_URL_OR_TITLE = f"""{A}, t as (select article_id, symbol, url, lower({_TITLE}) as title from articles), v as (select article_id, symbol, list_filter([case when url <> '' then 'u' || url end, case when title <> '' then 't' || title end], lambda x: x is not null) as vals, row_number() over (partition by symbol order by article_id) as rn from t),
+k as (select symbol, rn, article_id, vals as taken, true as kept from v where rn = 1
+ union all select v.symbol, v.rn, v.article_id, case when list_has_any(k.taken, v.vals) then k.taken else list_concat(k.taken, v.vals) end, not list_has_any(k.taken, v.vals) from k join v on v.symbol = k.symbol and v.rn = k.rn + 1)
+select article_id from k where kept"""
+
 SOURCES = {
     "clean_text": (lambda v: v.articles.select("article_id", F.sha2(text.clean_text(F.col("text")), 256).alias("digest")), f"{A} select article_id, sha256({_CLEAN}) as digest from articles"),
     "strip_markup": (
-        lambda v: v.table("pages").select("page_id", F.length(text.strip_markup(F.col("html"))).cast("long").alias("n")),
-        r"select page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\[[^\]]*\]', '', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g'))) as n from pages",
+        lambda v: v.table("pages").select("page_id", text.strip_markup(F.col("html")).alias("t")).select("page_id", F.length("t").cast("long").alias("n"), F.sha2("t", 256).alias("digest")),
+        r"select page_id, length(t) as n, sha256(t) as digest from (select page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\[[^\]]*\]', '', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g')) as t from pages)",
     ),
     "clean_for_analysis": (
         lambda v: v.articles.select("article_id", text.clean_for_analysis(F.col("text")).alias("clean")),
@@ -166,7 +233,34 @@ SOURCES = {
         f"{A} select article_id, exists (select 1 from articles b where b.article_id % 2 = 0 and b.symbol = a.symbol and b.url = a.url) as known from articles a",
     ),
     "decode_redirect_url": (_redirects, prefix("companies") + " select symbol, 'https://www.reuters.com/markets/companies/' || symbol as decoded from companies"),
-    "truncate_sentences": (lambda v: v.articles.select("article_id", text.truncate_sentences(F.col("text"), 300).alias("cut")), None),
+    "truncate_sentences": (
+        lambda v: v.articles.select("article_id", text.truncate_sentences(F.col("text"), 300).alias("cut")),
+        f"""{A}, p as (select article_id, unnest(string_split(text, '. ')) as s, generate_subscripts(string_split(text, '. '), 1) as i from articles), c as (select *, sum(length(s) + 2) over (partition by article_id order by i) as upto from p),
+        m as (select article_id, min(case when upto > 300 then i end) as stop from c group by 1), k as (select c.article_id, string_agg(s || '. ', '' order by i) as t from c join m on m.article_id = c.article_id where stop is null or i < stop group by 1)
+        select a.article_id, case when text is null or length(text) <= 300 then text else trim(coalesce(t, '')) || '...' end as cut from articles a left join k on k.article_id = a.article_id""",
+    ),
+    "parse_published": (
+        _published,
+        prefix("usage_logs") + """ select log_id, case when log_id % 7 = 6 then null when log_id % 7 = 5 then cast(epoch(date_trunc('day', request_timestamp)) as bigint) else cast(floor(epoch(request_timestamp)) as bigint) end as published from usage_logs""",
+    ),
+    "normalize_listing": (
+        _listing,
+        f"""{A}, t as (select *, {_TITLE} as title from articles) select article_id, case article_id % 3 when 0 then 'https://base.example/news/' else 'https://h.example/news/' end || article_id as url, sha256(title) as title,
+        case when length(text) > 20 then substring(text, 1, 200) end as summary from t where article_id % 3 < 2 and length(title) >= 15""",
+    ),
+    "quarantine_articles": (
+        _bad_articles,
+        f"""{SCORED} select article_id, concat_ws(';', case when abs(compound * 1.5) > 1 then '-1 <= compound <= 1' end, case when article_id % 5 = 0 or text is null then 'title' end, case when article_id % 11 = 0 then 'url_hash' end) as reasons from s""",
+    ),
+    "sources": (lambda v: articles.sources(v.articles), f"{A} select distinct source from articles where source is not null"),
+    "union_symbol_tables": (lambda v: files.union_symbol_tables(_symbol_tables(v)), f"{A} select symbol, sha256(url) as url_hash, url, min(article_id) as article_id from articles where symbol in ('S0', 'S1', 'S2') group by symbol, url"),
+    "union_report": (lambda v: files.union_report(_symbol_tables(v)), f"{A} select symbol, count(*) as n_rows, count(distinct url) as n_kept, count(*) - count(distinct url) as duplicates from articles where symbol in ('S0', 'S1', 'S2') group by 1"),
+    "stream_articles": (lambda v: streamed.articles(v, lambda c: sentiment.lexicon_score(c, WORDS), NOW).select("symbol", "url_hash"), f"{A} select distinct symbol, sha256(url) as url_hash from articles"),
+    "stream_usage": (
+        lambda v: streamed.usage(v),
+        prefix("usage_logs") + " select license_id, cast(epoch(time_bucket(interval 5 minutes, request_timestamp)) as bigint) - 300 * k as window_start, count(*) as calls from usage_logs, unnest(range(12)) as u(k) group by 1, 2",
+    ),
+    "score_articles": (_routed, _ROUTED),
     "enrich_articles": (
         lambda v: _enriched(v).select("article_id", F.length("full_text").cast("long").alias("n"), "extraction_successful", "enhancement_ratio"),
         f"{_ENRICHED} select article_id, cast(case when lb > la then la + 1 + lb else la end as bigint) as n, lb > 100 as extraction_successful, round(100.0::double * lb / greatest(1, la), 1) as enhancement_ratio from x",
@@ -177,7 +271,7 @@ SOURCES = {
         lambda v: v.articles.select("article_id", sentiment.title_score(text.title_of(F.col("text"))).alias("score")),
         f"{A}, t as (select article_id, lower({_TITLE}) as t from articles) select article_id, {r(f'case when abs({_TITLE_SCORE}) >= 0.1 then {_TITLE_SCORE} else {_TITLE_WEAK} end', 'score')} from t",
     ),
-    "lexicon_score": (lambda v: v.articles.select("article_id", sentiment.lexicon_score(F.col("text"), SYLLABLES).alias("score")), f"{A}, {_ARTICLE} select article_id, {r(_lexicon_sql(), 'score')} from a"),
+    "lexicon_score": (lambda v: v.articles.select("article_id", sentiment.lexicon_score(F.col("text"), WORDS).alias("score")), f"{A}, {_ARTICLE} select article_id, {r(_lexicon_sql(), 'score')} from a"),
     "boost_score": (lambda v: v.articles.select("article_id", sentiment.boost_score(F.col("text")).alias("score")), f"{A}, {_ARTICLE} select article_id, {r(_BOOST, 'score')} from a"),
     "combine_lexicon": (
         _combined,
@@ -196,26 +290,28 @@ SOURCES = {
         lambda v: articles.filter_articles(scored(v).withColumn("label", sentiment.sentiment_label(F.col("compound"))), "positive", "src1").select("article_id"),
         f"{SCORED} select article_id from s where compound > 0.05 and source = 'src1'",
     ),
-    "chunk_text": (lambda v: v.articles.select("article_id", F.size(chunks.chunk_text(F.col("text"))).alias("n_chunks")), None),
-    "score_long": (lambda v: chunks.score_long(v.articles, "article_id", "text", lambda c: sentiment.lexicon_score(c, SYLLABLES)), None),
+    "chunk_text": (lambda v: v.articles.select("article_id", chunks.chunk_text(F.col("text")).alias("c")).select("article_id", F.size("c").alias("n_chunks"), F.sha2(F.array_join("c", "\n"), 256).alias("digest")), None),
+    "score_long": (lambda v: chunks.score_long(v.articles, "article_id", "text", lambda c: sentiment.lexicon_score(c, WORDS)), None),
     "extract_article": (_pages_text, None),
-    "find_passages": (lambda v: chunks.find_passages(v.table("pages"), v.articles.select("symbol").distinct().withColumn("common_name", F.lit("The")), "page_id", "html", ("on", "th")), None),
+    "find_passages": (lambda v: chunks.find_passages(v.table("pages"), v.articles.select("symbol").distinct().withColumn("common_name", F.lit("The")), "page_id", "html", (*text.PASSAGE, "on", "th")), None),
     "dedupe_url": (
         lambda v: dedup.dedupe_by_key(v.articles.withColumn("url_hash", text.url_hash(F.col("url"))), ["symbol", "url_hash"], "article_id").select("article_id", "symbol"),
         f"{A} select min(article_id) as article_id, symbol from articles group by symbol, url",
     ),
     "duplicate_report": (lambda v: dedup.duplicate_report(v.articles, ["symbol", "url"], "symbol"), f"{A} select symbol, count(*) as total, count(distinct url) as new, count(*) - count(distinct url) as duplicates from articles group by 1"),
     "near_duplicates": (lambda v: dedup.similar_pairs(v.articles.withColumn("w", dedup.title_words(text.title_of(F.col("text")))), "symbol", "article_id", "w"), f"{_PAIRS} select symbol, a, b, {r('similarity')} from q"),
+    "near_duplicates_lsh": (lambda v: dedup.similar_pairs_lsh(v.articles.withColumn("w", dedup.title_words(text.title_of(F.col("text")))), "symbol", "article_id", "w"), f"{_PAIRS} select symbol, a, b, {r('similarity')} from q"),
     "near_duplicate_classes": (
         lambda v: dedup.title_classes(v.articles.withColumn("w", dedup.title_words(text.title_of(F.col("text")))), "symbol", "article_id", "w"),
         f"""{_PAIRS}, e as (select w.article_id, w.symbol, coalesce(f.first, w.article_id) as class_id from w left join f on w.symbol = f.symbol and w.w = f.w),
         d as (select id, count(*) as links from (select a as id from q union all select b as id from q) group by 1)
         select article_id, symbol, class_id, coalesce(links, 0)::bigint as links from e left join d on id = class_id""",
     ),
-    "near_duplicates_kept": (lambda v: dedup.dedupe_similar_titles(v.articles, "symbol", "article_id", text.title_of(F.col("text"))).select("article_id"), None),
-    "dedupe_url_or_title": (lambda v: dedup.dedupe_url_or_title(v.articles, "symbol", "article_id", "url", text.title_of(F.col("text"))).select("article_id"), None),
+    "near_duplicates_kept": (lambda v: dedup.dedupe_similar_titles(v.articles, "symbol", "article_id", text.title_of(F.col("text"))).select("article_id"), _kept_sql(0.8)),
+    "near_duplicates_kept_loose": (lambda v: dedup.dedupe_similar_titles(v.articles, "symbol", "article_id", text.title_of(F.col("text")), 0.7).select("article_id"), _kept_sql(0.7)),
+    "dedupe_url_or_title": (lambda v: dedup.dedupe_url_or_title(v.articles, "symbol", "article_id", "url", text.title_of(F.col("text"))).select("article_id"), _URL_OR_TITLE),
     "score_distinct": (
-        lambda v: dedup.score_distinct(v.articles, "text", lambda c: sentiment.lexicon_score(c, SYLLABLES)).select("article_id", "score"),
+        lambda v: dedup.score_distinct(v.articles, "text", lambda c: sentiment.lexicon_score(c, WORDS)).select("article_id", "score"),
         f"{A}, {_ARTICLE} select article_id, {r(_lexicon_sql(), 'score')} from a",
     ),
     "sentiment_summary": (
@@ -267,6 +363,7 @@ SOURCES = {
         lambda v: companies.companies_by_industry(v.companies).select("industry", "n", F.array_join("symbols", ",").alias("symbols"), F.md5(F.array_join("names", ",")).alias("names"), "avg_days"),
         prefix("companies") + f" select industry, count(*) as n, string_agg(symbol, ',' order by symbol) as symbols, md5(string_agg(company_name, ',' order by symbol)) as names, {r('avg(days_old)', 'avg_days')} from companies group by 1",
     ),
+    "display_names": (lambda v: companies.display_names(v.companies), prefix("companies") + " select symbol, company_name || ' (' || symbol || ')' as label from companies"),
     "company_status": (lambda v: companies.company_status(v.companies).select("symbol", "status"), prefix("companies") + " select symbol, case when days_old > 30 then 'NEEDS_UPDATE' when days_old > 14 then 'AGING' else 'FRESH' end as status from companies"),
     "companies_to_refresh": (lambda v: companies.companies_to_refresh(v.companies).select("symbol", "days_old"), prefix("companies") + " select symbol, days_old from companies where days_old > 30"),
     "company_upsert": (

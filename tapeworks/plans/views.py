@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 SQL = {
     "ticks": "select event_type as symbol, ts, event_id, 100 + value as price, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as size from events",
-    "bars_hour": "select symbol, date_trunc('hour', ts) as price_timestamp, min_by(price, ts) as open, max(price) as high, min(price) as low, max_by(price, ts) as close, cast(sum(size) as bigint) as volume, count(*) as trade_count, round(sum(price*size)/nullif(sum(size),0),6) as vwap, true as original from ticks group by 1,2",
+    "bars_hour": "select symbol, date_trunc('hour', ts) as price_timestamp, min_by(price, (ts, event_id)) as open, max(price) as high, min(price) as low, max_by(price, (ts, event_id)) as close, cast(sum(size) as bigint) as volume, count(*) as trade_count, round(sum(price*size)/nullif(sum(size),0),6) as vwap, true as original from ticks group by 1,2",
     "articles": "select doc_id as article_id, concat('S', cast(cast(floor(doc_id/3) as bigint) % 10 as varchar(10))) as symbol, source, text, concat('https://news.example/', source, '/', md5(substring(text,1,60))) as url, n_chars as text_length from documents",
     "companies": "select concat('P', cast(p_partkey as varchar(12))) as symbol, p_name as company_name, p_brand as common_name, p_type as industry, p_size as days_old from part",
     "tiers": "select n_nationkey as tier_id, n_name as tier_name, n_nationkey % 4 as max_calls_per_hour, n_nationkey % 6 as max_calls_per_day from nation",

@@ -53,12 +53,23 @@ def read_analysis_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
 
 
 def union_symbol_tables(tables: dict[str, DataFrame]) -> DataFrame:
-    """One article table from one for each symbol; equal (url_hash, symbol) once."""
+    """One article table from one for each symbol; of equal (url_hash, symbol) the first row by its values."""
     out = None
     for symbol, df in tables.items():
         df = df.withColumns({"symbol": F.lit(symbol), "url_hash": F.sha2("url", 256)})
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out.dropDuplicates(["symbol", "url_hash"])
+    rest = [c for c in out.columns if c not in ("symbol", "url_hash")]
+    first = F.min(F.struct(*(c for c in rest if not out.schema[c].dataType.typeName() == "map"))).alias("row")
+    return out.groupBy("symbol", "url_hash").agg(first).select("symbol", "url_hash", "row.*")
+
+
+def union_report(tables: dict[str, DataFrame]) -> DataFrame:
+    """symbol, rows that its table has, different ones, and duplicates, for each of ``tables``."""
+    out = None
+    for symbol, df in tables.items():
+        n = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.sha2("url", 256)).alias("n_kept")).select(F.lit(symbol).alias("symbol"), "*")
+        out = n if out is None else out.union(n)
+    return out.withColumn("duplicates", F.col("n_rows") - F.col("n_kept"))
 
 
 def summary_wide(articles: DataFrame, sources: list[str]) -> DataFrame:

@@ -43,6 +43,22 @@ def bar_rules() -> dict[str, Column]:
     return rules | {"volume >= 0": F.coalesce(F.col("volume") >= 0, F.lit(True)), "symbol": F.col("symbol").isNotNull(), "time": F.col("price_timestamp").isNotNull()}
 
 
+def between_rule(column: str, low: float, high: float, required: bool = False) -> dict[str, Column]:
+    """The rule that ``column`` is from ``low`` to ``high``; a null is good unless ``required``."""
+    return {f"{low:g} <= {column} <= {high:g}": F.coalesce(F.col(column).between(low, high), F.lit(not required) & F.col(column).isNull())}
+
+
+def article_rules() -> dict[str, Column]:
+    """Rules of articles: scores from -1 to 1, symbol, title and url hash not null."""
+    rules = between_rule("polarity", -1, 1) | between_rule("compound", -1, 1)
+    return rules | {c: F.col(c).isNotNull() for c in ("symbol", "title", "url_hash")}
+
+
+def analysis_rules() -> dict[str, Column]:
+    """Rules of industry analyses: score from -1 to 1, confidence from 0 to 1, names not null."""
+    return between_rule("overall_sentiment", -1, 1) | between_rule("confidence_score", 0, 1) | {c: F.col(c).isNotNull() for c in ("industry", "company_symbol")}
+
+
 def with_reasons(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """``df`` with ``reasons``, the names of the rules that a row breaks."""
     return df.withColumn("reasons", F.array_compact(F.array(*(F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()))))

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stream_bars(ticks: DataFrame, freq: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Tumbling bars of a stream of ticks (symbol, ts, price, size), append mode."""
+def stream_bars(ticks: DataFrame, freq: str = "1 hour", late: str = "10 minutes", tie: tuple[str, ...] = ()) -> DataFrame:
+    """Tumbling bars of a stream of ticks (symbol, ts, price, size), append mode; ``tie`` orders ticks of one time."""
     w = F.window("ts", freq)
-    size = F.sum("size")
+    size, order = F.sum("size"), F.struct("ts", *tie)
     bars = ticks.withWatermark("ts", late).groupBy("symbol", w.alias("w")).agg(
-        F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), size.alias("volume"), F.count(F.lit(1)).alias("trade_count"),
+        F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), size.alias("volume"), F.count(F.lit(1)).alias("trade_count"),
     )
     return bars.select("symbol", F.col("w.start").alias("price_timestamp"), "open", "high", "low", "close", "volume", "trade_count")
 
@@ -40,13 +40,19 @@ def stream_latest_quotes(quotes: DataFrame) -> DataFrame:
     return quotes.groupBy("symbol").agg(F.max_by(F.struct("ts", "price", "priority"), F.struct("ts", -F.col("priority"))).alias("q")).select("symbol", "q.*")
 
 
-def upsert_batches(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+def upsert_batches(path: str, keys: list[str], time: str | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink that appends rows with new keys; a batch repeated after a
-    failure changes nothing, for its rows are there."""
+    failure changes nothing, for its rows are there.
+
+    ``time``: one of the keys; what is there is then read only within the batch's range of it.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         try:
             known = batch.sparkSession.read.parquet(path).select(*keys)
+            if time is not None:
+                span = batch.agg(F.min(time).alias("first"), F.max(time).alias("last")).first()
+                known = known.where(F.col(time).between(F.lit(span["first"]), F.lit(span["last"])))
         except Exception as e:  # noqa: BLE001
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -62,6 +68,27 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
+def keep_updates(path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink for update mode: each batch's rows with its number, a repeated batch in place
+    of what it wrote before."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last state of each key that :func:`keep_updates` has written."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in rows.columns if c not in (*keys, "batch"))), "batch").alias("row")).select(*keys, "row.*")
+
+
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Run a stream in update mode over what there is now, into :func:`keep_updates`."""
+    stream.writeStream.foreachBatch(keep_updates(path)).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+
+
 def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     """A stream of the Parquet files below ``path``."""
     return spark.readStream.schema(schema).parquet(path)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeworks.functions import chunks, sentiment, text
-from tapeworks.operators import articles, backtest, bars, companies, dedup, features, indicators, model, usage
+from tapeworks.operators import articles, backtest, bars, companies, dedup, features, indicators, model, recurrence, usage
 from tapeworks.operators.recurrence import run_mean
 from tapeworks.sources import files, ingest
 from tapeworks.streaming import streams
@@ -292,6 +292,108 @@ def test_stream_bars_have_every_hour(spark, tmp_path):
     assert plans.queries()["stream_bars_all"](spark, str(tmp_path)).count() == 40
 
 
+def plain_mean(values, n, alpha):
+    out, seen, y = [], [], None
+    for x in values:
+        if x is not None:
+            seen.append(x)
+            y = sum(seen) / n if len(seen) == n else (1 - alpha) * y + alpha * x if len(seen) > n else None
+        out.append(y)
+    return out
+
+
+def test_means_with_nulls_and_series_in_pieces(spark):
+    rng = random.Random(2)
+    for n in (1, 3, 9):
+        values = [None if rng.random() < 0.3 else rng.uniform(1, 9) for _ in range(60)]
+        want = plain_mean(values, n, 0.2)
+        for cut in (0, 1, 7, 60):
+            first, state = run_mean(values[:cut], n, 0.2, (0, 0.0))
+            got = first + run_mean(values[cut:], n, 0.2, state)[0]
+            assert [y is None for y in got] == [y is None for y in want] and [y for y in got if y is not None] == pytest.approx([y for y in want if y is not None])
+    series = {s: [rng.uniform(1, 9) if rng.random() > 0.2 else None for _ in range(50)] for s in ("A", "B", None)}
+    df = spark.createDataFrame([(s, i, x) for s, xs in series.items() for i, x in enumerate(xs)], "s string, i int, x double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = recurrence.ewm(df, [recurrence.Mean("y", "x", 4)], ["s"], "i").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for s, xs in series.items():
+        mine = [r["y"] for r in sorted(got, key=lambda r: r["i"]) if r["s"] == s]
+        want = plain_mean(xs, 4, 0.4)
+        assert [y or 0 for y in mine] == pytest.approx([y or 0 for y in want])
+
+
+def test_articles_are_routed(spark):
+    main = lambda c: F.lit(0.9)
+    long = "Plain words here. " * 30
+    rows = [(1, "Stock falls. More"), (2, "Nothing said. More"), (3, "Stock falls. " + long), (4, "Sign in to access. Stock falls. " + long), (5, None)]
+    got = {r["i"]: (r["compound"], r["scored_by"]) for r in articles.score_articles(spark.createDataFrame(rows, "i long, text string"), main).collect()}
+    assert got == {1: (-0.7, "title"), 2: (0.9, "main"), 3: (0.9, "main"), 4: (-0.7, "title"), 5: (0.9, "main")}
+
+
+def test_long_texts(spark):
+    df = spark.createDataFrame([(1, "Shares surge. " * 120), (2, ""), (3, None)], "i long, text string")
+    got = {r["i"]: r for r in chunks.score_long(df, "i", "text", lambda c: F.lit(0.5), 1000).collect()}
+    assert got[1]["n_chunks"] > 1 and got[1]["polarity"] == pytest.approx(0.5 + 0.3 * 0.4) and got[1]["compound"] == pytest.approx(0.5 + 0.2 * 0.4)
+    assert got[2]["score"] is None and got[2]["polarity"] == got[3]["compound"] == 0.0
+
+
+def test_extraction_falls_back():
+    p = lambda text, n: f"<p>{text * n}</p>"
+    side = "<div class='sidebar'>" + p("Side matter. ", 60) * 9 + "</div>"
+    assert chunks.article_text(f"<body>{side}<article>{p('Main words of it. ', 9) * 4}</article></body>").count("Main") == 36
+    assert "Side" not in chunks.article_text(f"<body>{side}<div class='content'>{p('Main words of it. ', 9) * 4}</div></body>")
+    body = '<script type="application/ld+json">{"@type": "NewsArticle", "articleBody": "' + "Body from data. " * 20 + '"}</script>'
+    assert chunks.article_text(f"<head>{body}</head><body><p>Short</p></body>").startswith("Body from data.")
+    other = '<script type="application/ld+json">[{"@type": "Article", "description": "' + "Told shortly. " * 9 + '"}]</script><script type="application/ld+json">broken</script>'
+    assert chunks.article_text(other).startswith("Told shortly.")
+    assert chunks.article_text("<div><main><p>A few words</p></main><p>Others</p></div>") == "A few words"
+    assert chunks.article_text("<p>One</p><p>Two</p>") == "One Two"
+    assert chunks.article_text("<p>" + "</p><p>".join(["We use a cookie for this and for that and more"] + ["Good paragraph of more than forty characters"] * 3)).count("Good") == 3
+
+
+def test_more_rules_and_reports(spark, tmp_path):
+    rows = [("S", "t", "h", 1.0, -1.0), ("S", None, "h", 1.1, None)]
+    bad = ingest.with_reasons(spark.createDataFrame(rows, "symbol string, title string, url_hash string, polarity double, compound double"), ingest.article_rules()).collect()
+    assert [r["reasons"] for r in bad] == [[], ["-1 <= polarity <= 1", "title"]]
+    tables = {s: spark.createDataFrame([("u1", 2), ("u1", 1), ("u2", 3)], "url string, n long") for s in "AB"}
+    assert sorted((r["symbol"], r["url"], r["n"]) for r in files.union_symbol_tables(tables).collect()) == [(s, u, n) for s in "AB" for u, n in (("u1", 1), ("u2", 3))]
+    assert [tuple(r) for r in files.union_report(tables).orderBy("symbol").collect()] == [("A", 3, 2, 1), ("B", 3, 2, 1)]
+    df = spark.createDataFrame([bar(s, h, 1.0) for s in "AB" for h in range(5)], BAR).withColumn("timeframe", F.lit("hour"))
+    assert [(r["symbol"], r["price_timestamp"].hour) for r in bars.load_bars(df, ["B"], "hour", 2).collect()] == [("B", 3), ("B", 4)]
+    assert bars.load_bars(df, timeframe="day").count() == 0
+    write = streams.upsert_batches(f"{tmp_path}/sink", ["symbol", "price_timestamp"], "price_timestamp")
+    for hours in ((0, 3), (2, 5), (2, 5)):
+        write(df.where(F.hour("price_timestamp").between(*hours)), 0)
+    assert spark.read.parquet(f"{tmp_path}/sink").count() == 10
+    keep = streams.keep_updates(f"{tmp_path}/states")
+    for number, value in ((0, 1), (1, 2), (1, 3)):
+        keep(spark.createDataFrame([("A", value)], "symbol string, v long"), number)
+    assert [tuple(r) for r in streams.latest_updates(spark, f"{tmp_path}/states", ["symbol"]).collect()] == [("A", 3)]
+
+
+def test_lsh_finds_the_exact_pairs(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    titles = [rng.sample(words, 12) for _ in range(60)]
+    titles += [t[:11] + ["x"] for t in titles[:30]] + [t[1:] for t in titles[10:20]]
+    df = spark.createDataFrame([(i, "ST"[i % 2], t) for i, t in enumerate(titles)] + [(200, "S", [])], "i long, g string, w array<string>")
+    exact, near = (sorted(map(tuple, f(df, "g", "i", "w").collect())) for f in (dedup.similar_pairs, dedup.similar_pairs_lsh))
+    assert exact == near and len(exact) > 10
+
+
+def test_sizes_are_compared(walk):
+    _, df = walk
+
+    def prepare(rows):
+        return features.feature_matrix(features.add_labels(indicators.averages(rows, (10,))))
+
+    got = model.compare_sizes(df, prepare, (60, None), "random_forest", rounds=3, depth=3).collect()
+    assert sorted(r["size"] or 0 for r in got) == [0, 60] and sum(r["best"] for r in got) == 1
+    assert max(got, key=lambda r: r["strategy_return"])["best"]
+
+
 def test_registered_models_are_whole(monkeypatch):
     from tapeworks.plans import market
 

@@ -321,7 +321,7 @@ SOURCES = {
         lambda v: indicators.recursive_indicators(v.bars_hour).select("symbol", T, "ADX_14", "ADXR_14_2", "DMP_14", "DMN_14"),
         f"{ADX} select symbol, {TS}, {r('adx', 'ADX_14')}, {r(f'(adx + lag(adx, 2) over ({W})) / 2', 'ADXR_14_2')}, {r('p', 'DMP_14')}, {r('m', 'DMN_14')} from o",
     ),
-    "indicators_all": (lambda v: _indicator_frame(v), None),
+    "indicators_all": (_indicator_frame, None),
     "market_conditions": (
         lambda v: indicators.market_conditions(_indicator_frame(v)),
         f"""{B}, {CHANGES}, {ewm_sql("g", "c", "gain", 14, True)}, {ewm_sql("l", "c", "loss", 14, True)}, x as (select b.*, {_mean(20).replace("partition by symbol", "partition by b.symbol").replace("order by price_timestamp", "order by b.price_timestamp")} as sma, {_mean(20, "volume").replace("partition by symbol", "partition by b.symbol").replace("order by price_timestamp", "order by b.price_timestamp")} as vs,
@@ -423,6 +423,17 @@ SOURCES = {
 }
 
 
+def _indicators_sql() -> str:
+    """All indicators side by side, each by its own SQL."""
+    names = ("sma_bollinger", "stochastic", "obv", "price_features", "volume_features", "close_ratios", "ema", "macd", "rsi", "atr", "adx")
+    renamed = ", ".join(f"BB{x} as BB{x}_20_2_0_2_0" for x in "LMUBP")
+    parts = " ".join(f"join ({SOURCES[n][1]}) {n} using (symbol, price_timestamp)" for n in names)
+    return f"select * exclude (BBL, BBM, BBU, BBB, BBP), {renamed} from ({B} select {BAR}, original from bars_hour) bars {parts}"
+
+
+SOURCES["indicators_all"] = (_indicator_frame, _indicators_sql())
+
+
 def flagship(v: Views) -> DataFrame:
     """Ticks to hourly bars, indicators of frames, labels, and their distribution by symbol."""
     df = indicators.averages(bars.prefer_original(bars.build_bars(v.ticks)))

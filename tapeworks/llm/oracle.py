@@ -5,9 +5,22 @@ The white space of words is written as the class ``[\\x20\\x09-\\x0D]``.
 
 from .line_dedup import LEAST_PAGES, RATIO
 from .quality import THRESHOLDS, stop_forms
+from .substring_dedup import WINDOW
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
+_WINDOWS = f"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as words, row_number() over () as rid from documents),
+p as (select rid, unnest(words) as word, unnest(range(len(words))) as pos from d),
+w as (select rid, pos, word, string_agg(word, ' ') over k as win, count(*) over k as n from p
+      window k as (partition by rid order by pos rows between current row and {WINDOW - 1} following)),
+r as (select rid, pos from (select rid, pos, count(*) over (partition by win) as times from w where n = {WINDOW}) where times > 1),
+m as (select w.rid, w.pos, w.word, max(r.pos) over (partition by w.rid order by w.pos rows between unbounded preceding and current row) as last
+      from w left join r on r.rid = w.rid and r.pos = w.pos),
+g as (select rid, count_if(coalesce(pos - last < {WINDOW}, false)) as gone, coalesce(string_agg(word, ' ' order by pos) filter (not coalesce(pos - last < {WINDOW}, false)), '') as kept from m group by 1)
+select d.doc_id, len(d.words)::bigint as n_words, coalesce(g.gone, 0)::bigint as n_removed, sha256(coalesce(g.kept, '')) as kept_sha256 from d left join g using (rid)
+"""
+
 _LINES = f"""
 with d as (select doc_id, source, text, row_number() over () as rid from documents),
 l as (select rid, source, unnest(string_split(text, chr(10))) as line from d),
@@ -91,4 +104,4 @@ select page_id, payload_bytes,
 from b
 """
 
-ORACLES = {"op3_mixing": _MIX, "op5_warc": _WARC, "op6_quality": _QUALITY, "op8_line_dedup": _LINES}
+ORACLES = {"op1_substring_dedup": _WINDOWS, "op3_mixing": _MIX, "op5_warc": _WARC, "op6_quality": _QUALITY, "op8_line_dedup": _LINES}

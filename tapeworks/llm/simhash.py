@@ -239,10 +239,11 @@ LINKS_A_TASK = 1000
 BLOCK, LARGEST_BLOCK, BLOCKS = 256, 2048, 32
 #: Shingles that one step of a comparison of two blocks counts.
 COLUMNS = 4096
-_WIDE_REFERENCES = np.random.default_rng(2026).integers(0, 2**63, (PIVOTS, LANES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Texts of a family whose fingerprints are the references of a comparison of two blocks.
+REFERENCES = 64
 _FACTORS = np.random.default_rng(7).integers(0, 2**31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-#: Bytes of a packed text before its shingles: fingerprint and pivot distances.
-_HEAD = LANES * 8 + PIVOTS * 2
+#: Bytes of a packed text before its shingles.
+_HEAD = LANES * 8
 
 
 def shingle_set(text: bytes, n: int) -> np.ndarray:
@@ -284,16 +285,18 @@ def wide_print(hashes: np.ndarray) -> np.ndarray:
 
 
 def packed(hashes: np.ndarray) -> bytes:
-    """Fingerprint, its distances to the reference fingerprints, and the shingle set."""
-    fp = wide_print(hashes)
-    pivots = np.bitwise_count(_WIDE_REFERENCES ^ fp).sum(axis=1, dtype=np.int16)
-    return fp.tobytes() + pivots.tobytes() + hashes.tobytes()
+    """Fingerprint and shingle set."""
+    return wide_print(hashes).tobytes() + hashes.tobytes()
 
 
-def _unpacked(rows: list) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Fingerprints, pivot distances and shingle sets of packed texts."""
-    heads = np.frombuffer(b"".join(bytes(x[:_HEAD]) for x in rows), np.uint8).reshape(len(rows), _HEAD)
-    return np.ascontiguousarray(heads[:, : LANES * 8]).view(np.uint64), np.ascontiguousarray(heads[:, LANES * 8 :]).view(np.int16), [np.frombuffer(x, np.uint64, offset=_HEAD) for x in rows]
+def _unpacked(rows: list) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Fingerprints and shingle sets of packed texts."""
+    prints = np.frombuffer(b"".join(bytes(x[:_HEAD]) for x in rows), np.uint64).reshape(len(rows), LANES)
+    return prints, [np.frombuffer(x, np.uint64, offset=_HEAD) for x in rows]
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16)
 
 
 def most_bits(similarity: float) -> int:
@@ -302,13 +305,20 @@ def most_bits(similarity: float) -> int:
     return int(LANES * 64 * share + DEVIATIONS * np.sqrt(LANES * 64 * share * (1 - share)))
 
 
-def _within(x: tuple, y: tuple, limit: int) -> np.ndarray:
-    """Which pairs the fingerprints leave: by the largest difference of pivot distances, then by bits."""
-    left = np.abs(x[1] - y[1]).max(axis=-1) <= limit
-    at = np.nonzero(left)
-    prints = [np.broadcast_to(z[0], left.shape + (LANES,)) for z in (x, y)]
-    left[at] = np.bitwise_count(prints[0][at] ^ prints[1][at]).sum(axis=-1, dtype=np.int64) <= limit
-    return left
+def _within(prints: np.ndarray, x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
+    """Which pairs of ``x`` and ``y`` (places in ``prints``) are within ``limit`` bits.
+
+    Texts spread over the family are the references; a pair is discarded where its distances
+    to one of them differ by more than ``limit``, and the bits of what is left are compared.
+    """
+    references = prints[np.linspace(0, len(prints) - 1, min(REFERENCES, len(prints))).astype(int)]
+    table = _distances(prints[:, None], references[None])
+    out, of_y = np.zeros((len(x), len(y)), bool), table[y]
+    for i, k in enumerate(x.tolist()):
+        out[i] = np.abs(of_y - table[k]).max(axis=1) <= limit
+        left = np.flatnonzero(out[i])
+        out[i, left] = _distances(prints[y[left]], prints[k]) <= limit
+    return out
 
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
@@ -338,8 +348,8 @@ def _packed_texts(n: int):
 def _compared(similarity: float):
     """Of rows (a, b, of_a, of_b) those that may be of one family, and whether they are linked.
 
-    A pair is discarded by pivot distances, then by bits, at the least similarity of two
-    texts that are both like a third one; what is left is compared by its sets.
+    One of the two is the reference of its bucket.  A pair is discarded by its bits at the least similarity of
+    two texts that are both like a third one; what is left is compared by its sets.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
     limit = most_bits(max(2 * similarity - 1, 0))
@@ -349,11 +359,11 @@ def _compared(similarity: float):
             if not batch.num_rows:
                 continue
             x, y = (_unpacked([v.as_buffer() for v in batch.column(c)]) for c in ("of_a", "of_b"))
-            small = np.array([min(len(s), len(t)) < SMALL_SET for s, t in zip(x[2], y[2], strict=True)])
-            near = np.flatnonzero(small | _within(x, y, limit))
+            small = np.array([min(len(s), len(t)) < SMALL_SET for s, t in zip(x[1], y[1], strict=True)])
+            near = np.flatnonzero(small | (_distances(x[0], y[0]) <= limit))
             linked = []
             for i in near.tolist():
-                s, t = x[2][i], y[2][i]
+                s, t = x[1][i], y[1][i]
                 common = len(np.intersect1d(s, t, assume_unique=True)) if min(len(s), len(t)) >= similarity * max(len(s), len(t)) - 1e-9 else 0
                 linked.append(common > 0 and common >= similarity * (len(s) + len(t) - common) - 1e-9)
             yield batch_of(schema, batch.column("a").take(pa.array(near)), batch.column("b").take(pa.array(near)), linked)
@@ -399,23 +409,20 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def _joined(similarity: float):
     """Links (a, b) between the groups of two blocks of a family.
 
-    Pivot distances and bits discard pairs; the sets of the rest are counted together.
+    Distances to references and bits discard pairs; the sets of the rest are counted together.
     """
     limit = most_bits(similarity)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         _, p, q = (x.as_py() for x in key)
         node, group, block = (np.asarray(table.column(c)) for c in ("node", "group", "block"))
-        prints, pivots, sets = _unpacked(table.column("packed").to_pylist())
+        prints, sets = _unpacked(table.column("packed").to_pylist())
         size = np.array([len(s) for s in sets], np.float64)
         x, y = np.flatnonzero(block == p), np.flatnonzero(block == q)
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(x) and len(y):
             apart = group[x][:, None] != group[y][None, :]
-            near = np.zeros(apart.shape, bool)
-            for i, k in enumerate(x.tolist()):
-                near[i] = (np.minimum(size[k], size[y]) < SMALL_SET) | _within((prints[k][None, :], pivots[k][None, :]), (prints[y], pivots[y]), limit)
-            near &= apart
+            near = ((np.minimum(size[x][:, None], size[y][None, :]) < SMALL_SET) | _within(prints, x, y, limit)) & apart
             rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
             if len(rows):
                 x, y, near = x[rows], y[columns], near[np.ix_(rows, columns)]
@@ -461,9 +468,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
     within 4 miss most of them, and sections of the bits that such pairs share are too
     short to tell texts apart.  Here pairs meet by least shingle hashes (:func:`band_keys`); each text
     is looked at against one text of each bucket, and families that this leaves in several
-    groups are compared block by block.  A pair is discarded by the largest difference of its
-    fingerprints' distances to the reference fingerprints, then by the bits of the 256-bit fingerprints
-    themselves, and verified on the shingle sets.  Texts with equal sets are
+    groups are compared block by block.  There the fingerprints of texts of the family are the references: a pair is discarded
+    by the largest difference of its distances to them, then by the bits of the 256-bit
+    fingerprints themselves, and verified on the shingle sets.  Texts with equal sets are
     one node, so copies are never compared with each other.
     Null and empty texts are one group; component_id is the smallest doc_id of a group
     (null if none has one); repeated rows are members each.  ``keep`` writes what later steps build on.

@@ -454,6 +454,39 @@ def test_near_copies_among_siblings(make_docs):
     assert len(set(group.values())) > 1900  # the family itself stays apart
 
 
+def test_pivots_discard_no_near_pair():
+    """What the references leave, compared by bits, are all pairs within the limit."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, (5, 4), dtype=np.uint64)
+    flips = np.packbits(rng.random((300, 256)) < rng.choice([0.02, 0.1, 0.3], (300, 1)), axis=1).view(np.uint64)
+    prints = base[rng.integers(0, 5, 300)] ^ flips
+    x, y = np.arange(0, 120), np.arange(100, 300)
+    want = np.bitwise_count(prints[x][:, None] ^ prints[y][None]).sum(axis=-1) <= 64
+    assert (simhash._within(prints, x, y, 64) == want).all() and 0 < want.sum() < want.size
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_recall_near_the_threshold(make_docs, similarity):
+    """Pairs at and a little over a similarity, among texts that share half their words with both: none is lost."""
+    rng = random.Random(int(similarity * 100))
+    rows, pairs, n = [], [], 120
+    for base in range(100):
+        w = [f"b{base}n{i}" if i % 2 else f"all{i}" for i in range(n)]
+        changed, k = list(w), 0
+        sets = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+        while True:  # change words as long as the pair stays similar enough
+            more = list(changed)
+            more[rng.randrange(n)] = f"x{base}k{k}"
+            a, b = sets(w), sets(more)
+            if len(a & b) / len(a | b) < similarity:
+                break
+            changed, k = more, k + 1
+        rows += [(2 * base, " ".join(w), "en", "s"), (2 * base + 1, " ".join(changed), "en", "s")]
+        pairs.append(2 * base)
+    group = dict(simhash.similar_groups(make_docs(rows, clash=False)).collect())
+    assert all(group[p] == group[p + 1] == p for p in pairs)
+
+
 def test_hot_text_is_looked_up_in_parts(spark, monkeypatch):
     monkeypatch.setattr(simhash, "LINKS_A_TASK", 3)
     rng = np.random.default_rng(3)

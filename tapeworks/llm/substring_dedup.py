@@ -309,7 +309,9 @@ def remove_repeated_windows(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER
     speakers = docs.groupBy(*keys).agg(F.min("doc_id").alias("speaker"), F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("copies"))
     bucket = F.when(F.col("n") <= hot, F.col("mini")).alias("bucket")
     by_text = places.groupBy(*keys).agg(F.collect_set(F.struct("at", "n_win", bucket)).alias("places")).join(speakers, keys)
-    spoken = docs.join(by_text, keys).where(F.col("doc_id").eqNullSafe(F.col("speaker"))).select("text", "h1", "h2", "copies", "places")
+    # a difference, not an equality: so texts are dealt by their keys alone here and below, once
+    speaks = F.coalesce(F.col("doc_id") - F.col("speaker"), F.lit(0)) == 0
+    spoken = docs.join(by_text, keys).where(speaks).select("text", "h1", "h2", "copies", "places")
     cold = spoken.where(F.exists("places", lambda p: p.bucket.isNotNull()))
     single = spoken.where(F.exists("places", lambda p: p.bucket.isNull()))
 

@@ -145,16 +145,21 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, text from doc_id, ids: the vocabulary's strings, joined by spaces."""
+    """doc_id, text from doc_id, ids: the vocabulary's strings, joined by spaces.
+
+    Null and unknown ids are passed over, as the library does with unknown ones; null and empty lists are
+    empty texts; a null doc_id stays null; repeated rows are decoded alike; an empty table gives an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(vocabulary)
         schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
         for batch in batches:
-            texts = [own.decode(np.array(ids or [], "<u4").tobytes()) for ids in batch.column("ids").to_pylist()]
+            texts = [own.decode(np.array([i for i in ids or () if i in own.strings], "<u4").tobytes()) for ids in batch.column("ids").to_pylist()]
             yield batch_of(schema, batch.column("doc_id"), texts)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    encoded = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<long>").alias("ids"))
+    return encoded.mapInArrow(run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

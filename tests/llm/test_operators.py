@@ -555,6 +555,14 @@ def test_bpe(make_docs, odd_docs, corpus):
     assert bpe.encode(make_docs([])).collect() == []
 
 
+def test_decode_odd_ids(spark):
+    own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [(1, [320, None, 999_999, -1, 49407]), (None, None), (2, []), (2, [])]
+    got = bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<long>")).collect()
+    assert by_id(got) == by_id([(1, own.decode([320, 999_999, 49407], skip_special_tokens=False)), (None, ""), (2, ""), (2, "")])
+    assert bpe.decode(spark.createDataFrame([], "doc_id long, ids array<long>")).collect() == []
+
+
 def test_bpe_on_odd_strings():
     own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rng = random.Random(2)

@@ -394,6 +394,29 @@ def test_sizes_are_compared(walk):
     assert max(got, key=lambda r: r["strategy_return"])["best"]
 
 
+def test_models_of_timeframes_and_rounds(walk, spark):
+    _, df = walk
+    rows, names = features.feature_matrix(features.add_labels(indicators.averages(df, (10,))))
+    frames = rows.withColumn("timeframe", F.when(F.minute("price_timestamp") == 0, "hour"))
+    got = {t: (m is not None, error) for t, m, error in model.train_all_timeframes(frames, names, ["hour", "day"], rounds=2, depth=2)}
+    assert got["hour"] == (True, "") and not got["day"][0] and got["day"][1]
+    two = rows.where("target <> 0")
+    compared = model.compare_rounds(two, two, names, (2, 1), depth=2).collect()
+    assert [r["rounds"] for r in compared] == [2, 1] and all(0.4 < r["accuracy"] <= 1 and r["n"] == two.count() for r in compared)
+
+
+def test_a_model_is_loaded_once_a_worker(spark):
+    loads = spark.sparkContext.accumulator(0)
+
+    def load():
+        loads.add(1)
+        return lambda texts: [("positive" if "good" in t else "neutral", float(len(t))) for t in texts]
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["good", "", None] * 20)], "i long, text string").coalesce(1)
+    got = {r["i"]: (r["label"], r["score"]) for r in chunks.score_with(df, load).collect()}
+    assert got[0] == ("positive", 4.0) and got[1] == got[2] == ("neutral", 0.0) and loads.value == 1
+
+
 def test_registered_models_are_whole(monkeypatch):
     from tapeworks.plans import market
 

@@ -37,11 +37,6 @@ def stop_forms() -> list[str]:
     return list(dict.fromkeys(form for w in STOP_WORDS for form in (w, w.capitalize(), w.upper())))
 
 
-def _lacking(text: str, chars: str) -> Column:
-    """How many characters of ``text`` are in ``chars``."""
-    return (F.length(text) - F.length(F.translate(F.col(text), chars, ""))).cast("long")
-
-
 #: Low bits of a packed window that hold its place; longer texts take the plain way.
 PLACE_BITS = 20
 _PLACE = (1 << PLACE_BITS) - 1
@@ -49,8 +44,7 @@ _PLACE = (1 << PLACE_BITS) - 1
 
 def _met_again(rows: Column, key) -> Column:
     """The elements of sorted ``rows`` whose key a neighbour has too."""
-    same = lambda x, y: F.coalesce(key(x) == key(y), F.lit(False))
-    return F.filter(rows, lambda x, i: same(x, F.get(rows, i - 1)) | same(x, F.get(rows, i + 1)))
+    return F.filter(rows, lambda x, i: F.coalesce(key(x) == key(F.get(rows, i + 1)), F.lit(False)) | F.coalesce(key(x) == key(F.get(rows, i - 1)), F.lit(False)))
 
 
 def _plain_places(hashes: Column) -> Column:
@@ -101,16 +95,16 @@ def measures(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id"), text.alias("text"))
     rows = rows.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
-    rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0))
+    rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)))
     return rows.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        (F.length("text") - _lacking("text", " \t\n\x0b\f\r")).cast("long").alias("word_chars"),
-        _lacking("text", SYMBOLS).alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
-        _lacking("text", "!").alias("n_exclaims"),
+        (F.length("text") - F.length(F.replace("text", F.lit("!"), F.lit("")))).cast("long").alias("n_exclaims"),
         F.size(F.filter("words", lambda w: w.isin(*stop_forms()))).cast("long").alias("n_stop_words"),
     )
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .backtest import equity_curve, risk_metrics
 from .bars import KEYS, TIME
+from .dedup import cut_lineage
 from .features import temporal_split, with_class_weights
 from .lookup import last_n
 
@@ -28,11 +29,11 @@ def with_index(df: DataFrame) -> DataFrame:
 
 def train_model(df: DataFrame, names: list[str], kind: str = "random_forest", rounds: int = 100, depth: int | None = None, seed: int = 42) -> PipelineModel:
     """A classifier of ``target`` on the features ``names``, classes weighted to be even."""
-    rows = with_class_weights(with_index(df))
+    rows = cut_lineage(with_class_weights(with_index(df)))  # trees read them many times
     if kind == "random_forest":
         model = RandomForestClassifier(numTrees=rounds, maxDepth=depth or 10, seed=seed, weightCol="weight")
     elif kind == "boosted":
-        model = OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth or 6, stepSize=0.1, subsamplingRate=0.8, seed=seed), weightCol="weight")
+        model = OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth or 6, stepSize=0.1, subsamplingRate=0.8, seed=seed), weightCol="weight", parallelism=len(CLASSES))
     else:
         raise ValueError(f"no such kind of model: {kind}")
     return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), model]).fit(rows)

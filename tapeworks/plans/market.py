@@ -15,6 +15,8 @@ from . import streamed
 from .views import SQL, Views, plain, prefix
 
 T = bars.TIME
+#: End of series that have at most 100 observed bars.
+SHORT = "2024-01-04"
 TODAY, NOW = "2024-01-31", "2024-01-31 00:00:00"
 B = prefix("bars_hour")
 TS = "cast(epoch(price_timestamp) as bigint) as price_timestamp"
@@ -149,6 +151,14 @@ def _bars_by_csv(v: Views) -> DataFrame:
     return files.read_bars_csv(v.spark, path, "hour").select(*BAR_COLS)
 
 
+def _rows_per_file(v: Views) -> DataFrame:
+    """Hourly bars written as one CSV file a symbol, and the rows of each file."""
+    path = streamed.root(v, "csv")
+    v.bars_hour.repartition("symbol").write.partitionBy("symbol").csv(path, header=True)
+    rows = files.rows_per_file(v.spark.read.csv(path, header=True))
+    return rows.groupBy(F.regexp_extract("file", "symbol=([^/]+)/", 1).alias("symbol")).agg(F.sum("n_rows").alias("n_rows"))
+
+
 def _bars_by_json(v: Views) -> DataFrame:
     """Hourly bars as a JSON array for each day, and read from it."""
     days = v.bars_hour.groupBy("symbol", F.to_date(T).alias("day")).agg(F.to_json(F.collect_list(F.struct(*BAR_COLS))).alias("doc"))
@@ -193,6 +203,7 @@ SOURCES = {
         cast(sum(size) as bigint) as volume, count(*) as trade_count, round(sum(price * size) / nullif(sum(size), 0), 6) as vwap from o group by symbol, h""",
     ),
     "bars_by_csv": (_bars_by_csv, f"{B} select {BAR} from bars_hour"),
+    "rows_per_file": (_rows_per_file, f"{B} select symbol, count(*) as n_rows from bars_hour group by 1"),
     "bars_by_json": (_bars_by_json, f"{B} select {BAR} from bars_hour"),
     "load_bars": (
         lambda v: bars.load_bars(_all_frames(v, bars.forward_fill(v.bars_hour)), v.bars_hour.where("symbol >= 'p'"), "hour", 200).select("symbol", T, "close", "original"),
@@ -230,6 +241,10 @@ SOURCES = {
               max(case when rn = 1 then volume end) as volume, max(case when rn = 1 then vwap end) as vwap from l where rn <= 24 group by 1)
         select symbol, n, cast(epoch(a) as bigint) as first_ts, cast(epoch(z) as bigint) as last_ts, {r("close")}, {r("(close - p) / p * 100", "change_pct")}, {r("(close - f) / f * 100", "window_change_pct")}, volume, vwap from g""",
     ),
+    "prefer_original_short": (
+        lambda v: bars.prefer_original(bars.forward_fill(v.bars_hour.where(F.col(T) < F.lit(SHORT).cast("timestamp")))).select("symbol", T, "close", "original"),
+        FILLED.replace("from bars_hour", f"from (select * from bars_hour where price_timestamp < timestamp '{SHORT}') bars_hour") + f" select symbol, {TS}, {r('close')}, original from (select *, sum(case when original then 1 else 0 end) over (partition by symbol) as n from filled) where original or n <= 100",
+    ),
     "prefer_original": (
         lambda v: bars.prefer_original(bars.forward_fill(v.bars_hour)).select("symbol", T, "close", "original"),
         f"{FILLED} select symbol, {TS}, {r('close')}, original from (select *, sum(case when original then 1 else 0 end) over (partition by symbol) as n from filled) where original or n <= 100",
@@ -374,6 +389,11 @@ SOURCES = {
         f"""{B}, m as (select symbol, price_timestamp, {_mean(10)} as s, vwap from bars_hour), f as (select symbol, price_timestamp, last_value(s ignore nulls) over ({W} rows unbounded preceding) as sma_10, last_value(vwap ignore nulls) over ({W} rows unbounded preceding) as vwap from m)
         select symbol, {TS}, {r("sma_10")}, {r("vwap")}, 0.0 as unknown from f where sma_10 is not null and vwap is not null qualify row_number() over (partition by symbol order by price_timestamp desc) = 1""",
     ),
+    "prediction_features_zero": (
+        lambda v: features.prediction_features(indicators.averages(v.bars_hour.where(F.col(T) < F.lit("2024-01-01 09:00:00").cast("timestamp"))), ["sma_10", "vwap", "unknown"], fill_zero=True),
+        f"""{B}, m as (select symbol, price_timestamp, {_mean(10)} as s, vwap from bars_hour where price_timestamp < timestamp '2024-01-01 09:00:00'), f as (select symbol, price_timestamp, last_value(s ignore nulls) over ({W} rows unbounded preceding) as sma_10, last_value(vwap ignore nulls) over ({W} rows unbounded preceding) as vwap from m)
+        select symbol, {TS}, {r("coalesce(sma_10, 0)", "sma_10")}, {r("coalesce(vwap, 0)", "vwap")}, 0.0 as unknown from f qualify row_number() over (partition by symbol order by price_timestamp desc) = 1""",
+    ),
     "positions": (lambda v: backtest.positions(signals(v)).select("symbol", T, "prediction", "position", "changed"), f"{SIGNALS} select symbol, {TS}, prediction, position, changed from pos"),
     "trades": (lambda v: backtest.trades(signals(v)), f"{SIGNALS} select symbol, {TS}, case when position > 0 then 'BUY' else 'SELL' end as side, {r('price')} from pos where changed"),
     "equity_curve": (lambda v: backtest.equity_curve(signals(v)).select("symbol", T, "equity"), f"{EQUITY} select symbol, {TS}, {r('equity')} from eq"),

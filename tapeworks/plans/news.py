@@ -142,8 +142,10 @@ def _routed(v: Views) -> DataFrame:
 
 _ROUTED = rf"""{A}, s as (select article_id, case article_id % 4 when 0 then 'Stock quote soars. ' || text when 1 then 'Maker falls short. ' || {_TITLE} else text end as said from articles),
 c as (select article_id, trim(substring(regexp_replace(regexp_replace(said, 'https?://[^ 	
-]+', '', 'g'), '[ 	
-]+', ' ', 'g'), 1, 512)) as clean from s),
+
+]+', '', 'g'), '[ 	
+
+]+', ' ', 'g'), 1, 512)) as clean from s),
 d as (select *, lower(clean) as low, {_contains("lower(clean)", sentiment.CONSENT)} as consent from c),
 e as (select *, lower(case when consent then substring(clean, 1, 100) when contains(clean, '.') then split_part(clean, '.', 1) else clean end) as t from d),
 f as (select *, case when abs({_TITLE_SCORE}) >= 0.1 then {_TITLE_SCORE} else {_TITLE_WEAK} end as ts, {_lexicon_sql()} as main from e),
@@ -151,6 +153,17 @@ g as (select *, (length(clean) < 300 or consent) and abs(ts) > 0.1 as by_title f
 select article_id, {r("case when by_title then ts else main end", "compound")}, case when by_title then 'title' else 'main' end as scored_by from g"""
 
 
+def _read_back(v: Views) -> DataFrame:
+    """The ten most extreme articles of each symbol as JSON documents, one a symbol, and read from them."""
+    path = streamed.root(v, "json")
+    item = F.struct(text.title_of(F.col("text")).alias("title"), "text", "url", "source", F.col("article_timestamp").cast("string").alias("timestamp"), "polarity", "compound")
+    documents = articles.top_extreme(scored(v)).groupBy("symbol").agg(F.collect_list(item).alias("raw_articles"))
+    documents.write.option("maxRecordsPerFile", 1).json(path)
+    analyses, rows = files.read_analysis_json(v.spark, path)
+    whole = analyses.select("symbol", "total_articles", "overall_sentiment")
+    return rows.join(whole, "symbol").select("symbol", "url", "source", "polarity", "compound", F.sha2("text", 256).alias("digest"), "total_articles", "overall_sentiment")
+
+
 def _symbol_tables(v: Views) -> dict[str, DataFrame]:
     return {s: v.articles.where(F.col("symbol") == s).select("url", "article_id") for s in ("S0", "S1", "S2")}
 
@@ -252,6 +265,11 @@ SOURCES = {
         _bad_articles,
         f"""{SCORED} select article_id, concat_ws(';', case when abs(compound * 1.5) > 1 then '-1 <= compound <= 1' end, case when article_id % 5 = 0 or text is null then 'title' end, case when article_id % 11 = 0 then 'url_hash' end) as reasons from s""",
     ),
+    "analysis_documents": (
+        _read_back,
+        f"""{SCORED}, x as (select * from s qualify row_number() over (partition by symbol order by abs(compound) desc, article_id) <= 10)
+        select symbol, url, source, {r("polarity")}, {r("compound")}, sha256(text) as digest, cast(count(*) over (partition by symbol) as int) as total_articles, 'Neutral' as overall_sentiment from x""",
+    ),
     "sources": (lambda v: articles.sources(v.articles), f"{A} select distinct source from articles where source is not null"),
     "union_symbol_tables": (lambda v: files.union_symbol_tables(_symbol_tables(v)), f"{A} select symbol, sha256(url) as url_hash, url, min(article_id) as article_id from articles where symbol in ('S0', 'S1', 'S2') group by symbol, url"),
     "union_report": (lambda v: files.union_report(_symbol_tables(v)), f"{A} select symbol, count(*) as n_rows, count(distinct url) as n_kept, count(*) - count(distinct url) as duplicates from articles where symbol in ('S0', 'S1', 'S2') group by 1"),

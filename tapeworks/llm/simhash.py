@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, batch_of, bounded_batches, cut_lineage, size_checked, utf8
 
 SEED, RADIUS, PIVOTS = 42, 4, 16
+#: A node of more links than this, and than all links divided by ``HUBS``, has its minimum broadcast.
+HUB, HUBS = 256, 100_000
 _REFERENCES = np.random.default_rng(2024).integers(0, 2**63, PIVOTS, dtype=np.uint64) * np.uint64(2) + np.random.default_rng(2025).integers(0, 2, PIVOTS, dtype=np.uint64)
 
 
@@ -180,13 +182,15 @@ def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut_li
 
     Large-star and small-star steps take turns until nothing changes; each turn is written
     to the shared folder by ``keep``.  A node's neighbours are never gathered: minima are aggregated
-    and joined back.
+    and joined back, those of nodes with very many links by broadcast (of links / ``hub`` rows at most).
     """
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
+    def star(edges: DataFrame, large: bool, hub: int) -> DataFrame:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        side = both.where("v > u" if large else "v < u").join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("links"))
+        hubs = F.broadcast(least.where(F.col("links") > hub).select("u", "m"))
+        side = both.where("v > u" if large else "v < u")
+        side = side.join(hubs, "u").unionByName(side.join(hubs.select("u"), "u", "left_anti").join(least.select("u", "m"), "u"))
         out = side.select(F.col("v").alias("a"), F.col("m").alias("b"))
         if not large:
             out = out.union(least.select("u", "m"))
@@ -198,7 +202,8 @@ def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut_li
     edges = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = sign(edges)
     while before[0]:
-        edges = keep(star(star(edges, True), False))
+        hub = max(HUB, before[0] // HUBS)
+        edges = keep(star(star(edges, True, hub), False, hub))
         after = sign(edges)
         if after == before:
             break
@@ -206,6 +211,18 @@ def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut_li
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def least_members(roots: DataFrame, firsts: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+    """member, least: the smallest ``first`` of each node's group, for groups of two nodes and more.
+
+    ``roots``: node, root as of :func:`components`; ``firsts``: one row a node, node and first.
+    A group's least is broadcast if there are few groups, so a large group is not gathered.
+    """
+    members = roots.union(roots.select("root", "root").distinct()).toDF("member", "group")
+    members = keep(members.join(firsts, members.member == firsts.node).select("member", "group", "first"))
+    least = size_checked(keep(members.groupBy("group").agg(F.min("first").alias("least"))))
+    return members.select("member", "group").join(least, "group").select("member", "least")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each row of ``docs``.
 
@@ -219,9 +236,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = RADIUS) ->
     prints = cut_lineage(fingerprints(docs, shingle))
     nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(nodes, radius))
-    nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = nodes.join(least, "root").select(F.col("fp").alias("group_fp"), "component_id")
+    members = least_members(roots, nodes.select(F.col("fp").alias("node"), "first"))
+    groups = nodes.join(members, nodes.fp == members.member, "left")
+    groups = groups.select(F.col("fp").alias("group_fp"), F.when(F.col("member").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
     out = prints.join(groups, prints.fp == groups.group_fp)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -493,10 +510,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
     seen = _looked_up(edges, texts, similarity, keep)
     found = seen.where("linked").select("a", "b").union(_linked_in_families(seen, texts, similarity, keep))
 
-    roots = components(found, keep).withColumnRenamed("node", "in_root")
-    nodes = nodes.join(roots, nodes.node == roots.in_root, "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
-    least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = nodes.join(least, "root").select(F.col("digest").alias("group_digest"), "component_id")
+    members = least_members(components(found, keep), nodes.select("node", "first"), keep)
+    groups = nodes.join(members, nodes.node == members.member, "left")
+    groups = groups.select(F.col("digest").alias("group_digest"), F.when(F.col("member").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
     return prints.join(groups, prints.digest == groups.group_digest).select("doc_id", "component_id")
 
 

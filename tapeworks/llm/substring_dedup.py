@@ -300,8 +300,9 @@ def remove_repeated_windows(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER
     """
     bounded_batches(docs.sparkSession)
     keys = ["h1", "h2"]
-    text = F.col("text").cast("string")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text"))
+    # plain columns where no cast is needed: a renamed one would keep Spark from seeing that texts are dealt alike
+    doc_id, text = (F.col(c) if docs.schema[c].dataType.simpleString() == kind else F.col(c).cast(kind).alias(c) for c, kind in (("doc_id", "bigint"), ("text", "string")))
+    docs = docs.select(doc_id, text).select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
     counts = docs.select("text").mapInArrow(_minimiser_counts(k, m), _ddl(_COUNT)).groupBy("mini").agg(F.sum("n").alias("n")).where("n > 1")
     places = docs.select("h1", "h2", "text").mapInArrow(_minimiser_places(k, m), _ddl(_PLACE)).join(counts, "mini")
 

@@ -12,12 +12,12 @@ Steps, each a Spark job over all rows:
 2. find the places of these minimisers, gathered by text, and cut the packed strings
    from the texts; of equal texts one speaks for all;
 3. sort each bucket and count; the verdicts go back to the texts as ranges of windows.
-   Minimisers met more often than ``hot`` times have no bucket: their windows are strings
-   of their own, and equal ones are added up before and after they move, so a frequent
+   Minimisers met more often than ``hot`` times have no bucket: equal runs are added up
+   before and after they move, then equal windows of the different runs, so a frequent
    passage never meets in one task.
 
-Windows are compared by their words.  Texts, and windows without a bucket on their way
-back, are named by 128-bit hashes.
+Windows are compared by their words.  Texts, and runs and windows without a bucket on their
+way back, are named by 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -129,8 +129,10 @@ def repeated_ranges(strings: list[bytes], counts: list[int], k: int) -> list[lis
 _COUNT = pa.schema([("mini", pa.int64()), ("n", pa.int64())])
 _PLACE = pa.schema([("mini", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("at", pa.int32()), ("n_win", pa.int32())])
 _STRING = pa.schema([("bucket", pa.int64()), ("string", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64()), ("at", pa.int32()), ("copies", pa.int32())])
-_WINDOW = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("string", pa.binary()), ("copies", pa.int32())])
-_STARTS = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int32())])
+_RUN = pa.schema([("run_p", pa.int64()), ("run_q", pa.int64()), ("string", pa.binary()), ("copies", pa.int64())])
+_RUN_AT = pa.schema([("run_p", pa.int64()), ("run_q", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("at", pa.int32())])
+_WINDOW = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("string", pa.binary()), ("copies", pa.int64())])
+_OFFSET = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("run_p", pa.int64()), ("run_q", pa.int64()), ("offset", pa.int32())])
 _FOUND = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int32()), ("last", pa.int32())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -200,24 +202,47 @@ def _packed_strings(k: int):
     return run
 
 
-def _single_windows(k: int, schema: pa.Schema):
-    """Rows of the windows without a bucket: with their words to be counted, or with their text's keys to be told."""
-    count = schema is _WINDOW
-    digest = xxhash.xxh64_intdigest
+def _named(string: bytes) -> tuple[int, int]:
+    """The 128-bit name of a string."""
+    return xxhash.xxh64_intdigest(string, 1) - 2**63, xxhash.xxh64_intdigest(string, 2) - 2**63
+
+
+def _single_runs(k: int, schema: pa.Schema):
+    """Rows of the runs without a bucket: with their words to be counted, or with their text's keys to be told."""
+    count = schema is _RUN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [[] for _ in schema]
             for joined, starts, (h1, h2, copies), (at, n_win, _, cold) in _spoken(batch):
                 for a, n in zip(at[~cold].tolist(), n_win[~cold].tolist(), strict=True):
-                    windows = [joined[starts[j] : starts[j + k] - 1] for j in range(a, a + n)]
-                    rows[0] += [digest(w, 1) - 2**63 for w in windows]
-                    rows[1] += [digest(w, 2) - 2**63 for w in windows]
-                    for column, x in zip(rows[2:], (windows, [copies] * n) if count else ([h1] * n, [h2] * n, range(a, a + n)), strict=True):
-                        column += x
-                    if len(rows[0]) > 5000:
-                        yield batch_of(schema, *rows)
-                        rows = [[] for _ in schema]
+                    string = joined[starts[a] : starts[a + n + k - 1] - 1]
+                    for column, x in zip(rows, (*_named(string), *((string, copies) if count else (h1, h2, a))), strict=True):
+                        column.append(x)
+                if len(rows[0]) > 5000:
+                    yield batch_of(schema, *rows)
+                    rows = [[] for _ in schema]
+            yield batch_of(schema, *rows)
+
+    return run
+
+
+def _run_windows(k: int, schema: pa.Schema):
+    """Rows of the windows of different runs: with their words and the run's copies, or with the run's name and their place in it."""
+    count = schema is _WINDOW
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[] for _ in schema]
+            for run_p, run_q, string, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                starts = [0, *(m + 1 for m, c in enumerate(string) if c == 32), len(string) + 1]
+                for offset in range(len(starts) - k):
+                    window = string[starts[offset] : starts[offset + k] - 1]
+                    for column, x in zip(rows, (*_named(window), *((window, copies) if count else (run_p, run_q, offset))), strict=True):
+                        column.append(x)
+                if len(rows[0]) > 5000:
+                    yield batch_of(schema, *rows)
+                    rows = [[] for _ in schema]
             yield batch_of(schema, *rows)
 
     return run
@@ -318,9 +343,14 @@ def remove_repeated_windows(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER
 
     strings = cold.mapInArrow(_packed_strings(k), _ddl(_STRING)).repartition("bucket").sortWithinPartitions("bucket", "string")
     found = strings.mapInArrow(_sorted_buckets(k), _ddl(_FOUND))
-    windows = single.mapInArrow(_single_windows(k, _WINDOW), _ddl(_WINDOW)).groupBy("p", "q", "string").agg(F.sum("copies").alias("n")).where("n > 1")
-    starts = single.mapInArrow(_single_windows(k, _STARTS), _ddl(_STARTS)).join(windows.select("p", "q").distinct(), ["p", "q"])
-    found = found.union(starts.select("h1", "h2", "start", F.col("start").alias("last")))
-    ranges = found.groupBy(*keys).agg(F.collect_set(F.struct("start", "last")).alias("ranges"))
+    found = found.select(*keys, F.array(F.struct("start", "last")).alias("ranges"))
+
+    name = ["run_p", "run_q"]
+    runs = single.mapInArrow(_single_runs(k, _RUN), _ddl(_RUN)).groupBy(*name, "string").agg(F.sum("copies").alias("copies"))
+    windows = runs.mapInArrow(_run_windows(k, _WINDOW), _ddl(_WINDOW)).groupBy("p", "q", "string").agg(F.sum("copies").alias("n")).where("n > 1").select("p", "q").distinct()
+    offsets = runs.mapInArrow(_run_windows(k, _OFFSET), _ddl(_OFFSET)).join(windows, ["p", "q"]).groupBy(*name).agg(F.collect_set("offset").alias("offsets"))
+    told = single.mapInArrow(_single_runs(k, _RUN_AT), _ddl(_RUN_AT)).join(offsets, name)
+    told = told.select(*keys, F.transform("offsets", lambda o: F.struct((F.col("at") + o).alias("start"), (F.col("at") + o).alias("last"))).alias("ranges"))
+    ranges = found.union(told).groupBy(*keys).agg(F.flatten(F.collect_set("ranges")).alias("ranges"))
     rows = docs.join(ranges, keys, "left").select("doc_id", "text", F.coalesce("ranges", F.array().cast("array<struct<start:int,last:int>>")).alias("ranges"))
     return rows.mapInArrow(_without_windows(k, digest), _ddl(_DIGEST if digest else _KEPT))

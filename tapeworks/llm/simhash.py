@@ -198,7 +198,8 @@ def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut_li
     edges = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = sign(edges)
     while before[0]:
-        edges = keep(star(star(edges, True), False))
+        for large in (True, False):  # a plan and a table each: nested, one would hold the other four times
+            edges = keep(star(edges, large))
         after = sign(edges)
         if after == before:
             break

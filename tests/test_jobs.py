@@ -1,6 +1,7 @@
 """Market, news and usage jobs on hand-made rows, and registered queries against DuckDB."""
 
 import random
+import re
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
@@ -417,6 +418,41 @@ def test_a_model_is_loaded_once_a_worker(spark):
     assert got[0] == ("positive", 4.0) and got[1] == got[2] == ("neutral", 0.0) and loads.value == 1
 
 
+def plain_chunks(text, most):
+    """Sentences added word by word to what is held, and given out when the next does not fit."""
+    out, held = [], ""
+    for sentence in (x.strip() for x in re.split("[.!?]+", text)):
+        if not sentence:
+            continue
+        if held and len(held) + 2 + len(sentence) > most:
+            out, held = [*out, held], ""
+        if len(sentence) <= most:
+            held = f"{held}. {sentence}" if held else sentence
+            continue
+        for word in sentence.split():
+            if held and len(held) + 1 + len(word) > most:
+                out, held = [*out, held], ""
+            held = f"{held} {word}" if held else word
+        out, held = [*out, held], ""
+    return [*out, held] if held else out
+
+
+def test_chunks_of_random_texts():
+    rng = random.Random(12)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "bb", "ccc ccc", " ", " ", ". ", "! ", "dddddddddd "]) for _ in range(rng.randrange(60)))
+        assert chunks.chunks(text, 20) == plain_chunks(text, 20), text
+
+
+def test_passages(spark):
+    page = "<body><p>Acme stock rose a lot on Monday, said ABC people</p><p>ABC stock</p><p>acme share prices were not named this way</p><p>Earnings of Bolt and others were out in the long morning</p></body>"
+    pages = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")
+    firms = spark.createDataFrame([("ABC", "Acme Group"), ("B", "Bolt")], "symbol string, common_name string")
+    got = sorted(map(tuple, chunks.find_passages(pages, firms, "page_id", "html").collect()))
+    first, last = "Acme stock rose a lot on Monday, said ABC people", "Earnings of Bolt and others were out in the long morning"
+    assert got == [(1, 0, "ABC", first, first), (1, 2, "B", last, last)]  # places among passages of over 30 characters
+
+
 def test_registered_models_are_whole(monkeypatch):
     from tapeworks.plans import market
 

@@ -3,6 +3,7 @@
 The white space of words is written as the class ``[\\x20\\x09-\\x0D]``.
 """
 
+from .divergence import LEAST_DOCS, TOP
 from .line_dedup import LEAST_PAGES, RATIO
 from .quality import THRESHOLDS, stop_forms
 from .substring_dedup import WINDOW
@@ -104,4 +105,52 @@ select page_id, payload_bytes,
 from b
 """
 
-ORACLES = {"op1_substring_dedup": _WINDOWS, "op3_mixing": _MIX, "op5_warc": _WARC, "op6_quality": _QUALITY, "op8_line_dedup": _LINES}
+_DIVERGENCE = rf"""
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as rid,
+                  regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as words from documents),
+w as (select lang, source, rid, translate(unnest(words), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from d),
+k as (select lang, term, count(*) as lang_n from w group by 1, 2 having count(distinct rid) >= {LEAST_DOCS}),
+v as (select lang, count(*)::hugeint as v, sum(lang_n)::hugeint as lang_total from k group by 1),
+c as (select w.lang, w.source, w.term, count(*) as n from w join k using (lang, term) group by 1, 2, 3),
+g as (select distinct lang, source from d),
+t as (select g.lang, g.source, coalesce(sum(c.n), 0)::hugeint as total from g left join c on c.lang = g.lang and c.source = g.source group by 1, 2),
+p as (select t.lang, t.source, k.term, coalesce(c.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(c.n, 0) + 2) // (t.total + 2 * v.v) as p,
+             1 + 1000000000::hugeint * (k.lang_n + 2) // (v.lang_total + 2 * v.v) as q
+      from t join v using (lang) join k using (lang) left join c on c.lang = t.lang and c.source = t.source and c.term = k.term),
+f as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::bigint as value
+      from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+x as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0)::bigint as value
+      from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+      union all
+      select lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::bigint from p where n > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from x)
+select lang, source, part, item, value, rank::int as rank from r where part = 'pair' or rank <= {TOP}
+"""
+
+_AUDIT = rf"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '{_WORD}') as words, min(doc_id) over (partition by t) as first from d),
+l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by 1),
+m as (select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+             (len(words) < 200)::int + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::int
+             + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int
+             + 16 * coalesce(w.doc_id > first, false)::int as mask
+      from w left join l on l.doc_id = w.doc_id),
+c as (select part, mask, count(*) as n, count_if(good) as good, count_if(toxic) as toxic from m group by 1, 2),
+f as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) as f(name, bit)),
+o as (select a.name || b.name || c.name || d.name || e.name as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+      from f a, f b, f c, f d, f e where a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s as (select filter_order, step, bits[step] as bit, coalesce(list_sum(bits[1:step - 1]), 0)::int as before from (select *, unnest(range(1, 6)) as step from o)),
+r as (select part, filter_order, step,
+             coalesce(sum(n) filter (mask & (before | bit) = 0), 0)::bigint as kept,
+             coalesce(sum(n) filter (mask & before = 0 and mask & bit <> 0), 0)::bigint as removed,
+             coalesce(sum(n) filter (mask & before <> 0 and mask & bit <> 0), 0)::bigint as redundant,
+             coalesce(sum(n) filter (mask = bit), 0)::bigint as unique_fails,
+             coalesce(sum(good) filter (mask & before = 0 and mask & bit <> 0), 0)::bigint as good_lost,
+             coalesce(sum(toxic) filter (mask & before = 0 and mask & bit <> 0), 0)::bigint as toxic_lost
+      from c, s group by 1, 2, 3)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) over (partition by part, substr(filter_order, step, 1)))::bigint as shapley from r
+"""
+
+ORACLES = {"op1_substring_dedup": _WINDOWS, "op3_mixing": _MIX, "op5_warc": _WARC, "op6_quality": _QUALITY, "op8_line_dedup": _LINES, "op11_divergence": _DIVERGENCE, "op12_filter_audit": _AUDIT}

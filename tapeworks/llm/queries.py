@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, langid, line_dedup, media, mixing, quality, simhash, substring_dedup, warc
+from . import bpe, divergence, filter_audit, html_extract, langid, line_dedup, media, minhash, mixing, quality, simhash, substring_dedup, warc
 from .oracle import ORACLES
 
 
@@ -55,8 +55,24 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_media, op3_mixing, op4_language_id, op5_warc, op6_quality, op7_simhash, op8_line_dedup, op9_bpe, op10_html)}
+    found = (
+        op1_substring_dedup, op2_media, op3_mixing, op4_language_id, op5_warc, op6_quality, op7_simhash, op8_line_dedup, op9_bpe, op10_html,
+        op11_divergence, op12_filter_audit, op13_minhash,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,7 +17,9 @@ a bucket only the edges of a spanning forest are given out, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of, bounded_batches, cut_lineage, size_checked, utf8
+from .common import Scratch, batch_of, bounded_batches, cut_lineage, private, size_checked, utf8
 
 SEED, RADIUS, PIVOTS = 42, 4, 16
 _REFERENCES = np.random.default_rng(2024).integers(0, 2**63, PIVOTS, dtype=np.uint64) * np.uint64(2) + np.random.default_rng(2025).integers(0, 2, PIVOTS, dtype=np.uint64)
@@ -322,7 +324,11 @@ def _within(prints: np.ndarray, x: np.ndarray, y: np.ndarray, limit: int) -> np.
     return out
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_p", pa.int64()), ("text_q", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
+
+
+#: What tells rows apart: doc_id and 128 bits of the text.
+_ROW = ("doc_id", "text_p", "text_q")
 
 
 def _signatures(n: int):
@@ -330,7 +336,7 @@ def _signatures(n: int):
         for batch in batches:
             sets = [shingle_set(t, n) for t in utf8(batch.column("text"))]
             keys = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, np.concatenate([band_keys(x) for x in sets] or [np.zeros(0, np.int64)]))
-            yield batch_of(_SIGNED, batch.column("doc_id"), [xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in sets], keys)
+            yield batch_of(_SIGNED, *(batch.column(c) for c in _ROW), [xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in sets], keys)
 
     return run
 
@@ -372,8 +378,8 @@ def _compared(similarity: float):
     return run
 
 
-def _looked_up(edges: DataFrame, texts: DataFrame, similarity: float, keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
-    """a, b, linked of the edges (a, b) that may be of one family; ``texts`` has node, packed.
+def looked_up(edges: DataFrame, texts: DataFrame, compare: Callable, keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+    """a, b, linked of the edges (a, b) that ``compare`` gives out; ``texts`` has node, packed.
 
     A text with many links is looked up in parts of ``LINKS_A_TASK`` links, each with its
     own copy of the text, so no task holds all links of one text.
@@ -382,10 +388,15 @@ def _looked_up(edges: DataFrame, texts: DataFrame, similarity: float, keep: Call
     copies = texts.join(parts, texts.node == parts.a).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("packed").alias("of_a"))
     keyed = edges.join(parts, "a").select("a", "b", F.pmod(F.hash("b"), F.col("parts")).alias("part"))
     pairs = keyed.join(texts.select(F.col("node").alias("b"), F.col("packed").alias("of_b")), "b").join(copies, ["a", "part"])
-    return keep(pairs.select("a", "b", "of_a", "of_b").mapInArrow(_compared(similarity), "a long, b long, linked boolean"))
+    return keep(pairs.select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long, linked boolean"))
+
+
+def _looked_up(edges: DataFrame, texts: DataFrame, similarity: float, keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+    """:func:`looked_up` by bits, then shingle sets."""
+    return looked_up(edges, texts, _compared(similarity), keep)
 
 
-def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many elements each set of ``left`` shares with each of ``right``."""
     out = np.zeros((len(left), len(right)), np.float32)
     shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
@@ -427,7 +438,7 @@ def _joined(similarity: float):
             rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
             if len(rows):
                 x, y, near = x[rows], y[columns], near[np.ix_(rows, columns)]
-                common = _overlaps([sets[i] for i in x], [sets[i] for i in y])
+                common = overlaps([sets[i] for i in x], [sets[i] for i in y])
                 like = near & (common > 0) & (common >= similarity * (size[x][:, None] + size[y][None, :] - common) - 1e-9)
                 i, j = np.nonzero(like)
                 # one link of two groups is enough
@@ -438,8 +449,8 @@ def _joined(similarity: float):
     return run
 
 
-def _linked_in_families(seen: DataFrame, texts: DataFrame, similarity: float, keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
-    """Links between the groups within each family, a component of the pairs looked at.
+def linked_in_families(seen: DataFrame, texts: DataFrame, join: Callable, keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+    """Links that ``join`` finds between the groups within each family, a component of the pairs looked at.
 
     A bucket's texts are looked at against one of them only.  Where not all of a
     family are linked that way, its largest group is the core and the others
@@ -459,7 +470,7 @@ def _linked_in_families(seen: DataFrame, texts: DataFrame, similarity: float, ke
     rest = rest.withColumn("block", F.when(F.col("is_core"), F.col("outer") + F.pmod("turn", "inner")).otherwise(F.pmod("turn", "outer")).cast("int"))
     rest = rest.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outer") - 1 + F.when(F.col("is_core"), 0).otherwise(F.col("inner")))))
     pairs = rest.select("family", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "group", "packed")
-    return keep(pairs.groupBy("family", "p", "q").applyInArrow(_joined(similarity), "a long, b long"))
+    return keep(pairs.groupBy("family", "p", "q").applyInArrow(join, "a long, b long"))
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
@@ -476,9 +487,20 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
     Null and empty texts are one group; component_id is the smallest doc_id of a group
     (null if none has one); repeated rows are members each.  ``keep`` writes what later steps build on.
     """
+    return _grouped(docs, shingle, similarity, keep).select("doc_id", "component_id")
+
+
+def _with_row_keys(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the rest of ``_ROW``."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_p"), F.xxhash64(F.lit(1), text).alias("text_q"))
+
+
+def _grouped(docs: DataFrame, shingle: int, similarity: float, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``_ROW``, group (a number) and component_id for each row of ``docs``."""
     bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = keep(docs.mapInArrow(_signatures(shingle), "doc_id long, digest binary, keys array<long>"))
+    docs = _with_row_keys(docs)
+    prints = keep(docs.mapInArrow(_signatures(shingle), "doc_id long, text_p long, text_q long, digest binary, keys array<long>"))
     nodes = prints.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"))
     nodes = keep(nodes.withColumn("node", F.monotonically_increasing_id()))
     dealt = nodes.select(F.explode("keys").alias("key"), "node")
@@ -492,25 +514,43 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
     texts = docs.join(of_ids, docs.doc_id.eqNullSafe(of_ids.of_id), "left_semi").mapInArrow(_packed_texts(shingle), "digest binary, packed binary")
     texts = keep(texts.join(named, texts.digest == named.of_digest).select("node", "packed").dropDuplicates(["node"]))
     seen = _looked_up(edges, texts, similarity, keep)
-    found = seen.where("linked").select("a", "b").union(_linked_in_families(seen, texts, similarity, keep))
+    found = seen.where("linked").select("a", "b").union(linked_in_families(seen, texts, _joined(similarity), keep))
 
     roots = components(found, keep).withColumnRenamed("node", "in_root")
     nodes = nodes.join(roots, nodes.node == roots.in_root, "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
     least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = nodes.join(least, "root").select(F.col("digest").alias("group_digest"), "component_id")
-    return prints.join(groups, prints.digest == groups.group_digest).select("doc_id", "component_id")
+    groups = nodes.join(least, "root").select(F.col("digest").alias("group_digest"), F.col("root").alias("group"), "component_id")
+    return prints.join(groups, prints.digest == groups.group_digest).select(*_ROW, "group", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group of similar texts.
+    """One row of ``docs`` for each group of similar texts.
 
-    Rows with a null doc_id are kept only where no member of their group has one.
+    It is the row with the smallest doc_id; of several with that doc_id, that whose text has the
+    smallest hash, and of rows equal in both any one.  A row with a null doc_id stays only where
+    no member of its group has one.  Null, empty and blank texts are one group.
     """
     scratch = Scratch(docs.sparkSession)
-    groups = similar_groups(docs, shingle, similarity, scratch.keep)
-    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = groups.groupBy(F.col("doc_id").alias("gone_id")).agg(stays.alias("stays")).where("not stays").select("gone_id")
-    gone = cut_lineage(gone)
-    scratch.drop()
-    gone = size_checked(gone)
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.gone_id), "left_anti")
+    try:
+        rows = _grouped(docs, shingle, similarity, scratch.keep)
+        rows = scratch.keep(rows.groupBy("group", *_ROW).agg(F.count(F.lit(1)).alias("n")))
+        order = F.struct(F.col("doc_id").isNull().alias("unnumbered"), *_ROW)
+        chosen = rows.groupBy("group").agg(F.min_by(F.struct(*_ROW, "n"), order).alias("row")).select("group", "row.*")
+        chosen = chosen.select(F.col("group").alias("chosen_group"), *(F.col(c).alias(f"chosen_{c}") for c in _ROW), "n")
+        same = [rows["group"] == chosen["chosen_group"], *(rows[c].eqNullSafe(chosen[f"chosen_{c}"]) for c in _ROW)]
+        gone = rows.join(chosen, reduce(and_, same), "left_anti").select(*(F.col(c).alias(f"gone_{c}") for c in _ROW))
+        gone = cut_lineage(gone)
+        repeated = cut_lineage(chosen.where("n > 1").select(*(F.col(f"chosen_{c}").alias(f"gone_{c}") for c in _ROW)))
+    finally:
+        scratch.drop()
+    keys = [private(docs, c) for c in _ROW]
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    keyed = docs.withColumns(dict(zip(keys, (doc_id, F.xxhash64(text), F.xxhash64(F.lit(1), text)), strict=True)))
+
+    def met(table: DataFrame, how: str) -> DataFrame:
+        return keyed.join(size_checked(table), reduce(and_, (keyed[k].eqNullSafe(table[f"gone_{c}"]) for k, c in zip(keys, _ROW, strict=True))), how)
+
+    if repeated.isEmpty():
+        return met(gone, "left_anti").drop(*keys)
+    once = met(repeated, "left_semi").dropDuplicates(keys)
+    return met(gone.union(repeated), "left_anti").unionByName(once).drop(*keys)

@@ -111,5 +111,5 @@ def test_queries_need_nothing_else():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 13
     assert set(__spark_entry__.oracle_sql()) <= set(names)

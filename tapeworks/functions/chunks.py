@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sentiment import clamp, model_boost
+from .phrases import phrases_met
+from .sentiment import any_of, clamp, model_boost
 from .text import PASSAGE
 
 
@@ -62,7 +64,8 @@ def score_long(df: DataFrame, id: str, text: str, score: Callable[[Column], Colu
     """id, the mean score over the chunks of each text (without chunks: null), and polarity and
     compound: the mean with 0.3 and 0.2 of the finance boost of the whole text, from -1 to 1."""
     parts = df.select(id, model_boost(F.col(text)).alias("boost"), F.explode_outer(chunk_text(F.col(text), most)).alias("chunk"))
-    out = parts.groupBy(id).agg(F.avg(F.when(F.col("chunk").isNotNull(), score(F.col("chunk")))).alias("score"), F.count("chunk").alias("n_chunks"), F.first("boost").alias("boost"))
+    parts = parts.withColumn("of_chunk", score(F.col("chunk")))
+    out = parts.groupBy(id).agg(F.avg(F.when(F.col("chunk").isNotNull(), F.col("of_chunk"))).alias("score"), F.count("chunk").alias("n_chunks"), F.first("boost").alias("boost"))
     both = {name: F.when(F.col("n_chunks") == 0, 0.0).otherwise(clamp(F.col("score") + share * F.col("boost"), 1.0)) for name, share in (("polarity", 0.3), ("compound", 0.2))}
     return out.withColumns(both).drop("boost")
 
@@ -72,7 +75,7 @@ class _Part:
 
     def __init__(self, tag: str, marks: str, start: int, counts: list[int], bad: bool):
         self.tag, self.marks, self.start, self.end, self.before, self.bad = tag, marks, start, start, counts, bad
-        self.elements = self.links = self.images = self.linked = 0
+        self.elements = self.links = self.images = self.linked = self.times = 0
 
 
 class _Reader(HTMLParser):
@@ -90,7 +93,7 @@ class _Reader(HTMLParser):
         self.parts: list[_Part] = []
         self.paragraphs: list[str] = []
         self.side: list[bool] = []  # of each paragraph: stands in a container named as no content
-        self.counts = [0, 0, 0, 0]  # elements, links, images, linked characters so far
+        self.counts = [0, 0, 0, 0, 0]  # elements, links, images, linked characters, time elements so far
         self.text: list[str] = []
         self.json: list[str] = []
         self.in_json = False
@@ -103,6 +106,7 @@ class _Reader(HTMLParser):
         self.counts[0] += 1
         self.counts[1] += tag == "a"
         self.counts[2] += tag == "img"
+        self.counts[4] += tag == "time"
         if tag in self.HOLDERS:
             self.flush()
             marks = f"{found.get('class') or ''} {found.get('id') or ''}{' role-main' * (found.get('role') == 'main')}".lower()
@@ -133,7 +137,7 @@ class _Reader(HTMLParser):
     def shut(self):
         part = self.open.pop()
         part.end = len(self.paragraphs)
-        part.elements, part.links, part.images, part.linked = (now - then for now, then in zip(self.counts, part.before, strict=True))
+        part.elements, part.links, part.images, part.linked, part.times = (now - then for now, then in zip(self.counts, part.before, strict=True))
 
     def flush(self):
         text = " ".join("".join(self.text).split())
@@ -158,21 +162,30 @@ GOOD, BAD = ("article", "content", "post", "story", "entry", "main", "body"), ("
 BASIC_BAD = ("cookie", "privacy", "subscribe", "newsletter")
 
 
+# Words that tell of a date; points of a container; bounds and factors of its density.
+DATES = ("published", "updated", "posted", "ago", "am", "pm")
+POINTS = {"length": 100, "paragraph": 10, "good paragraph": 15, "few paragraphs": -30, "good name": 25, "bad name": -30, "links": -40, "date": 15, "article": 50, "main": 30}
+DENSE = {"least characters": 200, "good paragraphs": 1.5, "many links": 0.7}
+
+
 def _container_score(part: _Part, paragraphs: list[str]) -> float:
-    """Length, paragraphs, kind, names and links of a container as one number."""
-    size = sum(map(len, paragraphs))
-    score = min(size // 10, 100) + 10 * len(paragraphs) + 15 * sum(50 < len(p) < 800 for p in paragraphs)
-    score += {"article": 50, "main": 30}.get(part.tag, 0) - 30 * (size > 500 and len(paragraphs) < 3) - 40 * (part.linked > 0.3 * size)
-    return score + 25 * sum(w in part.marks for w in GOOD) - 30 * sum(w in part.marks for w in BAD)
+    """Length, paragraphs, kind, names, links and dates of a container as one number."""
+    size, low = sum(map(len, paragraphs)), " ".join(paragraphs).lower()
+    counts = {
+        "paragraph": len(paragraphs), "good paragraph": sum(50 < len(p) < 800 for p in paragraphs), "few paragraphs": size > 500 and len(paragraphs) < 3,
+        "good name": sum(w in part.marks for w in GOOD), "bad name": sum(w in part.marks for w in BAD), "links": part.linked > 0.3 * size,
+        "date": part.times > 0 or any(w in low for w in DATES), "article": part.tag == "article", "main": part.tag == "main",
+    }
+    return max(0, min(size // 10, POINTS["length"]) + sum(POINTS[k] * n for k, n in counts.items()))
 
 
 def _density(part: _Part, paragraphs: list[str]) -> float:
     """Characters for each element, more for paragraphs of good length, less for many links and images."""
     size = sum(map(len, paragraphs))
-    if size < 200 or not part.elements:
+    if size < DENSE["least characters"] or not part.elements:
         return 0.0
-    good = 1.5 if 50 < size / len(paragraphs) < 500 else 1.0
-    return size / part.elements * good * (0.7 if part.links + part.images > 0.3 * part.elements else 1.0)
+    good = DENSE["good paragraphs"] if 50 < size / len(paragraphs) < 500 else 1.0
+    return size / part.elements * good * (DENSE["many links"] if part.links + part.images > 0.3 * part.elements else 1.0)
 
 
 def _from_json(texts: list[str]) -> str:
@@ -220,9 +233,33 @@ def extract_article(html: Column) -> Column:
     return run(html)
 
 
+#: Names that one automaton looks for at most; more are taken in blocks, each a walk over the passages.
+NAMES = 5000
+
+
+def match_passages(rows: DataFrame, companies: DataFrame, id: str = "id", keywords: tuple[str, ...] = PASSAGE) -> DataFrame:
+    """id, at, symbol, title, passage: passages over 30 characters that hold the symbol of a company or the first
+    word of its common name (in this case, anywhere), and a finance keyword in any case.
+
+    ``rows`` has id, at and passage.  The names are a dimension: their number is checked, and
+    they reach the driver a block of ``NAMES`` at a time.  Null and empty names name nothing.
+    """
+    rows = rows.where((F.length("passage") > 30) & any_of(F.lower("passage"), keywords))
+    names = companies.select("symbol", F.explode(F.array("symbol", F.element_at(F.split("common_name", " "), 1))).alias("name")).where("name <> ''").distinct()
+    blocks = -(-names.select("name").distinct().count() // NAMES)
+    found = []
+    for i in range(blocks):
+        block = names.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == i)
+        phrases = tuple(sorted(r["name"] for r in block.select("name").distinct().collect()))
+        met = rows.withColumn("place", F.explode(phrases_met(F.col("passage"), phrases)))
+        named = met.withColumn("name", F.get(F.array(*map(F.lit, phrases)), F.col("place")))
+        found.append(named.join(F.broadcast(block), "name"))
+    out = reduce(DataFrame.unionByName, found) if found else rows.withColumn("symbol", F.lit(None).cast("string")).limit(0)
+    return out.select(id, "at", "symbol", F.substring("passage", 1, 100).alias("title"), "passage").distinct()
+
+
 def find_passages(df: DataFrame, companies: DataFrame, id: str, html: str, keywords: tuple[str, ...] = PASSAGE) -> DataFrame:
-    """Passages over 30 characters that name a company (symbol or first word of its name, in
-    this case) and hold a finance keyword: id, symbol, title, passage."""
+    """:func:`match_passages` of the paragraphs of pages."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def passages(pages: pd.Series) -> pd.Series:
@@ -234,10 +271,4 @@ def find_passages(df: DataFrame, companies: DataFrame, id: str, html: str, keywo
 
         return pages.map(of)
 
-    rows = df.select(id, F.posexplode(passages(F.col(html))).alias("at", "passage"))
-    hit = F.lit(False)
-    for k in keywords:
-        hit = hit | F.contains(F.lower("passage"), F.lit(k))
-    rows = rows.where(hit).withColumn("word", F.explode(F.array_distinct(F.split("passage", r"[^\p{L}\p{N}]+"))))
-    names = companies.select("symbol", F.explode(F.array_distinct(F.array("symbol", F.element_at(F.split("common_name", " "), 1)))).alias("word")).where("word <> ''")
-    return rows.join(names, "word").select(id, "at", "symbol", F.substring("passage", 1, 100).alias("title"), "passage").distinct()
+    return match_passages(df.select(id, F.posexplode(passages(F.col(html))).alias("at", "passage")), companies, id, keywords)

@@ -1,10 +1,13 @@
-"""Sentiment of finance texts by phrases.  All functions are expressions on columns."""
+"""Sentiment of finance texts by phrases.  All functions are expressions on columns; a list of
+many phrases is looked for in one walk over the text (:mod:`.phrases`)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .phrases import holds_any, phrases_met, weight_met
+
 # Phrases and weights.
 LEXICON = {
     "missed expectations": -0.7, "slowed growth": -0.5, "lawsuit": -0.8, "recall": -0.9, "downgrade": -0.7, "volatility": -0.4,
@@ -39,6 +42,10 @@ TRADES = (0.1, ("acquired", "buys", "increases position", "adds"), ("sells", "re
 EARNINGS = (0.4, ("beat", "exceed", "strong", "solid"), ("miss", "weak", "disappointing"))
 DOLLARS = (0.2, ("jump", "gain", "rise", "up"), ("drop", "fall", "down", "loss"))
 MODEL_DOLLARS = (0.3, ("jump", "gain", "rise", "up", "surge"), ("drop", "fall", "down", "loss", "decline"))
+# What a model's boost makes of the strengths above.
+MODEL_SCALE = {0.5: 0.4, -0.5: -0.4, 0.3: 0.25, -0.3: -0.25}
+# Weights of strong and moderate phrases in titles, the most that they give, and compound for each point of polarity.
+TITLE_STRONG, TITLE_MODERATE, TITLE_MOST, TITLE_CONFIDENCE = 0.7, 0.4, 0.8, 0.9
 # Phrases in titles.
 TITLE_STRONG_NEGATIVE = (
     "pulled down", "falls", "drops", "plunges", "crashes", "faces", "downgrade", "cut", "worst-performing", "slips", "declines",
@@ -65,42 +72,51 @@ def clamp(value: Column, most: float) -> Column:
     return F.greatest(F.lit(-most), F.least(F.lit(most), value))
 
 
-def title_score(title: Column) -> Column:
-    """Polarity of a title; moderate phrases count where strong ones are lacking or cancel."""
-    t = F.lower(title)
-    hit = lambda phrases, w: F.when(any_of(t, phrases), F.lit(w)).otherwise(0.0)
-    strong = hit(TITLE_STRONG_NEGATIVE, -0.7) + hit(TITLE_STRONG_POSITIVE, 0.7)
-    return F.when(F.abs(strong) >= 0.1, strong).otherwise(hit(TITLE_NEGATIVE, -0.4) + hit(TITLE_POSITIVE, 0.4))
+def _all(*groups: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(p for group in groups for p in group))
+
+
+_TITLES = _all(TITLE_STRONG_NEGATIVE, TITLE_STRONG_POSITIVE, TITLE_NEGATIVE, TITLE_POSITIVE)
+_TERMS = _all(*(terms for _, terms in BOOSTS), *TRADES[1:], *EARNINGS[1:], *DOLLARS[1:], *MODEL_DOLLARS[1:], ("earnings",))
+
+
+def title_score(title: Column) -> tuple[Column, Column]:
+    """Polarity and compound of a title; moderate phrases count where strong ones are lacking or cancel."""
+    met = phrases_met(F.lower(title), _TITLES)
+    hit = lambda phrases, w: F.when(holds_any(met, _TITLES, phrases), F.lit(w)).otherwise(0.0)
+    strong = hit(TITLE_STRONG_NEGATIVE, -TITLE_STRONG) + hit(TITLE_STRONG_POSITIVE, TITLE_STRONG)
+    moderate = hit(TITLE_NEGATIVE, -TITLE_MODERATE) + hit(TITLE_POSITIVE, TITLE_MODERATE)
+    polarity = clamp(F.when(F.abs(strong) >= 0.1, strong).otherwise(moderate), TITLE_MOST)
+    return polarity, polarity * TITLE_CONFIDENCE
 
 
 def lexicon_score(text: Column, lexicon: dict[str, float] = LEXICON) -> Column:
-    """0.8 of the weight of each phrase that the lower-cased text contains."""
-    t = F.lower(text)
-    pairs = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(w).alias("w")) for p, w in lexicon.items()))
-    return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + F.when(F.contains(t, x.p), x.w * 0.8).otherwise(0.0))
+    """0.8 of the weight of each phrase that the lower-cased text contains, all found in one walk."""
+    return weight_met(phrases_met(F.lower(text), tuple(lexicon)), [w * 0.8 for w in lexicon.values()])
 
 
-def _weighted(text: Column, groups) -> Column:
-    """Weights of terms that a word of the text contains (terms hold no space)."""
-    total = F.lit(0.0)
+def _weighted(met: Column, groups) -> Column:
+    """Weights of the terms ``met`` (a word holds a term where the text does, for terms hold no space)."""
+    weights = dict.fromkeys(_TERMS, 0.0)
     for weight, terms in groups:
         for term in terms:
-            total = total + F.when(F.contains(text, F.lit(term)), F.lit(weight)).otherwise(0.0)
-    return total
+            weights[term] += weight
+    return weight_met(met, list(weights.values()))
 
 
-def _either(text: Column, rule, when: Column = None) -> Column:
+def _either(met: Column, rule, when: Column = None) -> Column:
     weight, good, bad = rule
-    out = F.when(any_of(text, good), weight).when(any_of(text, bad), -weight).otherwise(0.0)
+    out = F.when(holds_any(met, _TERMS, good), weight).when(holds_any(met, _TERMS, bad), -weight).otherwise(0.0)
     return out if when is None else F.when(when, out).otherwise(0.0)
 
 
 def boost_score(text: Column) -> Column:
     """Boost words, trades of institutions, earnings, a percentage over 2, dollar amounts."""
     t = F.lower(text)
+    met = phrases_met(t, _TERMS)
     percent = F.regexp_extract(t, r"([0-9]+([.][0-9]+)?)%", 1).try_cast("double")
     dollars = t.rlike(r"[$][0-9]+")
-    return _weighted(t, BOOSTS) + _either(t, TRADES) + _either(t, EARNINGS, F.contains(t, F.lit("earnings"))) + F.when(percent > 2, 0.3).otherwise(0.0) + _either(t, DOLLARS, dollars)
+    return _weighted(met, BOOSTS) + _either(met, TRADES) + _either(met, EARNINGS, holds_any(met, _TERMS, ("earnings",))) + F.when(percent > 2, 0.3).otherwise(0.0) + _either(met, DOLLARS, dollars)
 
 
 def combine_lexicon(base: Column, subjectivity: Column, adjustment: Column) -> tuple[Column, Column]:
@@ -111,8 +127,8 @@ def combine_lexicon(base: Column, subjectivity: Column, adjustment: Column) -> t
 
 def model_boost(text: Column) -> Column:
     t = F.lower(text)
-    scale = {0.5: 0.4, -0.5: -0.4, 0.3: 0.25, -0.3: -0.25}
-    return _weighted(t, [(scale[w], terms) for w, terms in BOOSTS if w in scale]) + _either(t, MODEL_DOLLARS, t.rlike(r"[$][0-9]+"))
+    met = phrases_met(t, _TERMS)
+    return _weighted(met, [(MODEL_SCALE[w], terms) for w, terms in BOOSTS if w in MODEL_SCALE]) + _either(met, MODEL_DOLLARS, t.rlike(r"[$][0-9]+"))
 
 
 def calibrate(label: Column, score: Column, text: Column) -> tuple[Column, Column]:

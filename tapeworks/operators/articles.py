@@ -120,18 +120,22 @@ def sources(df: DataFrame) -> DataFrame:
     return df.select("source").where("source is not null").distinct().orderBy("source")
 
 
-def score_articles(df: DataFrame, score: Callable[[Column], Column], text: str = "text") -> DataFrame:
-    """``df`` with ``compound`` and ``scored_by``, ``title`` or ``main``.
+def score_articles(df: DataFrame, score: Callable[[Column], Column | tuple[Column, Column]], text: str = "text") -> DataFrame:
+    """``df`` with ``polarity``, ``compound`` and ``scored_by``, ``title`` or ``main``.
 
     Texts that are short when cleaned (under 300 characters), and those with consent phrases, are scored as titles:
     by what comes before the first full stop, with consent phrases by the first 100 characters.
-    A title score of 0.1 or less says nothing; then, and for all other texts, ``score`` of the cleaned text counts.
+    A title whose compound is 0.1 or less says nothing; then, and for all other texts, ``score`` of the cleaned text
+    counts: a polarity and a compound, or one column that is both.
     """
     clean = clean_for_analysis(F.col(text))
     consent = any_of(F.lower(clean), CONSENT)
-    title = title_score(F.when(consent, F.substring(clean, 1, 100)).when(F.contains(clean, F.lit(".")), F.substring_index(clean, ".", 1)).otherwise(clean))
-    short = ((F.length(clean) < 300) | consent) & (F.abs(title) > 0.1)
-    return df.withColumns({"compound": F.when(short, title).otherwise(score(clean)), "scored_by": F.when(short, "title").otherwise("main")})
+    polarity, compound = title_score(F.when(consent, F.substring(clean, 1, 100)).when(F.contains(clean, F.lit(".")), F.substring_index(clean, ".", 1)).otherwise(clean))
+    by_title = ((F.length(clean) < 300) | consent) & (F.abs(compound) > 0.1)
+    main = score(clean)
+    main = main if isinstance(main, tuple) else (main, main)
+    both = {"polarity": F.when(by_title, polarity).otherwise(main[0]), "compound": F.when(by_title, compound).otherwise(main[1])}
+    return df.withColumns(both | {"scored_by": F.when(by_title, "title").otherwise("main")})
 
 
 def throughput_report(runs: DataFrame) -> DataFrame:

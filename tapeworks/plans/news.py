@@ -64,10 +64,11 @@ _BOOST = " + ".join(
         "case when try_cast(regexp_extract(low, '([0-9]+([.][0-9]+)?)%', 1) as double) > 2 then 0.3 else 0.0 end", _either_sql(sentiment.DOLLARS, "regexp_matches(low, '[$][0-9]+')"),
     ]
 )
-_SCALE = {0.5: 0.4, -0.5: -0.4, 0.3: 0.25, -0.3: -0.25}
-_MODEL_BOOST = _weighted_sql([(_SCALE[w], t) for w, t in sentiment.BOOSTS if w in _SCALE]) + " + " + _either_sql(sentiment.MODEL_DOLLARS, "regexp_matches(low, '[$][0-9]+')")
+_MODEL_BOOST = _weighted_sql([(sentiment.MODEL_SCALE[w], t) for w, t in sentiment.BOOSTS if w in sentiment.MODEL_SCALE]) + " + " + _either_sql(sentiment.MODEL_DOLLARS, "regexp_matches(low, '[$][0-9]+')")
 _TITLE_SCORE = f"""(case when {_contains("t", sentiment.TITLE_STRONG_NEGATIVE)} then -0.7 else 0.0 end + case when {_contains("t", sentiment.TITLE_STRONG_POSITIVE)} then 0.7 else 0.0 end)"""
 _TITLE_WEAK = f"""(case when {_contains("t", sentiment.TITLE_NEGATIVE)} then -0.4 else 0.0 end + case when {_contains("t", sentiment.TITLE_POSITIVE)} then 0.4 else 0.0 end)"""
+#: The sum of the strong phrases (moderate ones where it is under 0.1), from -0.8 to 0.8.
+_TITLE_POLARITY = f"greatest(-0.8, least(0.8, case when abs({_TITLE_SCORE}) >= 0.1 then {_TITLE_SCORE} else {_TITLE_WEAK} end))::double"
 
 
 def _labelled(v: Views) -> DataFrame:
@@ -132,12 +133,38 @@ def _published(v: Views) -> DataFrame:
     return v.usage_logs.select("log_id", text.parse_published(said).alias("published"))
 
 
+def _titles(v: Views) -> DataFrame:
+    """Polarity (score) and compound of each article's title."""
+    polarity, compound = sentiment.title_score(text.title_of(F.col("text")))
+    return v.articles.select("article_id", polarity.alias("score"), compound.alias("compound"))
+
+
+#: Words of test passages beside the finance keywords.
+_KEYWORDS = (*text.PASSAGE, "on", "th")
+
+
+def _passages(v: Views) -> DataFrame:
+    """Lines of articles that hold a symbol's name, which is the beginning of one of its articles."""
+    names = v.articles.groupBy("symbol").agg(F.max(F.trim(F.substring("text", 1, 4))).alias("common_name"))
+    lines = v.articles.select("article_id", F.posexplode(F.split("text", "\n")).alias("at", "passage"))
+    found = chunks.match_passages(lines, names, "article_id", _KEYWORDS)
+    return found.select("article_id", F.col("at").cast("long").alias("at"), "symbol", "title", F.sha2("passage", 256).alias("digest"))
+
+
+_PASSAGES = rf"""{A}, c as (select symbol, max(trim(substring(text, 1, 4))) as common_name from articles group by 1),
+n as (select symbol, symbol as name from c union select symbol, split_part(common_name, ' ', 1) from c),
+l as (select article_id, string_split(text, chr(10)) as lines from articles),
+p as (select article_id, i - 1 as place, lines[i] as passage from l, lateral (select unnest(range(1, len(lines) + 1)) as i) u)
+select distinct article_id, place::bigint as "at", symbol, substring(passage, 1, 100) as title, sha256(passage) as digest
+from p join n on name <> '' and contains(passage, name) where length(passage) > 30 and {_contains("lower(passage)", _KEYWORDS)}"""
+
+
 def _routed(v: Views) -> DataFrame:
     """Articles, some with a consent phrase before their text, some of the title only."""
     kind = F.pmod(F.col("article_id"), F.lit(4))
     said = F.when(kind == 0, F.concat(F.lit("Stock quote soars. "), F.col("text"))).when(kind == 1, F.concat(F.lit("Maker falls short. "), text.title_of(F.col("text")))).otherwise(F.col("text"))
     rows = articles.score_articles(v.articles.withColumn("text", said), lambda c: sentiment.lexicon_score(c, WORDS))
-    return rows.select("article_id", "compound", "scored_by")
+    return rows.select("article_id", "polarity", "compound", "scored_by")
 
 
 _ROUTED = rf"""{A}, s as (select article_id, case article_id % 4 when 0 then 'Stock quote soars. ' || text when 1 then 'Maker falls short. ' || {_TITLE} else text end as said from articles),
@@ -148,9 +175,9 @@ c as (select article_id, trim(substring(regexp_replace(regexp_replace(said, 'htt
 ]+', ' ', 'g'), 1, 512)) as clean from s),
 d as (select *, lower(clean) as low, {_contains("lower(clean)", sentiment.CONSENT)} as consent from c),
 e as (select *, lower(case when consent then substring(clean, 1, 100) when contains(clean, '.') then split_part(clean, '.', 1) else clean end) as t from d),
-f as (select *, case when abs({_TITLE_SCORE}) >= 0.1 then {_TITLE_SCORE} else {_TITLE_WEAK} end as ts, {_lexicon_sql()} as main from e),
-g as (select *, (length(clean) < 300 or consent) and abs(ts) > 0.1 as by_title from f)
-select article_id, {r("case when by_title then ts else main end", "compound")}, case when by_title then 'title' else 'main' end as scored_by from g"""
+f as (select *, {_TITLE_POLARITY} as ts, {_lexicon_sql()} as main from e),
+g as (select *, (length(clean) < 300 or consent) and abs(ts * 0.9::double) > 0.1 as by_title from f)
+select article_id, {r("case when by_title then ts else main end", "polarity")}, {r("case when by_title then ts * 0.9::double else main end", "compound")}, case when by_title then 'title' else 'main' end as scored_by from g"""
 
 
 def _read_back(v: Views) -> DataFrame:
@@ -285,10 +312,7 @@ SOURCES = {
     ),
     "enrich_articles_whole": (lambda v: _enriched_whole(v).select("article_id", F.length("full_text").cast("long").alias("n"), "extraction_successful", "enhancement_ratio"), None),
     "enhancement_stats_whole": (lambda v: articles.enhancement_stats(_enriched_whole(v)), None),
-    "title_score": (
-        lambda v: v.articles.select("article_id", sentiment.title_score(text.title_of(F.col("text"))).alias("score")),
-        f"{A}, t as (select article_id, lower({_TITLE}) as t from articles) select article_id, {r(f'case when abs({_TITLE_SCORE}) >= 0.1 then {_TITLE_SCORE} else {_TITLE_WEAK} end', 'score')} from t",
-    ),
+    "title_score": (_titles, f"{A}, t as (select article_id, lower({_TITLE}) as t from articles), p as (select article_id, {_TITLE_POLARITY} as score from t) select article_id, {r('score')}, {r('score * 0.9::double', 'compound')} from p"),
     "lexicon_score": (lambda v: v.articles.select("article_id", sentiment.lexicon_score(F.col("text"), WORDS).alias("score")), f"{A}, {_ARTICLE} select article_id, {r(_lexicon_sql(), 'score')} from a"),
     "boost_score": (lambda v: v.articles.select("article_id", sentiment.boost_score(F.col("text")).alias("score")), f"{A}, {_ARTICLE} select article_id, {r(_BOOST, 'score')} from a"),
     "combine_lexicon": (
@@ -311,7 +335,8 @@ SOURCES = {
     "chunk_text": (lambda v: v.articles.select("article_id", chunks.chunk_text(F.col("text")).alias("c")).select("article_id", F.size("c").alias("n_chunks"), F.sha2(F.array_join("c", "\n"), 256).alias("digest")), None),
     "score_long": (lambda v: chunks.score_long(v.articles, "article_id", "text", lambda c: sentiment.lexicon_score(c, WORDS)), None),
     "extract_article": (_pages_text, None),
-    "find_passages": (lambda v: chunks.find_passages(v.table("pages"), v.articles.select("symbol").distinct().withColumn("common_name", F.lit("The")), "page_id", "html", (*text.PASSAGE, "on", "th")), None),
+    "find_passages": (lambda v: chunks.find_passages(v.table("pages"), v.articles.select("symbol").distinct().withColumn("common_name", F.lit("The")), "page_id", "html", _KEYWORDS), None),
+    "match_passages": (_passages, _PASSAGES),
     "dedupe_url": (
         lambda v: dedup.dedupe_by_key(v.articles.withColumn("url_hash", text.url_hash(F.col("url"))), ["symbol", "url_hash"], "article_id").select("article_id", "symbol"),
         f"{A} select min(article_id) as article_id, symbol from articles group by symbol, url",

@@ -8,7 +8,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from tapeworks.functions import chunks, sentiment, text
+from tapeworks.functions import chunks, phrases, sentiment, text
 from tapeworks.operators import articles, backtest, bars, companies, dedup, features, indicators, model, recurrence, usage
 from tapeworks.operators.recurrence import run_mean
 from tapeworks.sources import files, ingest
@@ -167,8 +167,9 @@ def test_sentiment(spark):
     def one(expr, value):
         return spark.createDataFrame([(value,)], "t string").select(expr(F.col("t"))).first()[0]
 
-    assert one(sentiment.title_score, "Stock falls") == -0.7 and one(sentiment.title_score, "Stock falls, then soars") == 0.0
-    assert one(sentiment.title_score, "A comeback") == 0.4 and one(sentiment.title_score, "Nothing") == 0.0
+    for title, polarity in (("Stock falls", -0.7), ("Stock falls, then soars", 0.0), ("A comeback", 0.4), ("Nothing", 0.0), (None, 0.0)):
+        got = [one(lambda c, i=i: sentiment.title_score(c)[i], title) for i in (0, 1)]
+        assert got == pytest.approx([polarity, 0.9 * polarity])
     assert one(sentiment.lexicon_score, "A lawsuit and fraud") == pytest.approx(0.8 * -1.8)
     assert one(sentiment.boost_score, "up 5%") == pytest.approx(0.6)
     labels = spark.createDataFrame([(x,) for x in (0.05, -0.05, 0.06, 0.75, 0.76, -0.76)], "c double").select(sentiment.sentiment_label(F.col("c"))).collect()
@@ -329,8 +330,11 @@ def test_articles_are_routed(spark):
     main = lambda c: F.lit(0.9)
     long = "Plain words here. " * 30
     rows = [(1, "Stock falls. More"), (2, "Nothing said. More"), (3, "Stock falls. " + long), (4, "Sign in to access. Stock falls. " + long), (5, None)]
-    got = {r["i"]: (r["compound"], r["scored_by"]) for r in articles.score_articles(spark.createDataFrame(rows, "i long, text string"), main).collect()}
-    assert got == {1: (-0.7, "title"), 2: (0.9, "main"), 3: (0.9, "main"), 4: (-0.7, "title"), 5: (0.9, "main")}
+    df = spark.createDataFrame(rows, "i long, text string")
+    got = {r["i"]: (r["polarity"], round(r["compound"], 9), r["scored_by"]) for r in articles.score_articles(df, main).collect()}
+    assert got == {1: (-0.7, -0.63, "title"), 2: (0.9, 0.9, "main"), 3: (0.9, 0.9, "main"), 4: (-0.7, -0.63, "title"), 5: (0.9, 0.9, "main")}
+    both = articles.score_articles(df, lambda c: (F.lit(0.5), F.lit(0.25))).where("i = 3").first()
+    assert (both["polarity"], both["compound"]) == (0.5, 0.25)
 
 
 def test_long_texts(spark):
@@ -450,7 +454,42 @@ def test_passages(spark):
     firms = spark.createDataFrame([("ABC", "Acme Group"), ("B", "Bolt")], "symbol string, common_name string")
     got = sorted(map(tuple, chunks.find_passages(pages, firms, "page_id", "html").collect()))
     first, last = "Acme stock rose a lot on Monday, said ABC people", "Earnings of Bolt and others were out in the long morning"
-    assert got == [(1, 0, "ABC", first, first), (1, 2, "B", last, last)]  # places among passages of over 30 characters
+    # places among passages of over 30 characters; a symbol counts wherever it stands, here B in ABC
+    assert got == [(1, 0, "ABC", first, first), (1, 0, "B", first, first), (1, 2, "B", last, last)]
+
+
+def test_passages_of_symbols_with_a_point(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "NAMES", 2)
+    said = ["AAPL stock went up in the long morning", "Analysts like BRK.B: its price is fair, they say", "BRK B has no such price in this passage here"]
+    rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(said)] + [(9, 0, None)], "id long, at int, passage string")
+    firms = spark.createDataFrame([("AAPL", "Apple Inc"), ("BRK.B", "Berkshire Hathaway"), ("", None), (None, "Nobody"), ("X", "")], "symbol string, common_name string")
+    assert sorted(tuple(r)[:3] for r in chunks.match_passages(rows, firms).collect()) == [(0, 0, "AAPL"), (1, 0, "BRK.B")]
+    assert chunks.match_passages(rows, firms.limit(0)).collect() == []
+
+
+def test_phrases_against_a_search_for_each():
+    rng = random.Random(4)
+    for _ in range(200):
+        found = tuple({"".join(rng.choice("abcé$") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(1, 12))})
+        texts = ["".join(rng.choice("abcdé$ ") for _ in range(rng.choice([0, 1, 3, 511, 512, 513, 2000]))).encode() for _ in range(rng.randrange(6))]
+        text, phrase = phrases.Automaton(found).met(texts)
+        assert list(zip(text.tolist(), phrase.tolist(), strict=True)) == sorted((i, j) for i, t in enumerate(texts) for j, p in enumerate(found) if p.encode() in t)
+    with pytest.raises(ValueError):
+        phrases.Automaton(("a", ""))
+
+
+def test_walks_take_bounded_bytes_together(monkeypatch):
+    monkeypatch.setattr(phrases, "TOGETHER", 50)
+    texts = [b"x" * i + b"needle" * (i % 3 > 0) for i in range(60)]
+    text, phrase = phrases.Automaton(("needle", "xn")).met(texts)
+    assert set(zip(text.tolist(), phrase.tolist(), strict=True)) == {(i, 0) for i in range(60) if i % 3} | {(i, 1) for i in range(1, 60) if i % 3}
+
+
+def test_sentiment_plans_walk_once(spark):
+    """All terms of a boost are met by one vectorised step; nothing is evaluated row by row."""
+    df = spark.createDataFrame([("up 5%",)], "t string")
+    plan = df.select(sentiment.boost_score(F.col("t")).alias("b"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and plan.count("run(lower(t") == 1 and "BatchEvalPython" not in plan
 
 
 def test_registered_models_are_whole(monkeypatch):

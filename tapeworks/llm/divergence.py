@@ -15,16 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, bounded_batches, cut_lineage, utf8
+from .common import batch_of, bounded_batches, cut_lineage, size_checked, utf8
 
 LEAST_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
 #: Groups and terms of one side of a cell.
 GROUPS, TERMS = 64, 4096
 #: Different (group, term) counts that a worker holds before it gives them out.
-HELD = 200_000
+HELD = 500_000
+#: One document, above any number of occurrences that a worker holds.
+_DOC = 1 << 40
 #: Upper case to lower case, and whatever is no part of a term to a space.
 _FOLD = bytes(i if i >= 0x80 or 0x61 <= i <= 0x7A else i + 32 if 0x41 <= i <= 0x5A else 0x20 for i in range(256))
 
@@ -39,21 +42,24 @@ _PARTIAL = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", p
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents of each term by group; a null term stands for the group itself."""
-    held: dict[tuple, tuple[Counter, Counter]] = {}
+    held: dict[tuple, dict[bytes, int]] = {}  # occurrences, and documents above them
 
     def out() -> pa.RecordBatch:
-        rows = [(*group, None, 0, 0) for group in held]
-        rows += [(*group, t.decode(), n, docs[t]) for group, (counts, docs) in held.items() for t, n in counts.items()]
+        columns: list[list] = [[] for _ in _PARTIAL]
+        for (lang, source), counts in held.items():
+            terms, both = pa.array([None, *counts], pa.binary()), pa.array([0, *counts.values()], pa.int64())
+            rows = pa.scalar(lang), pa.scalar(source), terms.cast(pa.string()), pc.bit_wise_and(both, _DOC - 1), pc.shift_right(both, 40)
+            for column, x in zip(columns, rows, strict=True):
+                column.append(pa.repeat(x, len(terms)) if isinstance(x, pa.Scalar) else x)
         held.clear()
-        return batch_of(_PARTIAL, *(zip(*rows, strict=True) if rows else [[]] * 5))
+        return batch_of(_PARTIAL, *(pa.concat_arrays(c) if c else [] for c in columns))
 
     for batch in batches:
         for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), utf8(batch.column("text")), strict=True):
-            counts, docs = held.setdefault((lang, source), (Counter(), Counter()))
-            own = Counter(terms(text))
-            counts.update(own)
-            docs.update(own.keys())
-        if sum(len(c) for c, _ in held.values()) > HELD:
+            counts = held.setdefault((lang, source), {})
+            for term, n in Counter(terms(text)).items():
+                counts[term] = counts.get(term, 0) + n + _DOC
+        if sum(map(len, held.values())) > HELD:
             yield out()
     yield out()
 
@@ -119,21 +125,23 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, groups_
     Nulls are empty strings; a group without terms counts like any other; a language
     without kept terms has pairs of value 0; an empty table gives no rows.
     """
-    counts = cut_lineage(group_terms(docs))
-    groups = counts.where("term is null").select("lang", "source")
-    by_term = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
-    kept = cut_lineage(by_term.select("lang", "term", "lang_n"))
-    sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
+    # a term's rows, one a source, meet once: there its language's counts are added up and rare terms go
+    counts = group_terms(docs)
+    of_term = Window.partitionBy("lang", "term")
+    counts = counts.withColumns({"lang_n": F.sum("n").over(of_term), "lang_docs": F.sum("docs").over(of_term), "leads": F.min("source").over(of_term) == F.col("source")})
+    counts = cut_lineage(counts.where(F.col("term").isNull() | (F.col("lang_docs") >= least_docs)).select("lang", "source", "term", "n", "lang_n", "leads"))
+    groups, own = counts.where("term is null").select("lang", "source"), counts.where("term is not null")
+    leading = lambda c: F.sum(F.when(F.col("leads"), c).otherwise(0))
+    sizes = own.groupBy("lang").agg(leading(F.lit(1)).alias("v"), leading(F.col("lang_n")).alias("lang_total"))
     langs = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("g")).join(sizes, "lang", "left").fillna(0, ["v", "lang_total"])
     langs = langs.withColumns({"group_blocks": F.ceil(F.col("g") / groups_a_block).cast("int"), "term_blocks": F.greatest(F.lit(1), F.ceil(F.col("v") / terms_a_block)).cast("int")})
-    langs = cut_lineage(langs)
-
-    own = counts.where("term is not null").join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n")
+    langs = size_checked(cut_lineage(langs))
     totals = own.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = groups.join(totals, ["lang", "source"], "left").fillna(0, ["total"]).join(langs, "lang")
     groups = cut_lineage(groups.withColumn("own", F.pmod(F.xxhash64("source"), "group_blocks").cast("int")))
-    p = _probability(F.col("n"), F.col("total"), F.col("v"))
-    own = cut_lineage(own.join(groups, ["lang", "source"]).withColumn("p", p))
+    block = F.pmod(F.xxhash64("term"), "term_blocks").cast("int")
+    own = own.join(size_checked(groups), ["lang", "source"])
+    own = own.withColumns({"p": _probability(F.col("n"), F.col("total"), F.col("v")), "c": block})
 
     # terms: the largest of each source
     q = _probability(F.col("lang_n"), F.col("lang_total"), F.col("v"))
@@ -142,15 +150,14 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, groups_
     out_terms = rarer.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
     # pairs: slices go to the cells that own them
-    block = F.pmod(F.xxhash64("term"), "term_blocks").cast("int")
-    slices = kept.join(langs.select("lang", "term_blocks"), "lang").groupBy("lang", block.alias("c")).agg(F.count(F.lit(1)).alias("slice_terms"))
+    slices = own.groupBy("lang", "c").agg(leading(F.lit(1)).alias("slice_terms"))
     none = _probability(F.lit(0), F.col("total"), F.col("v"))
     absent = groups.withColumns({"c": F.explode(F.sequence(F.lit(0), F.col("term_blocks") - 1)), "term": F.lit(None).cast("string"), "p": none})
     absent = absent.join(slices, ["lang", "c"], "left").fillna(0, ["slice_terms"])
     columns = ["lang", "source", "own", "group_blocks", "c", "term", "p", "slice_terms"]
-    rows = absent.select(*columns).union(own.withColumns({"c": block, "slice_terms": F.lit(0).cast("long")}).select(*columns))
+    rows = absent.select(*columns).union(own.withColumn("slice_terms", F.lit(0).cast("long")).select(*columns))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("group_blocks") - 1)))
-    rows = rows.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
+    rows = rows.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("other", "group_blocks")
     cells = rows.groupBy("lang", "a", "b", "c").applyInArrow(_cell, "lang string, x string, y string, value long")
     pairs = cells.groupBy("lang", "x", "y").agg(F.sum("value").alias("value"))
     both = F.inline(F.array(F.struct(F.col("x").alias("source"), F.col("y").alias("item")), F.struct(F.col("y").alias("source"), F.col("x").alias("item"))))

@@ -6,54 +6,80 @@ signal that was not 0, and no state machine is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bars import KEYS, TIME, series
+from .chunked import ROWS, carried, chunk_keys, cut, is_cut, uncut
 
 CAPITAL, COST, YEAR = 10_000.0, 0.001, 252
 
 
-def positions(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+def _last(column: Column) -> Column:
+    return F.last(column, ignorenulls=True)
+
+
+def _positions(df: DataFrame, keys: list[str]) -> DataFrame:
+    """position, changed and __was (the position before) of signals that may be cut; no halo is needed."""
+    df = carried(df, keys, {"__signal": (F.max_by("prediction", F.when(F.col("prediction") != 0, F.col(TIME))), lambda c: _last(c))})
+    w = series(chunk_keys(df, keys))
+    before = F.coalesce(F.col("__signal").cast("int"), F.lit(0))
+    held = _last(F.when(F.col("prediction") != 0, F.col("prediction"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn("position", F.coalesce(held, before))
+    df = df.withColumn("__was", F.coalesce(F.lag("position", 1).over(w), before)).drop("__signal")
+    return df.withColumn("changed", F.col("position") != F.col("__was"))
+
+
+def positions(df: DataFrame, keys: list[str] = KEYS, rows: int | None = ROWS) -> DataFrame:
     """``position`` from ``prediction``, and ``changed`` where it differs from the row before."""
-    w = series(keys)
-    held = F.last(F.when(F.col("prediction") != 0, F.col("prediction")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("position", F.coalesce(held, F.lit(0)))
-    return df.withColumn("changed", F.col("position") != F.lag("position", 1, 0).over(w))
+    out = _positions(cut(df, keys, rows=rows), keys).drop("__was")
+    return out if is_cut(df) else uncut(out)
 
 
-def trades(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+def trades(df: DataFrame, keys: list[str] = KEYS, rows: int | None = ROWS) -> DataFrame:
     """Rows where the position changes, with side."""
-    return positions(df, keys).where("changed").select(*keys, TIME, F.when(F.col("position") > 0, "BUY").otherwise("SELL").alias("side"), "price")
+    return positions(df, keys, rows).where("changed").select(*keys, TIME, F.when(F.col("position") > 0, "BUY").otherwise("SELL").alias("side"), "price")
 
 
-def equity_curve(df: DataFrame, keys: list[str] = KEYS, capital: float = CAPITAL, cost: float = COST, realize_shorts: bool = False) -> DataFrame:
+def equity_curve(df: DataFrame, keys: list[str] = KEYS, capital: float = CAPITAL, cost: float = COST, realize_shorts: bool = False, rows: int | None = ROWS) -> DataFrame:
     """``equity`` at each row.
 
     Closing a long multiplies the capital by exit / entry less the cost; closing a short
     takes the cost only, unless ``realize_shorts``.  An open position is marked to price.
+
+    Series of over ``rows`` rows go by chunks: position, entry price and the sum of the factors' logarithms are
+    handed on from chunk to chunk.  Signals that are cut (:func:`.chunked.cut`) give a curve that is cut.
     """
-    w = series(keys)
+    out = _positions(cut(df, keys, rows=rows), keys)
+    out = carried(out, keys, {"__entry": (F.max_by("price", F.when(F.col("changed"), F.col(TIME))), lambda c: _last(c))})
+    w = series(chunk_keys(out, keys))
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    df = positions(df, keys).withColumn("entry", F.last(F.when(F.col("changed"), F.col("price")), ignorenulls=True).over(run))
-    df = df.withColumns({"__was": F.lag("position", 1, 0).over(w), "__from": F.lag("entry").over(w)})
+    before = F.col("__entry").cast("double")
+    out = out.withColumn("entry", F.coalesce(_last(F.when(F.col("changed"), F.col("price"))).over(run), before))
+    out = out.withColumn("__from", F.coalesce(F.lag("entry").over(w), before))
     short = F.col("__from") / F.col("price") if realize_shorts else F.lit(1.0)
     factor = F.when(F.col("changed") & (F.col("__was") == 1), F.col("price") / F.col("__from") * (1 - cost)).when(F.col("changed") & (F.col("__was") == -1), short * (1 - cost)).otherwise(1.0)
-    df = df.withColumn("__f", factor)
-    value = F.lit(capital) * F.exp(F.sum(F.log("__f")).over(run))
+    out = carried(out.withColumn("__f", F.log(factor)), keys, {"__made": (F.sum("__f"), F.sum)})
+    value = F.lit(capital) * F.exp(F.sum("__f").over(run) + F.coalesce(F.col("__made").cast("double"), F.lit(0.0)))
     mark = F.when(F.col("position") == 1, F.col("price") / F.col("entry")).when(F.col("position") == -1, F.col("entry") / F.col("price")).otherwise(1.0)
-    return df.withColumn("equity", value * mark).drop("__was", "__from", "__f")
+    out = out.withColumn("equity", value * mark).drop("__was", "__from", "__f", "__entry", "__made")
+    return out if is_cut(df) else uncut(out)
 
 
 def risk_metrics(curve: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Returns, Sharpe, Sortino, drawdown, Calmar, R squared, accuracy and trades of each series.
 
-    Undefined ratios are 0; so are all ratios with one return or none.
+    Undefined ratios are 0; so are all ratios with one return or none.  A curve that is cut goes by chunks:
+    the last values and the peak are handed on.
     """
-    w = series(keys)
+    last = lambda c: (F.max_by(c, TIME), lambda x: _last(x))
+    df = carried(curve, keys, {"__equity": last("equity"), "__price": last("price")})
+    w = series(chunk_keys(df, keys))
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    df = curve.withColumns({"r": F.col("equity") / F.lag("equity").over(w) - 1, "m": F.col("price") / F.lag("price").over(w) - 1})
-    df = df.withColumn("__peak", F.max(F.when(F.col("r").isNotNull(), F.col("equity"))).over(run))
+    earlier = lambda c: F.coalesce(F.lag(c).over(w), F.col(f"__{c}").cast("double"))
+    df = df.withColumns({"r": F.col("equity") / earlier("equity") - 1, "m": F.col("price") / earlier("price") - 1})
+    df = carried(df.withColumn("__e", F.when(F.col("r").isNotNull(), F.col("equity"))), keys, {"__top": (F.max("__e"), F.max)})
+    df = df.withColumn("__peak", F.greatest(F.max("__e").over(run), F.col("__top").cast("double")))
     df = df.withColumn("dd", F.when(F.col("r").isNotNull(), F.col("equity") / F.col("__peak") - 1))
     out = df.groupBy(*keys).agg(
         F.min_by("equity", TIME).alias("e0"), F.max_by("equity", TIME).alias("final_value"), F.min_by("price", TIME).alias("p0"), F.max_by("price", TIME).alias("p1"),

@@ -9,11 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunked import KEYS, ROWS, TIME, over_chunks
 from .lookup import last_n
 
-KEYS = ["symbol"]
-TIME = "price_timestamp"
-
 
 def series(keys: list[str] = KEYS) -> Window:
     return Window.partitionBy(*keys).orderBy(TIME)
@@ -38,15 +36,16 @@ def rollup_bars(bars: DataFrame, freq: str = "day") -> DataFrame:
     )
 
 
-def find_gaps(bars: DataFrame, step: int = 3600, keys: list[str] = KEYS) -> DataFrame:
+def find_gaps(bars: DataFrame, step: int = 3600, keys: list[str] = KEYS, rows: int | None = ROWS) -> DataFrame:
     """A row for each gap: keys, gap_start, gap_end and the values of the bar just before it.
 
     A gap is where the next bar comes later than one step.  (The values are those of the
-    preceding bar, not of the preceding gap.)
+    preceding bar, not of the preceding gap.)  Series of over ``rows`` rows go by chunks, each with the bar after it.
     """
     lag = F.expr(f"interval {step} seconds")
-    rows = bars.withColumn("next_ts", F.lead(TIME).over(series(keys))).where(F.col("next_ts") > F.col(TIME) + lag)
-    return rows.select(*keys, (F.col(TIME) + lag).alias("gap_start"), (F.col("next_ts") - lag).alias("gap_end"), "open", "high", "low", "close", "volume", "trade_count", "vwap")
+    build = lambda df, k: df.withColumn("next_ts", F.lead(TIME).over(series(k)))
+    found = over_chunks(bars, build, keys, after=1, rows=rows).where(F.col("next_ts") > F.col(TIME) + lag)
+    return found.select(*keys, (F.col(TIME) + lag).alias("gap_start"), (F.col("next_ts") - lag).alias("gap_end"), "open", "high", "low", "close", "volume", "trade_count", "vwap")
 
 
 def gap_points(step: int):
@@ -54,18 +53,18 @@ def gap_points(step: int):
     return F.greatest(F.lit(0), F.floor((F.unix_seconds("gap_end") - F.unix_seconds("gap_start")) / step) + 1).cast("long")
 
 
-def gap_report(bars: DataFrame, step: int = 3600, keys: list[str] = KEYS) -> DataFrame:
+def gap_report(bars: DataFrame, step: int = 3600, keys: list[str] = KEYS, rows: int | None = ROWS) -> DataFrame:
     """Gaps and lacking bars of each series (those without a gap are not listed)."""
-    return find_gaps(bars, step, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("gaps"), F.sum(gap_points(step)).alias("points"))
+    return find_gaps(bars, step, keys, rows).groupBy(*keys).agg(F.count(F.lit(1)).alias("gaps"), F.sum(gap_points(step)).alias("points"))
 
 
-def forward_fill(bars: DataFrame, step: int = 3600, keys: list[str] = KEYS) -> DataFrame:
+def forward_fill(bars: DataFrame, step: int = 3600, keys: list[str] = KEYS, rows: int | None = ROWS) -> DataFrame:
     """``bars`` and the bars that its gaps lack, which repeat the bar before the gap.
 
     Volume and trade count that are null become 0 in filled bars.  New times lie strictly
     between existing ones, so nothing needs to be checked against ``bars``.
     """
-    gaps = find_gaps(bars, step, keys).where("gap_start <= gap_end")
+    gaps = find_gaps(bars, step, keys, rows).where("gap_start <= gap_end")
     times = F.sequence("gap_start", "gap_end", F.expr(f"interval {step} seconds"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     new = gaps.withColumn(TIME, F.explode(times)).select(*keys, TIME, "open", "high", "low", "close", zero("volume"), zero("trade_count"), "vwap", F.lit(False).alias("original"))

@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bars import KEYS, TIME, series
+from .chunked import ROWS, over_chunks
 from .lookup import latest_per_key
 
 NOT_FEATURES = ("symbol", "timeframe", "price_timestamp", "original", "target", "future_close", "future_return")
 
 
-def add_labels(df: DataFrame, periods: int = 5, threshold: float = 1.0, keys: list[str] = KEYS) -> DataFrame:
+def add_labels(df: DataFrame, periods: int = 5, threshold: float = 1.0, keys: list[str] = KEYS, rows: int | None = ROWS) -> DataFrame:
     """future_close, future_return (percent) and target: 1 above the threshold, -1 below its
-    negative, else 0; the last ``periods`` rows of a series are dropped."""
-    df = df.withColumn("future_close", F.lead("close", periods).over(series(keys))).where("future_close is not null")
+    negative, else 0; the last ``periods`` rows of a series are dropped.  Series of over ``rows`` rows go by chunks."""
+    build = lambda x, k: x.withColumn("future_close", F.lead("close", periods).over(series(k))).where("future_close is not null")
+    df = over_chunks(df, build, keys, after=periods, rows=rows)
     df = df.withColumn("future_return", (F.col("future_close") - F.col("close")) / F.col("close") * 100)
     return df.withColumn("target", F.when(F.col("future_return") > threshold, 1).when(F.col("future_return") < -threshold, -1).otherwise(0))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import backtest, bars, features, indicators, lookup, model
+from ..operators import backtest, bars, chunked, features, indicators, lookup, model
 from ..sources import files, ingest
 from ..streaming import streams
 from . import streamed
@@ -94,9 +94,16 @@ rm as (select symbol, total_return, buy_hold, coalesce(sqrt(252) * mu / nullif(s
 RISK_ROUNDED = ", ".join("trades" if c == "trades" else r(f"rm.{c}", c) for c in ("total_return", "buy_hold", "sharpe", "sortino", "max_drawdown", "calmar", "r_squared", "accuracy", "trades", "final_value"))
 
 
-def signals(v: Views) -> DataFrame:
-    df = features.add_labels(indicators.averages(v.bars_hour, (20,))).where("sma_20 is not null")
-    return df.select("symbol", T, F.col("close").alias("price"), "target", F.signum(F.col("close") - F.col("sma_20")).cast("int").alias("prediction"))
+def signals(v: Views, rows: int | None = chunked.ROWS) -> DataFrame:
+    """Signals of each bar, still cut into chunks if a series has over ``rows`` rows."""
+    df = chunked.cut(v.bars_hour, before=20, after=5, rows=rows)
+    df = features.add_labels(indicators.averages(df, (20,), rows=None), rows=None).where("sma_20 is not null")
+    parts = [chunked.CHUNK, chunked.HALO] if chunked.is_cut(df) else []
+    return chunked.own_rows(df).select("symbol", T, F.col("close").alias("price"), "target", F.signum(F.col("close") - F.col("sma_20")).cast("int").alias("prediction"), *parts)
+
+
+def _curve(v: Views, rows: int | None = chunked.ROWS) -> DataFrame:
+    return backtest.equity_curve(signals(v, rows), rows=None)
 
 
 def _timeframes(v: Views) -> DataFrame:
@@ -119,7 +126,7 @@ def _indicator_frame(v: Views) -> DataFrame:
 
 
 def _model_parts(v: Views) -> tuple[DataFrame, DataFrame, list[str]]:
-    df = features.encode_symbol(features.add_labels(_indicator_frame(v)))
+    df = features.encode_symbol(indicators.add_indicators(features.add_labels(v.bars_hour)))
     rows, names = features.feature_matrix(df)
     rows = features.temporal_split(rows)
     return rows.where("part = 'train'").drop("part"), rows.where("part = 'validation'").drop("part"), names
@@ -180,7 +187,7 @@ def _named_files(v: Views) -> DataFrame:
 def _documents(v: Views) -> DataFrame:
     """What the JSON documents of the latest signals hold."""
     latest = signals(v).groupBy("symbol").agg(F.max_by("prediction", T).alias("prediction"), F.lit(1.0).alias("confidence"))
-    metrics = backtest.risk_metrics(backtest.equity_curve(signals(v)))
+    metrics = backtest.risk_metrics(_curve(v))
     docs = backtest.prediction_document(latest, metrics)
     get = lambda path: F.get_json_object("document", f"$.{path}")
     risks = {c: get(f"risk_metrics.{c}").cast("long" if c == "trades" else "double") for c in metrics.columns if c != "symbol"}
@@ -189,7 +196,7 @@ def _documents(v: Views) -> DataFrame:
 
 def _sized(v: Views) -> DataFrame:
     def prepare(bars_of):
-        rows, names = features.feature_matrix(features.encode_symbol(features.add_labels(indicators.add_indicators(bars_of))))
+        rows, names = features.feature_matrix(features.encode_symbol(indicators.add_indicators(features.add_labels(bars_of))))
         return rows, [n for n in names if n != "close"] + ["close"]
 
     return model.compare_sizes(v.bars_hour, prepare, kind="random_forest")
@@ -394,15 +401,15 @@ SOURCES = {
         f"""{B}, m as (select symbol, price_timestamp, {_mean(10)} as s, vwap from bars_hour where price_timestamp < timestamp '2024-01-01 09:00:00'), f as (select symbol, price_timestamp, last_value(s ignore nulls) over ({W} rows unbounded preceding) as sma_10, last_value(vwap ignore nulls) over ({W} rows unbounded preceding) as vwap from m)
         select symbol, {TS}, {r("coalesce(sma_10, 0)", "sma_10")}, {r("coalesce(vwap, 0)", "vwap")}, 0.0 as unknown from f qualify row_number() over (partition by symbol order by price_timestamp desc) = 1""",
     ),
-    "positions": (lambda v: backtest.positions(signals(v)).select("symbol", T, "prediction", "position", "changed"), f"{SIGNALS} select symbol, {TS}, prediction, position, changed from pos"),
-    "trades": (lambda v: backtest.trades(signals(v)), f"{SIGNALS} select symbol, {TS}, case when position > 0 then 'BUY' else 'SELL' end as side, {r('price')} from pos where changed"),
-    "equity_curve": (lambda v: backtest.equity_curve(signals(v)).select("symbol", T, "equity"), f"{EQUITY} select symbol, {TS}, {r('equity')} from eq"),
+    "positions": (lambda v: backtest.positions(signals(v), rows=None).select("symbol", T, "prediction", "position", "changed"), f"{SIGNALS} select symbol, {TS}, prediction, position, changed from pos"),
+    "trades": (lambda v: backtest.trades(signals(v), rows=None), f"{SIGNALS} select symbol, {TS}, case when position > 0 then 'BUY' else 'SELL' end as side, {r('price')} from pos where changed"),
+    "equity_curve": (lambda v: _curve(v).select("symbol", T, "equity"), f"{EQUITY} select symbol, {TS}, {r('equity')} from eq"),
     "risk_metrics": (
-        lambda v: backtest.risk_metrics(backtest.equity_curve(signals(v))),
+        lambda v: backtest.risk_metrics(_curve(v)),
         f"{RISK} select symbol, {RISK_ROUNDED} from rm",
     ),
     "compare_symbols": (
-        lambda v: model.compare_symbols(backtest.risk_metrics(backtest.equity_curve(signals(v)))),
+        lambda v: model.compare_symbols(backtest.risk_metrics(_curve(v))),
         f"{RISK} select {r('avg(total_return)', 'avg_return')}, {r('avg(buy_hold)', 'avg_buy_hold')}, {r('avg(accuracy)', 'avg_accuracy')}, count_if(total_return > buy_hold) as outperform, count(*) as symbols from rm",
     ),
     "signal_accuracy": (
@@ -421,7 +428,7 @@ SOURCES = {
         select symbol, timeframes, case when timeframes >= 2 then best end as consensus, timeframes >= 2 and k = 1 as unanimous from b join t using (symbol)""",
     ),
     "batch_summary": (
-        lambda v: backtest.batch_summary(_timeframes(v), backtest.risk_metrics(backtest.equity_curve(signals(v)))),
+        lambda v: backtest.batch_summary(_timeframes(v), backtest.risk_metrics(_curve(v))),
         f"""{RISK}, usage_logs as ({SQL["usage_logs"]}),{FRAMES}, x as (select count(*) as total, count_if(prediction is null) as failed, count_if(prediction = 'Buy') as buy, count_if(prediction = 'Hold') as hold, count_if(prediction = 'Sell') as sell, {r("avg(confidence)", "avg_confidence")}, count_if(confidence > 0.7) as confident from preds),
         y as (select {r("avg(sharpe)", "avg_sharpe")}, {r("avg(abs(max_drawdown))", "avg_drawdown")}, {r("avg(total_return)", "avg_return")} from rm) select * from x, y""",
     ),
@@ -454,8 +461,31 @@ def _indicators_sql() -> str:
 SOURCES["indicators_all"] = (_indicator_frame, _indicators_sql())
 
 
+#: Rows of a chunk where long series are tried out; each series of the test tables has several.
+FEW = 100
+
+
+def _of(name: str, build) -> tuple:
+    """What ``name`` selects, with its SQL, from bars that are worked on in chunks."""
+    return build, SOURCES[name][1]
+
+
+SOURCES |= {
+    "indicators_chunked": _of("indicators_all", lambda v: indicators.add_indicators(v.bars_hour, rows=FEW)),
+    "obv_chunked": _of("obv", lambda v: indicators.obv(v.bars_hour, rows=FEW).select("symbol", T, "obv")),
+    "gaps_chunked": _of("gaps", lambda v: bars.find_gaps(v.bars_hour, rows=FEW)),
+    "forward_fill_chunked": _of("forward_fill", lambda v: bars.forward_fill(v.bars_hour, rows=FEW)),
+    "labels_chunked": _of("labels", lambda v: features.add_labels(v.bars_hour, rows=FEW).select("symbol", T, "future_close", "future_return", "target")),
+    "trades_chunked": _of("trades", lambda v: backtest.trades(signals(v, FEW), rows=None)),
+    "equity_curve_chunked": _of("equity_curve", lambda v: _curve(v, FEW).select("symbol", T, "equity")),
+    "risk_metrics_chunked": _of("risk_metrics", lambda v: backtest.risk_metrics(_curve(v, FEW))),
+}
+
+
 def flagship(v: Views) -> DataFrame:
     """Ticks to hourly bars, indicators of frames, labels, and their distribution by symbol."""
-    df = indicators.averages(bars.prefer_original(bars.build_bars(v.ticks)))
-    df = indicators.volume_features(indicators.price_features(indicators.bollinger(df)))
-    return plain(features.label_distribution(features.add_labels(indicators.close_ratios(df)), ["symbol"]))
+    df = chunked.cut(bars.prefer_original(bars.build_bars(v.ticks, tie=("event_id",))), before=indicators.BACK, after=5)
+    df = indicators.bollinger(indicators.averages(df, rows=None), rows=None)
+    df = indicators.volume_features(indicators.price_features(df, rows=None), rows=None)
+    df = features.add_labels(indicators.close_ratios(df), rows=None)
+    return plain(features.label_distribution(chunked.uncut(df), ["symbol"]))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeworks.functions import chunks, phrases, sentiment, text
-from tapeworks.operators import articles, backtest, bars, companies, dedup, features, indicators, model, recurrence, usage
+from tapeworks.operators import articles, backtest, bars, chunked, companies, dedup, features, indicators, model, recurrence, usage
 from tapeworks.operators.recurrence import run_mean
 from tapeworks.sources import files, ingest
 from tapeworks.streaming import streams
@@ -326,6 +326,91 @@ def test_means_with_nulls_and_series_in_pieces(spark):
         assert [y or 0 for y in mine] == pytest.approx([y or 0 for y in want])
 
 
+@pytest.fixture(scope="module")
+def uneven(spark):
+    """Bars of three series: one long with gaps of many lengths and nulls, one short, one of a single row."""
+    rng = random.Random(9)
+    rows, t = [], 0
+    for _ in range(1500):
+        t += rng.choice([1, 1, 1, 2, 90])
+        rows.append(("A", t, 100 + rng.gauss(0, 3), rng.randrange(1, 50) if rng.random() > 0.05 else None))
+    rows += [("B", i, 50.0 + i % 7, i) for i in range(40)] + [("C", 5, 1.0, 1)]
+    df = spark.createDataFrame(rows, "symbol string, i long, close double, volume long")
+    df = df.withColumns({"price_timestamp": F.timestamp_seconds(F.col("i") * 60), "open": F.col("close") + 0.5, "high": F.col("close") + 1, "low": F.col("close") - 1 - F.col("i") % 3, "trade_count": F.lit(1), "vwap": F.col("close"), "original": F.lit(True)})
+    return df.cache()
+
+
+def same_rows(got, want, keys=("symbol", "price_timestamp")):
+    got, want = ({tuple(r[k] for k in keys): r.asDict() for r in x.collect()} for x in (got, want))
+    assert got.keys() == want.keys() and len(want) > 1
+    for key, row in want.items():
+        assert got[key].keys() == row.keys()
+        for name, x in row.items():
+            assert got[key][name] == (pytest.approx(x, abs=1e-9, rel=1e-9) if isinstance(x, float) else x), (key, name)
+
+
+@pytest.mark.parametrize(("name", "rows"), [("add_indicators", 60), ("add_indicators", 300), ("recursive_indicators", 100)])
+def test_indicators_by_chunks(uneven, name, rows):
+    build = getattr(indicators, name)
+    same_rows(build(uneven, rows=rows), build(uneven, rows=None))
+
+
+@pytest.mark.parametrize("rows", [2, 100])
+def test_labels_and_gaps_by_chunks(uneven, rows):
+    same_rows(features.add_labels(uneven, rows=rows), features.add_labels(uneven, rows=None))
+    same_rows(bars.find_gaps(uneven, 60, rows=rows), bars.find_gaps(uneven, 60, rows=None), ("symbol", "gap_start"))
+
+
+def test_backtest_by_chunks(uneven):
+    rows = 100
+    for every in (1, 40):  # many signals, and chunks without one
+        sign = F.when(F.col("i") % every == 0, F.signum(F.sin(F.col("i") * 1.7))).otherwise(0).cast("int")
+        signals = uneven.select("symbol", "price_timestamp", F.col("close").alias("price"), sign.alias("prediction"), F.lit(1).alias("target"))
+        cut = chunked.cut(signals, rows=rows)
+        assert cut.where("symbol = 'A'").select(chunked.CHUNK).distinct().count() > 3
+        same_rows(backtest.equity_curve(signals, rows=rows), backtest.equity_curve(signals, rows=None))
+        same_rows(backtest.positions(signals, rows=rows), backtest.positions(signals, rows=None))
+        same_rows(backtest.risk_metrics(backtest.equity_curve(cut)), backtest.risk_metrics(backtest.equity_curve(signals, rows=None)), ("symbol",))
+
+
+def test_chunks_and_their_halo(uneven):
+    cut = chunked.cut(uneven, before=20, after=7, rows=100)
+    of_a = {c: sorted(((r["i"], r[chunked.HALO]) for r in rows)) for c in range(40) if (rows := cut.where((F.col("symbol") == "A") & (F.col(chunked.CHUNK) == c)).collect())}
+    times = sorted(r["i"] for r in uneven.where("symbol = 'A'").collect())
+    assert sorted(i for rows in of_a.values() for i, halo in rows if not halo) == times
+    assert max(sum(not halo for _, halo in rows) for rows in of_a.values()) < 200 and len(of_a) > 7  # no task has a series
+    for rows in of_a.values():
+        own = [i for i, halo in rows if not halo]
+        first, last = times.index(own[0]), times.index(own[-1])
+        got = [i for i, _ in rows]
+        assert got == times[times.index(got[0]) : times.index(got[-1]) + 1]  # no holes
+        assert got[0] <= times[max(first - 20, 0)] and got[-1] >= times[min(last + 7, len(times) - 1)]
+    assert chunked.cut(uneven, rows=10_000) is uneven
+
+
+def test_chunked_windows_are_partitioned_by_chunk(uneven):
+    cut = chunked.cut(uneven, before=indicators.BACK, rows=100)
+    k = chunked.chunk_keys(cut, ["symbol"])
+    plan = indicators.stochastic(indicators.bollinger(indicators.averages(cut, rows=None), rows=None), rows=None)._jdf.queryExecution().executedPlan().toString()
+    windows = re.findall(r"Window \[.*\], \[([^\[\]]*)\], \[price_timestamp", plan)
+    assert windows and all("__chunk" in w for w in windows) and k == ["symbol", chunked.CHUNK]
+
+
+def test_summaries_compose():
+    rng = random.Random(8)
+    for n in (1, 3, 20):
+        values = [None if rng.random() < 0.2 else rng.uniform(-5, 5) for _ in range(120)]
+        state = whole = (0, 0.0)
+        at = 0
+        while at < len(values):
+            part = values[at : at + rng.randrange(1, 25)]
+            summary = recurrence._summary(recurrence.np.array(part, float), n, 0.3)
+            state = recurrence._composed(summary, n, 0.3, state)
+            whole = run_mean(part, n, 0.3, whole)[1]
+            assert state[0] == whole[0] and state[1] == pytest.approx(whole[1], abs=1e-12)
+            at += len(part)
+
+
 def test_articles_are_routed(spark):
     main = lambda c: F.lit(0.9)
     long = "Plain words here. " * 30

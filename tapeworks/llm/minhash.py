@@ -18,7 +18,7 @@ groups are compared with each other block by block.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, bounded_batches, cut_lineage, size_checked, utf8
+from .common import Scratch, batch_of, bounded_batches, cut_lineage, size_checked, utf8
 from .simhash import SEED, components, linked_in_families, looked_up, overlaps, shingle_set
 
 SHINGLE, PERCENT, COORDINATES = 3, 85, 64
@@ -255,23 +255,32 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
+    scratch = Scratch(docs.sparkSession)
+    try:
+        return cut_lineage(_grouped(docs, shingle, percent, chunk, scratch.keep))
+    finally:
+        scratch.drop()
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int, chunk: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """:func:`near_duplicates`; ``keep`` writes what later steps build on."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut_lineage(docs.mapInArrow(_signed(shingle), "doc_id long, n_shingles long, digest binary, keys array<long>"))
+    signed = keep(docs.mapInArrow(_signed(shingle), "doc_id long, n_shingles long, digest binary, keys array<long>"))
     nodes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"))
-    nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()))
+    nodes = keep(nodes.withColumn("node", F.monotonically_increasing_id()))
     least = least_matches(percent)
-    edges = cut_lineage(candidates(nodes, least, chunk))
+    edges = keep(candidates(nodes, least, chunk))
 
     ends = edges.select(F.explode(F.array("a", "b")).alias("end")).distinct()
-    named = cut_lineage(nodes.join(ends, nodes.node == ends.end, "left_semi").select("node", "first", F.col("digest").alias("of_digest")))
-    of_ids = size_checked(cut_lineage(named.select(F.col("first").alias("of_id")).distinct()))
+    named = keep(nodes.join(ends, nodes.node == ends.end, "left_semi").select("node", "first", F.col("digest").alias("of_digest")))
+    of_ids = size_checked(keep(named.select(F.col("first").alias("of_id")).distinct()))
     texts = docs.join(of_ids, docs.doc_id.eqNullSafe(of_ids.of_id), "left_semi").mapInArrow(_packed(shingle), "digest binary, packed binary")
-    texts = cut_lineage(texts.join(named, texts.digest == named.of_digest).select("node", "packed").dropDuplicates(["node"]))
-    seen = looked_up(edges, texts, _compared(percent))
-    found = seen.where("linked").select("a", "b").union(linked_in_families(seen, texts, _joined(percent, least)))
+    texts = keep(texts.join(named, texts.digest == named.of_digest).select("node", "packed").dropDuplicates(["node"]))
+    seen = looked_up(edges, texts, _compared(percent), keep)
+    found = seen.where("linked").select("a", "b").union(linked_in_families(seen, texts, _joined(percent, least), keep))
 
-    roots = components(found).withColumnRenamed("node", "in_root")
+    roots = components(found, keep).withColumnRenamed("node", "in_root")
     nodes = nodes.join(roots, nodes.node == roots.in_root, "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
     smallest = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = nodes.join(smallest, "root").select(F.col("digest").alias("group_digest"), F.col("component_id").alias("group_id"))

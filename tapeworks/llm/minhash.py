@@ -10,9 +10,9 @@ templates) post no lists unless a text has hardly anything else; values that no
 has are skipped altogether.  Inside a list collisions are counted on part of the
 signatures first and on the rest where the threshold can still be met.
 
-A list gives out a spanning forest of its pairs above the threshold, never all of them.  The forest's
-pairs are verified on the full sets; where that leaves a family in several groups, the
-groups are compared with each other block by block.
+A list gives out a spanning forest of its pairs above the threshold, never all of them.  The forests make families;
+of each text the pairs with most collisions are verified on the full sets, and where that leaves a family in
+several groups, the groups are compared with each other block by block.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, batch_of, bounded_batches, cut_lineage, size_checked, utf8
@@ -34,6 +34,8 @@ SHINGLE, PERCENT, COORDINATES = 3, 85, 64
 MISSED = 1e-6
 #: Coordinates that are compared before the rest of a signature is.
 FIRST = 32
+#: Candidates of each text that are verified before families are compared as a whole.
+BEST = 3
 #: Texts of one list that meet in one task; longer lists are dealt in chunks, and chunk meets chunk.
 CHUNK = 4096
 _FACTORS = np.random.default_rng(13).integers(0, 2**63, (COORDINATES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -58,17 +60,18 @@ def word_set(text: bytes, n: int = SHINGLE) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """A 64-bit value for each coordinate, different coordinates having different ones."""
+    """A 64-bit value for each coordinate, whose last bits tell the coordinate."""
     low = np.full(COORDINATES, 2**64 - 1, np.uint64)
     for first in range(0, len(hashes), 4096):
         low = np.minimum(low, (hashes[None, first : first + 4096] * _FACTORS).min(axis=1))
     low = (low ^ _TURNS) * np.uint64(0x9E3779B97F4A7C15)
-    return low ^ (low >> np.uint64(32))
+    low ^= low >> np.uint64(32)
+    return (low & ~np.uint64(COORDINATES - 1)) | np.arange(COORDINATES, dtype=np.uint64)
 
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
 _POSTED = pa.schema([("key", pa.int64()), ("p", pa.int32()), ("q", pa.int32()), ("node", pa.int64()), ("sig", pa.binary())])
-_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("matches", pa.int32())])
 
 
 def _signed(n: int):
@@ -98,8 +101,8 @@ def _unpacked(rows: list) -> tuple[np.ndarray, list[np.ndarray]]:
     return heads, [np.frombuffer(x, np.uint64, offset=_HEAD) for x in rows]
 
 
-def colliding(own: np.ndarray, others: np.ndarray, least: int) -> np.ndarray:
-    """Places of those ``others`` that agree with ``own`` in ``least`` coordinates; 0 agrees with nothing.
+def colliding(own: np.ndarray, others: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of those ``others`` that agree with ``own`` in ``least`` coordinates, and in how many; 0 agrees with nothing.
 
     A signature that the first coordinates have left too far behind is skipped.
     """
@@ -107,18 +110,18 @@ def colliding(own: np.ndarray, others: np.ndarray, least: int) -> np.ndarray:
     n = ((others[:, :FIRST] == own[:FIRST]) & known[:FIRST]).sum(axis=1)
     at = np.flatnonzero(n >= least - (COORDINATES - FIRST))
     n = n[at] + ((others[at, FIRST:] == own[FIRST:]) & known[FIRST:]).sum(axis=1)
-    return at[n >= least]
+    return at[n >= least], n[n >= least]
 
 
-def forest(signatures: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Edges that connect what collisions connect within one list, fewer than its members."""
+def forest(signatures: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Edges (and their collisions) that connect what collisions connect within one list, fewer than its members."""
     edges, left = [], np.arange(len(signatures))
     while len(left):
         stack, left = [left[0]], left[1:]
         while stack and len(left):
             i = stack.pop()
-            at = colliding(signatures[i], signatures[left], least)
-            edges += [(i, j) for j in left[at].tolist()]
+            at, n = colliding(signatures[i], signatures[left], least)
+            edges += [(i, j, m) for j, m in zip(left[at].tolist(), n.tolist(), strict=True)]
             stack += left[at].tolist()
             left = np.delete(left, at)
     return edges
@@ -132,7 +135,8 @@ def _dealt(chunk: int, least: int):
             rows: list[list] = [[] for _ in _POSTED]
             for node, shared in zip(batch.column("node").to_pylist(), batch.column("shared").to_pylist(), strict=True):
                 sig = np.zeros(COORDINATES, np.uint32)
-                sig[[x["i"] for x in shared]] = np.array([x["key"] for x in shared], np.int64).astype(np.uint32)
+                keys = np.array([x["key"] for x in shared], np.int64)
+                sig[keys & (COORDINATES - 1)] = keys.astype(np.uint32)
                 packed = sig.tobytes()
                 for x in shared[: len(shared) - least + 1]:
                     parts = -(-x["n"] // chunk)
@@ -146,27 +150,29 @@ def _dealt(chunk: int, least: int):
 
 
 def _listed(least: int, small: int = 16):
-    """Edges (a, b) of each list; lists come one after another."""
+    """Edges (a, b) of each list and their collisions; lists come one after another."""
 
     def of(heads: np.ndarray, node: np.ndarray, sig: np.ndarray) -> pa.RecordBatch | None:
         sizes = np.diff(np.append(heads, len(node)))
         number = np.repeat(np.arange(len(heads)), sizes)
-        inside, left, right = np.repeat(sizes <= small, sizes), [], []
+        inside, left, right, matches = np.repeat(sizes <= small, sizes), [], [], []
         for step in range(1, small):
             at = np.flatnonzero((number[step:] == number[:-step]) & inside[step:])
             if not len(at):
                 break
-            at = at[((sig[at] == sig[at + step]) & (sig[at] != 0)).sum(axis=1) >= least]
-            left.append(at)
-            right.append(at + step)
+            n = ((sig[at] == sig[at + step]) & (sig[at] != 0)).sum(axis=1)
+            left.append(at[n >= least])
+            right.append(left[-1] + step)
+            matches.append(n[n >= least])
         for head, size in zip(heads[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
-            found = np.array(forest(sig[head : head + size], least), np.int64).reshape(-1, 2) + head
-            left.append(found[:, 0])
-            right.append(found[:, 1])
+            found = np.array(forest(sig[head : head + size], least), np.int64).reshape(-1, 3)
+            left.append(found[:, 0] + head)
+            right.append(found[:, 1] + head)
+            matches.append(found[:, 2])
         if not left:
             return None
         x, y = (node[np.concatenate(z)] for z in (left, right))
-        return batch_of(_EDGE, np.minimum(x, y), np.maximum(x, y))
+        return batch_of(_EDGE, np.minimum(x, y), np.maximum(x, y), np.concatenate(matches))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -188,13 +194,13 @@ def _listed(least: int, small: int = 16):
 
 
 def candidates(nodes: DataFrame, least: int, chunk: int = CHUNK) -> DataFrame:
-    """Edges a < b between nodes (node, keys) that connect all pairs with ``least`` collisions."""
-    tokens = nodes.select("node", F.posexplode("keys").alias("i", "key"))
+    """a, b, matches: edges a < b between nodes (node, keys) that connect all pairs with ``least`` collisions."""
+    tokens = nodes.select("node", F.explode("keys").alias("key"))
     counts = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # summed before it moves
-    shared = tokens.join(counts, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key", "i"))).alias("shared"))
+    shared = tokens.join(counts, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("shared"))
     posted = shared.where(F.size("shared") >= least).mapInArrow(_dealt(chunk, least), "key long, p int, q int, node long, sig binary")
     lists = posted.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
-    return lists.mapInArrow(_listed(least), "a long, b long").distinct()
+    return lists.mapInArrow(_listed(least), "a long, b long, matches int").distinct()
 
 
 def _alike(common: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
@@ -230,7 +236,7 @@ def _joined(percent: int, least: int):
         near = np.zeros((len(x), len(y)), bool)
         for i, k in enumerate(x.tolist()):
             apart = np.flatnonzero(group[y] != group[k])
-            near[i, apart[colliding(signatures[k], signatures[y[apart]], least)]] = True
+            near[i, apart[colliding(signatures[k], signatures[y[apart]], least)[0]]] = True
         rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
         if len(rows):
             x, y, near = x[rows], y[columns], near[np.ix_(rows, columns)]
@@ -277,7 +283,12 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, chunk: int, keep: Call
     of_ids = size_checked(keep(named.select(F.col("first").alias("of_id")).distinct()))
     texts = docs.join(of_ids, docs.doc_id.eqNullSafe(of_ids.of_id), "left_semi").mapInArrow(_packed(shingle), "digest binary, packed binary")
     texts = keep(texts.join(named, texts.digest == named.of_digest).select("node", "packed").dropDuplicates(["node"]))
-    seen = looked_up(edges, texts, _compared(percent), keep)
+    # each text's best candidates are verified first; all candidates make families, whose groups are compared next
+    both = edges.select("a", "b", "matches", F.col("a").alias("of")).union(edges.select("a", "b", "matches", F.col("b")))
+    best = Window.partitionBy("of").orderBy(F.desc("matches"), F.xxhash64("a", "b"))
+    likely = keep(both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= BEST).select("a", "b").distinct())
+    seen = looked_up(likely, texts, _compared(percent), keep)
+    seen = seen.union(edges.select("a", "b", F.lit(False)))
     found = seen.where("linked").select("a", "b").union(linked_in_families(seen, texts, _joined(percent, least), keep))
 
     roots = components(found, keep).withColumnRenamed("node", "in_root")

@@ -411,6 +411,21 @@ def test_summaries_compose():
             at += len(part)
 
 
+def test_calls_before_against_a_loop(spark):
+    """Ties, calls exactly a span apart, hot keys and a null key; other spans and buckets."""
+    rng = random.Random(6)
+    calls = [(rng.choice([1, 1, 1, 1, 2, None]), rng.choice([0, 1, 59, 60, 61, 600]) * 7 + rng.randrange(0, 900, 5)) for _ in range(400)]
+    logs = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(calls)], "log_id int, license_id int, t long")
+    spans = {"short": 120, "long": 600}
+    got = {r["log_id"]: r for r in usage.calls_before(logs, spans, bucket=30).collect()}
+    assert len(got) == len(calls)
+    for i, (k, t) in enumerate(calls):
+        for name, span in spans.items():
+            assert got[i][name] == sum(k2 == k and t - span < t2 < t for k2, t2 in calls), (i, name)
+    plan = usage.calls_before(logs, spans, bucket=30)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("bucket#" in part or "to#" in part for part in re.findall(r"Window \[[^\n]*", plan))
+
+
 def test_articles_are_routed(spark):
     main = lambda c: F.lit(0.9)
     long = "Plain words here. " * 30

@@ -1,17 +1,23 @@
 """Duplicates among articles: by key, by URL or title, by similar titles.
 
 Greedy rules (an article goes only if an earlier one that *stays* is its duplicate) are not
-connected components.  They are resolved in rounds over the edges between duplicates: what
-has no earlier neighbour stays, what has an earlier neighbour that stays goes.
+connected components, but stay within them: components are sought first, and each is gone through
+once in order of id.
 """
 
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, MinHashLSH
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Rows of a table of ids that may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -111,20 +117,81 @@ def title_classes(df: DataFrame, group: str, id: str, words: str, threshold: flo
     return out.select(id, group, "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
-def greedy_drops(edges: DataFrame) -> DataFrame:
-    """id of what goes, from edges (a earlier than b): a column ``b`` of distinct ids."""
+#: Rows of a component that one task resolves; larger ones are resolved in rounds.
+COMPONENT_ROWS = 1_000_000
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root: the smallest node that each node of the edges (a, b) is connected with.
+
+    Edges are drawn towards the smallest neighbour, larger ends and smaller ends in turn, until every node hangs
+    on its root; a chain of n links takes about log n turns.
+    """
+
+    def drawn(edges: DataFrame, larger: bool) -> DataFrame:
+        both = edges.union(edges.select("b", "a")).toDF("u", "v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        out = both.where("v > u" if larger else "v < u").join(least, "u").select("v", "m")
+        out = out if larger else out.union(least.select("u", "m"))
+        return cut_lineage(out.where("v <> m").select(F.greatest("v", "m").alias("a"), F.least("v", "m").alias("b")).distinct())
+
+    def state(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    edges = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
+    while (now := state(edges)) != before:
+        before, edges = now, drawn(drawn(edges, True), False)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+
+
+def _by_size(rows: DataFrame, root: str, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of components with ``most`` rows at most, and of larger ones (None: there are none)."""
+    large = cut_lineage(rows.groupBy(root).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(F.col(root).alias("large")))
+    if large.isEmpty():
+        return rows, None
+    large = F.broadcast(large) if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else large
+    return rows.join(large, rows[root] == large["large"], "left_anti"), rows.join(large, rows[root] == large["large"], "left_semi")
+
+
+def _resolved(table: pa.Table) -> pa.Table:
+    """What goes of one component, from its edges."""
+    before: dict = {}
+    for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True):
+        before.setdefault(b, []).append(a)
+    gone: set = set()
+    for b in sorted(before):
+        if not gone.issuperset(before[b]):
+            gone.add(b)
+    return pa.table([pa.array(sorted(gone), table.schema.field("b").type)], names=["b"])
+
+
+def greedy_drops(edges: DataFrame, most: int = COMPONENT_ROWS) -> DataFrame:
+    """id of what goes, from edges (a earlier than b): a column ``b`` of distinct ids.
+
+    Components are sought first; then each is gone through once in order of id.  One with more than ``most`` edges
+    is resolved in rounds instead.
+    """
     edges = cut_lineage(edges.select("a", "b").distinct())
-    drops = []
+    if edges.isEmpty():
+        return edges.select("b")
+    roots = components(edges).select(F.col("node").alias("of"), "root")
+    rows = cut_lineage(edges.join(roots, edges.a == roots.of).select("a", "b", "root"))
+    small, large = _by_size(rows, "root", most)
+    out = small.groupBy("root").applyInArrow(_resolved, T.StructType([edges.schema["b"]]))
+    return out if large is None else out.union(_drops_in_rounds(large.select("a", "b")))
+
+
+def _drops_in_rounds(edges: DataFrame) -> DataFrame:
+    """:func:`greedy_drops`: what has no earlier neighbour stays, what has one that stays goes, and so on."""
+    edges, drops = cut_lineage(edges), []
     while not edges.isEmpty():
         kept = edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_anti").distinct()
         gone = cut_lineage(edges.join(kept, "a", "left_semi").select("b").distinct())
         drops.append(gone)
         rest = edges.join(kept, "a", "left_anti").join(gone, "b", "left_anti")
         edges = cut_lineage(rest.join(gone.select(F.col("b").alias("a")), "a", "left_anti"))
-    out = drops[0] if drops else edges.select("b")
-    for d in drops[1:]:
-        out = out.union(d)
-    return out.distinct()
+    return reduce(DataFrame.union, drops).distinct()
 
 
 def dedupe_similar_titles(df: DataFrame, group: str, id: str, title: Column, threshold: float = 0.8) -> DataFrame:
@@ -139,23 +206,51 @@ def dedupe_similar_titles(df: DataFrame, group: str, id: str, title: Column, thr
     return df.join(gone.select(F.col("b").alias(id)), id, "left_anti")
 
 
-def dedupe_url_or_title(df: DataFrame, group: str, id: str, url: str, title: Column) -> DataFrame:
-    """Rows whose URL and title (if not empty) equal no earlier row's of the group that stays."""
-    rows = df.select(group, id, F.explode(F.array(F.struct(F.lit("u").alias("k"), F.col(url).alias("v")), F.struct(F.lit("t").alias("k"), F.lower(title).alias("v")))).alias("x"))
-    rows = rows.select(id, F.struct(group, "x.k", "x.v").alias("value")).where(F.coalesce(F.col("value.v"), F.lit("")) != "").distinct()
-    many = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value")
-    left, drops = cut_lineage(rows.join(many, "value", "left_semi")), []
+def _taken_first(table: pa.Table) -> pa.Table:
+    """What goes of one component, from its rows (id, value) in order of id."""
+    values: dict = {}
+    for id, value in zip(table.column("id").to_pylist(), table.column("value").to_pylist(), strict=True):
+        values.setdefault(id, set()).add(value)
+    taken, gone = set(), []
+    for id in sorted(values):
+        if taken.isdisjoint(values[id]):
+            taken |= values[id]
+        else:
+            gone.append(id)
+    return pa.table([pa.array(gone, table.schema.field("id").type)], names=["id"])
+
+
+def _taken_in_rounds(left: DataFrame) -> DataFrame:
+    """:func:`_taken_first` of rows (id, value): what is first of all its values stays, and takes these from all others; and so on."""
+    left, drops = cut_lineage(left), []
     while not left.isEmpty():
-        # what is first of all its values stays, and then takes these values from all others
-        firsts = left.groupBy("value").agg(F.min(id).alias("first"))
-        stays = left.join(firsts, "value").groupBy(id).agg(F.max(F.col(id) > F.col("first")).alias("later")).where("not later").select(id)
+        firsts = left.groupBy("value").agg(F.min("id").alias("first"))
+        stays = left.join(firsts, "value").groupBy("id").agg(F.max(F.col("id") > F.col("first")).alias("later")).where("not later").select("id")
         stays = cut_lineage(stays)
-        taken = left.join(stays, id, "left_semi").select("value").distinct()
-        drops.append(cut_lineage(left.join(taken, "value", "left_semi").select(id).distinct().join(stays, id, "left_anti")))
-        left = cut_lineage(left.join(stays, id, "left_anti").join(drops[-1], id, "left_anti"))
-    for gone in drops:
-        df = df.join(gone, id, "left_anti")
-    return df
+        taken = left.join(stays, "id", "left_semi").select("value").distinct()
+        drops.append(cut_lineage(left.join(taken, "value", "left_semi").select("id").distinct().join(stays, "id", "left_anti")))
+        left = cut_lineage(left.join(stays, "id", "left_anti").join(drops[-1], "id", "left_anti"))
+    return reduce(DataFrame.union, drops)
+
+
+def dedupe_url_or_title(df: DataFrame, group: str, id: str, url: str, title: Column, most: int = COMPONENT_ROWS) -> DataFrame:
+    """Rows whose URL and title (if not empty) equal no earlier row's of the group that stays.
+
+    Rows that share values, directly or through others, are a component, gone through once in order of id; those of
+    more than ``most`` rows are resolved in rounds.
+    """
+    rows = df.select(group, F.col(id).alias("id"), F.explode(F.array(F.struct(F.lit("u").alias("k"), F.col(url).alias("v")), F.struct(F.lit("t").alias("k"), F.lower(title).alias("v")))).alias("x"))
+    rows = rows.where(F.coalesce("x.v", F.lit("")) != "").select("id", F.md5(F.to_json(F.struct(group, "x.k", "x.v"))).alias("value")).distinct()
+    many = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1").select("value", "first")
+    left = cut_lineage(rows.join(many, "value"))
+    if left.isEmpty():
+        return df
+    roots = components(left.select(F.col("id").alias("a"), F.col("first").alias("b")).where("a <> b")).select(F.col("node").alias("of"), "root")
+    left = cut_lineage(left.join(roots, left.id == roots.of).select("id", "value", "root"))
+    small, large = _by_size(left, "root", most)
+    gone = small.groupBy("root").applyInArrow(_taken_first, T.StructType([left.schema["id"]]))
+    gone = gone if large is None else gone.union(_taken_in_rounds(large.select("id", "value")))
+    return df.join(gone.withColumnRenamed("id", id), id, "left_anti")
 
 
 def score_distinct(df: DataFrame, text: str, score) -> DataFrame:

@@ -411,6 +411,33 @@ def test_summaries_compose():
             at += len(part)
 
 
+def test_long_chains_take_few_jobs(spark):
+    """10,000 links one after another: every second row goes, in a number of jobs that grows with the logarithm."""
+    n = 10_000
+    edges = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "")
+    try:
+        gone = {r["b"] for r in dedup.greedy_drops(edges).collect()}
+        jobs = len(tracker.getJobIdsForGroup("chain"))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert gone == set(range(1, n + 1, 2)) and jobs < 400
+
+
+def test_components_beyond_a_task_are_resolved_in_rounds(spark):
+    rng = random.Random(14)
+    edges = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(80)})
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {r["b"] for r in dedup.greedy_drops(df).collect()}
+    assert {r["b"] for r in dedup.greedy_drops(df, most=3).collect()} == want
+    rows = [("s", i, f"u{rng.randrange(20)}", f"t{rng.randrange(20)}") for i in range(60)]
+    table = spark.createDataFrame(rows, "g string, id long, url string, title string")
+    keep = lambda **how: {r["id"] for r in dedup.dedupe_url_or_title(table, "g", "id", "url", F.col("title"), **how).collect()}
+    assert keep(most=2) == keep()
+    assert dedup.greedy_drops(df.limit(0)).collect() == []
+
+
 def test_calls_before_against_a_loop(spark):
     """Ties, calls exactly a span apart, hot keys and a null key; other spans and buckets."""
     rng = random.Random(6)

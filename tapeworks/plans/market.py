@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import backtest, bars, chunked, features, indicators, lookup, model
-from ..sources import files, ingest
+from ..sources import files, ingest, versioned
 from ..streaming import streams
 from . import streamed
 from .views import SQL, Views, plain, prefix
@@ -293,6 +293,10 @@ SOURCES = {
         select symbol, timeframe, coalesce(n, 0) as n_rows, cast(case when newest is null then date '{TODAY}' - 30 else newest - 1 end as varchar) as start, cast(case when newest is null then date '{TODAY}' + 1 else date '{TODAY}' end as varchar) as "end",
         coalesce(newest >= date '{TODAY}', false) as skip, date_diff('day', newest, date '{TODAY}') as days_behind from w left join h using (symbol, timeframe)""",
     ),
+    "retention_report": (
+        lambda v: ingest.retention_report(v.industry_analyses, 400, F.lit("2001-08-01").cast("timestamp")),
+        prefix("industry_analyses") + " select count_if(created_at >= timestamp '2001-08-01' - interval 400 days) as kept, count_if(created_at < timestamp '2001-08-01' - interval 400 days) as dropped from industry_analyses",
+    ),
     "retention": (
         lambda v: ingest.apply_retention(v.industry_analyses, 400, F.lit("2001-08-01").cast("timestamp")).select("id", "industry"),
         prefix("industry_analyses") + " select id, industry from industry_analyses where created_at >= timestamp '2001-08-01' - interval 400 days",
@@ -470,7 +474,33 @@ def _of(name: str, build) -> tuple:
     return build, SOURCES[name][1]
 
 
+def _stored(v: Views) -> versioned.VersionedTable:
+    """A stored table of the bars of even hours."""
+    bars_of = v.bars_hour
+    table = versioned.VersionedTable(v.spark, streamed.root(v, "table"), bars_of.schema, ["symbol", T], T, buckets=4)
+    table.append(_even(v), ["close"])
+    return table
+
+
+def _stored_append(v: Views) -> DataFrame:
+    """All bars with closes one higher, loaded twice into the stored table: the second time nothing is new."""
+    table = _stored(v)
+    table.append(_shifted(v), ["close"])
+    table.append(_shifted(v), ["close"])
+    return table.read().select("symbol", T, "close")
+
+
+def _stored_upsert(v: Views) -> DataFrame:
+    """Every third hour's bars with closes one higher in place of those that are stored."""
+    table = _stored(v)
+    table.append(v.bars_hour, ["close"])
+    table.upsert(_shifted(v).where(F.hour(T) % 3 == 0), [F.desc("close")])
+    return table.read().select("symbol", T, "close")
+
+
 SOURCES |= {
+    "append_stored": _of("append_new", _stored_append),
+    "upsert_stored": _of("upsert_overwrite", _stored_upsert),
     "indicators_chunked": _of("indicators_all", lambda v: indicators.add_indicators(v.bars_hour, rows=FEW)),
     "obv_chunked": _of("obv", lambda v: indicators.obv(v.bars_hour, rows=FEW).select("symbol", T, "obv")),
     "gaps_chunked": _of("gaps", lambda v: bars.find_gaps(v.bars_hour, rows=FEW)),

@@ -107,6 +107,12 @@ def apply_retention(df: DataFrame, days: int, now: Column, time: str = "created_
     return df.where(F.col(time) >= now - F.expr(f"interval {days} days"))
 
 
+def retention_report(df: DataFrame, days: int, now: Column, time: str = "created_at") -> DataFrame:
+    """One row: how many rows :func:`apply_retention` keeps and drops (rows without a time are dropped)."""
+    stays = F.coalesce(F.col(time) >= now - F.expr(f"interval {days} days"), F.lit(False))
+    return df.agg(F.count_if(stays).alias("kept"), F.count_if(~stays).alias("dropped"))
+
+
 def clean_price_table(df: DataFrame, columns: list[str], date: str = "date") -> DataFrame:
     """Numbers without thousands commas (bad: null); rows with a bad date are dropped."""
     numbers = {c: F.regexp_replace(F.col(c).cast("string"), ",", "").try_cast("double") for c in columns}

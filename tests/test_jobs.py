@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tapeworks.functions import chunks, phrases, sentiment, text
 from tapeworks.operators import articles, backtest, bars, chunked, companies, dedup, features, indicators, model, recurrence, usage
 from tapeworks.operators.recurrence import run_mean
-from tapeworks.sources import files, ingest
+from tapeworks.sources import files, ingest, versioned
 from tapeworks.streaming import streams
 
 BAR = "symbol string, price_timestamp timestamp, open double, high double, low double, close double, volume long, trade_count long, vwap double, original boolean"
@@ -438,6 +438,71 @@ def test_components_beyond_a_task_are_resolved_in_rounds(spark):
     assert dedup.greedy_drops(df.limit(0)).collect() == []
 
 
+@pytest.fixture
+def table(spark, tmp_path):
+    schema = spark.createDataFrame([], "symbol string, ts timestamp, close double").schema
+    return versioned.VersionedTable(spark, f"file://{tmp_path}/bars", schema, ["symbol", "ts"], "ts", buckets=3)
+
+
+def hours(spark, first, last, add=0.0, symbols="ab"):
+    rows = [(s, START + timedelta(hours=h), h + add) for h in range(first, last) for s in symbols]
+    return spark.createDataFrame(rows, "symbol string, ts timestamp, close double")
+
+
+def stored(table, **how):
+    return sorted((r["symbol"], r["ts"], r["close"]) for r in table.read(**how).collect())
+
+
+def test_stored_table(spark, table):
+    assert table.version() == 0 and stored(table) == []
+    assert table.append(hours(spark, 0, 50), ["close"]) == 1
+    assert table.append(hours(spark, 0, 50, 0.5), ["close"]) == 1  # a repeated batch changes nothing
+    odd = hours(spark, 40, 60, 0.25).union(hours(spark, 40, 60, 0.125)).union(spark.createDataFrame([(None, START, 1.0), ("a", None, 1.0)], "symbol string, ts timestamp, close double"))
+    assert table.append(odd, ["close"], "load") == 2 and table.append(hours(spark, 90, 91), ["close"], "load") == 2
+    want = {(r["symbol"], r["ts"]): r["close"] for r in hours(spark, 0, 50).union(hours(spark, 50, 60, 0.125)).collect()}
+    assert stored(table) == sorted((*k, v) for k, v in want.items())
+    before = table.manifest()["parts"]
+    assert table.upsert(hours(spark, 45, 47, 100.0, "b"), ["close"]) == 3
+    want |= {(r["symbol"], r["ts"]): r["close"] for r in hours(spark, 45, 47, 100.0, "b").collect()}
+    assert stored(table) == sorted((*k, v) for k, v in want.items()) and len(stored(table, version=1)) == 100
+    after = table.manifest()["parts"]
+    assert sum(before[d] != after[d] for d in before) == 1  # other days are not written
+    assert table.expire(1, str(START + timedelta(hours=54))) == 60 and table.expire(1, str(START + timedelta(hours=54))) == 0
+    assert min(t for _, t, _ in stored(table)) == START + timedelta(hours=30)
+
+
+def test_loads_do_not_move_what_is_stored(spark, table):
+    table.append(hours(spark, 0, 200), ["close"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with versioned._joined_by_bucket(spark):
+            plan = table.missing(hours(spark, 150, 160), ["close"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above, scan = plan.rsplit("FileScan parquet", 1)
+    assert "Bucketed: true" in scan
+    assert "Exchange" not in above.rsplit("+- Sort", 1)[1] and plan.count("Exchange") == 1  # the batch moves, once
+    _, days = table._prepared(hours(spark, 150, 160), ["close"])
+    files = table._table(table.manifest()["parts"], days).inputFiles()
+    assert len(days) == 1 and files and all(f"__day={days[0]}" in f for f in files)  # days of the batch only
+
+
+def test_two_loads_of_one_version(spark, table):
+    """Of two loads that began at the same version the later fails and leaves nothing that is read."""
+    table.append(hours(spark, 0, 5), ["close"])
+    with pytest.raises(Exception, match="exist"):
+        table._publish(1, {"parts": {}, "batches": []})
+    assert len(stored(table)) == 10
+
+
+def test_stream_into_a_stored_table(spark, table):
+    write = table.sink(["close"], "quotes")
+    write(hours(spark, 0, 5), 0)
+    write(hours(spark, 3, 8), 1)
+    write(hours(spark, 100, 101), 1)  # the same batch again
+    assert len(stored(table)) == 16
+
+
 def test_calls_before_against_a_loop(spark):
     """Ties, calls exactly a span apart, hot keys and a null key; other spans and buckets."""
     rng = random.Random(6)

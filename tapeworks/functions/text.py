@@ -42,6 +42,11 @@ def strip_markup(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[ \t\n\r\f\x0B]+", " "))
 
 
+def long_enough(df: DataFrame, column: str = "text", least: int = 50) -> DataFrame:
+    """Rows whose text, after :func:`strip_markup`, has ``least`` characters."""
+    return df.withColumn(column, strip_markup(F.col(column))).where(F.length(column) >= least)
+
+
 def clean_for_analysis(text: Column, most: int = 512) -> Column:
     """Without URLs, white space to one space, cut to ``most`` characters, trimmed."""
     out = F.regexp_replace(text, r"https?://[^ \t\n\r]+", "")

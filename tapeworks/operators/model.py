@@ -65,6 +65,14 @@ def feature_importance(spark: SparkSession, model: PipelineModel, names: list[st
     return spark.createDataFrame(list(zip(names, sums, strict=True)), "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(n)
 
 
+def importance_with_values(importances: DataFrame, rows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """keys, feature, importance and the feature's value in the newest of ``rows``, for each of ``importances``."""
+    names = [r["feature"] for r in importances.select("feature").collect()]  # a top-n report
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*(F.col(n).cast("double").alias(n) for n in names)), TIME).alias("row"))
+    values = F.inline(F.array(*(F.struct(F.lit(n).alias("feature"), F.col("row")[n].alias("value")) for n in names)))
+    return newest.select(*keys, values).join(F.broadcast(importances), "feature")
+
+
 def save_model(spark: SparkSession, model: PipelineModel, info: dict, folder: str) -> None:
     """The model, and one row of metadata beside it."""
     model.write().overwrite().save(f"{folder}/model")

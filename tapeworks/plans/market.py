@@ -143,6 +143,32 @@ def _importance(v: Views) -> DataFrame:
     return model.feature_importance(v.spark, model.train_model(train, names), names)
 
 
+def _feature_values(v: Views) -> DataFrame:
+    """The ten features that matter most, with their latest values."""
+    train, test, names = _model_parts(v)
+    found = model.feature_importance(v.spark, model.train_model(train, names), names)
+    return model.importance_with_values(found, test)
+
+
+def _saved_models(v: Views) -> DataFrame:
+    """Models by timeframe (days have too few rows for their features: an error), saved, listed and summed up."""
+    train, test, names = _model_parts(v)
+    folder = streamed.root(v, "models")
+    made = model.train_all_timeframes(train.withColumn("timeframe", F.lit("hour")), names, ["hour", "day"])
+    for timeframe, fitted, _ in made:
+        if fitted is not None:
+            score = model.accuracy(model.predict_batch(fitted, test)).first()["accuracy"]
+            model.save_model(v.spark, fitted, {"timeframe": timeframe, "model_type": "random_forest", "training_samples": train.count(), "validation_accuracy": score, "features": names}, f"{folder}/{timeframe}")
+    errors = v.spark.createDataFrame([(t, e) for t, _, e in made], "timeframe string, error string")
+    listed = model.list_models(v.spark, folder).select("timeframe", "model_type", "training_samples", "validation_accuracy")
+    return errors.select("timeframe", (F.col("error") == "").alias("trained")).join(listed, "timeframe", "left").crossJoin(F.broadcast(model.model_summary(listed)))  # two rows and one
+
+
+def _rounds(v: Views) -> DataFrame:
+    train, test, names = _model_parts(v)
+    return model.compare_rounds(train, test, names)
+
+
 def _stream_bars(v: Views) -> DataFrame:
     """Streamed bars, and the hours still open at the watermark from the batch."""
     closed = streamed.bars(v)
@@ -443,6 +469,9 @@ SOURCES = {
     "train_forest": (lambda v: _predict(v, "random_forest"), None),
     "train_boosted": (lambda v: _predict(v, "boosted"), None),
     "feature_importance": (_importance, None),
+    "feature_values": (_feature_values, None),
+    "saved_models": (_saved_models, None),
+    "compare_rounds": (_rounds, None),
     "compare_sizes": (_sized, None),
     "stream_unique_bars": (lambda v: streamed.unique_bars(v), prefix("ticks") + " select symbol, cast(floor(epoch(ts)) as bigint) as price_timestamp from (select distinct symbol, ts from ticks)"),
     "stream_latest_quotes": (

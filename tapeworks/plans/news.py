@@ -195,6 +195,35 @@ def _symbol_tables(v: Views) -> dict[str, DataFrame]:
     return {s: v.articles.where(F.col("symbol") == s).select("url", "article_id") for s in ("S0", "S1", "S2")}
 
 
+def _symbol_files(v: Views) -> DataFrame:
+    """The articles of each symbol in files of their own, read as one table."""
+    path = streamed.root(v, "symbols")
+    v.articles.select("symbol", "url", "article_id").write.partitionBy("symbol").parquet(path)
+    return files.read_symbol_files(v.spark, path)
+
+
+def _stream_scores(v: Views) -> DataFrame:
+    """Scores that a stream gives the articles whose URL stands for one text only."""
+    one = v.articles.groupBy("symbol", F.sha2("url", 256).alias("url_hash")).agg(F.count_distinct("text").alias("texts")).where("texts = 1").select("symbol", "url_hash")
+    return streamed.articles(v, lambda c: sentiment.lexicon_score(c, WORDS), NOW).join(one, ["symbol", "url_hash"])
+
+
+def _modelled(v: Views) -> DataFrame:
+    """Labels and scores of a model that each worker loads once: here what a text's length says."""
+
+    def load():
+        kinds = ("positive", "negative", "neutral")
+        return lambda texts: [(kinds[len(t) % 3], len(t) % 100 / 100) for t in texts]
+
+    return chunks.score_with(v.articles, load).select("article_id", "label", "score")
+
+
+def _enriched_whole_pairs(v: Views) -> DataFrame:
+    """Whole articles with the whole next one as their extracted text."""
+    following = v.articles.select((F.col("article_id") - 1).alias("article_id"), F.col("text").alias("extracted"))
+    return text.enrich(v.articles.join(following, "article_id", "left"))
+
+
 def _bad_articles(v: Views) -> DataFrame:
     """Articles with scores half as large again, and what is wrong with them."""
     rows = scored(v).withColumns({"compound": F.col("compound") * 1.5, "title": F.when(F.col("article_id") % 5 > 0, text.title_of(F.col("text"))), "url_hash": F.when(F.col("article_id") % 11 > 0, text.url_hash(F.col("url")))})
@@ -300,6 +329,29 @@ SOURCES = {
     "sources": (lambda v: articles.sources(v.articles), f"{A} select distinct source from articles where source is not null"),
     "union_symbol_tables": (lambda v: files.union_symbol_tables(_symbol_tables(v)), f"{A} select symbol, sha256(url) as url_hash, url, min(article_id) as article_id from articles where symbol in ('S0', 'S1', 'S2') group by symbol, url"),
     "union_report": (lambda v: files.union_report(_symbol_tables(v)), f"{A} select symbol, count(*) as n_rows, count(distinct url) as n_kept, count(*) - count(distinct url) as duplicates from articles where symbol in ('S0', 'S1', 'S2') group by 1"),
+    "union_symbol_files": (lambda v: files.union_symbol_files(_symbol_files(v)), f"{A} select symbol, sha256(url) as url_hash, url, min(article_id) as article_id from articles group by symbol, url"),
+    "symbol_files_report": (lambda v: files.symbol_files_report(_symbol_files(v)), f"{A} select symbol, count(*) as n_rows, count(distinct url) as n_kept, count(*) - count(distinct url) as duplicates from articles group by 1"),
+    "stream_scores": (
+        _stream_scores,
+        f"""{A}, {_ARTICLE}, o as (select symbol, url, min(low) as low from a group by 1, 2 having count(distinct text) = 1)
+        select symbol, sha256(url) as url_hash, {r(_lexicon_sql(), 'score')} from o""",
+    ),
+    "score_with": (_modelled, f"{A} select article_id, ['positive', 'negative', 'neutral'][(length(text) % 3 + 1)::int] as label, {r('(length(text) % 100) / 100.0::double', 'score')} from articles"),
+    "enrich_digests": (
+        lambda v: _enriched_whole_pairs(v).select("article_id", F.sha2("full_text", 256).alias("digest"), "extraction_successful", "enhancement_ratio"),
+        f"""{A}, e as (select a.article_id, a.text, b.text as extracted from articles a left join articles b on b.article_id = a.article_id + 1), x as (select *, coalesce(length(text), 0) as la, coalesce(length(extracted), 0) as lb from e)
+        select article_id, sha256(case when lb > la then concat_ws(' ', text, extracted) else text end) as digest, lb > 100 as extraction_successful, round(100.0::double * lb / greatest(1, la), 1) as enhancement_ratio from x""",
+    ),
+    "cached_digests": (
+        lambda v: lookup.cached_analysis(_analyses(v), v.articles, 24, _now(), 50).select("symbol", "id", F.sha2("articles", 256).alias("digest")),
+        f"""{A}, y as (select symbol, article_id as id, timestamp '{NOW}' - to_hours(cast(article_id % 97 as int)) as tm from articles), l as (select symbol, max_by(id, (tm, id)) as id from y where tm > timestamp '{NOW}' - interval 24 hours group by 1),
+        n as (select symbol, sha256('[' || string_agg('{{"article_id":' || article_id || ',"source":"' || source || '"}}', ',' order by article_id, source) || ']') as digest from articles group by 1)
+        select symbol, id, digest from l join n using (symbol)""",
+    ),
+    "strip_markup_long": (
+        lambda v: text.long_enough(v.table("pages"), "html", 2000).select("page_id", F.sha2("html", 256).alias("digest")),
+        r"select page_id, sha256(t) as digest from (select page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\[[^\]]*\]', '', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g')) as t from pages) where length(t) >= 2000",
+    ),
     "stream_articles": (lambda v: streamed.articles(v, lambda c: sentiment.lexicon_score(c, WORDS), NOW).select("symbol", "url_hash"), f"{A} select distinct symbol, sha256(url) as url_hash from articles"),
     "stream_usage": (
         lambda v: streamed.usage(v),

@@ -72,6 +72,25 @@ def union_report(tables: dict[str, DataFrame]) -> DataFrame:
     return out.withColumn("duplicates", F.col("n_rows") - F.col("n_kept"))
 
 
+def read_symbol_files(spark: SparkSession, path: str, pattern: str = r"/symbol=([^/]+)/[^/]*$") -> DataFrame:
+    """The article tables of all symbols below ``path`` in one plan, the symbol from each file's name, with url_hash."""
+    files = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    symbol = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
+    return files.select("*", symbol.alias("symbol"), F.sha2("url", 256).alias("url_hash"))
+
+
+def union_symbol_files(rows: DataFrame) -> DataFrame:
+    """Of equal (url_hash, symbol) of :func:`read_symbol_files` the first row by its values."""
+    rest = [c for c in rows.columns if c not in ("symbol", "url_hash")]
+    return rows.groupBy("symbol", "url_hash").agg(F.min(F.struct(*rest)).alias("row")).select("symbol", "url_hash", "row.*")
+
+
+def symbol_files_report(rows: DataFrame) -> DataFrame:
+    """symbol, rows, different ones and duplicates, for each symbol of :func:`read_symbol_files`."""
+    out = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("url_hash").alias("n_kept"))
+    return out.withColumn("duplicates", F.col("n_rows") - F.col("n_kept"))
+
+
 def summary_wide(articles: DataFrame, sources: list[str]) -> DataFrame:
     """A row for each symbol with count and mean compound of each source as columns."""
     name = lambda s: "".join(c if c.isalnum() else "_" for c in s)

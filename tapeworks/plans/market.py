@@ -474,6 +474,12 @@ SOURCES = {
     "compare_rounds": (_rounds, None),
     "compare_sizes": (_sized, None),
     "stream_unique_bars": (lambda v: streamed.unique_bars(v), prefix("ticks") + " select symbol, cast(floor(epoch(ts)) as bigint) as price_timestamp from (select distinct symbol, ts from ticks)"),
+    "stream_corrected_bars": (lambda v: streamed.corrected_bars(v).select(*BAR_COLS), f"{B} select {BAR} from bars_hour"),
+    "stream_preferred_quotes": (
+        lambda v: streamed.preferred_quotes(v),
+        prefix("ticks") + f""", l as (select symbol, event_id % 7 as priority, max_by(ts, (ts, price)) as ts, max_by(price, (ts, price)) as price from ticks group by 1, 2), n as (select symbol, max(ts) as newest from l group by 1)
+        select symbol, cast(floor(epoch(ts)) as bigint) as ts, {r('price')}, priority from l join n using (symbol) where ts >= newest - interval 30 minutes qualify row_number() over (partition by symbol order by priority) = 1""",
+    ),
     "stream_latest_quotes": (
         lambda v: streamed.latest_quotes(v),
         prefix("ticks") + f" select symbol, cast(floor(epoch(ts)) as bigint) as ts, {r('price')}, event_id as priority from ticks qualify row_number() over (partition by symbol order by ts desc, event_id) = 1",

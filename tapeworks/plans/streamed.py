@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.dedup import shared_dir
-from ..streaming import streams
+from ..streaming import stateful, streams
 from .views import SQL, Views
 
 
@@ -49,6 +49,25 @@ def latest_quotes(v: Views) -> DataFrame:
     return streams.latest_updates(v.spark, f"{path}/out", ["symbol"])
 
 
+def corrected_bars(v: Views) -> DataFrame:
+    """Bars by a stream that late ticks correct; its last word on each."""
+    path = root(v)
+    stateful.run_stateful(stateful.corrected_bars(ticks(v), late="40 days", tie="event_id"), f"{path}/out", f"{path}/check")
+    return streams.latest_updates(v.spark, f"{path}/out", ["symbol", "price_timestamp"])
+
+
+def _sourced(rows: DataFrame) -> DataFrame:
+    """Ticks as quotes of seven sources by turns."""
+    return rows.select("symbol", "ts", "price", (F.col("event_id") % 7).alias("priority"))
+
+
+def preferred_quotes(v: Views) -> DataFrame:
+    """The quote to go by of each symbol, by a stream."""
+    path = root(v)
+    stateful.run_stateful(stateful.stream_preferred_quotes(_sourced(ticks(v)), "30 minutes", "40 days", "40 days"), f"{path}/out", f"{path}/check")
+    return streams.latest_updates(v.spark, f"{path}/out", ["symbol"])
+
+
 def articles(v: Views, score, now: str, late: str = "20 days") -> DataFrame:
     """symbol and url_hash of the articles that a stream keeps and scores."""
     path = root(v)

@@ -12,7 +12,7 @@ from tapeworks.functions import chunks, phrases, sentiment, text
 from tapeworks.operators import articles, backtest, bars, chunked, companies, dedup, features, indicators, model, recurrence, usage
 from tapeworks.operators.recurrence import run_mean
 from tapeworks.sources import files, ingest, versioned
-from tapeworks.streaming import streams
+from tapeworks.streaming import stateful, streams
 
 BAR = "symbol string, price_timestamp timestamp, open double, high double, low double, close double, volume long, trade_count long, vwap double, original boolean"
 START = datetime(2024, 1, 1)
@@ -503,6 +503,41 @@ def test_stream_into_a_stored_table(spark, table):
     assert len(stored(table)) == 16
 
 
+def test_late_ticks_correct_bars(spark, tmp_path):
+    """Ticks in files out of order, several batches: the last word on each bar is the batch's bar."""
+    rng = random.Random(3)
+    rows = [(rng.choice("AB"), START + timedelta(seconds=rng.randrange(4 * 3600)), float(rng.randrange(50, 60)), rng.randrange(3), i) for i in range(400)]
+    schema = "symbol string, ts timestamp, price double, size long, event_id long"
+    for i in range(4):
+        spark.createDataFrame(rows[i::4], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/ticks")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/ticks")
+    stateful.run_stateful(stateful.corrected_bars(source, late="1 day", tie="event_id"), f"{tmp_path}/out", f"{tmp_path}/check")
+    given = spark.read.parquet(f"{tmp_path}/out")
+    got = streams.latest_updates(spark, f"{tmp_path}/out", ["symbol", "price_timestamp"])
+    want = bars.build_bars(spark.createDataFrame(rows, schema), tie=("event_id",)).drop("original")
+    same_rows(got, want)
+    assert given.count() > want.count() and given.select("batch").distinct().count() == 4  # bars were given out and corrected
+
+
+def test_silent_sources_give_way(spark, tmp_path):
+    at = lambda minutes: START + timedelta(minutes=minutes)
+    files = [
+        [("A", at(0), 10.0, 1), ("A", at(1), 11.0, 2), ("B", at(0), 5.0, 2)],
+        [("A", at(4), 12.0, 2), ("B", at(1), 6.0, 1)],  # source 1 of A spoke 4 minutes ago
+        [("A", at(9), 13.0, 2)],  # now it has been silent too long
+        [("A", at(3), 14.0, 1), ("A", at(10), 15.0, 3)],  # a late quote is no sign of life
+    ]
+    for rows in files:
+        spark.createDataFrame(rows, "symbol string, ts timestamp, price double, priority long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/quotes")
+    schema = spark.read.parquet(f"{tmp_path}/quotes").schema
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/quotes")
+    stateful.run_stateful(stateful.stream_preferred_quotes(source), f"{tmp_path}/out", f"{tmp_path}/check")
+    words = {(r["symbol"], r["batch"]): (r["price"], r["priority"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert words == {("A", 0): (10.0, 1), ("B", 0): (5.0, 2), ("A", 1): (10.0, 1), ("B", 1): (6.0, 1), ("A", 2): (13.0, 2), ("A", 3): (13.0, 2)}
+    got = sorted(map(tuple, streams.latest_updates(spark, f"{tmp_path}/out", ["symbol"]).collect()))
+    assert got == sorted(map(tuple, stateful.preferred_quotes(spark.read.parquet(f"{tmp_path}/quotes")).collect()))
+
+
 def test_calls_before_against_a_loop(spark):
     """Ties, calls exactly a span apart, hot keys and a null key; other spans and buckets."""
     rng = random.Random(6)

@@ -474,7 +474,10 @@ SOURCES = {
     "compare_rounds": (_rounds, None),
     "compare_sizes": (_sized, None),
     "stream_unique_bars": (lambda v: streamed.unique_bars(v), prefix("ticks") + " select symbol, cast(floor(epoch(ts)) as bigint) as price_timestamp from (select distinct symbol, ts from ticks)"),
-    "stream_corrected_bars": (lambda v: streamed.corrected_bars(v).select(*BAR_COLS), f"{B} select {BAR} from bars_hour"),
+    "stream_corrected_bars": (
+        lambda v: streamed.corrected_bars(v).select(*BAR_COLS).withColumn("vwap", F.round("vwap", 4)),
+        f"{B} select {BAR.replace('round(vwap,6)', 'round(vwap,4)')} from bars_hour",  # sums in another order: the sixth digit may differ
+    ),
     "stream_preferred_quotes": (
         lambda v: streamed.preferred_quotes(v),
         prefix("ticks") + f""", l as (select symbol, event_id % 7 as priority, max_by(ts, (ts, price)) as ts, max_by(price, (ts, price)) as price from ticks group by 1, 2), n as (select symbol, max(ts) as newest from l group by 1)

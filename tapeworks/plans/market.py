@@ -475,8 +475,8 @@ SOURCES = {
     "compare_sizes": (_sized, None),
     "stream_unique_bars": (lambda v: streamed.unique_bars(v), prefix("ticks") + " select symbol, cast(floor(epoch(ts)) as bigint) as price_timestamp from (select distinct symbol, ts from ticks)"),
     "stream_corrected_bars": (
-        lambda v: streamed.corrected_bars(v).select(*BAR_COLS).withColumn("vwap", F.round("vwap", 4)),
-        f"{B} select {BAR.replace('round(vwap,6)', 'round(vwap,4)')} from bars_hour",  # sums in another order: the sixth digit may differ
+        lambda v: streamed.corrected_bars(v).select(*BAR_COLS).withColumn("turnover", F.round(F.col("vwap") * F.col("volume"), 2)).drop("vwap"),
+        f"{B} select {BAR.replace('round(vwap,6) as vwap', 'round(vwap * volume, 2) as turnover')} from bars_hour",  # a stream adds in another order: the sixth digit of a mean may differ
     ),
     "stream_preferred_quotes": (
         lambda v: streamed.preferred_quotes(v),

@@ -132,19 +132,24 @@ def _dealt(chunk: int, least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[] for _ in _POSTED]
-            for node, shared in zip(batch.column("node").to_pylist(), batch.column("shared").to_pylist(), strict=True):
-                sig = np.zeros(COORDINATES, np.uint32)
-                keys = np.array([x["key"] for x in shared], np.int64)
-                sig[keys & (COORDINATES - 1)] = keys.astype(np.uint32)
-                packed = sig.tobytes()
-                for x in shared[: len(shared) - least + 1]:
-                    parts = -(-x["n"] // chunk)
-                    own = xxhash.xxh64_intdigest(node.to_bytes(8, "little")) % parts
-                    for other in range(parts):
-                        for column, value in zip(rows, (x["key"], min(own, other), max(own, other), node, packed), strict=True):
-                            column.append(value)
-            yield batch_of(_POSTED, *rows)
+            if not batch.num_rows:
+                continue
+            lists, node = batch.column("shared"), np.asarray(batch.column("node"))
+            sizes = np.asarray(lists.value_lengths())
+            flat = lists.flatten()
+            n, key = np.asarray(flat.field("n")), np.asarray(flat.field("key"))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            table = np.zeros((len(sizes), COORDINATES), np.uint32)
+            table[row, key & (COORDINATES - 1)] = key.astype(np.uint32)
+            at = np.flatnonzero(place <= sizes[row] - least)  # the prefix
+            parts = -(-n[at] // chunk)
+            other = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            at, parts = np.repeat(at, parts), np.repeat(parts, parts)
+            turn = (node[row[at]].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            own = turn.astype(np.int64) % parts
+            packed = pa.array([x.tobytes() for x in table], pa.binary()).take(pa.array(row[at]))
+            yield batch_of(_POSTED, key[at], np.minimum(own, other), np.maximum(own, other), node[row[at]], packed)
 
     return run
 

@@ -5,11 +5,14 @@ Each entry is a function of :class:`Views` and the same result as DuckDB SQL (or
 
 from __future__ import annotations
 
+import sqlite3
+from contextlib import closing
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import backtest, bars, chunked, features, indicators, lookup, model
-from ..sources import files, ingest, versioned
+from ..sources import database, files, ingest, versioned
 from ..streaming import streams
 from . import streamed
 from .views import SQL, Views, plain, prefix
@@ -184,6 +187,17 @@ def _bars_by_csv(v: Views) -> DataFrame:
     return files.read_bars_csv(v.spark, path, "hour").select(*BAR_COLS)
 
 
+def _bars_by_database(v: Views) -> DataFrame:
+    """Hourly bars in a database file of the shared folder, and read from it in four ranges."""
+    path = f"{streamed.root(v, 'database').removeprefix('file://')}.db"
+    rows = v.bars_hour.select(*BAR_COLS)
+    with closing(sqlite3.connect(path)) as connection:
+        connection.execute(f"create table bars ({', '.join(BAR_COLS)})")
+        connection.commit()
+    database.write_database(rows, dsn=path, table="bars")
+    return database.read_database(v.spark, rows.schema, dsn=path, table="bars", column="volume", low=0, high=1000, parts=4).where("trade_count > 0")
+
+
 def _rows_per_file(v: Views) -> DataFrame:
     """Hourly bars written as one CSV file a symbol, and the rows of each file."""
     path = streamed.root(v, "csv")
@@ -236,6 +250,7 @@ SOURCES = {
         cast(sum(size) as bigint) as volume, count(*) as trade_count, round(sum(price * size) / nullif(sum(size), 0), 6) as vwap from o group by symbol, h""",
     ),
     "bars_by_csv": (_bars_by_csv, f"{B} select {BAR} from bars_hour"),
+    "bars_by_database": (_bars_by_database, f"{B} select {BAR} from bars_hour"),
     "rows_per_file": (_rows_per_file, f"{B} select symbol, count(*) as n_rows from bars_hour group by 1"),
     "bars_by_json": (_bars_by_json, f"{B} select {BAR} from bars_hour"),
     "load_bars": (

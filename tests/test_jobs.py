@@ -2,6 +2,8 @@
 
 import random
 import re
+import sqlite3
+from contextlib import closing
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from tapeworks.functions import chunks, phrases, sentiment, text
 from tapeworks.operators import articles, backtest, bars, chunked, companies, dedup, features, indicators, model, recurrence, usage
 from tapeworks.operators.recurrence import run_mean
-from tapeworks.sources import files, ingest, versioned
+from tapeworks.sources import database, files, ingest, versioned
 from tapeworks.streaming import stateful, streams
 
 BAR = "symbol string, price_timestamp timestamp, open double, high double, low double, close double, volume long, trade_count long, vwap double, original boolean"
@@ -538,6 +540,34 @@ def test_silent_sources_give_way(spark, tmp_path):
     assert got == sorted(map(tuple, stateful.preferred_quotes(spark.read.parquet(f"{tmp_path}/quotes")).collect()))
 
 
+def test_database_round_trip(spark, tmp_path):
+    """Rows of all kinds into a local database and back in ranges; filters reach it; a failed job leaves nothing."""
+    path = f"{tmp_path}/bars.db"
+    with closing(sqlite3.connect(path)) as db:
+        db.execute("create table bars (id integer, symbol text, ts text, close real, original integer)")
+        db.commit()
+    schema = "id long, symbol string, ts timestamp, close double, original boolean"
+    rows = [(None if i % 50 == 7 else i, "AB"[i % 2], None if i % 9 == 0 else START + timedelta(minutes=i), i / 4, i % 3 == 0) for i in range(200)]
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    how = {"dsn": path, "table": "bars"}
+    database.write_database(df, **how)
+    ranged = database.read_database(spark, schema, column="id", low=0, high=200, parts=3, **how)
+    assert ranged.rdd.getNumPartitions() == 4  # three ranges and the rows without an id
+    assert sorted(map(tuple, ranged.collect()), key=repr) == sorted(rows, key=repr)
+    picked = ranged.where("symbol = 'A' and id >= 100 and close < 40 and ts is not null")
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, picked.collect()), key=repr) == sorted((r for r in rows if r[1] == "A" and r[0] and r[0] >= 100 and r[3] < 40 and r[2]), key=repr)
+    assert "Filter" not in plan.split("BatchScan")[0]  # nothing is left for Spark to filter
+    bad = df.withColumn("close", F.when(F.col("id") == 150, F.raise_error(F.lit("bad row")).cast("double")).otherwise(F.col("close")))
+    with pytest.raises(Exception, match="bad row"):
+        database.write_database(bad, **how)
+    assert database.read_database(spark, schema, **how).count() == 200
+    database.write_database(df.limit(3), mode="overwrite", **how)
+    assert database.read_database(spark, schema, **how).count() == 3
+    database.write_database(df.limit(0), **how)
+    assert database.read_database(spark, schema, **how).count() == 3
+
+
 def test_calls_before_against_a_loop(spark):
     """Ties, calls exactly a span apart, hot keys and a null key; other spans and buckets."""
     rng = random.Random(6)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chunks, sentiment, text
-from ..operators import articles, companies, dedup, lookup, usage
+from ..operators import articles, companies, dedup, lookup, sketches, usage
 from ..sources import files, ingest
 from . import streamed
 from .views import Views, prefix
@@ -224,6 +224,20 @@ def _enriched_whole_pairs(v: Views) -> DataFrame:
     return text.enrich(v.articles.join(following, "article_id", "left"))
 
 
+def _sketched(v: Views, days: int = 14) -> DataFrame:
+    """Calls and users of each endpoint in the last days, from stored daily sketches, beside what an exact count may differ by."""
+    path = streamed.root(v, "sketches")
+    logs = v.usage_logs
+    early, late = logs.where("log_id % 2 = 0"), logs.where("log_id % 2 = 1")  # two loads that share their days
+    first, second = (sketches.daily_sketches(x, ["endpoint"], "request_timestamp", ["license_id"], {"ms": F.col("processing_time_ms")}) for x in (early, late))
+    sketches.add_days(first, second, ["endpoint"]).write.parquet(path)
+    last = F.lit(NOW).cast("date")
+    found = sketches.over_days(v.spark.read.parquet(path), ["endpoint"], days, last)
+    exact = logs.where((F.to_date("request_timestamp") <= last) & (F.to_date("request_timestamp") > F.date_sub(last, days))).groupBy("endpoint").agg(F.count_distinct("license_id").alias("users"))
+    near = F.abs(F.col("license_id") - F.col("users")) <= 0.02 * F.col("users")
+    return found.join(exact, "endpoint").select("endpoint", F.col("n").alias("calls"), "ms", "users", near.alias("near"))
+
+
 def _bad_articles(v: Views) -> DataFrame:
     """Articles with scores half as large again, and what is wrong with them."""
     rows = scored(v).withColumns({"compound": F.col("compound") * 1.5, "title": F.when(F.col("article_id") % 5 > 0, text.title_of(F.col("text"))), "url_hash": F.when(F.col("article_id") % 11 > 0, text.url_hash(F.col("url")))})
@@ -336,6 +350,11 @@ SOURCES = {
         f"""{A}, {_ARTICLE}, o as (select symbol, url, min(low) as low from a group by 1, 2 having count(distinct text) = 1)
         select symbol, sha256(url) as url_hash, {r(_lexicon_sql(), 'score')} from o""",
     ),
+    "usage_sketched": (
+        _sketched,
+        prefix("usage_logs") + f""" select endpoint, count(*) as calls, sum(processing_time_ms)::bigint as ms, count(distinct license_id) as users, true as near from usage_logs
+        where cast(request_timestamp as date) <= date '{NOW[:10]}' and cast(request_timestamp as date) > date '{NOW[:10]}' - 14 group by 1""",
+    ),
     "score_with": (_modelled, f"{A} select article_id, ['positive', 'negative', 'neutral'][(length(text) % 3 + 1)::int] as label, {r('(length(text) % 100) / 100.0::double', 'score')} from articles"),
     "enrich_digests": (
         lambda v: _enriched_whole_pairs(v).select("article_id", F.sha2("full_text", 256).alias("digest"), "extraction_successful", "enhancement_ratio"),

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeworks.functions import chunks, phrases, sentiment, text
-from tapeworks.operators import articles, backtest, bars, chunked, companies, dedup, features, indicators, model, recurrence, usage
+from tapeworks.operators import articles, backtest, bars, chunked, companies, dedup, features, indicators, model, recurrence, sketches, usage
 from tapeworks.operators.recurrence import run_mean
 from tapeworks.sources import database, files, ingest, versioned
 from tapeworks.streaming import stateful, streams
@@ -568,6 +568,24 @@ def test_database_round_trip(spark, tmp_path):
     assert database.read_database(spark, schema, **how).count() == 3
 
 
+def test_sketches_merge(spark):
+    """Days loaded at different times come to what one load gives, and estimates are near the exact counts."""
+    rows = spark.range(60_000).select((F.col("id") % 2).alias("tier"), (F.col("id") * 7919 % 20_011).alias("user"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") % 20 * 86400).alias("ts"))
+    last = F.lit("2024-01-20").cast("date")
+    whole = sketches.daily_sketches(rows, ["tier"], "ts", ["user"])
+    parts = sketches.add_days(sketches.daily_sketches(rows.where("user % 3 > 0"), ["tier"], "ts", ["user"]), sketches.daily_sketches(rows.where("user % 3 = 0"), ["tier"], "ts", ["user"]), ["tier"])
+    assert parts.count() == whole.count() == 20
+    for days in (1, 7, 30):
+        within = rows.where((F.to_date("ts") <= last) & (F.to_date("ts") > F.date_sub(last, days)))
+        exact = {r["tier"]: (r["n"], r["u"]) for r in within.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user").alias("u")).collect()}
+        for daily in (whole, parts):
+            got = {r["tier"]: (r["n"], r["user"]) for r in sketches.over_days(daily, ["tier"], days, last).collect()}
+            assert got.keys() == exact.keys()
+            assert all(got[t][0] == n and abs(got[t][1] - u) <= 0.02 * u for t, (n, u) in exact.items())
+    nothing = sketches.daily_sketches(rows.limit(0), ["tier"], "ts", ["user"])
+    assert sketches.over_days(nothing, ["tier"], 7, last).collect() == []
+
+
 def test_calls_before_against_a_loop(spark):
     """Ties, calls exactly a span apart, hot keys and a null key; other spans and buckets."""
     rng = random.Random(6)

@@ -56,6 +56,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.count = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+        self.kept: list[tuple[DataFrame, str]] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
         path, name = f"{self.folder}/{self.count}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -66,7 +67,14 @@ class Scratch:
             df.write.parquet(path)
         finally:
             self.spark.conf.unset(name) if before is None else self.spark.conf.set(name, before)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.kept.append((self.spark.read.schema(df.schema).parquet(path), path))
+        return self.kept[-1][0]
+
+    def release(self, df: DataFrame) -> None:
+        """Drop one table that nothing reads any more."""
+        for path in [p for x, p in self.kept if x is df]:
+            remove_folder(self.spark, path)
+        self.kept = [(x, p) for x, p in self.kept if x is not df]
 
     def drop(self) -> None:
         remove_folder(self.spark, self.folder)

@@ -18,7 +18,7 @@ several groups, the groups are compared with each other block by block.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -268,18 +268,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         raise ValueError("percent must be from 50 to 100")
     scratch = Scratch(docs.sparkSession)
     try:
-        return cut_lineage(_grouped(docs, shingle, percent, chunk, scratch.keep))
+        return cut_lineage(_grouped(docs, shingle, percent, chunk, scratch))
     finally:
         scratch.drop()
 
 
-def _grouped(docs: DataFrame, shingle: int, percent: int, chunk: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """:func:`near_duplicates`; ``keep`` writes what later steps build on."""
+def _grouped(docs: DataFrame, shingle: int, percent: int, chunk: int, scratch: Scratch) -> DataFrame:
+    """:func:`near_duplicates`; ``scratch`` keeps what later steps build on."""
+    keep = scratch.keep
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = keep(docs.mapInArrow(_signed(shingle), "doc_id long, n_shingles long, digest binary, keys array<long>"))
     nodes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"))
     nodes = keep(nodes.withColumn("node", F.monotonically_increasing_id()))
+    whole, signed = signed, keep(signed.drop("keys"))
+    scratch.release(whole)  # nodes have the keys
     least = least_matches(percent)
     edges = keep(candidates(nodes, least, chunk))
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..operators import backtest, bars, chunked, features, indicators, lookup, model
 from ..sources import database, files, ingest, versioned
-from ..streaming import streams
 from . import streamed
 from .views import SQL, Views, plain, prefix
 

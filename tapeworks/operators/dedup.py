@@ -80,23 +80,39 @@ def similar_pairs(df: DataFrame, group: str, id: str, words: str, threshold: flo
     return both.select(group, "a", "b", "similarity")
 
 
-def similar_pairs_lsh(df: DataFrame, group: str, id: str, words: str, threshold: float = 0.8, tables: int = 24, slack: float = 0.05, features: int = 1 << 20, seed: int = 42) -> DataFrame:
-    """:func:`similar_pairs` with candidates by min-hash tables of Spark ML, for very many titles.
+def lsh_candidates(firsts: DataFrame, group: str, threshold: float = 0.8, tables: int = 64, rows: int = 4, features: int = 1 << 20, seed: int = 42) -> DataFrame:
+    """Pairs a < b of ``first`` whose word sets ``w`` share a key in one of ``tables`` min-hash tables of Spark ML.
 
-    Words are hashed together with their group.  Pairs are verified exactly; a pair may be missed
-    with probability (1 - similarity) ** tables at most.  Equal sets are one candidate.
+    Words are hashed together with their group.  A key is made of ``rows`` hashes, so sets that merely share
+    frequent words seldom meet.
+    """
+    named = firsts.select("first", F.size("w").alias("n"), F.transform("w", lambda x: F.concat_ws("\0", F.col(group).cast("string"), x)).alias("terms"))
+    vectors = HashingTF(inputCol="terms", outputCol="bits", numFeatures=features, binary=True).transform(named)
+    model = MinHashLSH(inputCol="bits", outputCol="hashes", numHashTables=tables * rows, seed=seed).fit(vectors)
+    keys = lambda hashes: F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.xxhash64(t, F.slice(hashes, t * rows + 1, F.lit(rows))))
+    held = F.transform(F.array("hashes"), keys)  # of one, so the hashes are worked out once a row
+    heads = cut_lineage(model.transform(vectors).select("first", "n", F.explode(F.flatten(held)).alias("key")))
+    x, y = heads.alias("x"), heads.alias("y")
+    near = [F.col(f"{s}.n") >= F.col(f"{o}.n") * (threshold - 1e-9) for s, o in ("xy", "yx")]
+    met = x.join(y, [F.col("x.key") == F.col("y.key"), F.col("x.first") < F.col("y.first"), *near])
+    return met.select(F.col("x.first").alias("a"), F.col("y.first").alias("b")).distinct()
+
+
+def similar_pairs_lsh(df: DataFrame, group: str, id: str, words: str, threshold: float = 0.8, tables: int = 64, rows: int = 4, features: int = 1 << 20, seed: int = 42) -> DataFrame:
+    """:func:`similar_pairs` with candidates by :func:`lsh_candidates`, for very many titles.
+
+    Pairs are verified exactly; a pair may be missed with probability (1 - similarity ** rows) ** tables at
+    most (3e-15 at 0.8).  Equal sets are one candidate, and sets too small to be similar to any other are none.
     """
     sets = df.select(group, id, F.array_sort(words).alias("w")).where(F.size("w") > 0)
     firsts = sets.groupBy(group, "w").agg(F.min(id).alias("first"))
-    named = firsts.withColumn("terms", F.transform("w", lambda x: F.concat_ws("\0", F.col(group).cast("string"), x)))
-    vectors = cut_lineage(HashingTF(inputCol="terms", outputCol="bits", numFeatures=features, binary=True).transform(named).select(group, "first", "w", "bits"))
-    model = MinHashLSH(inputCol="bits", outputCol="hashes", numHashTables=tables, seed=seed).fit(vectors)
-    near = model.approxSimilarityJoin(vectors, vectors, 1 - threshold + slack, "distance")
-    a, b = F.col("datasetA"), F.col("datasetB")
-    near = near.where((a["first"] < b["first"]) & a[group].eqNullSafe(b[group]))
-    shared = F.size(F.array_intersect(a["w"], b["w"]))
-    near = near.select(a[group].alias(group), a["first"].alias("a"), b["first"].alias("b"), (shared / (F.size(a["w"]) + F.size(b["w"]) - shared)).alias("similarity"))
-    return near.where(F.col("similarity") > threshold).distinct()
+    firsts = cut_lineage(firsts.where(F.size("w") * (1 - threshold) > threshold - 1e-9))  # of smaller sets, one word more is too much
+    pairs = lsh_candidates(firsts, group, threshold, tables, rows, features, seed)
+    left = firsts.select(group, F.col("first").alias("a"), F.col("w").alias("wa"))
+    right = firsts.select(F.col(group).alias("__g"), F.col("first").alias("b"), F.col("w").alias("wb"))
+    both = pairs.join(left, "a").join(right, "b").where(F.col(group).eqNullSafe(F.col("__g")))
+    shared = F.size(F.array_intersect("wa", "wb"))
+    return both.select(group, "a", "b", (shared / (F.size("wa") + F.size("wb") - shared)).alias("similarity")).where(F.col("similarity") > threshold)
 
 
 def equal_to_first(df: DataFrame, group: str, id: str, words: str) -> DataFrame:

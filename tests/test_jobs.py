@@ -663,6 +663,18 @@ def test_lsh_finds_the_exact_pairs(spark):
     assert exact == near and len(exact) > 10
 
 
+def test_frequent_words_make_no_lsh_candidates(spark):
+    """Sets that share three frequent words of twelve: tables of one hash let nearly all pairs meet."""
+    rng = random.Random(5)
+    titles = [["the", "of", "a", *(f"w{rng.randrange(10**6)}" for _ in range(9))] for _ in range(600)]
+    near = [t[:-1] + ["x"] for t in titles[:20]] + [t[:-1] for t in titles[20:40]]
+    df = spark.createDataFrame([(i, "S", t) for i, t in enumerate(titles + near)], "i long, g string, w array<string>")
+    met = dedup.lsh_candidates(df.select("g", "w", F.col("i").alias("first")), "g").count()
+    assert met < 640 * 639 / 2 * 0.05
+    exact, got = (sorted(map(tuple, f(df, "g", "i", "w").collect())) for f in (dedup.similar_pairs, dedup.similar_pairs_lsh))
+    assert exact == got and len(got) == 40
+
+
 def test_sizes_are_compared(walk):
     _, df = walk
 

@@ -82,5 +82,5 @@ def usage(v: Views) -> DataFrame:
     """Calls of each key in sliding windows."""
     path = root(v)
     logs = _source(v, "events").select(F.col("user_id").alias("license_id"), F.col("ts").cast("timestamp").alias("request_timestamp"))
-    streams.run_updates(streams.stream_usage(logs), f"{path}/out", f"{path}/check")
-    return streams.latest_updates(v.spark, f"{path}/out", ["license_id", "w"]).select("license_id", F.col("w.start").alias("window_start"), "calls")
+    stateful.run_stateful(streams.stream_usage(logs), f"{path}/out", f"{path}/check")
+    return streams.sliding_usage(v.spark.read.parquet(f"{path}/out")).select("license_id", F.col("w.start").alias("window_start"), "calls")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import gcd
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +31,37 @@ def stream_articles(articles: DataFrame, score: Callable, time: str = "article_t
     return rows.dropDuplicatesWithinWatermark(["symbol", "url_hash"]).withColumn("score", score(F.col("text")))
 
 
+def _micros(span: str) -> int:
+    return pd.Timedelta(span).value // 1000
+
+
 def stream_usage(logs: DataFrame, time: str = "request_timestamp", span: str = "1 hour", slide: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Calls of each key in sliding windows, update mode."""
-    return logs.withWatermark(time, late).groupBy("license_id", F.window(time, span, slide).alias("w")).agg(F.count(F.lit(1)).alias("calls"))
+    """Calls of each key in the buckets (license_id, bucket, calls) that sliding windows are made of, update mode.
+
+    A call is one bucket's, not that of all windows over it, so the state has a row a bucket; :func:`sliding_usage` sums up.
+    A bucket takes late calls for as long as one of its windows is open.
+    """
+    width = gcd(_micros(span), _micros(slide))
+    open_us = _micros(late) + _micros(span) - width
+    counted = logs.withWatermark(time, f"{open_us} microseconds").groupBy("license_id", F.window(time, f"{width} microseconds").alias("b")).agg(F.count(F.lit(1)).alias("calls"))
+    return counted.select("license_id", F.col("b.start").alias("bucket"), "calls")
+
+
+def sliding_usage(buckets: DataFrame, span: str = "1 hour", slide: str = "5 minutes") -> DataFrame:
+    """Calls of each key in sliding windows (license_id, w, calls), from what :func:`stream_usage` gave out.
+
+    Counts only grow, so a bucket's largest is its last.  Rows are dealt by key once, before they multiply.
+    """
+    span_us, slide_us = _micros(span), _micros(slide)
+    dealt = buckets.repartition(int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "license_id")
+    last = dealt.groupBy("license_id", "bucket").agg(F.max("calls").alias("calls")).withColumn("at", F.unix_micros("bucket"))
+    newest = F.col("at") - F.pmod(F.col("at"), F.lit(slide_us).cast("long"))
+    back = F.sequence(F.lit(0).cast("long"), F.lit(-(-span_us // slide_us) - 1).cast("long"))
+    starts = F.transform(back, lambda i: newest - i * slide_us)
+    windows = last.select("license_id", "at", "calls", F.explode(starts).alias("start")).where(F.col("at") < F.col("start") + F.lit(span_us).cast("long"))
+    calls = windows.groupBy("license_id", "start").agg(F.sum("calls").alias("calls"))
+    w = F.struct(F.timestamp_micros("start").alias("start"), F.timestamp_micros(F.col("start") + F.lit(span_us).cast("long")).alias("end"))
+    return calls.select("license_id", w.alias("w"), "calls")
 
 
 def stream_latest_quotes(quotes: DataFrame) -> DataFrame:

@@ -521,6 +521,24 @@ def test_late_ticks_correct_bars(spark, tmp_path):
     assert given.count() > want.count() and given.select("batch").distinct().count() == 4  # bars were given out and corrected
 
 
+def test_usage_keeps_a_bucket_a_call(spark, tmp_path):
+    """Sliding windows over several batches, one with late calls: the state has a row for each bucket, not for each window."""
+    rng = random.Random(8)
+    calls = [(k, START + timedelta(seconds=rng.randrange(i * 1800, i * 1800 + 5400))) for i in range(3) for k in (1, 1, 2, None) for _ in range(30)]
+    schema = "license_id long, request_timestamp timestamp"
+    for i in range(3):
+        spark.createDataFrame(calls[i * 120 : i * 120 + 120], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/logs")
+    for span, slide, width in (("1 hour", "5 minutes", 300), ("10 minutes", "4 minutes", 120)):
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/logs")
+        folder = f"{tmp_path}/{width}"
+        stateful.run_stateful(streams.stream_usage(source, span=span, slide=slide, late="2 hours"), f"{folder}/out", f"{folder}/check")
+        rows = spark.read.parquet(f"{folder}/out")
+        assert rows.drop("calls", "batch").distinct().count() == len({(k, (at - START) // timedelta(seconds=width)) for k, at in calls})
+        want = spark.createDataFrame(calls, schema).groupBy("license_id", F.window("request_timestamp", span, slide).alias("w")).agg(F.count(F.lit(1)).alias("calls"))
+        got, want = (sorted(map(repr, df.select("license_id", "w.start", "w.end", "calls").collect())) for df in (streams.sliding_usage(rows, span, slide), want))
+        assert got == want
+
+
 def test_silent_sources_give_way(spark, tmp_path):
     at = lambda minutes: START + timedelta(minutes=minutes)
     files = [

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -106,12 +107,15 @@ class _Sources(_Dropped):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         quotes = {p[0]: tuple(q) for p, q in self.state.iterator()} if self.state.exists() else {}
+        spoke = set()
         for batch in rows:
             at = batch["ts"].astype("datetime64[us]").astype("int64")
             for t, price, priority in zip(at.tolist(), batch["price"].tolist(), batch["priority"].tolist(), strict=True):
                 if priority not in quotes or (t, price) > quotes[priority]:
                     quotes[priority] = (t, price)
-                    self.state.updateValue((priority,), quotes[priority])
+                    spoke.add(priority)
+        for priority in spoke:
+            self.state.updateValue((priority,), quotes[priority])
         newest = max(t for t, _ in quotes.values())
         for priority in [p for p, (t, _) in quotes.items() if t < newest - self.drop_ms * 1000]:
             self.state.removeKey((priority,))
@@ -123,13 +127,22 @@ class _Sources(_Dropped):
         yield pd.DataFrame({"symbol": [key[0]], "ts": [pd.Timestamp(quotes[chosen][0], unit="us")], "price": [quotes[chosen][1]], "priority": [chosen]})
 
 
+def _last_of_sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last quote of each source (symbol and priority) in each batch; of those at one time, the highest."""
+    for batch in batches:
+        rows = batch.to_pandas().sort_values(["ts", "price"], na_position="first", kind="stable")
+        yield batch.take(pa.array(rows.drop_duplicates(["symbol", "priority"], keep="last").index))
+
+
 def stream_preferred_quotes(quotes: DataFrame, silence: str = "5 minutes", drop: str = "1 day", late: str = "1 day") -> DataFrame:
     """The quote to go by of each symbol (symbol, ts, price, priority), update mode: that of the source with the smallest
     priority which has spoken within ``silence`` of the newest quote; one that has fallen silent gives way to the next.
 
-    A source (and a symbol) without quotes for ``drop`` is forgotten.
+    A source (and a symbol) without quotes for ``drop`` is forgotten.  A symbol is one task, so only the last quotes
+    of each Arrow batch reach it: earlier ones change nothing.
     """
-    rows = quotes.select("symbol", "ts", F.col("price").cast("double").alias("price"), F.col("priority").cast("long").alias("priority")).withWatermark("ts", late)
+    rows = quotes.select("symbol", "ts", F.col("price").cast("double").alias("price"), F.col("priority").cast("long").alias("priority"))
+    rows = rows.mapInArrow(_last_of_sources, rows.schema).withWatermark("ts", late)
     spans = (pd.Timedelta(x).total_seconds() for x in (silence, drop))
     silence_us, drop_ms = int(next(spans) * 10**6), int(next(spans) * 1000)
     return rows.groupBy("symbol").transformWithStateInPandas(_Sources(silence_us, drop_ms), "symbol string, ts timestamp, price double, priority long", "Update", "EventTime")

@@ -558,6 +558,22 @@ def test_silent_sources_give_way(spark, tmp_path):
     assert got == sorted(map(tuple, stateful.preferred_quotes(spark.read.parquet(f"{tmp_path}/quotes")).collect()))
 
 
+def test_only_last_quotes_reach_a_symbol(spark, tmp_path):
+    """Of many quotes, ties among them, a symbol's task reads those that a batch of input ends with, and nothing changes."""
+    rng = random.Random(9)
+    rows = [("A" if i % 9 else "B", START + timedelta(seconds=rng.randrange(600)), float(rng.randrange(90)), rng.randrange(7)) for i in range(6000)]
+    schema = "symbol string, ts timestamp, price double, priority long"
+    for i in range(2):
+        spark.createDataFrame(rows[i::2], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/quotes")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/quotes")
+    stream = stateful.stream_preferred_quotes(source, silence="20 seconds")
+    stateful.run_stateful(stream, f"{tmp_path}/out", f"{tmp_path}/check")
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert plan.index("TransformWithState") < plan.index("MapInArrow")
+    got = sorted(map(tuple, streams.latest_updates(spark, f"{tmp_path}/out", ["symbol"]).collect()))
+    assert got == sorted(map(tuple, stateful.preferred_quotes(spark.read.parquet(f"{tmp_path}/quotes"), "20 seconds").collect()))
+
+
 def test_database_round_trip(spark, tmp_path):
     """Rows of all kinds into a local database and back in ranges; filters reach it; a failed job leaves nothing."""
     path = f"{tmp_path}/bars.db"

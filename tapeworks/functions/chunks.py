@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import bounded_batches
 from .phrases import phrases_met
 from .sentiment import any_of, clamp, model_boost
 from .text import PASSAGE
@@ -230,6 +231,7 @@ def extract_article(html: Column) -> Column:
     def run(pages: pd.Series) -> pd.Series:
         return pages.map(article_text)
 
+    bounded_batches()
     return run(html)
 
 
@@ -271,4 +273,5 @@ def find_passages(df: DataFrame, companies: DataFrame, id: str, html: str, keywo
 
         return pages.map(of)
 
+    bounded_batches()
     return match_passages(df.select(id, F.posexplode(passages(F.col(html))).alias("at", "passage")), companies, id, keywords)

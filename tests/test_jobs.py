@@ -7,6 +7,7 @@ from contextlib import closing
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -653,6 +654,35 @@ def test_long_texts(spark):
     assert got[2]["score"] is None and got[2]["polarity"] == got[3]["compound"] == 0.0
 
 
+def widest_batch(spark, step):
+    """Characters of the largest batch that ``step`` (a column of a column) gets, by a probe that shares its batches."""
+
+    @F.pandas_udf("long")
+    def probe(texts: pd.Series) -> pd.Series:
+        return pd.Series([int(texts.str.len().sum())] * len(texts))
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("many words "), 18_000).alias("t"))
+    got = df.select(step(F.col("t")).alias("a"), probe(F.col("t")).alias("b"))
+    return got.agg(F.max("b"), F.count(F.col("a").cast("string"))).first()[0]
+
+
+def test_pages_come_in_batches_of_bounded_bytes(spark):
+    assert widest_batch(spark, chunks.extract_article) < 6 << 20
+
+
+def test_texts_come_in_batches_of_bounded_bytes(spark):
+    assert widest_batch(spark, lambda c: chunks.chunk_text(c, 1000)) < 6 << 20
+    assert widest_batch(spark, lambda c: phrases.phrases_met(c, ("words", "none"))) < 6 << 20
+
+
+def test_a_model_gets_batches_of_bounded_bytes(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("many words "), 18_000).alias("text"))
+    got = chunks.score_with(df, lambda: lambda texts: [("all", float(sum(map(len, texts))))] * len(texts))
+    assert got.agg(F.max("score")).first()[0] < 6 << 20 and got.count() == 60
+
+
 def test_extraction_falls_back():
     p = lambda text, n: f"<p>{text * n}</p>"
     side = "<div class='sidebar'>" + p("Side matter. ", 60) * 9 + "</div>"

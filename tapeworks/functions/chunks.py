@@ -45,6 +45,7 @@ def chunk_text(text: Column, most: int = 400) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: chunks(t, most))
 
+    bounded_batches()
     return run(text)
 
 

@@ -18,6 +18,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import bounded_batches
+
 #: Bytes of a window, and of the windows that one walk takes together.
 WINDOW, TOGETHER = 512, 8 << 20
 
@@ -115,6 +117,7 @@ def _finder(phrases: tuple[str, ...]):
 
 def phrases_met(text: Column, phrases: tuple[str, ...]) -> Column:
     """Places (from 0, ascending) in ``phrases`` of those that ``text`` holds; null and empty texts hold none."""
+    bounded_batches()
     return _finder(tuple(phrases))(text)
 
 

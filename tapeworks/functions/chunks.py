@@ -59,6 +59,7 @@ def score_with(df: DataFrame, load: Callable[[], Callable[[list[str]], list[tupl
         for batch in batches:
             yield pd.DataFrame(model(batch.fillna("").tolist()), columns=["label", "score"])
 
+    bounded_batches()
     return df.withColumn("__m", run(F.col(text))).select("*", "__m.label", "__m.score").drop("__m")
 
 

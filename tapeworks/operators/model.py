@@ -127,10 +127,10 @@ def compare_sizes(bars: DataFrame, prepare: Callable[[DataFrame], tuple[DataFram
 
     ``prepare`` gives labelled rows with features (and close), and the features' names.  One job for each size.
     """
-    out = None
+    bars, out = cut_lineage(bars), None  # every size reads them many times
     for n in sizes:
         rows, names = prepare(bars if n is None else last_n(bars, n, keys, [TIME]))
-        rows = temporal_split(rows, keys=keys)
+        rows = cut_lineage(temporal_split(rows, keys=keys))
         fitted = train_model(rows.where("part = 'train'"), names, kind, **how)
         pred = predict_batch(fitted, rows.where("part = 'validation'"))
         metrics = risk_metrics(equity_curve(pred.select(*keys, TIME, F.col("close").alias("price"), F.col("predicted").alias("prediction"), "target"), keys), keys)

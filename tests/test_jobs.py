@@ -750,6 +750,19 @@ def test_sizes_are_compared(walk):
     assert max(got, key=lambda r: r["strategy_return"])["best"]
 
 
+def test_sizes_read_the_bars_once(spark):
+    """What each size is prepared from is stored, not worked out again from the ticks."""
+    seen = []
+
+    def prepare(rows):
+        seen.append(rows._jdf.queryExecution().analyzed().toString())
+        raise ZeroDivisionError
+
+    with pytest.raises(ZeroDivisionError):
+        model.compare_sizes(spark.range(9).selectExpr("'A' as symbol", "timestamp_seconds(id) as price_timestamp"), prepare, (None,))
+    assert "LogicalRDD" in seen[0] and "Range" not in seen[0]
+
+
 def test_models_of_timeframes_and_rounds(walk, spark):
     _, df = walk
     rows, names = features.feature_matrix(features.add_labels(indicators.averages(df, (10,))))
